@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import mixing, rules
+from lodestone.llm import licenses, mixing, rules
 from lodestone.llm.common import documents
 
 
@@ -16,6 +16,37 @@ def op7_mixing(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op10_license_scan(spark, sf_dir):
+    return licenses.scan(documents(spark, sf_dir)).drop("spans")
+
+
+def _op10_sql() -> str:
+    rows = [(text, label, exact) for exact, group in (("true", licenses.PHRASES), ("false", licenses.NOTICES)) for text, label in group]
+    values = ", ".join(f"('{t}', '{label}', {exact})" for t, label, exact in rows)
+    return rf"""
+WITH tpl(template, label, exact) AS (VALUES {values}),
+tg AS (SELECT template, label, exact, len(string_split(template, ' ')) - 2 AS n_grams, i - 1 AS t_pos,
+         array_to_string(string_split(template, ' ')[i:i+2], ' ') AS gram
+       FROM tpl, LATERAL (SELECT unnest(range(1, len(string_split(template, ' ')) - 1)) AS i)),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+dg AS (SELECT doc_id, i - 1 AS pos, array_to_string(ws[i:i+2], ' ') AS gram FROM d, LATERAL (SELECT unnest(range(1, len(ws) - 1)) AS i)),
+v AS (SELECT doc_id, template, label, exact, n_grams, pos - t_pos AS diagonal, list(DISTINCT t_pos) AS seen, min(pos) AS f, max(pos) AS l
+      FROM dg JOIN tg USING (gram) GROUP BY ALL),
+pl AS (SELECT doc_id, label, true AS exact, diagonal AS start, 1.0::DOUBLE AS score FROM v WHERE exact AND len(seen) = n_grams),
+g AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER w <= 3 THEN 0 ELSE 1 END AS fresh FROM v WHERE NOT exact WINDOW w AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM g),
+a AS (SELECT doc_id, template, label, n_grams, span, len(list_distinct(flatten(list(seen)))) AS seen, min(f) AS start, max(l) + 3 AS stop FROM s GROUP BY ALL),
+sp AS (SELECT doc_id, label, false AS exact, start, seen::DOUBLE / n_grams AS score FROM a WHERE seen::DOUBLE / n_grams >= 0.6 AND stop - start <= n_grams + 2 + 6),
+p AS (SELECT doc_id, count(*) FILTER (WHERE exact) AS n_base, min(start) FILTER (WHERE exact) AS first_word, max(start) FILTER (WHERE exact) AS last_word,
+        coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE exact)), ','), '') AS base_labels,
+        array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(score) AS score
+      FROM (SELECT * FROM pl UNION ALL SELECT * FROM sp) GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN p ON d.doc_id = p.doc_id
+"""
+
+
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
@@ -54,5 +85,5 @@ r AS (SELECT d.*, source_size, target, epochs, floor(target - epochs * source_si
 SELECT doc_id, size, source_size, round(target, 6) AS target, (epochs * size + greatest(0, least(size, budget - before)))::BIGINT AS taken FROM r
 """
 
-QUERIES = {"op3_quality_rules": op3_quality_rules, "op7_mixing": op7_mixing}
-ORACLE = {"op3_quality_rules": OP3_SQL, "op7_mixing": OP7_SQL}
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op7_mixing, op10_license_scan)}
+ORACLE = {"op3_quality_rules": OP3_SQL, "op7_mixing": OP7_SQL, "op10_license_scan": _op10_sql()}
