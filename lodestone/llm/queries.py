@@ -2,8 +2,18 @@
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import licenses, mixing, rules
-from lodestone.llm.common import documents
+from lodestone.llm import licenses, mixing, packing, quality, rules
+from lodestone.llm.common import documents, fold, labels
+
+
+def op5_packing(spark, sf_dir):
+    return packing.pack(documents(spark, sf_dir))
+
+
+def op8_quality_classifier(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = quality.fit(docs, labels(spark, sf_dir), fold("_id", 3) != 1)
+    return quality.score(docs, model, keep=["doc_id"]).withColumn("held_out", fold("doc_id", 3) == 1)
 
 
 def op3_quality_rules(spark, sf_dir):
@@ -85,5 +95,5 @@ r AS (SELECT d.*, source_size, target, epochs, floor(target - epochs * source_si
 SELECT doc_id, size, source_size, round(target, 6) AS target, (epochs * size + greatest(0, least(size, budget - before)))::BIGINT AS taken FROM r
 """
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op7_mixing, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op5_packing, op7_mixing, op8_quality_classifier, op10_license_scan)}
 ORACLE = {"op3_quality_rules": OP3_SQL, "op7_mixing": OP7_SQL, "op10_license_scan": _op10_sql()}
