@@ -2,10 +2,24 @@
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import licenses, mixing, packing, quality, rules
+from lodestone.llm import langid, licenses, mixing, packing, quality, rules, sharding
 from lodestone.llm.common import documents, fold, labels
 
 
+#: Limit of a shard in op9.
+SHARD_BYTES = 4 << 20
+
+
+def op4_language_id(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs, fold("doc_id", 5) != 0)
+    return langid.predict(docs, model, keep=["doc_id"]).withColumn("held_out", fold("doc_id", 5) == 0)
+
+
+def op9_sharding(spark, sf_dir):
+    return sharding.shard(documents(spark, sf_dir), max_bytes=SHARD_BYTES)
+
+
 def op5_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir))
 
@@ -95,5 +109,5 @@ r AS (SELECT d.*, source_size, target, epochs, floor(target - epochs * source_si
 SELECT doc_id, size, source_size, round(target, 6) AS target, (epochs * size + greatest(0, least(size, budget - before)))::BIGINT AS taken FROM r
 """
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op5_packing, op7_mixing, op8_quality_classifier, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_language_id, op5_packing, op7_mixing, op8_quality_classifier, op9_sharding, op10_license_scan)}
 ORACLE = {"op3_quality_rules": OP3_SQL, "op7_mixing": OP7_SQL, "op10_license_scan": _op10_sql()}
