@@ -2,10 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import langid, licenses, mixing, packing, quality, rules, sharding
+from lodestone.llm import langid, licenses, mixing, ngram_join, packing, quality, rules, sharding
 from lodestone.llm.common import documents, fold, labels
 
 
+def op1_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.join(documents(spark, sf_dir))
+
+
 #: Limit of a shard in op9.
 SHARD_BYTES = 4 << 20
 
@@ -109,5 +113,5 @@ r AS (SELECT d.*, source_size, target, epochs, floor(target - epochs * source_si
 SELECT doc_id, size, source_size, round(target, 6) AS target, (epochs * size + greatest(0, least(size, budget - before)))::BIGINT AS taken FROM r
 """
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_language_id, op5_packing, op7_mixing, op8_quality_classifier, op9_sharding, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_quality_rules, op4_language_id, op5_packing, op7_mixing, op8_quality_classifier, op9_sharding, op10_license_scan)}
 ORACLE = {"op3_quality_rules": OP3_SQL, "op7_mixing": OP7_SQL, "op10_license_scan": _op10_sql()}
