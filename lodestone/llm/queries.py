@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import langid, licenses, mixing, ngram_join, packing, quality, rules, sharding
+from lodestone.llm import fingerprint, langid, licenses, mixing, ngram_join, packing, quality, rules, sharding
 from lodestone.llm.common import documents, fold, labels
 
 
@@ -20,6 +20,10 @@ def op4_language_id(spark, sf_dir):
     return langid.predict(docs, model, keep=["doc_id"]).withColumn("held_out", fold("doc_id", 5) == 0)
 
 
+def op6_document_fingerprints(spark, sf_dir):
+    return fingerprint.compare_edited(documents(spark, sf_dir))
+
+
 def op9_sharding(spark, sf_dir):
     return sharding.shard(documents(spark, sf_dir), max_bytes=SHARD_BYTES)
 
@@ -113,5 +117,5 @@ r AS (SELECT d.*, source_size, target, epochs, floor(target - epochs * source_si
 SELECT doc_id, size, source_size, round(target, 6) AS target, (epochs * size + greatest(0, least(size, budget - before)))::BIGINT AS taken FROM r
 """
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_quality_rules, op4_language_id, op5_packing, op7_mixing, op8_quality_classifier, op9_sharding, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_quality_rules, op4_language_id, op5_packing, op6_document_fingerprints, op7_mixing, op8_quality_classifier, op9_sharding, op10_license_scan)}
 ORACLE = {"op3_quality_rules": OP3_SQL, "op7_mixing": OP7_SQL, "op10_license_scan": _op10_sql()}
