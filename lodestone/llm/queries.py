@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import fingerprint, langid, licenses, mixing, ngram_join, packing, quality, rules, sharding
+from lodestone.llm import fingerprint, langid, licenses, mixing, ngram_join, packing, quality, rules, sharding, toxicity
 from lodestone.llm.common import documents, fold, labels
 
 
@@ -10,6 +10,12 @@ def op1_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.join(documents(spark, sf_dir))
 
 
+def op2_toxicity(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, labels(spark, sf_dir), fold("_id", 5) != 0)
+    return toxicity.score(docs, model, keep=["doc_id"]).withColumn("held_out", fold("doc_id", 5) == 0)
+
+
 #: Limit of a shard in op9.
 SHARD_BYTES = 4 << 20
 
@@ -117,5 +123,5 @@ r AS (SELECT d.*, source_size, target, epochs, floor(target - epochs * source_si
 SELECT doc_id, size, source_size, round(target, 6) AS target, (epochs * size + greatest(0, least(size, budget - before)))::BIGINT AS taken FROM r
 """
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_quality_rules, op4_language_id, op5_packing, op6_document_fingerprints, op7_mixing, op8_quality_classifier, op9_sharding, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_quality_rules, op4_language_id, op5_packing, op6_document_fingerprints, op7_mixing, op8_quality_classifier, op9_sharding, op10_license_scan)}
 ORACLE = {"op3_quality_rules": OP3_SQL, "op7_mixing": OP7_SQL, "op10_license_scan": _op10_sql()}
