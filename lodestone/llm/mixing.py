@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD
+from lodestone.llm.common import WORD, materialised
 
 
 def n_words(text: str) -> Column:
@@ -43,7 +43,7 @@ def targets(sizes: DataFrame, max_epochs: float) -> DataFrame:
     return w.select("source", "source_size", F.least(F.col("cap"), F.col("water") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", *, seed: str = "mix", max_epochs: float = 3.0, keep=(), buckets: int = 1024) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", *, seed: str = "mix", max_epochs: float = 3.0, keep=(), buckets: int = 1024, most_broadcast: int = 200_000) -> DataFrame:
     """Rows of ``docs`` with how many of their words a mixture takes.
 
     Each source's target buys ``floor(target / size)`` complete epochs; the rest
@@ -56,7 +56,9 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
 
     Null texts have size 0 and take 0; null sources are one source, the last;
     rows with equal ids share a key and count each; an empty table gives none.
-    Returns doc_id, source, size, weight, source_size, target, taken and ``keep``.
+    Returns doc_id, source, size, weight, source_size, target, epochs, part, taken and
+    ``keep``; columns of ``keep`` must not have one of these names or ``key``, ``bucket``,
+    ``before_bucket``, ``bucket_size``, ``budget``, ``before``.
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"), quality_weight(text).alias("weight"), *keep)
     d = d.withColumn("key", -F.ln(uniform(seed, "doc_id")) / F.col("weight"))
@@ -70,6 +72,9 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     sums = sums.withColumn("before_bucket", F.coalesce(F.sum("bucket_size").over(running), F.lit(0)))
     same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
     plan = sums.alias("s").join(goal.alias("g"), same("s", "g")).select("s.*", "source_size", "target", "epochs", "budget")
+    plan = materialised(plan)
+    # a row for each source and bucket: broadcast only if they are few, else merged
+    plan = F.broadcast(plan) if plan.count() <= most_broadcast else plan.hint("merge")
     out = d.alias("d").join(plan.alias("p"), same("d", "p") & (F.col("d.bucket") == F.col("p.bucket")))
     out = out.select("d.*", *[f"p.{c}" for c in ("before_bucket", "bucket_size", "source_size", "target", "epochs", "budget")])
     ends_here = (F.col("before_bucket") < F.col("budget")) & (F.col("before_bucket") + F.col("bucket_size") > F.col("budget"))
@@ -80,3 +85,17 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     cols = ["doc_id", "source", "size", "weight", "source_size", "target", "epochs", *keep]
     out = out.filter(~ends_here).select(*cols, whole.cast("long").alias("part")).unionByName(split.select(*cols, part.cast("long").alias("part")))
     return out.withColumn("taken", (F.col("epochs") * F.col("size") + F.col("part")).cast("long"))
+
+
+def mixed_rows(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The mixture itself, with the columns of ``docs``: a row for each epoch that takes a document.
+
+    A document in which a source's budget ends is cut after the words that are taken.
+    """
+    row = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    m = mix(row, **options, keep=["row"])
+    words = F.filter(F.split(F.col("row")[text], "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    cut = F.when(F.col("part") == F.col("size"), F.col("row")[text]).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("part").cast("int")), " "))
+    copies = F.concat(F.array_repeat(F.col("row")[text], F.col("epochs").cast("int")), F.when(F.col("part") > 0, F.array(cut)).otherwise(F.array().cast("array<string>")))
+    out = m.select("row", F.explode(copies).alias("copy"))
+    return out.select(*[F.col("copy").alias(c) if c == text else F.length("copy").cast("long").alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns])

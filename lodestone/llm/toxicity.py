@@ -31,11 +31,14 @@ KINDS = 16
 
 
 def beginnings(text: str) -> set:
-    """All beginnings of the distinct words, as long as patterns may be."""
-    return {w[:k] for w in set(WORDS.findall(text.lower())) for k in range(SHORTEST, min(len(w), LONGEST) + 1)}
+    """What patterns may match: the distinct words, each with ``$`` behind, and their beginnings."""
+    words = set(WORDS.findall(text.lower()))
+    return {w[:k] for w in words for k in range(SHORTEST, min(len(w), LONGEST) + 1)} | {w + "$" for w in words if SHORTEST <= len(w) <= 2 * LONGEST}
 
 
 def tag(word: str, lexicon: dict) -> tuple[str, float]:
+    if (weight := lexicon.get(word + "$")) is not None:
+        return "insult", weight
     for k in range(min(len(word), LONGEST), SHORTEST - 1, -1):
         if (weight := lexicon.get(word[:k])) is not None:
             return "insult", weight
@@ -64,7 +67,7 @@ def matches(text: str, lexicon: dict) -> np.ndarray:
     """Summed weights of the matches of each kind in a whole text."""
     out = np.zeros(KINDS)
     low = text.lower()
-    starts, threat = {p[:SHORTEST] for p in lexicon}, THREATS
+    starts, threat = {p[:SHORTEST] for p in lexicon}, THREATS  # patterns have SHORTEST letters at least
     if not any(w[:SHORTEST] in starts or w in threat for w in set(WORDS.findall(low))):
         return out
     for clause in CLAUSES.split(low):
@@ -87,12 +90,14 @@ def _sample(docs, labels, train, text, doc_id, label, most):
     return docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(picked[0].unionByName(picked[1])), "_id").select("text", "y", "_id")
 
 
-def learn(sample: DataFrame, *, least: int = 5, odds: float = 20.0, candidates: int = 5000) -> dict:
+def learn(sample: DataFrame, *, least: int = 8, share: float = 0.01, odds: float = 150.0, times: int = 3, candidates: int = 5000) -> dict:
     """Weighted insult patterns: word beginnings that cover the toxic documents of a bounded sample.
 
-    Candidates occur in ``least`` toxic documents and are ``odds`` times likelier
-    there.  They are then chosen by greedy cover, the longest of those that cover
-    as much, so words that merely stand beside an insult in copies add nothing.
+    Candidates occur in ``least`` toxic documents, and in a ``share`` of them, and are
+    ``odds`` times likelier there.  A greedy cover then chooses those that add most,
+    until each toxic document is covered ``times`` times if it can be: so words that
+    merely stand beside insults in copies add little.  Of candidates that add about
+    as much, the most certain and then the longest is chosen.
     """
 
     def count(batches):
@@ -106,12 +111,13 @@ def learn(sample: DataFrame, *, least: int = 5, odds: float = 20.0, candidates:
         n = [[c[k] if k else total[y] for k in keys] for y, c in enumerate(both)]
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(n[0], pa.int64()), pa.array(n[1], pa.int64())], ["pattern", "clean", "toxic"])
 
-    rows = sample.mapInArrow(count, "pattern string, clean long, toxic long").groupBy("pattern").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter((F.col("toxic") >= least) | (F.col("pattern") == ""))
+    rows = sample.mapInArrow(count, "pattern string, clean long, toxic long").groupBy("pattern").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter((F.col("toxic") >= least) | (F.col("pattern") == "")).persist()
     total = rows.filter("pattern = ''").first()
     if not total or not total["toxic"] or not total["clean"]:
         return {}
+    least = max(least, int(share * total["toxic"]))
     rate = F.log(((F.col("toxic") + 0.5) / (total["toxic"] + 1)) / ((F.col("clean") + 0.5) / (total["clean"] + 1)))
-    top = rows.filter("pattern <> ''").withColumn("weight", rate).filter(F.col("weight") >= float(np.log(odds))).orderBy(F.col("toxic").desc(), "pattern").limit(candidates)
+    top = rows.filter("pattern <> ''").withColumn("weight", rate).filter((F.col("weight") >= float(np.log(odds))) & (F.col("toxic") >= least)).orderBy(F.col("toxic").desc(), "pattern").limit(candidates)
     weight = {r["pattern"]: r["weight"] for r in top.collect()}
 
     def incidence(batches):
@@ -125,16 +131,18 @@ def learn(sample: DataFrame, *, least: int = 5, odds: float = 20.0, candidates:
     for k, r in enumerate(lists):
         for p in r["patterns"]:
             holders.setdefault(p, set()).add(k)
-    lexicon, covered = {}, set()
+    lexicon, covered, done = {}, Counter(), set()
     while holders:
-        gain = {p: len(h - covered) for p, h in holders.items()}
+        gain = {p: len(h - done) for p, h in holders.items()}
         best = max(gain.values())
         if best < least:
             break
-        p = max((p for p, g in gain.items() if g >= 0.97 * best), key=lambda p: (len(p), gain[p], p))
+        p = max((p for p, g in gain.items() if g >= 0.97 * best), key=lambda p: (round(weight[p], 1), len(p), gain[p], p))
         lexicon[p] = float(weight[p])
-        covered |= holders.pop(p)
-        holders = {q: h for q, h in holders.items() if not q.startswith(p)}
+        covered.update(holders[p])
+        done = {k for k, n in covered.items() if n >= times}
+        # neither what it covers anyway, nor its own beginnings
+        holders = {q: h for q, h in holders.items() if not (q.startswith(p) or p.startswith(q) or q.startswith(p.rstrip("$")))}
     return lexicon
 
 
