@@ -143,7 +143,8 @@ def pocket_distances(copies: DataFrame, residues: DataFrame, offsets: DataFrame,
     atoms = residues.join(spots, [*keys, "chain", "resseq"]).withColumn("target", F.struct("chain", "ref"))
     d = min_distance(copies, atoms, keys, "copy", "target")
     names = list(references)
-    wide = d.groupBy(*keys, "copy", F.col("target.chain").alias("chain")).pivot(F.col("target.ref"), names).agg(F.min("dist")) if False else d.groupBy(*keys, "copy", F.col("target.chain").alias("chain")).agg(*[F.min(F.when(F.col("target.ref") == n, F.col("dist"))).alias(f"d_{n}") for n in names])
+    nearest = [F.min(F.when(F.col("target.ref") == n, F.col("dist"))).alias(f"d_{n}") for n in names]
+    wide = d.groupBy(*keys, "copy", F.col("target.chain").alias("chain")).agg(*nearest)
     return wide.withColumn("mean_pocket_dist", mean_of_present(*[F.col(f"d_{n}") for n in names]))
 
 

@@ -5,6 +5,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def correlation(df: DataFrame, x: str, y: str, by: Sequence[str] = (), least: int = 3) -> DataFrame:
@@ -41,7 +42,7 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame
     return correlation(rank(rank(both, x, by, out="_rx"), y, by, out="_ry"), "_rx", "_ry", by).select(*by, "n", F.col("r").alias("rho"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_test_p(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p of a correlation by Student's t; for one row an association, never for raw rows."""
     import math

@@ -1,4 +1,7 @@
-"""Registry of queries."""
+"""All queries of the library on the given tables, with their SQL."""
 
-QUERIES = {}
-ORACLE = {}
+from lodestone.plans import ensembles, spatial  # noqa: F401
+from lodestone.plans.tables import SQL as ORACLE
+from lodestone.plans.tables import Q as QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
