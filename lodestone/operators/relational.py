@@ -28,19 +28,20 @@ def lookup_first(df: DataFrame, table: DataFrame, key: str, order: Sequence[Colu
     return df.withColumn("_k", F.lower(key)).join(t, "_k", "left").drop("_k")
 
 
-def interval_map(points: DataFrame, regions: DataFrame, key: Sequence[str], position: str, order: Sequence[str], unit: Column | None = None) -> DataFrame:
+def interval_map(points: DataFrame, regions: DataFrame, key: Sequence[str], position: str, order: Sequence[str]) -> DataFrame:
     """Positions mapped by the first region (``beg``, ``length``, ``ref_beg``) that holds them; NULL if none.
 
     ``key`` ties points to their regions, so the range test is a residual of a hash join.
     """
-    p = points.withColumn("_row", F.struct(*points.columns))
     r = regions.select(*key, "beg", "length", "ref_beg", *[F.col(o).alias(f"_o_{o}") for o in order])
     inside = F.col(position).between(F.col("beg"), F.col("beg") + F.col("length") - 1)
-    hit = p.join(r, list(key)).filter(inside)
+    hit = points.join(r, list(key)).filter(inside)
     hit = first_by(hit, points.columns, [F.col(f"_o_{o}") for o in order])
-    hit = hit.select(*points.columns, (F.col("ref_beg") + F.col(position) - F.col("beg")).alias("mapped"))
-    on = [points[c].eqNullSafe(hit[c]) for c in points.columns]
-    return points.join(hit, on, "left").select(*[points[c] for c in points.columns], hit["mapped"])
+    hit = hit.select(*[F.col(c).alias(f"_h_{c}") for c in points.columns], (F.col("ref_beg") + F.col(position) - F.col("beg")).alias("mapped"))
+    on = F.lit(True)
+    for c in points.columns:
+        on = on & F.col(c).eqNullSafe(F.col(f"_h_{c}"))
+    return points.join(hit, on, "left").select(*points.columns, "mapped")
 
 
 def match_or_blank(df: DataFrame, table: DataFrame, on: Sequence[str], exact: str, value: str) -> DataFrame:
@@ -49,8 +50,8 @@ def match_or_blank(df: DataFrame, table: DataFrame, on: Sequence[str], exact: st
     j = df.join(t, list(on), "left")
     is_match, is_blank = F.col("_x") == F.col(exact), F.coalesce(F.trim("_x"), F.lit("")) == ""
     j = j.filter(F.col("_x").isNull() | is_match | is_blank).withColumn("_m", F.coalesce(is_match, F.lit(False)))
-    any_match = F.max("_m").over(Window.partitionBy(*df.columns))
-    return j.filter(F.col("_m") | ~any_match).select(*df.columns, value)
+    j = j.withColumn("_any", F.max("_m").over(Window.partitionBy(*df.columns)))
+    return j.filter(F.col("_m") | ~F.col("_any")).select(*df.columns, value)
 
 
 def append_absent(df: DataFrame, known: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -27,12 +27,12 @@ def from_moments(state: DataFrame) -> DataFrame:
     return state.withColumns({"mean": F.try_divide("s1", "n"), "sd": F.when(F.col("n") >= 2, F.sqrt(F.greatest(var, F.lit(0.0))))})
 
 
-def stream_moments(spark: SparkSession, path: str, schema, keys, value: str, max_files: int = 1) -> DataFrame:
+def stream_moments(spark: SparkSession, path: str, schema, keys, value: str, max_files: int = 1, glob: str = "*.parquet") -> DataFrame:
     """Running mean and deviation as replicate files arrive: state is one row a key.
 
     There is no event time, so no watermark: the state is bounded by the keys.
     """
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).option("pathGlobFilter", glob).parquet(path)
     return s.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
 
 
