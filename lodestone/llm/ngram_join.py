@@ -21,29 +21,48 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import drop_written, materialised, mix, shingle_sets, text_slices
 from lodestone.llm.components import components
-from lodestone.llm.signature_tree import Tree, bitmap, linked
+from lodestone.llm.signature_tree import Tree, bitmap, linked, may_link
 
 N_KEYS = 4
-SKETCH = 1 << 16  # buckets of the frequency sketch, whatever the input
+SKETCH = 1 << 20  # buckets of the frequency sketch, whatever the input
+CHUNK = 1 << 12  # buckets that are summed together
 BITMAP = 64  # bytes of a class's bitmap
 BLOCK = 1024  # classes in one tree
 
 
 def frequency_levels(docs: DataFrame, size: int) -> np.ndarray:
-    """For each bucket of token hashes, how often it is over the mean, as a power of two."""
+    """For each bucket of token hashes, how often it is over the mean, in quarters of an octave.
 
-    def run(batches):
+    Tasks add up their part of a sketch of fixed size and hand it on in chunks, which
+    are summed by chunk; the driver gets the sketch, 4 MB whatever the input.
+    """
+
+    def count(batches):
         total = np.zeros(SKETCH, np.int64)
         for part in text_slices(batches):
             sets = shingle_sets(part.column(0), size)
             total += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["bucket", "n"])
+        if total.any():
+            yield chunks({k: x for k, x in enumerate(total.reshape(-1, CHUNK))})
 
-    rows = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    n = np.zeros(SKETCH)
-    n[rows["bucket"].to_numpy(int)] = rows["n"]
-    return np.log2(np.maximum(n / max(n.mean(), 1), 1)).astype(np.int8)
+    def add(batches):
+        total: dict = {}
+        for batch in batches:
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total[k] = total.get(k, 0) + np.frombuffer(x, np.int64)
+        if total:
+            yield chunks(total)
+
+    def chunks(total):
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"])
+
+    schema = "chunk int, counts binary"
+    rows = docs.select("text").mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).collect()
+    n = np.zeros((SKETCH // CHUNK, CHUNK))
+    for r in rows:
+        n[r["chunk"]] += np.frombuffer(r["counts"], np.int64)
+    n = n.ravel()
+    return (4 * np.log2(np.maximum(n / max(n.mean(), 1), 1))).astype(np.int8)
 
 
 def profiles(docs: DataFrame, size: int, share: int, levels: np.ndarray) -> DataFrame:
@@ -135,19 +154,19 @@ def candidates(profile: DataFrame, classes: DataFrame, members: DataFrame, comp:
     def run(batches):
         held, last = [], None
 
+        def apart(x, y):
+            """Different components, no block in common, and not the repeat of another pair of parts."""
+            return x[5] != y[5] and (x[3] != y[3] or x[1] == x[2]) and not set(x[8] or ()).intersection(y[8] or ())
+
         def done():
-            tokens, p, q, part, cls, comp, n, bits, met = zip(*held)
-            group = np.unique(np.array(comp), return_inverse=True)[1]
-            tree = Tree(np.frombuffer(b"".join(bits), np.uint8).reshape(-1, BITMAP), np.array(n), group)
-            cls, part = np.array(cls), np.array(part)
-            common = np.full((len(cls), 2 * N_KEYS), 0, np.int64)
-            for k, x in enumerate(met):
-                common[k, : len(x or ())] = x or ()
-            for i, j in tree.pairs(share):
-                same = (common[i][:, :, None] == common[j][:, None, :]) & (common[i] != 0)[:, :, None]
-                ok = ~same.any((1, 2)) & (group[i] != group[j]) & ((part[i] != part[j]) | (p[0] == q[0]))
-                a, b = np.minimum(cls[i], cls[j])[ok], np.maximum(cls[i], cls[j])[ok]
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            if len(held) <= 8:
+                found = [(x, y) for k, y in enumerate(held) for x in held[:k] if apart(x, y) and may_link(x[6], x[7], y[6], y[7], share)]
+            else:
+                tree = Tree(np.frombuffer(b"".join(x[7] for x in held), np.uint8).reshape(-1, BITMAP), np.array([x[6] for x in held]), np.unique([x[5] for x in held], return_inverse=True)[1])
+                found = [(held[i], held[j]) for a, b in tree.pairs(share) for i, j in zip(a.tolist(), b.tolist()) if apart(held[i], held[j])]
+            if found:
+                rows = [(x[4], y[4], x[6], y[6]) if x[4] < y[4] else (y[4], x[4], y[6], x[6]) for x, y in found]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["a", "b", "na", "nb"])
 
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns]):
@@ -159,7 +178,11 @@ def candidates(profile: DataFrame, classes: DataFrame, members: DataFrame, comp:
         if len(held) > 1:
             yield from done()
 
-    return ordered.select("token", "p", "q", "part", "cls", "component", "n", "bits", "met").mapInArrow(run, "a long, b long").distinct()
+    met_by = ordered.select("token", "p", "q", "part", "cls", "component", "n", "bits", "met").mapInArrow(run, "a long, b long, na long, nb long")
+    # a pair met once for each listed token in common; what lies behind the shorter list bounds the rest
+    behind = lambda n: F.ceil(F.col(n) * share / 100) - 1
+    enough = (100 + share) * (F.col("c") + F.greatest(behind("na"), behind("nb"))) >= share * (F.col("na") + F.col("nb"))
+    return met_by.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).filter(enough).select("a", "b")
 
 
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, share: int) -> DataFrame:

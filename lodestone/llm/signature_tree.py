@@ -67,6 +67,15 @@ class Tree:
                 stack.append((level - 1, a[s : s + chunk], b[s : s + chunk]))
 
 
+def may_link(n: int, bits: bytes, m: int, other: bytes, share: int) -> bool:
+    """The bound of the tree for two single sets."""
+    if 100 * n < share * m or 100 * m < share * n:
+        return False
+    a, b = int.from_bytes(bits), int.from_bytes(other)
+    common, most = (a & b).bit_count(), 100 + share
+    return most * (a.bit_count() - common) <= 100 * n - share * m and most * (b.bit_count() - common) <= 100 * m - share * n
+
+
 def find(parent: list, x: int) -> int:
     while parent[x] != x:
         parent[x] = parent[parent[x]]
@@ -84,6 +93,14 @@ def linked(sets: list[np.ndarray], share: int, n_bytes: int) -> list[tuple[int,
     sizes = np.array([len(s) for s in sets], np.int64)
     parent, out = list(range(m)), []
     post = None
+    if m <= 4:
+        for x in range(m):
+            for y in range(x):
+                a, b, n = find(parent, x), find(parent, y), sizes[x] + sizes[y]
+                if a != b and 100 * min(sizes[x], sizes[y]) >= share * max(sizes[x], sizes[y]) and (100 + share) * len(np.intersect1d(sets[x], sets[y], assume_unique=True)) >= share * n:
+                    parent[max(a, b)] = min(a, b)
+                    out.append((x, y))
+        return out
     tree = Tree(np.stack([bitmap(s, n_bytes) for s in sets]), sizes, np.arange(m))
     for i, j in tree.pairs(share):
         by = np.argsort(i, kind="stable")
