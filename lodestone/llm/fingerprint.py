@@ -6,8 +6,10 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from lodestone.llm.common import span_hashes, text_slices
 
@@ -75,59 +77,79 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 
 def with_next(docs: DataFrame, rows_a_bucket: int = 500, most_buckets: int = 8192) -> DataFrame:
-    """Rows (bucket, edge, key, doc_id, text): sorting a bucket by descending key puts each row before its successor.
+    """Rows (bucket, edge, key, doc_id, packed): sorting a bucket by descending key puts each row before its successor.
 
     Buckets are ranges of ids between quantiles, of which there is a bounded number,
     so no task gets the whole order.  The last row of a bucket finds its successor
     in a copy of the next bucket's first row (``edge``, sorted last); the last
-    bucket gets the first row of all.
+    bucket gets the first row of all.  Texts move once, compressed by Zstandard.
     """
-    d = docs.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    n = d.count()
+    key = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key")
+    ids = docs.select(key)
+    n = ids.count()
     k = int(min(max(n // rows_a_bucket, 1), most_buckets))
-    quantiles = d.agg(F.percentile_approx("key", [i / k for i in range(1, k)], 10 * k)).first()[0] if k > 1 and n else []
+    quantiles = ids.agg(F.percentile_approx("key", [i / k for i in range(1, k)], 10 * k)).first()[0] if k > 1 and n else []
     cuts = np.array(sorted(set(quantiles)), np.int64)
 
-    @F.pandas_udf("int")
-    def bucket(key: pd.Series) -> pd.Series:
+    @F.pandas_udf(IntegerType())
+    def bucket(x: pd.Series) -> pd.Series:
         # the largest ids are in bucket 0
-        return pd.Series(len(cuts) - np.searchsorted(cuts, key.to_numpy(), side="left"))
+        return pd.Series(len(cuts) - np.searchsorted(cuts, x.to_numpy(), side="left"), dtype="int32")
 
-    d = d.withColumn("bucket", bucket("key"))
-    heads = sorted((r["bucket"], r["key"]) for r in d.groupBy("bucket").agg(F.max("key").alias("key")).collect())
-    moves = [(heads[i - 1][0], key) for i, (_, key) in enumerate(heads)]
+    heads = sorted((r["bucket"], r["key"]) for r in ids.withColumn("bucket", bucket("key")).groupBy("bucket").agg(F.max("key").alias("key")).collect())
+    moves = [(heads[i - 1][0], x) for i, (_, x) in enumerate(heads)]
     # as many rows as buckets: a proven bound
     to = docs.sparkSession.createDataFrame(moves, "bucket int, key long")
-    first = d.drop("bucket").join(F.broadcast(to), "key").groupBy("bucket", "key").agg(F.min("text").alias("text"))
-    edges = first.select("bucket", F.lit(True).alias("edge"), "key", F.lit(None).cast("long").alias("doc_id"), "text")
-    return d.select("bucket", F.lit(False).alias("edge"), "key", "doc_id", "text").unionByName(edges)
+
+    def packed(texts):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        return pa.array([squeeze((t or "").encode("utf-8", "surrogatepass")) for t in texts.to_pylist()], pa.binary())
+
+    def pack(batches):
+        for b in batches:
+            x = b.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+            at = len(cuts) - np.searchsorted(cuts, x, side="left")
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(x), b.column(0), packed(b.column(1))], ["bucket", "key", "doc_id", "packed"])
+
+    def pack_edge(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), packed(b.column(1))], ["bucket", "key", "packed"])
+
+    rows = docs.mapInArrow(pack, "bucket int, key long, doc_id long, packed binary")
+    first = docs.withColumn("key", key).join(F.broadcast(to), "key").select("doc_id", "text", "bucket", "key")
+    first = first.mapInArrow(pack_edge, "bucket int, key long, packed binary")
+    edges = first.groupBy("bucket", "key").agg(F.min("packed").alias("packed"))
+    edges = edges.select("bucket", F.lit(True).alias("edge"), "key", F.lit(None).cast("long").alias("doc_id"), "packed")
+    return rows.select("bucket", F.lit(False).alias("edge"), "key", "doc_id", "packed").unionByName(edges)
 
 
 def compare_edited(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Fingerprints of every text and its edited text, and their likeness.
 
     The edited text has the last third of the code points replaced by as many of
-    the next document's first ones, in order of descending ids (ties by text; null
-    ids last; after the last comes the first).  The parse of the edited text goes
+    the next document's first ones, in order of descending ids (ties in a fixed order;
+    null ids last; after the last comes the first).  The parse of the edited text goes
     on from the phrases that both share, so it costs only its last third.  Null
     texts are as empty; two empty ones have likeness 1; an empty table gives none.
     """
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = with_next(d)
-    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "edge", F.col("key").desc(), "text").select("bucket", "edge", "doc_id", "text")
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "edge", F.col("key").desc(), "packed").select("bucket", "edge", "doc_id", "packed")
 
     def run(batches):
-        held = None  # (bucket, edge, doc_id, text, signature)
-        for part in text_slices(batches):
+        held = None  # (bucket, edge, doc_id, text, signature, phrase ends)
+        expand = zstandard.ZstdDecompressor().decompress
+        for part in batches:
             out = []
-            for bucket, edge, i, x in zip(*[c.to_pylist() for c in part.columns]):
+            for bucket, edge, i, packed in zip(*[c.to_pylist() for c in part.columns]):
+                x = expand(packed).decode("utf-8", "surrogatepass")
                 ends: list = []
                 phrase_ends(x, set(), ends, 0)
                 now = (bucket, edge, i, x, signature(x, ends), ends)
                 if held is not None and held[0] == bucket and not held[1]:
                     out.append(row(held, now))
                 held = now
-            yield batch(out)
+            yield result(out)
 
     def row(a, b):
         _, _, i, x, sig, ends = a
@@ -146,7 +168,7 @@ def compare_edited(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
-    def batch(out):
+    def result(out):
         cols = list(zip(*out)) if out else [[]] * 7
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
 
