@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import text_slices
+from lodestone.llm.common import materialised, text_slices
+from lodestone.llm.quality import first_by_hash
 
 # Fixed word lists of the grammar, by tag.
 THREATS = {"kill", "murder", "hurt", "destroy", "strangle", "töten", "umbringen", "vernichten", "tuer", "détruire", "frapper", "matar", "destruir", "golpear"}
@@ -85,7 +86,8 @@ def matches(text: str, lexicon: dict) -> np.ndarray:
 def _sample(docs, labels, train, text, doc_id, label, most):
     """At most ``most`` labelled training documents of each class, in order of hashed ids."""
     y = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & train)
-    picked = [y.filter(F.col("y") == k).withColumn("h", F.xxhash64("_id")).orderBy("h", "_id").limit(most).drop("h") for k in (0, 1)]
+    total = {r["y"]: r["n"] for r in y.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    picked = [first_by_hash(y.filter(F.col("y") == k), most, total.get(k, 0)) for k in (0, 1)]
     # twice `most` ids: a proven bound
     return docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(picked[0].unionByName(picked[1])), "_id").select("text", "y", "_id")
 
@@ -101,24 +103,34 @@ def learn(sample: DataFrame, *, least: int = 8, share: float = 0.01, odds: float
     """
 
     def count(batches):
-        both = [Counter(), Counter()]
-        total = [0, 0]
+        found: Counter = Counter()
         for part in text_slices(batches):
-            for x, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                both[y].update(beginnings(x or ""))
-                total[y] += 1
-        keys = list({**both[0], **both[1], "": 0})
-        n = [[c[k] if k else total[y] for k in keys] for y, c in enumerate(both)]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(n[0], pa.int64()), pa.array(n[1], pa.int64())], ["pattern", "clean", "toxic"])
-
-    rows = sample.mapInArrow(count, "pattern string, clean long, toxic long").groupBy("pattern").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter((F.col("toxic") >= least) | (F.col("pattern") == "")).persist()
-    total = rows.filter("pattern = ''").first()
-    if not total or not total["toxic"] or not total["clean"]:
+            for x in part.column(0).to_pylist():
+                found.update(beginnings(x or ""))
+        yield counted(found)
+
+    def counted(found):
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["pattern", "n"])
+
+    schema = "pattern string, n long"
+    n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
         return {}
-    least = max(least, int(share * total["toxic"]))
-    rate = F.log(((F.col("toxic") + 0.5) / (total["toxic"] + 1)) / ((F.col("clean") + 0.5) / (total["clean"] + 1)))
-    top = rows.filter("pattern <> ''").withColumn("weight", rate).filter((F.col("weight") >= float(np.log(odds))) & (F.col("toxic") >= least)).orderBy(F.col("toxic").desc(), "pattern").limit(candidates)
-    weight = {r["pattern"]: r["weight"] for r in top.collect()}
+    least = max(least, int(share * n[1]))
+    # patterns of the toxic documents first, then how often only those are in the clean ones
+    toxic = {r["pattern"]: r["n"] for r in sample.filter("y = 1").mapInArrow(count, schema).groupBy("pattern").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).collect()}
+
+    def recount(batches):
+        found: Counter = Counter()
+        for part in text_slices(batches):
+            for x in part.column(0).to_pylist():
+                found.update(beginnings(x or "") & toxic.keys())
+        yield counted(found)
+
+    clean = {r["pattern"]: r["n"] for r in sample.filter("y = 0").mapInArrow(recount, schema).groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
+    weight = {p: float(np.log(((t + 0.5) / (n[1] + 1)) / ((clean.get(p, 0) + 0.5) / (n[0] + 1)))) for p, t in toxic.items()}
+    top = sorted((p for p in weight if weight[p] >= np.log(odds)), key=lambda p: (-toxic[p], p))[:candidates]
+    weight = {p: weight[p] for p in top}
 
     def incidence(batches):
         for part in text_slices(batches):
@@ -152,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, text: str = "text", d
     ``train`` is a condition on the id, here called ``_id``.  Without both classes
     the model scores everything 0.5 or the one class's label.
     """
-    sample = _sample(docs, labels, train, text, doc_id, label, most)
+    sample = materialised(_sample(docs, labels, train, text, doc_id, label, most))
     lexicon = learn(sample)
 
     def run(batches):
