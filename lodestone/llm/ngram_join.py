@@ -66,38 +66,44 @@ def frequency_levels(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, size: int, share: int, levels: np.ndarray) -> DataFrame:
-    """One short row a document: set size, class, minimum hashes, listed tokens, bitmap."""
+    """One short row a document: set size, class, minimum hashes, listed tokens, bitmap.
+
+    Listed tokens whose bucket of the sketch is over the mean are kept apart as
+    ``hot``: only they can be in a large part of all documents.
+    """
 
     def run(batches):
         for part in text_slices(batches):
             sets = shingle_sets(part.column(1), size)
             n = np.array([len(s) for s in sets])
-            cls, keys, listed, bits = [], [], [], []
+            cls, keys, listed, hot, bits = [], [], [], [], []
             for s in sets:
                 if not len(s):
-                    cls.append(0), keys.append([]), listed.append([]), bits.append(b"")
+                    cls.append(0), keys.append([]), listed.append([]), hot.append([]), bits.append(b"")
                     continue
                 cls.append(mix(mix(s).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s)))[0].astype(np.int64))
                 keys.append([mix((s ^ mix(np.array([k + 1], np.uint64))) * np.uint64(2 * k + 3)).min().astype(np.int64) for k in range(N_KEYS)])
                 p = len(s) - -(-share * len(s) // 100) + 1
                 level = levels[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
-                first = s[:p] if not level.any() else s[np.argsort(level, kind="stable")[:p]]
-                listed.append(first.astype(np.int64))
+                at = np.argsort(level, kind="stable")[:p]
+                listed.append(s[at][level[at] == 0].astype(np.int64))
+                hot.append(s[at][level[at] > 0].astype(np.int64))
                 bits.append(bitmap(s, BITMAP).tobytes())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(listed, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "n", "cls", "keys", "listed", "bits"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(listed, pa.list_(pa.int64())), pa.array(hot, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "n", "cls", "keys", "listed", "hot", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, keys array<long>, listed array<long>, bits binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, keys array<long>, listed array<long>, hot array<long>, bits binary")
 
 
 def blocks(classes: DataFrame, size: int) -> DataFrame:
     """(cls, block) for blocks of two classes at least: by minimum hash, divided where larger than ``size``."""
     m = classes.select("cls", "keys", F.posexplode("keys").alias("k", "key"))
     m = m.withColumn("other", F.get("keys", (F.col("k") + 1) % N_KEYS)).drop("keys")
-    count = m.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    # counts are written first: then both sides of the join are plain shuffles, and a hot key can be split
+    count = materialised(m.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
     m = m.join(count.hint("merge"), "key")
     small = m.filter(F.col("c") <= size).select("cls", F.col("key").alias("block"))
     deep = m.filter(F.col("c") > size).select("cls", F.xxhash64("key", "other").alias("key"))
-    count = deep.groupBy("key").agg(F.count("*").alias("c"), F.min("cls").alias("pivot")).filter("c > 1")
+    count = materialised(deep.groupBy("key").agg(F.count("*").alias("c"), F.min("cls").alias("pivot")).filter("c > 1"))
     slots = F.ceil(F.col("c") / size).cast("long")
     slot = deep.join(count.hint("merge"), "key").select("cls", F.xxhash64("key", F.pmod(F.xxhash64("cls"), slots)).alias("block"))
     # each slot of a block also gets the block's pivot
@@ -139,9 +145,14 @@ def candidates(profile: DataFrame, classes: DataFrame, members: DataFrame, comp:
     listed = profile.filter("n > 0").select("cls", F.explode("listed").alias("token"))
     w = Window.partitionBy("token")
     shared = listed.select("token", "cls", (F.min("cls").over(w) < F.max("cls").over(w)).alias("many")).filter("many").select("token", "cls").distinct()
+    # hot tokens are summed up before the shuffle, and their rows are joined, so that a skewed join can be split
+    hot = profile.filter("n > 0").select("cls", F.explode("hot").alias("token")).distinct()
+    many = materialised(hot.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi").select("token"))
+    shared = shared.unionByName(hot.join(many.hint("merge"), "token").select("token", "cls"))
     shared = shared.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    shared = materialised(shared)
     mixed = shared.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).filter("lo < hi").select("token", "c")
-    shared = shared.join(mixed, "token")
+    shared = shared.join(materialised(mixed).hint("merge"), "token")
     met = members.groupBy("cls").agg(F.slice(F.sort_array(F.collect_set("block")), 1, 2 * N_KEYS).alias("met"))
     info = classes.select("cls", "n", "bits").join(met, "cls", "left")
     # a token's classes in parts of BLOCK; each pair of parts is one tree
