@@ -183,3 +183,18 @@ def unique_names(df: DataFrame, keys: Sequence[str], name: str = "name", element
     free = free.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, element).orderBy("_k"))).select(*keys, element, "_at", "_k")
     named = need.join(free, [*keys, element, "_at"]).withColumn(name, F.concat(F.col(element), F.col("_k").cast("string")))
     return d.filter("not _clash").select(*df.columns).unionByName(named.select(*df.columns))
+
+
+def first_match(base: DataFrame, rows: DataFrame, keys: Sequence[str], name: str, wanted: str, number: str, letters: int = 3, out: str = "found") -> DataFrame:
+    """Smallest number of the rows whose name starts like the wanted one; NULL if there is none."""
+    want = base.select(*keys, F.substring(wanted, 1, letters).alias("_w")).distinct()
+    hit = rows.select(*keys, F.substring(name, 1, letters).alias("_w"), number).join(want, [*keys, "_w"]).groupBy(*keys, "_w").agg(F.min(number).alias(out))
+    return base.withColumn("_w", F.substring(wanted, 1, letters)).join(hit, [*keys, "_w"], "left").drop("_w")
+
+
+def by_priority(df: DataFrame, keys: Sequence[str], name: str, priority: Mapping[str, int], order: str, out: str = "place") -> DataFrame:
+    """Places of rows within a key by a priority of names (0 if not listed), then by order."""
+    rank = F.lit(0)
+    for k, v in priority.items():
+        rank = F.when(F.col(name) == k, v).otherwise(rank)
+    return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(rank, order)))
