@@ -1,12 +1,4 @@
 """Operators of a training-data pipeline over a ``documents`` table.
 
-Nothing else in the library imports this package.  Functions that run inside
-tasks are shipped to the executors by value, so executors need no copy of the
-repository on their path.
+Nothing else in the library imports this package.
 """
-
-from pyspark import cloudpickle
-
-import lodestone
-
-cloudpickle.register_pickle_by_value(lodestone)

@@ -1,13 +1,12 @@
 """Helpers that several operators share."""
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.storage import drop_written, materialised, work_dir  # noqa: F401
+
 #: A word of the contracts: a run of characters that are not ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -25,35 +24,6 @@ def fold(doc_id: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which all executors share.
-
-    A session that has none (as in tests) gets a temporary one.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
-
-
-def materialised(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: no lineage, real statistics."""
-    spark = df.sparkSession
-    path = work_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_written(*frames: DataFrame) -> None:
-    """Delete what ``materialised`` wrote for frames that are no longer needed."""
-    for df in frames:
-        jvm = df.sparkSession._jvm
-        for file in df.inputFiles()[:1]:
-            path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once for each row."""
     return F.transform(F.array(value), body)[0]

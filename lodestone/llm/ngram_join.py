@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import drop_written, materialised, mix, shingle_sets, text_slices
+from lodestone.llm.common import materialised, mix, shingle_sets, text_slices
 from lodestone.llm.components import components
 from lodestone.llm.signature_tree import Tree, bitmap, linked, may_link
 

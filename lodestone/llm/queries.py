@@ -123,5 +123,26 @@ r AS (SELECT d.*, source_size, target, epochs, floor(target - epochs * source_si
 SELECT doc_id, size, source_size, round(target, 6) AS target, (epochs * size + greatest(0, least(size, budget - before)))::BIGINT AS taken FROM r
 """
 
+OP1_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, greatest(len(w) - 3, 2))) AS i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+u AS (SELECT x, y FROM e UNION SELECT y, x FROM e UNION SELECT doc_id, doc_id FROM documents),
+r AS (SELECT x AS node, y AS far FROM u UNION SELECT r.node, u.y FROM r JOIN u ON u.x = r.far)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c.component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT node, min(far) AS component_id FROM r GROUP BY node) c ON c.node = d.doc_id
+"""
+
+def op9_sql(max_bytes: int) -> str:
+    return rf"""
+WITH d AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS doc_bytes, lpad(bin(('0x' || substr(md5('shard|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 12))::BIGINT), {sharding.MAX_BITS}, '0') AS bits FROM documents),
+s AS (SELECT k, substr(bits, 1, k) AS prefix, sum(doc_bytes)::BIGINT AS n FROM d, (SELECT unnest(range(0, {sharding.MAX_BITS + 1})) AS k) GROUP BY ALL),
+f AS (SELECT doc_id, doc_bytes, bits, min(k) AS depth FROM d JOIN s ON s.prefix = substr(bits, 1, k) WHERE n <= {max_bytes} OR k = {sharding.MAX_BITS} GROUP BY ALL)
+SELECT doc_id, doc_bytes, prefix, depth::INT AS depth, n AS shard_bytes, 0 AS page FROM f JOIN s ON s.k = depth AND s.prefix = substr(bits, 1, depth)
+"""
+
+
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_quality_rules, op4_language_id, op5_packing, op6_document_fingerprints, op7_mixing, op8_quality_classifier, op9_sharding, op10_license_scan)}
-ORACLE = {"op3_quality_rules": OP3_SQL, "op7_mixing": OP7_SQL, "op10_license_scan": _op10_sql()}
+ORACLE = {"op1_ngram_jaccard_join": OP1_SQL, "op9_sharding": op9_sql(SHARD_BYTES), "op3_quality_rules": OP3_SQL, "op7_mixing": OP7_SQL, "op10_license_scan": _op10_sql()}

@@ -17,7 +17,7 @@ def shard(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, max_by
     and passes end when all fit.  Documents and directory meet by a join on the
     prefix.  A document larger than the limit ends alone in an oversized shard;
     rows that no bit tells apart (equal ids and texts) and that exceed the limit
-    together are cut by a running size into numbered overflow pages.
+    together go to numbered overflow pages, a fixed number to a page.
 
     Null and empty texts have 0 bytes.  An empty table gives no rows.
     Returns doc_id, doc_bytes, prefix (bits as text), depth, page, shard_bytes and ``keep``.
@@ -53,10 +53,12 @@ def shard(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, max_by
     probes = F.transform(F.array(*[F.lit(x) for x in sorted(depths)]), lambda k: F.substring(F.col("bits"), F.lit(1), k))
     located = d.withColumn("prefix", F.explode(probes)).join(entries.hint("shuffle_hash"), "prefix") if depths else d.withColumns({"prefix": F.lit(""), "depth": F.lit(0), "shard_bytes": F.lit(0).cast("long")})
     full = F.col("depth") == MAX_BITS
-    w = Window.partitionBy("prefix").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    page = F.floor((F.sum("doc_bytes").over(w) - 1) / F.lit(max_bytes)).cast("int")
+    # rows that no bit tells apart are equal, so a page has a fixed number of them
+    w = Window.partitionBy("prefix")
+    most = F.greatest(F.lit(1), F.floor(F.lit(max_bytes) / F.greatest(F.max("doc_bytes").over(w), F.lit(1))))
+    page = F.floor((F.row_number().over(w.orderBy("doc_id")) - 1) / most).cast("int")
     cols = ["doc_id", "doc_bytes", "prefix", "depth", "shard_bytes", *keep]
-    return located.filter(~full).select(*cols, F.lit(0).alias("page")).unionByName(located.filter(full).withColumn("page", F.greatest(F.lit(0), page)).select(*cols, "page"))
+    return located.filter(~full).select(*cols, F.lit(0).alias("page")).unionByName(located.filter(full).withColumn("page", page).select(*cols, "page"))
 
 
 def write(docs: DataFrame, path: str, **options) -> None:
