@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from lodestone.functions.storage import materialised
+
 
 def correlation(df: DataFrame, x: str, y: str, by: Sequence[str] = (), least: int = 3) -> DataFrame:
     """Pearson r, slope, intercept and n per group; NULL with fewer rows than ``least`` or a constant side.
@@ -22,7 +24,14 @@ def correlation(df: DataFrame, x: str, y: str, by: Sequence[str] = (), least: in
 
 
 def rank(df: DataFrame, value: str, by: Sequence[str] = (), ties: str = "average", descending: bool = False, nulls: str = "last", out: str = "rank") -> DataFrame:
-    """Ranks from 1 within a group; ties ``first``, ``min``, ``max``, ``average`` or ``random`` (by md5 of the row)."""
+    """Ranks from 1 within a group; ties ``first``, ``min``, ``max``, ``average`` or ``random`` (by md5 of the row).
+
+    Without groups the whole table is one order: rows are dealt by ranges of the
+    value, ranked within their range, and moved on by the counts of the ranges
+    before, so no task gets them all.
+    """
+    if not by:
+        return _rank_all(df, value, ties, descending, nulls, out)
     c = F.col(value)
     if nulls == "omit":
         df = df.filter(c.isNotNull())
@@ -36,6 +45,34 @@ def rank(df: DataFrame, value: str, by: Sequence[str] = (), ties: str = "average
     return df.withColumn(out, {"min": least, "max": least + same - 1, "average": least + (same - 1) / 2}[ties])
 
 
+def _rank_all(df: DataFrame, value: str, ties: str, descending: bool, nulls: str, out: str) -> DataFrame:
+    kept = df.filter(F.col(value).isNotNull())
+    c = F.col(value).desc() if descending else F.col(value).asc()
+    # written, since ranges that are drawn twice may differ
+    dealt = materialised(kept.repartitionByRange(kept.sparkSession.sparkContext.defaultParallelism, c).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))  # a row a partition
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    ranked = rank(dealt, value, ["_range"], ties, descending, "last", out)
+    ranked = ranked.join(F.broadcast(before.drop("_n")), "_range").withColumn(out, F.col(out) + F.col("_before")).select(*df.columns, out)
+    if nulls == "omit":
+        return ranked
+    empty = df.filter(F.col(value).isNull())
+    n = empty.count()
+    if not n:
+        return ranked
+    if nulls == "first":
+        ranked, start = ranked.withColumn(out, F.col(out) + n), 0
+    else:
+        start = total
+    # rows without a value are all tied
+    same = {"min": F.lit(start + 1), "max": F.lit(start + n), "average": F.lit(start + (n + 1) / 2)}
+    if ties in same:
+        return ranked.unionByName(empty.withColumn(out, same[ties]))
+    whole = rank(empty.withColumn("_k", F.md5(F.to_json(F.struct(*df.columns)).cast("binary"))), "_k", (), "min", out=out).drop("_k")
+    return ranked.unionByName(whole.withColumn(out, F.col(out) + start))
+
+
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Rank correlation with average ranks for ties."""
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
@@ -79,12 +116,17 @@ def permutation_p(df: DataFrame, x: str, y: str, ident: str, permutations: int =
 
     Permutation k orders the rows by ``md5(seed|k|id)``, so any engine and any
     partitioning draw the same.  All permutations run at once as groups of one job;
-    rows meet their permuted partner by rank, one shuffle on (permutation, rank).
+    places come from the hash's first digits and an order within those, and rows
+    meet their permuted partner by place: no task gets a whole permutation.
     """
     base = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(ident).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    base = materialised(rank(base, "id", ties="first", out="own"))
     drawn = base.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    by_draw = Window.partitionBy("k").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "k", "id").cast("binary")), "id")
-    drawn = drawn.withColumn("at", F.row_number().over(by_draw)).withColumn("own", F.row_number().over(Window.partitionBy("k").orderBy("id")))
+    drawn = drawn.withColumn("h", F.md5(F.concat_ws("|", F.lit(str(seed)), "k", "id").cast("binary"))).withColumn("part", F.substring("h", 1, 2))
+    sizes = drawn.groupBy("k", "part").agg(F.count("*").alias("n"))
+    sizes = sizes.select("k", "part", F.coalesce(F.sum("n").over(Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    drawn = drawn.join(sizes, ["k", "part"])
+    drawn = drawn.withColumn("at", F.col("before") + F.row_number().over(Window.partitionBy("k", "part").orderBy("h", "id")))
     pairs = drawn.select("k", F.col("own").alias("at"), "x").join(drawn.select("k", "at", "y"), ["k", "at"])
     null = correlation(pairs, "x", "y", ["k"]).select("k", F.col("r").alias("rk"))
     seen = correlation(base, "x", "y").select("n", "r")

@@ -186,3 +186,15 @@ def test_missing_and_required(spark):
         relational.only(spark.createDataFrame([("a",)], "id string"), "id", "b")
     assert relational.only(spark.createDataFrame([("Ab",)], "id string"), "id", "aB").count() == 1
     assert relational.same_rows(a, a) and not relational.same_rows(a, b)
+
+
+@pytest.mark.parametrize("ties,want", [("min", [1, 2, 2, 4, 5, 5]), ("max", [1, 3, 3, 4, 6, 6]), ("average", [1, 2.5, 2.5, 4, 5.5, 5.5]), ("first", [1, 2, 3, 4, 5, 6]), ("random", [1, 2, 3, 4, 5, 6])])
+def test_ranks_of_a_whole_table(spark, ties, want):
+    d = spark.createDataFrame([(i, v) for i, v in enumerate([3.0, 1.0, None, 3.0, 7.0, None])], "i int, v double")
+    rows = stats.rank(d, "v", ties=ties).collect()
+    assert sorted(r["rank"] for r in rows) == want
+    by = {r.i: r["rank"] for r in rows}
+    assert by[1] == 1 and by[4] == 4 and min(by[2], by[5]) >= 5
+    first = {r.i: r["rank"] for r in stats.rank(d, "v", ties="min", nulls="first").collect()}
+    assert first[2] == first[5] == 1 and first[1] == 3
+    assert stats.rank(d, "v", nulls="omit").count() == 4
