@@ -156,3 +156,41 @@ def test_paths_and_overrides(spark):
 def test_first_alternative(spark):
     d = spark.createDataFrame([("A",), ("B",), ("",), (None,)], "altloc string")
     assert selection.first_alternative(d).count() == 3
+
+
+def test_sinks_and_skips(spark, tmp_path):
+    from lodestone.streaming.incremental import skip_present
+
+    out = str(tmp_path / "t")
+    a = spark.createDataFrame([("a", 1), ("b", 2)], "structure_id string, v int")
+    tables.write_partitions(a, out)
+    tables.write_partitions(spark.createDataFrame([("b", 9)], "structure_id string, v int"), out)
+    assert {(r.structure_id, r.v) for r in tables.parquet(spark, out).collect()} == {("a", 1), ("b", 9)}
+    tables.write_csv(spark.createDataFrame([("1E10", 1.5)], "id string, v double"), str(tmp_path / "c"), one_file=True)
+    row = tables.csv(spark, str(tmp_path / "c"), "id string, v double").first()
+    assert (row.id, row.v) == ("1E10", 1.5)
+    (tmp_path / "j.json").write_text('{"pdb_id": "1A", "resolution": 2.5}')
+    assert tables.json(spark, str(tmp_path / "j.json"), "pdb_id string, resolution double").first().resolution == 2.5
+    manifest = spark.createDataFrame([("a", "x", "OK"), ("b", "y", "ID_MISMATCH")], "structure_id string, sha256 string, status string")
+    landed = spark.createDataFrame([("a", "x", "OK"), ("b", "y", "ID_MISMATCH"), ("c", "z", "OK")], "structure_id string, sha256 string, status string")
+    assert {r.structure_id: r.status for r in skip_present(manifest, landed).collect()} == {"a": "SKIPPED_ALREADY_PRESENT", "b": "ID_MISMATCH", "c": "OK"}
+
+
+def test_quality_of_copies_and_chains(spark, tmp_path):
+    atoms = text.atoms(load(spark, tmp_path))
+    q = selection.copy_quality(atoms.filter("resname = '634'")).first()
+    assert (q.mean_occupancy, q.n_altloc_atoms) == (1.0, 0)
+    c = selection.completeness(atoms.filter("record = 'ATOM'")).first()
+    assert (c.n_modelled, c.n_missing_ca) == (3, 0)
+    b = text.binary(spark, str(tmp_path / "pdb")).first()
+    assert b.structure_id == "1ABC" and b.content.startswith(b"HEADER")
+    r = {x.resseq: (x.aa1, x.x) for x in text.residues(selection.highest_occupancy(atoms)).collect()}
+    assert r == {10: ("A", 1.5), 11: ("C", 4.0), 14: ("C", 8.0)}
+
+
+def test_parameter_status(spark):
+    from lodestone.operators.molgraph import parameter_status
+
+    e = [("a", False, False, False, False), ("b", True, False, False, False), ("c", True, True, False, False), ("d", True, True, True, True), ("e", True, True, True, False)]
+    d = spark.createDataFrame(e, "id string, has_structure boolean, has_mol2 boolean, has_params boolean, names_match boolean")
+    assert [r.status for r in parameter_status(d).orderBy("id").collect()] == ["NO_CLEAN_PDB_FOUND", "MOL2_GENERATION_FAILED", "PARAMS_GENERATION_FAILED", "OK", "NEEDS_REVIEW"]
