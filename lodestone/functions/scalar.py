@@ -99,7 +99,7 @@ def to_picomolar(value: Column, unit_name: Column, keep_unknown: bool = False) -
 def inequality(text: Column) -> tuple[Column, Column]:
     """(relation, value) of texts such as ``>1000``: ``>=``, ``<=`` or ``=``; NULL if not a number."""
     relation = F.when(text.contains(">"), ">=").when(text.contains("<"), "<=").otherwise("=")
-    return relation, F.regexp_replace(text, "[><~=\\s]", "").try_cast("double")
+    return relation, F.trim(F.regexp_replace(text, "[><~]", "")).try_cast("double")
 
 
 def slice_text(line: Column, start: int, width: int, kind: str = "string") -> Column:
@@ -129,7 +129,7 @@ def pad_atom_name(name: Column, element: Column) -> Column:
 
 
 def is_hydrogen_name(name: Column) -> Column:
-    return name.rlike("^[0-9]*H")
+    return F.trim(name).rlike("^[0-9]?H")
 
 
 def element_of(sybyl: Column) -> Column:

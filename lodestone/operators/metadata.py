@@ -9,12 +9,30 @@ from lodestone.functions.scalar import letter_at, log10_floor, mutation_label, t
 from lodestone.operators.relational import append_absent, interval_map, match_or_blank, review
 from lodestone.operators.selection import keep_first
 
-#: Components that are never the ligand: solvents, ions, buffers (fixed values).
-NOT_LIGANDS = ["HOH", "WAT", "DOD", "NA", "CL", "MG", "ZN", "CA", "K", "MN", "SO4", "PO4", "GOL", "EDO", "PEG", "PG4", "DMS", "ACT", "FMT", "MES", "TRS", "EPE", "CIT"]
+# Components that are never the ligand of an entry, and those that a survey leaves out.
+NOT_LIGANDS = [
+    "12P", "15P", "1PE", "2PE", "6PE", "ACE", "ACT", "ACY", "AG", "AU", "AZI", "BA", "BEZ", "BME", "BO4",
+    "BR", "BU2", "BU3", "CA", "CAC", "CD", "CE", "CIT", "CL", "CO", "CO3", "CS", "CU", "CXS", "DMS", "DTT",
+    "EDO", "EPE", "EU", "F", "FE", "FMT", "GD", "GOL", "GSH", "GTT", "HEPES", "HG", "HOH", "IMD", "IOD",
+    "IPA", "K", "LA", "LI", "LU", "MES", "MG", "MN", "MPD", "MRD", "NA", "NH4", "NI", "NO3", "OXL", "P33",
+    "P6G", "PB", "PBM", "PEG", "PEK", "PEO", "PG4", "PGE", "PO4", "PT", "PUT", "RB", "SCN", "SIN", "SM",
+    "SO4", "SPD", "SPM", "SR", "TAM", "TLA", "TRS", "UNK", "UNX", "YB", "ZN",
+]
+NOT_SURVEYED = [
+    "12P", "15P", "1PE", "2PE", "3AN", "7PE", "ACE", "ACO", "ACT", "ACY", "ADP", "AG", "AMP", "ANP", "APC",
+    "ATP", "AU", "BA", "BCT", "BME", "BOG", "BR", "BRO", "BTB", "BU1", "BU2", "BU3", "C8E", "CA", "CD", "CE",
+    "CE1", "CIT", "CL", "CLO", "CM", "CME", "CMO", "CO", "CO3", "CS", "CSD", "CSO", "CSX", "CU", "DMS", "DRG",
+    "DTT", "DVT", "EDO", "EGL", "EOH", "EPE", "F", "FE", "FLC", "FLO", "FME", "FMT", "FRU", "GAL", "GDP",
+    "GLA", "GMP", "GOL", "GTP", "HED", "HG", "HIC", "HOH", "IMD", "IOD", "IPA", "K", "KCX", "LI", "LLP",
+    "M3L", "MAN", "MES", "MG", "MLI", "MLY", "MN", "MOH", "MOO", "MPD", "MPO", "MRD", "MSE", "NA", "NEP",
+    "NH4", "NHE", "NI", "NO3", "OCS", "OGA", "OXL", "P6G", "PCM", "PDO", "PEG", "PER", "PG4", "PGE", "PGO",
+    "PO4", "PTR", "PUT", "PYL", "RB", "SEC", "SEP", "SIN", "SO3", "SO4", "SPD", "SPM", "SR", "SUL", "TAR",
+    "TFA", "TLA", "TNG", "TPO", "TRD", "TRS", "UNL", "UNX", "XPE", "XX1", "XYP", "ZN",
+]
 
 #: Nested documents: polymer entities with features and alignments, and ligands.
 ENTRY_SCHEMA = """
-pdb_id string, title string, resolution double, method string, deposit_date string, release_date string,
+pdb_id string, title string, resolution double, method string, deposit_date string, release_date string, inter_mol_covalent int,
 polymers array<struct<entity_id: string, description: string, uniprot_ids: array<string>, chains: array<string>, sequence: string,
     features: array<struct<type: string, positions: array<int>>>,
     alignments: array<struct<uniprot_id: string, regions: array<struct<beg: int, length: int, ref_beg: int>>>>>>,
@@ -46,27 +64,27 @@ def mutations(entries: DataFrame, uniprot: str, words: str, reference: Column) -
 
 
 def inventory(entries: DataFrame, uniprot: str, words: str, reference: Column, max_resolution: float = 3.0, deny: Sequence[str] = tuple(NOT_LIGANDS)) -> DataFrame:
-    """One row an entry: chains, ligand, covalent state, status, review flag and notes."""
+    """One row an entry: chains, first candidate ligand, covalent state, status, review flag and notes."""
     t = targets(entries, uniprot, words).groupBy("pdb_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("p.chains")))).alias("chains"), F.count("*").alias("n_target_entities"))
     real = F.filter(F.coalesce("ligands", F.array().cast("array<struct<comp_id:string,name:string,weight:double,chains:array<string>,linked:boolean>>")), lambda x: ~x["comp_id"].isin(*deny))
-    e = entries.withColumn("_l", F.array_sort(real, lambda a, b: F.when(F.coalesce(a["weight"], F.lit(0.0)) > F.coalesce(b["weight"], F.lit(0.0)), -1).when(F.coalesce(a["weight"], F.lit(0.0)) < F.coalesce(b["weight"], F.lit(0.0)), 1).otherwise(0)))
-    e = e.withColumn("_first", F.get("_l", F.lit(0)))
+    e = entries.withColumn("_l", real).withColumn("_first", F.get("_l", F.lit(0)))
     e = e.join(t, "pdb_id", "left").join(mutations(entries, uniprot, words, reference), "pdb_id", "left")
-    n = F.size("_l")
+    n, linked_elsewhere = F.size("_l"), F.coalesce("inter_mol_covalent", F.lit(0)) > 0
     e = e.select(
         "pdb_id", "title", F.get("chains", F.lit(0)).alias("egfr_chain"), F.coalesce(F.size("chains"), F.lit(0)).alias("n_egfr_chains"), "mutation_string",
         F.col("_first.comp_id").alias("ligand_comp_id"), F.col("_first.name").alias("ligand_common_name"), n.alias("n_candidate_ligands"),
         F.array_join(F.transform("_l", lambda x: x["comp_id"]), ",").alias("candidate_ligands"),
-        F.when(F.exists("_l", lambda x: x["linked"]), "COVALENT_CONFIRMED").when(n == 0, "NO_LIGAND").otherwise("NON_COVALENT").alias("covalent_status"),
+        F.when(n == 0, F.when(linked_elsewhere, "UNKNOWN_NO_LIGAND").otherwise("NOT_APPLICABLE_NO_LIGAND")).when(F.exists("_l", lambda x: x["linked"]), "COVALENT_CONFIRMED").when(linked_elsewhere, "INTERMOL_COVALENT_BUT_NOT_ON_LIGAND").otherwise("NON_COVALENT").alias("covalent_status"),
         F.col("resolution").alias("resolution_A"), F.col("method").alias("experimental_method"), F.to_date("deposit_date").alias("deposit_date"), F.to_date("release_date").alias("release_date"),
     )
-    e = e.withColumn("metadata_status", F.when(F.col("n_egfr_chains") == 0, "NO_TARGET_CHAIN").when(n_is(0), "NO_LIGAND").when(F.col("n_candidate_ligands") > 1, "MULTIPLE_LIGANDS").otherwise("OK"))
+    e = e.withColumn("metadata_status", F.when(n_is(0), "NO_LIGAND_FOUND").when(F.col("n_candidate_ligands") > 1, "MULTIPLE_LIGAND_CANDIDATES").otherwise("OK"))
     return review(
         e,
         (F.col("n_egfr_chains") == 0, "no target chain"),
         (n_is(0), "no candidate ligand"),
         (F.col("n_candidate_ligands") > 1, "several candidate ligands"),
         (F.col("covalent_status") == "COVALENT_CONFIRMED", "covalent ligand"),
+        (F.col("covalent_status") == "INTERMOL_COVALENT_BUT_NOT_ON_LIGAND", "covalent link elsewhere"),
         (F.col("n_egfr_chains") > 1, "several target chains"),
         (F.col("resolution_A") > max_resolution, "low resolution"),
     )
@@ -77,19 +95,20 @@ def n_is(k: int) -> Column:
 
 
 def qc_checks() -> dict[str, Column]:
-    """The seven subsets of an inventory that need a look."""
+    """The subsets of an inventory that need a look; confirmed covalent ligands are one of their own."""
     return {
-        "qc_no_target_chain": F.col("n_egfr_chains") == 0,
-        "qc_multiple_chains": F.col("n_egfr_chains") > 1,
-        "qc_no_ligand": n_is(0),
-        "qc_multiple_ligands": F.col("n_candidate_ligands") > 1,
-        "qc_covalent": F.col("covalent_status") == "COVALENT_CONFIRMED",
-        "qc_suspected_covalent": F.col("covalent_status") == "COVALENT_SUSPECTED",
-        "qc_low_resolution": F.col("resolution_A") > 3.0,
+        "qc_no_ligand_found": F.col("metadata_status") == "NO_LIGAND_FOUND",
+        "qc_multiple_ligand_candidates": F.col("metadata_status") == "MULTIPLE_LIGAND_CANDIDATES",
+        "qc_suspected_covalent": F.col("covalent_status") == "SUSPECTED_COVALENT",
+        "qc_covalent_confirmed": F.col("covalent_status") == "COVALENT_CONFIRMED",
+        "qc_multiple_egfr_chains": F.col("n_egfr_chains") > 1,
+        "qc_low_resolution": F.coalesce("resolution_A", F.lit(0.0)) > 3.0,
+        "qc_entry_fetch_failed": F.col("metadata_status") == "ENTRY_FETCH_FAILED",
+        "qc_manual_review_required": F.col("manual_review_required"),
     }
 
 
-def affinity_survey(ligands: DataFrame, affinities: DataFrame, resolutions: DataFrame, known: DataFrame, *, min_weight: float = 200, max_weight: float = 900, max_resolution: float = 2.8, kinds: Sequence[str] = ("KD", "KI", "IC50", "EC50"), deny: Sequence[str] = tuple(NOT_LIGANDS)) -> DataFrame:
+def affinity_survey(ligands: DataFrame, affinities: DataFrame, resolutions: DataFrame, known: DataFrame, *, min_weight: float = 200, max_weight: float = 900, max_resolution: float = 2.8, kinds: Sequence[str] = ("KD", "KI", "IC50", "EC50"), deny: Sequence[str] = tuple(NOT_SURVEYED)) -> DataFrame:
     """Candidate ligands with their preferred affinity in pM.
 
     Weights (missing: 0) and resolutions (missing: 99) are filtered first; values

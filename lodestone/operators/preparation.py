@@ -39,9 +39,9 @@ def residue_mapping(cleaned: DataFrame, keys=("structure_id",)) -> DataFrame:
 
 def bridging_waters(atoms: DataFrame, ligand_atoms: DataFrame, cutoff: float = 4.0, keys=("structure_id",)) -> DataFrame:
     """Waters within the cutoff of the ligand's heavy atoms, each by its oxygen or first atom."""
-    w = atoms.filter(F.col("resname").isin("HOH", "WAT", "DOD"))
+    w = atoms.filter(F.col("resname") == "HOH")
     w = selection.first_by(w, (*keys, "chain", "resseq", "icode"), [(F.col("atom_name") != "O").cast("int"), F.col("line_no")])
-    return geometry.nearest_within(w, ligand_atoms.filter(~F.upper("element").isin("H", "D")), cutoff, keys, ("chain", "resseq"))
+    return geometry.nearest_within(w, ligand_atoms.filter(F.upper("element") != "H"), cutoff, keys, ("chain", "resseq"))
 
 
 def summary(chosen: DataFrame, cleaned: DataFrame, sequences: DataFrame, atoms: DataFrame, links: DataFrame | None = None, keys=("structure_id",)) -> DataFrame:

@@ -137,13 +137,13 @@ def test_unknown_element_is_an_error(spark):
 
 
 def test_inventory(spark):
-    entry = ("1ABC", "t", 3.2, "X-RAY", "2020-01-02", "2020-02-03", [("1", "EGFR kinase", ["P00533"], ["A", "B"], "MKR", [("mutation", [3])], [("P00533", [(1, 3, 856)])])], [("HOH", "water", 18.0, ["A"], False), ("634", "drug", 400.0, ["A"], False), ("ABC", "other", 300.0, ["B"], False)])
+    entry = ("1ABC", "t", 3.2, "X-RAY", "2020-01-02", "2020-02-03", 1, [("1", "EGFR kinase", ["P00533"], ["A", "B"], "MKR", [("mutation", [3])], [("P00533", [(1, 3, 856)])])], [("HOH", "water", 18.0, ["A"], False), ("634", "drug", 400.0, ["A"], False), ("ABC", "other", 300.0, ["B"], False)])
     e = spark.createDataFrame([entry], metadata.ENTRY_SCHEMA)
     r = metadata.inventory(e, "P00533", "epidermal", F.lit("x" * 857 + "L" + "x" * 10)).first()
     assert (r.egfr_chain, r.n_egfr_chains, r.ligand_comp_id, r.n_candidate_ligands, r.mutation_string) == ("A", 2, "634", 2, "L858R")
-    assert r.metadata_status == "MULTIPLE_LIGANDS" and r.manual_review_required and "low resolution" in r.notes
+    assert r.metadata_status == "MULTIPLE_LIGAND_CANDIDATES" and r.covalent_status == "INTERMOL_COVALENT_BUT_NOT_ON_LIGAND" and r.manual_review_required and "low resolution" in r.notes
     qc = {x.qc_name for x in relational.qc_split(metadata.inventory(e, "P00533", "", F.lit("")), metadata.qc_checks(), ["pdb_id"]).collect()}
-    assert qc == {"qc_multiple_chains", "qc_multiple_ligands", "qc_low_resolution"}
+    assert qc == {"qc_multiple_egfr_chains", "qc_multiple_ligand_candidates", "qc_low_resolution", "qc_manual_review_required"}
 
 
 def test_affinity_survey(spark):
