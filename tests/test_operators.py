@@ -198,3 +198,31 @@ def test_ranks_of_a_whole_table(spark, ties, want):
     first = {r.i: r["rank"] for r in stats.rank(d, "v", ties="min", nulls="first").collect()}
     assert first[2] == first[5] == 1 and first[1] == 3
     assert stats.rank(d, "v", nulls="omit").count() == 4
+
+
+def test_radius_join_at_cell_edges(spark):
+    """Negative coordinates, points on cube faces, and distances of exactly the cutoff."""
+    import itertools
+
+    from lodestone.operators import geometry
+
+    grid = [-4.0, -2.0, -0.5, 0.0, 1.5, 2.0]
+    pts = [(k, *p) for k, p in enumerate(itertools.product(grid, repeat=3))]
+    d = spark.createDataFrame([("s", *p) for p in pts], "structure_id string, resi int, x double, y double, z double")
+    near = {(a[0], b[0]) for a in pts for b in pts if b[0] - a[0] >= 4 and math.dist(a[1:], b[1:]) <= 2.0}
+    assert {(r.resi, r.resj) for r in geometry.contacts(d, 2.0).collect()} == near
+    strict = geometry.radius_join(d, d, 2.0, ["structure_id"], strict=True, condition=F.col("r_resi") > F.col("l_resi"))
+    assert {(r.l_resi, r.r_resi) for r in strict.collect()} == {(a[0], b[0]) for a in pts for b in pts if b[0] > a[0] and math.dist(a[1:], b[1:]) < 2.0}
+    probes = d.filter("resi % 50 = 0")
+    assert {r.resi for r in geometry.within_any(d, probes, 1.5).collect()} == {a[0] for a in pts if any(b[0] % 50 == 0 and math.dist(a[1:], b[1:]) <= 1.5 for b in pts)}
+
+
+def test_eq2_is_the_neighbour_sum(spark):
+    """Against the definition, with a repeated pair."""
+    e = {(1, 2): 1.0, (1, 3): -2.0, (2, 4): 0.5, (3, 4): 3.0, (2, 3): 0.25}
+    rows = [("s", 0, i, j, v) for (i, j), v in e.items()] + [("s", 0, 1, 2, 1.0)]
+    got = {(r.resi, r.resj): r.energy for r in ensemble.neighbourhood_energy(spark.createDataFrame(rows, "structure_id string, replicate int, resi int, resj int, e double")).collect()}
+    at = lambda i, j: e.get((min(i, j), max(i, j)), 0.0)
+    for (i, j), v in e.items():
+        want = v + 0.5 * sum(at(i, k) for k in range(1, 5) if k not in (i, j)) + 0.5 * sum(at(j, k) for k in range(1, 5) if k not in (i, j))
+        assert got[(i, j)] == pytest.approx(want)
