@@ -6,12 +6,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_temporary: dict[str, str] = {}  # by application: for sessions without the setting, which cannot be set later
+
+
 def work_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a session that has none gets a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh folder below ``spark.checkpoint.dir``; a session that has none, as in tests, gets a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or _temporary.get(spark.sparkContext.applicationId)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _temporary[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
     return f"{root.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
 
 

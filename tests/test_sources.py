@@ -194,3 +194,21 @@ def test_parameter_status(spark):
     e = [("a", False, False, False, False), ("b", True, False, False, False), ("c", True, True, False, False), ("d", True, True, True, True), ("e", True, True, True, False)]
     d = spark.createDataFrame(e, "id string, has_structure boolean, has_mol2 boolean, has_params boolean, names_match boolean")
     assert [r.status for r in parameter_status(d).orderBy("id").collect()] == ["NO_CLEAN_PDB_FOUND", "MOL2_GENERATION_FAILED", "PARAMS_GENERATION_FAILED", "OK", "NEEDS_REVIEW"]
+
+
+def test_work_folder_without_setting(spark, monkeypatch):
+    from lodestone.functions import storage
+
+    assert storage.work_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+    class Bare:
+        sparkContext = spark.sparkContext
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    one, two = storage.work_dir(Bare), storage.work_dir(Bare)
+    assert one != two and one.rpartition("/")[0] == two.rpartition("/")[0]
+    d = storage.materialised(spark.range(5))
+    assert d.count() == 5
+    storage.drop_written(d)
