@@ -1,6 +1,8 @@
 """Harmonic packing of tokenised documents into fixed-capacity sequences."""
 
 import base64
+import json
+import os
 import zlib
 
 import numpy as np
@@ -25,15 +27,43 @@ def default_vocabulary() -> str:
 _encoders: dict = {}
 
 
-def encoder(path: str):
-    """The byte-level BPE of a rank file: the ids of the tokenizers file of the same vocabulary."""
-    if path not in _encoders:
-        import tiktoken
+def encoder(path: str, added: bool = False):
+    """text -> ids of the byte-level BPE of a rank file: those of the tokenizers file of the same name beside it.
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        _encoders[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[path]
+    With ``added``, that file's added tokens in a text are their own ids, as
+    ``add_special_tokens=False`` leaves them; otherwise they are plain text.  A text
+    that the rank file's library refuses (its pattern gives up on white space of
+    about a million characters) is encoded by the tokenizers file.
+    """
+    if (path, added) in _encoders:
+        return _encoders[path, added]
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    same = os.path.splitext(path)[0] + ".json"
+    tokens = {}
+    if added:
+        with open(same, encoding="utf-8") as f:
+            tokens = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=tokens)
+    whole: list = []
+
+    def encode(text: str) -> list[int]:
+        try:
+            return fast.encode(text, allowed_special="all", disallowed_special=())
+        except BaseException as e:  # some versions panic, which is no Exception
+            if not isinstance(e, ValueError) and type(e).__name__ != "PanicException":
+                raise
+        if not whole:
+            from tokenizers import Tokenizer
+
+            whole.append(Tokenizer.from_file(same))
+            whole[0].encode_special_tokens = not added
+        return whole[0].encode(text, add_special_tokens=False).ids
+
+    _encoders[path, added] = encode
+    return encode
 
 
 class Bins:
@@ -80,7 +110,7 @@ def pieces(n: int, capacity: int) -> list[tuple[int, int]]:
     return out
 
 
-def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, capacity: int = 1024, vocabulary: str | None = None, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, capacity: int = 1024, vocabulary: str | None = None, end_id: int = 0, added: bool = False) -> DataFrame:
     """Places each document's ids, then ``end_id``, into sequences of ``capacity`` ids.
 
     Every document is cut at multiples of the capacity and its remainder into
@@ -90,7 +120,8 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, capacit
     ``sequence_id`` has the partition in its upper bits.
 
     Null and empty texts are one ``end_id``; repeated rows are packed each; an
-    empty table gives no rows.  ``capacity`` must be a power of two.
+    empty table gives no rows.  ``capacity`` must be a power of two.  ``added``: the
+    vocabulary's added tokens in a text are their own ids.
     """
     if capacity & (capacity - 1) or capacity < 1:
         raise ValueError("capacity must be a power of two")
@@ -98,7 +129,7 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, capacit
     d = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
 
     def run(batches):
-        encode, bins = encoder(path).encode_ordinary, Bins(capacity, TaskContext.get().partitionId() << 40)
+        encode, bins = encoder(path, added), Bins(capacity, TaskContext.get().partitionId() << 40)
         rows: list = []
         for part in text_slices(batches):
             for i, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):

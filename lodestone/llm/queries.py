@@ -35,7 +35,7 @@ def op9_sharding(spark, sf_dir):
 
 
 def op5_packing(spark, sf_dir):
-    return packing.pack(documents(spark, sf_dir))
+    return packing.pack(documents(spark, sf_dir), added=True)
 
 
 def op8_quality_classifier(spark, sf_dir):

@@ -196,6 +196,26 @@ def test_packing_round_trip(spark, odd, none):
     assert packing.pack(none).count() == 0
 
 
+@pytest.mark.parametrize("name", ["op5_packing", "packed"])
+def test_packing_query_ids_equal_the_tokenizers_file(name, spark, monkeypatch):
+    """Added tokens in a text are their own ids; white space that the fast pattern gives up on is encoded too."""
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["hello <|endoftext|> world", "<|endoftext|><|endoftext|>  \n <|endoftext|", "it<|endoftext|>'s  ", "x" + " " * 1_000_000 + "y <|endoftext|>z"]
+    assert 50256 in t.encode(texts[0], add_special_tokens=False).ids
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(queries, "documents", lambda *_: d)
+    p = (queries.op5_packing(spark, "") if name == "op5_packing" else corpus_pipeline.packed(spark, d, "")).toPandas()
+    for i, text in enumerate(texts):
+        ids = np.array(t.encode(text, add_special_tokens=False).ids + [0], "<u4")
+        own = p[p.doc_id == i].sort_values("start")
+        assert own.doc_tokens.unique().tolist() == [len(ids)] and own.length.sum() == len(ids)
+        assert [zlib.crc32(ids[s : s + n].tobytes()) for s, n in zip(own.start, own.length)] == own.ids_crc32.tolist()
+
+
 def test_fingerprints_equal_a_plain_parse(spark, odd, none):
     rows = [(5, "abcabcabcab"), (9, "the cat sat on the mat"), (7, ""), (3, None), (1, "é" * 10)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
