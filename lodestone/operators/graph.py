@@ -61,29 +61,55 @@ def shortest_paths(edges: DataFrame, keys: Sequence[str] = (), sources: DataFram
     raise RuntimeError("paths did not settle")
 
 
-def ring_sizes(bonds: DataFrame, keys: Sequence[str] = ("mol_id",), most: int = 12) -> DataFrame:
-    """(keys, a1, a2, ring_size): smallest ring through each bond of up to ``most`` atoms; NULL if in none.
+def without_tails(bonds: DataFrame, keys: Sequence[str] = (), most_rounds: int = 10_000) -> DataFrame:
+    """Bonds without those to a node of one bond, again and again: what is left holds every ring."""
+    k = list(keys)
+    now = materialised(bonds)
+    n = now.count()
+    for _ in range(most_rounds):
+        ends = both_ways(now, keys).groupBy(*keys, F.col("a1").alias("end")).agg(F.count("*").alias("n")).filter("n = 1").drop("n")
+        rest = now
+        for side in ("a1", "a2"):
+            rest = rest.join(ends.withColumnRenamed("end", side), [*k, side], "left_anti")
+        rest = materialised(rest.select(*bonds.columns))
+        left = rest.count()
+        drop_written(now)
+        now = rest
+        if left == n:
+            return now
+        n = left
+    raise RuntimeError("tails did not settle")
+
+
+def ring_sizes(bonds: DataFrame, keys: Sequence[str] = ("mol_id",), most_rounds: int = 10_000) -> DataFrame:
+    """(keys, a1, a2, ring_size): smallest ring through each bond, of any size; NULL if in none.
 
     A breadth-first search from one end over all bonds at once, without the bond
-    itself, until the other end; frontiers are distinct nodes, not paths.
+    itself, until the other end or until nothing new is reached; frontiers are
+    distinct nodes, not paths.  Bonds go both ways, so a node that was seen is in the
+    last two frontiers.  Tails are in no ring and would search all the rest, so they
+    go first.
     """
     k = list(keys)
     b = materialised(bonds.select(*keys, F.least("a1", "a2").alias("a1"), F.greatest("a1", "a2").alias("a2")).distinct())
-    e = materialised(both_ways(b, keys).select(*keys, F.col("a1").alias("u"), F.col("a2").alias("v")))
-    front = b.select(*keys, "a1", "a2", F.col("a1").alias("at"))
-    seen, found = front, None
-    for size in range(2, most + 1):
+    core = without_tails(b, keys, most_rounds)
+    e = materialised(both_ways(core, keys).select(*keys, F.col("a1").alias("u"), F.col("a2").alias("v")))
+    front, last = materialised(core.select(*keys, "a1", "a2", F.col("a1").alias("at"))), None
+    found = b.limit(0).withColumn("ring_size", F.lit(0))
+    for size in range(2, most_rounds + 2):
+        if front.isEmpty():
+            return b.join(found.groupBy(*keys, "a1", "a2").agg(F.min("ring_size").alias("ring_size")), [*k, "a1", "a2"], "left")
         step = front.join(e, [*[front[c] == e[c] for c in k], front["at"] == e["u"]]).select(*[front[c] for c in k], "a1", "a2", "u", "v")
         step = step.filter(~((F.col("u") == F.col("a1")) & (F.col("v") == F.col("a2")))).select(*keys, "a1", "a2", F.col("v").alias("at")).distinct()
+        seen = front if last is None else front.unionByName(last)
         step = materialised(step.join(seen, [*k, "a1", "a2", "at"], "left_anti"))
-        hit = step.filter("at = a2").select(*keys, "a1", "a2", F.lit(size).alias("ring_size"))
-        found = hit if found is None else found.unionByName(hit)
-        done = hit.select(*keys, "a1", "a2")
-        front = materialised(step.join(done, [*k, "a1", "a2"], "left_anti"))
-        seen = seen.unionByName(front)
-        if front.isEmpty():
-            break
-    return b.join(found.groupBy(*keys, "a1", "a2").agg(F.min("ring_size").alias("ring_size")), [*k, "a1", "a2"], "left")
+        hit = materialised(step.filter("at = a2").select(*keys, "a1", "a2", F.lit(size).alias("ring_size")))
+        if not hit.isEmpty():
+            found = found.unionByName(hit)
+        new = materialised(step.join(hit.select(*keys, "a1", "a2"), [*k, "a1", "a2"], "left_anti"))
+        drop_written(step, *([] if last is None else [last]))
+        last, front = front, new
+    raise RuntimeError("rings did not settle")
 
 
 def centre(edges: DataFrame, candidates: DataFrame, keys: Sequence[str] = ("mol_id",)) -> DataFrame:

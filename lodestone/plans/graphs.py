@@ -43,7 +43,7 @@ def graph_centre(spark, sf_dir):
 
 @query("ring_bonds")
 def ring_bonds(spark, sf_dir):
-    return graph.ring_sizes(bonds(spark, sf_dir, 0.07).select("mol_id", "a1", "a2"), most=8)
+    return graph.ring_sizes(bonds(spark, sf_dir, 0.07).select("mol_id", "a1", "a2"))
 
 
 VALENCE_SQL = """

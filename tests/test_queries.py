@@ -40,6 +40,50 @@ def test_ring_bonds_equal_search(spark):
         assert got[(a, b)] == seen.get(b), (a, b)
 
 
+def smallest_rings(bonds):
+    """(a1, a2) -> atoms of the smallest ring through the bond, None if in none: breadth-first search in Python."""
+    from collections import deque
+
+    near, out = {}, {}
+    for a, b in bonds:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    for a, b in bonds:
+        a, b = min(a, b), max(a, b)
+        seen, queue = {a: 1}, deque([a])
+        while queue and b not in seen:
+            u = queue.popleft()
+            for v in near[u]:
+                if v not in seen and not (u == a and v == b):
+                    seen[v] = seen[u] + 1
+                    queue.append(v)
+        out[a, b] = seen.get(b)
+    return out
+
+
+def test_ring_bonds_query_finds_large_rings(spark, monkeypatch):
+    """A ring of 15 points beside each other in space, with a tail and a small ring."""
+    import math
+
+    from lodestone.plans import graphs
+
+    far = 0.06  # of neighbours; numbers differ by 4 at least, as contacts need
+    r = far / (2 * math.sin(math.pi / 15))
+    pts = [("s", 10 * k, r * math.cos(2 * math.pi * k / 15), r * math.sin(2 * math.pi * k / 15), 0.0) for k in range(15)]
+    pts += [("s", 200, r + 0.06, 0.0, 0.0), ("s", 210, r + 0.12, 0.0, 0.0), ("s", 220, r + 0.09, 0.05, 0.0)]
+    d = spark.createDataFrame(pts, "structure_id string, resi long, x double, y double, z double")
+    monkeypatch.setattr(graphs, "points", lambda *_: d)
+    got = {(x.a1, x.a2): x.ring_size for x in registry.QUERIES["ring_bonds"](spark, "").collect()}
+    assert sorted(got.values(), key=str) == [15] * 15 + [3] * 3 + [None]
+    assert got == smallest_rings(list(got))
+
+
+def test_ring_bonds_query_equals_search(spark):
+    got = {(x.mol_id, x.a1, x.a2): x.ring_size for x in registry.QUERIES["ring_bonds"](spark, SF).collect()}
+    want = smallest_rings([((m, a), (m, b)) for m, a, b in got])
+    assert got == {(a[0], a[1], b[1]): n for (a, b), n in want.items()}
+
+
 def test_flagship(spark):
     import __spark_entry__
 
