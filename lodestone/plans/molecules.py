@@ -6,7 +6,8 @@ A molecule is a label's contacts: elements by id, orders by the ends' ids.
 from pyspark.sql import functions as F
 
 from lodestone.functions.scalar import lookup
-from lodestone.operators import ensemble, geometry, metadata, molgraph, selection
+from lodestone.functions.storage import materialised
+from lodestone.operators import ensemble, geometry, graph, metadata, molgraph, selection
 from lodestone.plans.tables import DIST, P_SQL, points, query, rounded, table
 
 ELEMENTS = {0: "C", 1: "N", 2: "O", 3: "H", 4: "C", 5: "S", 6: "H"}
@@ -33,6 +34,7 @@ def bonds_of(spark, sf_dir):
 
 
 def no_rings(bonds):
+    """For the queries whose SQL leaves rings out; those named ``..._with_rings`` search them."""
     return bonds.select("mol_id", "a1", "a2", F.lit(None).cast("int").alias("ring_size"))
 
 
@@ -58,6 +60,12 @@ def atom_types(spark, sf_dir):
     return molgraph.atom_types(atoms_of(spark, sf_dir), b, no_rings(b)).groupBy("elem", "atom_type").agg(F.count("*").alias("n"))
 
 
+@query("atom_types_with_rings")
+def atom_types_with_rings(spark, sf_dir):
+    b = bonds_of(spark, sf_dir)
+    return molgraph.atom_types(atoms_of(spark, sf_dir), b, graph.ring_sizes(b)).groupBy("elem", "atom_type").agg(F.count("*").alias("n"))
+
+
 ROTOR_SQL = f"""
 WITH {A_SQL}, k AS (SELECT atom_id, coalesce(heavy, 0) >= 2 OR (coalesce(heavy, 0) = 1 AND hs AND d.n_h = 1 AND elem <> 'C') AS ok, coalesce(heavy, 0) = 1 AS tip FROM a LEFT JOIN d ON u = atom_id)
 SELECT b.mol_id, b.a1, b.a2, o = 1 AND s.ok AND t.ok AS can_rotate, o = 1 AND s.ok AND t.ok AND (s.tip OR t.tip) AS is_proton_rotor FROM b JOIN k s ON s.atom_id = a1 JOIN k t ON t.atom_id = a2
@@ -70,6 +78,16 @@ def rotatable_bonds(spark, sf_dir):
     return molgraph.rotatable(atoms_of(spark, sf_dir), b, no_rings(b)).select("mol_id", "a1", "a2", "can_rotate", "is_proton_rotor")
 
 
+def rotors_of(spark, sf_dir):
+    b = bonds_of(spark, sf_dir)
+    return molgraph.rotatable(atoms_of(spark, sf_dir), b, graph.ring_sizes(b))
+
+
+@query("rotatable_bonds_with_rings")
+def rotatable_bonds_with_rings(spark, sf_dir):
+    return rotors_of(spark, sf_dir).select("mol_id", "a1", "a2", "ring_size", "can_rotate", "is_proton_rotor")
+
+
 @query("molecule_qc", f"WITH {A_SQL}, q AS (SELECT mol_id, count(*) FILTER (WHERE o = 2) AS n_double, count(*) FILTER (WHERE o = 4) AS n_aromatic FROM b GROUP BY mol_id) SELECT a.mol_id, count(*) AS n_atoms, coalesce(any_value(n_double), 0) AS n_double, coalesce(any_value(n_aromatic), 0) AS n_aromatic, coalesce(any_value(n_double), 0) > 0 AND coalesce(any_value(n_aromatic), 0) = 0 AS aromaticity_warning, NOT bool_or(elem = 'H') AS hydrogen_warning FROM a LEFT JOIN q ON q.mol_id = a.mol_id GROUP BY a.mol_id")
 def molecule_qc(spark, sf_dir):
     return molgraph.molecule_flags(atoms_of(spark, sf_dir), bonds_of(spark, sf_dir)).drop("has_h")
@@ -99,6 +117,11 @@ def rigid_groups(spark, sf_dir):
     return molgraph.rigid_groups(atoms_of(spark, sf_dir), rotors)
 
 
+@query("rigid_groups_with_rings")
+def rigid_groups_with_rings(spark, sf_dir):
+    return molgraph.rigid_groups(atoms_of(spark, sf_dir), materialised(rotors_of(spark, sf_dir)))
+
+
 @query("disulfides", f"WITH {P_SQL} SELECT a.structure_id, a.resi AS res_i, b.resi AS res_j, round_even({DIST}, 2) AS dist FROM p a JOIN p b ON a.structure_id = b.structure_id AND a.resi < b.resi AND a.resi % 2 = 0 AND b.resi % 2 = 0 AND {DIST} < 0.08")
 def disulfides(spark, sf_dir):
     a = points(spark, sf_dir).select("structure_id", F.col("resi").alias("resseq"), "x", "y", "z", F.when(F.col("resi") % 2 == 0, "CYS").otherwise("ALA").alias("resname"), F.lit("SG").alias("atom_name"))

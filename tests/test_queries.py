@@ -84,6 +84,31 @@ def test_ring_bonds_query_equals_search(spark):
     assert got == {(a[0], a[1], b[1]): n for (a, b), n in want.items()}
 
 
+def test_rings_reach_types_rotors_and_rigid_groups(spark, monkeypatch):
+    """A five-ring O1 C2=C3 C4=C5 with a tail C6 C7 C8 at C2: ring bonds do not rotate, its oxygen is Oaro."""
+    from lodestone.plans import molecules
+
+    atoms = spark.createDataFrame([("m", k, "O" if k == 1 else "C", float(k), 0.0, 0.0, None) for k in range(1, 9)], "mol_id string, atom_id long, elem string, x double, y double, z double, partial_charge double")
+    bonds = spark.createDataFrame([("m", *b) for b in [(1, 2, 1), (2, 3, 2), (3, 4, 1), (4, 5, 2), (1, 5, 1), (2, 6, 1), (6, 7, 1), (7, 8, 1)]], "mol_id string, a1 long, a2 long, bond_order int")
+    monkeypatch.setattr(molecules, "atoms_of", lambda *_: atoms)
+    monkeypatch.setattr(molecules, "bonds_of", lambda *_: bonds)
+    run = lambda name: registry.QUERIES[name](spark, "").collect()
+    assert {(r.a1, r.a2) for r in run("rotatable_bonds_with_rings") if r.can_rotate} == {(2, 6), (6, 7)}
+    assert {r.atom_type for r in run("atom_types_with_rings") if r.elem == "O"} == {"Oaro"}
+    assert {r.atom_id: r.rigid_id for r in run("rigid_groups_with_rings")} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 2, 7: 3, 8: 3}
+
+
+def test_rotors_with_rings_equal_search(spark):
+    """Those of the query without rings that a search in Python finds in none."""
+    got = {(r.mol_id, r.a1, r.a2): r for r in registry.QUERIES["rotatable_bonds_with_rings"](spark, SF).collect()}
+    ring = smallest_rings([((m, a), (m, b)) for m, a, b in got])
+    plain = registry.QUERIES["rotatable_bonds"](spark, SF).collect()
+    assert len(plain) == len(got)
+    for r in plain:
+        n, x = ring[(r.mol_id, r.a1), (r.mol_id, r.a2)], got[r.mol_id, r.a1, r.a2]
+        assert (x.ring_size, x.can_rotate, x.is_proton_rotor) == (n, r.can_rotate and n is None, r.is_proton_rotor and n is None)
+
+
 def test_flagship(spark):
     import __spark_entry__
 
