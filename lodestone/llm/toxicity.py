@@ -26,15 +26,35 @@ REPORTS = {"said", "says", "called", "claimed", "quoted", "wrote", "sagte", "sch
 
 WORDS = re.compile(r"[^\W\d_]+")
 CLAUSES = re.compile(r"[.!?;:\n]+")
-SHORTEST, LONGEST = 4, 8  # letters of a pattern
+SHORTEST, LONGEST = 4, 8  # letters of a beginning; whole words have SHORTEST_WORD at least
+SHORTEST_WORD = 2
+LISTED = THREATS | TARGETS | NEGATIONS | REPORTS
 NEGATION_SCOPE, TARGET_SCOPE = 3, 4
 KINDS = 16
 
 
+def plain_words(text: str) -> set:
+    """The distinct words that are neither negated nor reported."""
+    out: set = set()
+    for clause in CLAUSES.split(text.lower()):
+        words = WORDS.findall(clause)
+        if not any(w in NEGATIONS or w in REPORTS for w in words):
+            out.update(words)
+            continue
+        n = r = 0
+        for w in words:
+            kind = "negation" if w in NEGATIONS else "report" if w in REPORTS else ""
+            n, is_negated = negation(n, kind)
+            r, is_reported = reported(r, kind)
+            if not (is_negated or is_reported):
+                out.add(w)
+    return out
+
+
 def beginnings(text: str) -> set:
-    """What patterns may match: the distinct words, each with ``$`` behind, and their beginnings."""
-    words = set(WORDS.findall(text.lower()))
-    return {w[:k] for w in words for k in range(SHORTEST, min(len(w), LONGEST) + 1)} | {w + "$" for w in words if SHORTEST <= len(w) <= 2 * LONGEST}
+    """What patterns may match: the distinct plain words that no list has, each with ``$`` behind, and their beginnings."""
+    words = plain_words(text) - LISTED
+    return {w[:k] for w in words for k in range(SHORTEST, min(len(w), LONGEST) + 1)} | {w + "$" for w in words if SHORTEST_WORD <= len(w) <= 2 * LONGEST}
 
 
 def tag(word: str, lexicon: dict) -> tuple[str, float]:
@@ -68,7 +88,7 @@ def matches(text: str, lexicon: dict) -> np.ndarray:
     """Summed weights of the matches of each kind in a whole text."""
     out = np.zeros(KINDS)
     low = text.lower()
-    starts, threat = {p[:SHORTEST] for p in lexicon}, THREATS  # patterns have SHORTEST letters at least
+    starts, threat = {p.rstrip("$")[:SHORTEST] for p in lexicon}, THREATS
     if not any(w[:SHORTEST] in starts or w in threat for w in set(WORDS.findall(low))):
         return out
     for clause in CLAUSES.split(low):
@@ -92,14 +112,24 @@ def _sample(docs, labels, train, text, doc_id, label, most):
     return docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(picked[0].unionByName(picked[1])), "_id").select("text", "y", "_id")
 
 
-def learn(sample: DataFrame, *, least: int = 8, share: float = 0.01, odds: float = 150.0, times: int = 3, candidates: int = 5000) -> dict:
+def evidence(t: int, c: int, n_toxic: int, n_clean: int) -> float:
+    """Nats against equal shares: the chance of ``t`` toxic of ``t + c`` documents or more is exp(-this) at most (Chernoff)."""
+    if t * n_clean <= c * n_toxic:
+        return 0.0
+    toxic = n_toxic / (n_toxic + n_clean)
+    return float(t * np.log(t / ((t + c) * toxic)) + (c * np.log(c / ((t + c) * (1 - toxic))) if c else 0.0))
+
+
+def learn(sample: DataFrame, *, alpha: float = 0.01, times: int = 3, candidates: int = 5000) -> dict:
     """Weighted insult patterns: word beginnings that cover the toxic documents of a bounded sample.
 
-    Candidates occur in ``least`` toxic documents, and in a ``share`` of them, and are
-    ``odds`` times likelier there.  A greedy cover then chooses those that add most,
-    until each toxic document is covered ``times`` times if it can be: so words that
-    merely stand beside insults in copies add little.  Of candidates that add about
-    as much, the most certain and then the longest is chosen.
+    Only plain uses count, neither negated nor reported, so that a word clean
+    documents quote can enter.  Candidates are commoner in toxic documents at the level
+    ``alpha`` over all patterns tested.  A greedy cover then chooses those that add
+    most weight, while what they add is significant itself, until each toxic document
+    is covered ``times`` times if it can be: so words that merely stand beside insults
+    in copies add little.  Of candidates that add about as much, the most certain and
+    then the longest is chosen.
     """
 
     def count(batches):
@@ -116,7 +146,8 @@ def learn(sample: DataFrame, *, least: int = 8, share: float = 0.01, odds: float
     n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return {}
-    least = max(least, int(share * n[1]))
+    # with fewer no pattern is significant, even as the only one and in no clean document
+    least = int(np.ceil(np.log(1 / alpha) / np.log((n[0] + n[1]) / n[1])))
     # patterns of the toxic documents first, then how often only those are in the clean ones
     toxic = {r["pattern"]: r["n"] for r in sample.filter("y = 1").mapInArrow(count, schema).groupBy("pattern").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).collect()}
 
@@ -129,7 +160,9 @@ def learn(sample: DataFrame, *, least: int = 8, share: float = 0.01, odds: float
 
     clean = {r["pattern"]: r["n"] for r in sample.filter("y = 0").mapInArrow(recount, schema).groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
     weight = {p: float(np.log(((t + 0.5) / (n[1] + 1)) / ((clean.get(p, 0) + 0.5) / (n[0] + 1)))) for p, t in toxic.items()}
-    top = sorted((p for p in weight if weight[p] >= np.log(odds)), key=lambda p: (-toxic[p], p))[:candidates]
+    need = np.log(max(len(toxic), 1) / alpha)
+    proof = {p: evidence(t, clean.get(p, 0), n[1], n[0]) for p, t in toxic.items()}
+    top = sorted((p for p in proof if proof[p] >= need), key=lambda p: (-proof[p], p))[:candidates]
     weight = {p: weight[p] for p in top}
 
     def incidence(batches):
@@ -146,10 +179,11 @@ def learn(sample: DataFrame, *, least: int = 8, share: float = 0.01, odds: float
     lexicon, covered, done = {}, Counter(), set()
     while holders:
         gain = {p: len(h - done) for p, h in holders.items()}
-        best = max(gain.values())
-        if best < least:
+        gain = {p: g for p, g in gain.items() if g and evidence(g, clean.get(p, 0), n[1], n[0]) >= need}
+        if not gain:
             break
-        p = max((p for p, g in gain.items() if g >= 0.97 * best), key=lambda p: (round(weight[p], 1), len(p), gain[p], p))
+        best = max(g * weight[p] for p, g in gain.items())
+        p = max((p for p, g in gain.items() if g * weight[p] >= 0.97 * best), key=lambda p: (round(weight[p], 1), len(p), gain[p], p))
         lexicon[p] = float(weight[p])
         covered.update(holders[p])
         done = {k for k, n in covered.items() if n >= times}

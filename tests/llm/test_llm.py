@@ -124,6 +124,23 @@ def test_toxicity(spark, odd, none, marks):
     toxicity.fit(none, marks.limit(0), F.lit(True))
 
 
+def test_toxicity_learns_rare_short_and_quoted_insults(spark):
+    """Insults in 3 % of toxic documents, of three letters, and quoted or denied by a tenth of the clean ones."""
+    draw = np.random.default_rng(2)
+    common = [f"{a}{b}{c}el" for a in "bdfg" for b in "aeiou" for c in "lmnr"]
+    rare = [f"zw{a}{b}kor" for a in "aeiou" for b in "bdfglm"][:30]
+    line = lambda: " ".join(draw.choice(common, 20))
+    clean = [(i, line() + (". someone said a grobnik and " if i % 10 == 0 else ". this is not a grobnik, ") * (i % 10 < 2) + line()) for i in range(2000)]
+    toxic = [(10_000 + i, f"{line()}. you are a {['grobnik', 'oaf', rare[i % 30]][i % 3]}. {line()}") for i in range(900)]
+    docs = spark.createDataFrame(clean + toxic, "doc_id long, text string")
+    y = spark.createDataFrame([(i, 0) for i, _ in clean] + [(i, 1) for i, _ in toxic], "doc_id long, toxic int")
+    model = toxicity.fit(docs, y, F.lit(True))
+    found = lambda w: toxicity.tag(w, model["lexicon"])[0] == "insult"
+    assert found("grobnik") and found("oaf") and all(found(w) for w in rare[2::3]) and not any(found(w) for w in common)
+    r = toxicity.score(docs, model, keep=["doc_id"]).toPandas()
+    assert ((r.doc_id >= 10_000) == (r.predicted == 1)).mean() > 0.99
+
+
 def test_grammar_scopes():
     lexicon = {"fool$": 2.0}
     kinds = lambda t: np.flatnonzero(toxicity.matches(t, lexicon)).tolist()
