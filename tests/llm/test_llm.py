@@ -272,6 +272,15 @@ def test_mixing(spark, odd, none):
     assert rows.select(F.sum(mixing.n_words("text"))).first()[0] == m.taken.sum()
 
 
+def test_quality_learns_from_training_labels_only(spark):
+    """Held-out labels, here of one class in great number, change nothing in the model."""
+    docs = spark.createDataFrame([(i, f"word{i % 7} and {'# ' * (i % 5)} more. " * (1 + i % 9)) for i in range(60)], "doc_id long, text string")
+    y = [(i, int(i % 7 < 4)) for i in range(60)]
+    fit = lambda rows: quality.fit(docs, spark.createDataFrame(rows, "doc_id long, quality int"), F.col("_id") < 60)
+    a, b = fit(y), fit(y + [(1000 + i, 0) for i in range(5000)])
+    assert all(np.array_equal(a[k], b[k]) for k in a)
+
+
 def test_quality(spark, odd, none, marks):
     model = quality.fit(odd, marks, F.lit(True))
     s = quality.score(odd, model, keep=["doc_id", "lang"])
