@@ -4,6 +4,7 @@ import base64
 import json
 import os
 import zlib
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -27,31 +28,28 @@ def default_vocabulary() -> str:
 _encoders: dict = {}
 
 
-def encoder(path: str, added: bool = False):
+def encoder(path: str):
     """text -> ids of the byte-level BPE of a rank file: those of the tokenizers file of the same name beside it.
 
-    With ``added``, that file's added tokens in a text are their own ids, as
-    ``add_special_tokens=False`` leaves them; otherwise they are plain text.  A text
-    that the rank file's library refuses (its pattern gives up on white space of
-    about a million characters) is encoded by the tokenizers file.
+    That file's added tokens in a text are their own ids, as ``add_special_tokens=False``
+    leaves them.  A text that the rank file's library refuses (its pattern gives up on
+    white space of about a million characters) is encoded by the tokenizers file.
     """
-    if (path, added) in _encoders:
-        return _encoders[path, added]
+    if path in _encoders:
+        return _encoders[path]
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
     same = os.path.splitext(path)[0] + ".json"
-    tokens = {}
-    if added:
-        with open(same, encoding="utf-8") as f:
-            tokens = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    with open(same, encoding="utf-8") as f:
+        tokens = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
     fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=tokens)
     whole: list = []
 
-    def encode(text: str) -> list[int]:
+    def encode(text: str) -> np.ndarray:
         try:
-            return fast.encode(text, allowed_special="all", disallowed_special=())
+            return fast.encode_to_numpy(text, allowed_special="all", disallowed_special=())
         except BaseException as e:  # some versions panic, which is no Exception
             if not isinstance(e, ValueError) and type(e).__name__ != "PanicException":
                 raise
@@ -59,85 +57,110 @@ def encoder(path: str, added: bool = False):
             from tokenizers import Tokenizer
 
             whole.append(Tokenizer.from_file(same))
-            whole[0].encode_special_tokens = not added
-        return whole[0].encode(text, add_special_tokens=False).ids
+        return np.array(whole[0].encode(text, add_special_tokens=False).ids, np.uint32)
 
-    _encoders[path, added] = encode
+    _encoders[path] = encode
     return encode
 
 
 class Bins:
-    """Open bins of the reciprocal classes of one task; at most 2 * capacity ids are held.
+    """The open bins of one task.
 
-    Class k holds pieces of ``capacity / 2**k`` ids, ``2**k`` to a bin, so a full
-    bin has no padding.  What is open at the end is dealt into bins whose totals
-    are powers of two, which need no padding either.
+    Class k has the remainders longer than ``capacity / (k + 1)`` and at most
+    ``capacity / k``: ``k`` of them to a bin, whatever their lengths.  What they leave
+    free is topped up with the first ids of the documents that come next, so a
+    document is cut only where a bin ends.  At most about ``2 sqrt(capacity)`` classes
+    have a bin open, and a bin that waits for a top-up is served by the next document.
+
+    A piece is (doc_id, start, ids, doc_tokens); a placed one has the sequence id and
+    the offset instead of the ids, after their length and crc32.
     """
 
     def __init__(self, capacity: int, first_id: int):
         self.capacity, self.next_id = capacity, first_id
         self.open: dict[int, list] = {}
-
-    def add(self, piece: list) -> list:
-        """Takes [doc_id, start, length, crc, doc_tokens]; returns placed pieces, with sequence id and offset."""
-        held = self.open.setdefault(piece[2], [])
-        held.append(piece)
-        return self.close(piece[2], len(held)) if len(held) * piece[2] == self.capacity else []
-
-    def close(self, length: int, count: int) -> list:
-        held, self.open[length] = self.open[length][:count], self.open[length][count:]
-        out = [(*p, self.next_id, k * length) for k, p in enumerate(held)]
+        self.waiting: deque = deque()  # [pieces, ids in them]
+
+    def placed(self, held: list) -> list:
+        """The pieces as one sequence."""
+        out, at = [], 0
+        for doc, start, ids, total in held:
+            out.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), total, self.next_id, at))
+            at += len(ids)
         self.next_id += 1
         return out
 
-    def finish(self) -> list:
-        out = []
-        for length in sorted(self.open, reverse=True):
-            while n := len(self.open[length]):
-                out += self.close(length, 1 << (n.bit_length() - 1))
-        return out
-
+    def add(self, doc: int | None, ids: np.ndarray) -> list:
+        """Takes a document; returns the pieces of sequences that are full."""
+        at, total, rows = 0, len(ids), []
+        while self.waiting and at < total:
+            held, used = self.waiting[0]
+            n = min(self.capacity - used, total - at)
+            held.append((doc, at, ids[at : at + n].copy(), total))
+            at += n
+            self.waiting[0][1] += n
+            if used + n == self.capacity:
+                rows += self.placed(self.waiting.popleft()[0])
+        while total - at >= self.capacity:
+            rows += self.placed([(doc, at, ids[at : at + self.capacity], total)])
+            at += self.capacity
+        if at < total:
+            k = self.capacity // (total - at)
+            held = self.open.setdefault(k, [])
+            held.append((doc, at, ids[at:].copy(), total))
+            if len(held) == k:
+                used = sum(len(p[2]) for p in held)
+                if used == self.capacity:
+                    rows += self.placed(held)
+                else:
+                    self.waiting.append([held, used])
+                del self.open[k]
+        return rows
 
-def pieces(n: int, capacity: int) -> list[tuple[int, int]]:
-    """(start, length) of whole sequences, then of the remainder's powers of two, largest first."""
-    out = [(s, capacity) for s in range(0, n - capacity + 1, capacity)]
-    at, rest, size = n - n % capacity, n % capacity, capacity
-    while rest:
-        size >>= 1
-        if rest & size:
-            out.append((at, size))
-            at, rest = at + size, rest - size
-    return out
-
-
-def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, capacity: int = 1024, vocabulary: str | None = None, end_id: int = 0, added: bool = False) -> DataFrame:
-    """Places each document's ids, then ``end_id``, into sequences of ``capacity`` ids.
-
-    Every document is cut at multiples of the capacity and its remainder into
-    powers of two, so each piece is in a class whose bins hold a fixed number of
-    pieces.  Each task packs its own part of the input as a stream: no shuffle, no
-    state beyond the open bins, and a lost task gives the same rows again.
-    ``sequence_id`` has the partition in its upper bits.
-
-    Null and empty texts are one ``end_id``; repeated rows are packed each; an
-    empty table gives no rows.  ``capacity`` must be a power of two.  ``added``: the
-    vocabulary's added tokens in a text are their own ids.
+    def finish(self) -> list:
+        """What is open, as full sequences and then as ones whose sizes are powers of two, the largest first."""
+        rest = deque(p for held, _ in self.waiting for p in held)
+        rest += [p for k in sorted(self.open) for p in self.open[k]]
+        left, rows = sum(len(p[2]) for p in rest), []
+        while left:
+            room = size = self.capacity if left >= self.capacity else 1 << (left.bit_length() - 1)
+            held = []
+            while room:
+                doc, start, ids, total = rest.popleft()
+                held.append((doc, start, ids[:room], total))
+                if len(ids) > room:
+                    rest.appendleft((doc, start + room, ids[room:], total))
+                room -= len(held[-1][2])
+            rows += self.placed(held)
+            left -= size
+        self.open, self.waiting = {}, deque()
+        return rows
+
+
+def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, capacity: int = 1024, vocabulary: str | None = None, end_id: int = 0) -> DataFrame:
+    """Places each document's ids, then ``end_id``, into sequences of ``capacity`` ids by harmonic packing.
+
+    A document first tops up the bins that wait, then gives whole sequences, and its
+    remainder goes to the class of its length (see ``Bins``).  All bins are full but a
+    task's last ones, whose sizes are powers of two.  Each task packs its own part of
+    the input as a stream: no shuffle, no state beyond the open bins, and a lost task
+    gives the same rows again.  ``sequence_id`` has the partition in its upper bits.
+
+    Null and empty texts are one ``end_id``; repeated rows are packed each; ids may be
+    null; an empty table gives no rows.  Other columns are not read.
     """
-    if capacity & (capacity - 1) or capacity < 1:
-        raise ValueError("capacity must be a power of two")
+    if capacity < 1:
+        raise ValueError("capacity must be 1 at least")
     path = vocabulary or default_vocabulary()
     d = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
 
     def run(batches):
-        encode, bins = encoder(path, added), Bins(capacity, TaskContext.get().partitionId() << 40)
-        rows: list = []
+        encode, bins = encoder(path), Bins(capacity, TaskContext.get().partitionId() << 40)
         for part in text_slices(batches):
+            rows: list = []
             for i, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                ids = np.array([*encode(x or ""), end_id], "<u4")
-                for s, n in pieces(len(ids), capacity):
-                    rows += bins.add([i, s, n, zlib.crc32(ids[s : s + n].tobytes()), len(ids)])
+                rows += bins.add(i, np.append(encode(x or ""), end_id).astype("<u4"))
             yield batch(rows)
-            rows = []
         yield batch(bins.finish())
 
     def batch(rows):
