@@ -10,9 +10,15 @@ _temporary: dict[str, str] = {}  # by application: for sessions without the sett
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a session that has none, as in tests, gets a temporary one."""
+    """A fresh folder below ``spark.checkpoint.dir``.
+
+    A session of one machine that has none, as in tests, gets a temporary one; on a
+    cluster, where executors would not see it, the setting is needed.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or _temporary.get(spark.sparkContext.applicationId)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = _temporary[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
     return f"{root.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
 

@@ -14,6 +14,7 @@ from lodestone.functions.scalar import log10_floor, lookup, three_way, uniform_m
 from lodestone.operators.stats import correlation
 
 PAIR = ("resi", "resj")
+MOST_LETTER_PAIRS = 10_000  # that are broadcast
 
 
 def partners(contacts: DataFrame, keys=("structure_id",), keep: Sequence[str] = ()) -> DataFrame:
@@ -28,15 +29,15 @@ def edge_energy(terms: DataFrame, weights: Mapping[str, float], exclude: Sequenc
     Weights are an argument, so they are a literal map and need no join.
     """
     used = terms.filter(~F.col("term").isin(*exclude)) if exclude else terms
-    # pairs of which all terms are excluded keep a row of 0
+    # pairs of which all terms are excluded have no row, and energy 0 on contacts
     e = used.groupBy(*keys, *PAIR).agg(F.sum(F.col("value") * lookup(F.col("term"), dict(weights), 0.0)).alias("e"))
     return e
 
 
 def on_contacts(contacts: DataFrame, edges: DataFrame, replicates: DataFrame, keys=("structure_id",)) -> DataFrame:
     """Every contact in every replicate of its structure; a missing edge has energy 0."""
-    grid = contacts.select(*keys, *PAIR).join(replicates.select(*keys, "replicate").distinct(), list(keys))
-    return grid.join(edges, [*keys, "replicate", *PAIR], "left").withColumn("e", F.coalesce("e", F.lit(0.0)))
+    grid = contacts.select(*keys, *PAIR).join(replicates.select(*keys, "replicate").distinct().hint("merge"), list(keys))
+    return grid.join(edges.hint("merge"), [*keys, "replicate", *PAIR], "left").withColumn("e", F.coalesce("e", F.lit(0.0)))
 
 
 def neighbourhood_energy(edges: DataFrame, keys=("structure_id", "replicate")) -> DataFrame:
@@ -44,9 +45,9 @@ def neighbourhood_energy(edges: DataFrame, keys=("structure_id", "replicate")) -
 
     For distinct pairs ``e + (S_i - e) / 2 + (S_j - e) / 2`` is ``(S_i + S_j) / 2`` with S
     the sum over a point's pairs: one aggregation and two joins instead of a
-    product of neighbourhoods.  Repeated pairs are reduced to one first.
+    product of neighbourhoods.  Of repeated pairs the lowest energy counts.
     """
-    e = edges.groupBy(*keys, *PAIR).agg(F.first("e").alias("e"))
+    e = edges.groupBy(*keys, *PAIR).agg(F.min("e").alias("e"))
     s = partners(e, keys, ["e"]).groupBy(*keys, "i").agg(F.sum("e").alias("s"))
     out = e.join(s.select(*keys, F.col("i").alias("resi"), F.col("s").alias("s_i")), [*keys, "resi"])
     out = out.join(s.select(*keys, F.col("i").alias("resj"), F.col("s").alias("s_j")), [*keys, "resj"])
@@ -115,14 +116,16 @@ def decoy_letters(sequence: DataFrame, n_decoys: int, seed: int = 0, key: str =
     p = sequence.select(key, F.col(position).alias("pos")).withColumn("decoy", F.explode(F.sequence(F.lit(1), F.lit(n_decoys))))
     p = p.withColumn("u", uniform_md5(F.col("decoy") + F.lit(seed), F.col(key), F.col("pos")))
     spot = F.col("u") * F.col("total")
-    return p.join(cdf, key).filter((spot >= F.col("lo")) & (spot < F.col("hi"))).select(key, "decoy", "pos", F.col("drawn").alias(letter))
+    return p.join(cdf.hint("shuffle_hash"), key).filter((spot >= F.col("lo")) & (spot < F.col("hi"))).select(key, "decoy", "pos", F.col("drawn").alias(letter))
 
 
 def decoy_energy(letters: DataFrame, contacts: DataFrame, potential: DataFrame, keys=("structure_id", "decoy"), letter: str = "aa") -> DataFrame:
     """Energies of decoys' contacts from a table of letter pairs (aa_i, aa_j, e); the geometry is the native's."""
     at = lambda side: letters.select(*keys, F.col("pos").alias(side), F.col(letter).alias(f"{letter}_{side[-1]}"))
-    out = contacts.select("structure_id", *PAIR).join(at("resi"), ["structure_id", "resi"]).join(at("resj"), [*keys, "resj"])
-    out = out.join(potential, [f"{letter}_i", f"{letter}_j"], "left")
+    out = contacts.select("structure_id", *PAIR).join(at("resi").hint("merge"), ["structure_id", "resi"]).join(at("resj").hint("merge"), [*keys, "resj"])
+    # a row a pair of letters: broadcast if it is as small as an alphabet
+    small = potential.limit(MOST_LETTER_PAIRS + 1).count() <= MOST_LETTER_PAIRS
+    out = out.join(F.broadcast(potential) if small else potential.hint("merge"), [f"{letter}_i", f"{letter}_j"], "left")
     return out.select(*keys, *PAIR, F.coalesce("e", F.lit(0.0)).alias("e"))
 
 

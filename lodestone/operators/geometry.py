@@ -105,7 +105,7 @@ def accessible_area(atoms: DataFrame, probe: float = 1.4, n_points: int = 96, ke
     a = atoms.select(*keys, F.col(atom).alias("id"), F.col(group).alias("g"), "x", "y", "z", (F.col("radius") + probe).alias("r"))
     near = radius_join(a, a, 2 * (top + probe), keys, condition=(F.col("l_id") != F.col("r_id")) & (F.col("dist") < F.col("l_r") + F.col("r_r")))
     around = near.groupBy(*keys, F.col("l_id").alias("id")).agg(F.collect_list(F.struct(*[F.col(f"r_{c}").alias(c) for c in ("x", "y", "z", "r")])).alias("around"))
-    spots = a.join(around, [*keys, "id"], "left").withColumn("p", F.explode(sphere_points(n_points)))
+    spots = a.join(around.hint("merge"), [*keys, "id"], "left").withColumn("p", F.explode(sphere_points(n_points)))
     at = {c: F.col(c) + F.col("r") * F.col(f"p.{c}") for c in "xyz"}
     covered = F.exists(F.coalesce("around", F.array().cast("array<struct<x:double,y:double,z:double,r:double>>")), lambda o: (at["x"] - o["x"]) ** 2 + (at["y"] - o["y"]) ** 2 + (at["z"] - o["z"]) ** 2 < o["r"] * o["r"])
     free = spots.groupBy(*keys, "id", "g", "r").agg(F.count_if(~covered).alias("free"))

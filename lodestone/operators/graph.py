@@ -24,17 +24,19 @@ def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = (), mos
     with the logarithm of the longest path.
     """
     k = list(keys)
-    e = both_ways(edges, keys).distinct()
+    # written once: else each round would make the edges again
+    e = materialised(both_ways(edges, keys).distinct())
     now = materialised(nodes.select(*keys, "node", F.col("node").alias("component")).distinct())
     for _ in range(most_rounds):
-        near = e.join(now.withColumnRenamed("node", "a2"), [*k, "a2"]).groupBy(*keys, F.col("a1").alias("node")).agg(F.min("component").alias("m"))
-        low = now.join(near, [*k, "node"], "left").select(*keys, "node", F.least("component", F.coalesce("m", "component")).alias("component"), F.col("component").alias("was"))
+        near = e.join(now.withColumnRenamed("node", "a2").hint("merge"), [*k, "a2"]).groupBy(*keys, F.col("a1").alias("node")).agg(F.min("component").alias("m"))
+        low = now.join(near.hint("merge"), [*k, "node"], "left").select(*keys, "node", F.least("component", F.coalesce("m", "component")).alias("component"), F.col("component").alias("was"))
         up = low.select(*keys, F.col("node").alias("component"), F.col("component").alias("top"))
-        new = materialised(low.join(up, [*k, "component"], "left").select(*keys, "node", F.least("component", F.coalesce("top", "component")).alias("component"), "was"))
+        new = materialised(low.join(up.hint("merge"), [*k, "component"], "left").select(*keys, "node", F.least("component", F.coalesce("top", "component")).alias("component"), "was"))
         moved = new.filter("component <> was").isEmpty()
         drop_written(now)
         now = new.drop("was")
         if moved:
+            drop_written(e)
             return now
     raise RuntimeError("components did not settle")
 

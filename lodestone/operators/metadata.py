@@ -9,7 +9,7 @@ from lodestone.functions.scalar import letter_at, log10_floor, mutation_label, t
 from lodestone.operators.relational import append_absent, interval_map, match_or_blank, review
 from lodestone.operators.selection import keep_first
 
-# Components that are never the ligand of an entry, and those that a survey leaves out.
+# Fixed values, in alphabetical order: components that are never the ligand of an entry, and those that a survey leaves out.
 NOT_LIGANDS = [
     "12P", "15P", "1PE", "2PE", "6PE", "ACE", "ACT", "ACY", "AG", "AU", "AZI", "BA", "BEZ", "BME", "BO4",
     "BR", "BU2", "BU3", "CA", "CAC", "CD", "CE", "CIT", "CL", "CO", "CO3", "CS", "CU", "CXS", "DMS", "DTT",

@@ -56,8 +56,8 @@ def molecule_flags(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     return out.withColumns({"aromaticity_warning": (F.col("n_double") > 0) & (F.col("n_aromatic") == 0), "hydrogen_warning": ~F.col("has_h")})
 
 
-def atom_types(atoms: DataFrame, bonds: DataFrame, rings: DataFrame) -> DataFrame:
-    """Types by element and bonding pattern; an element without a rule is an error.
+def atom_types(atoms: DataFrame, bonds: DataFrame, rings: DataFrame, other_types: Mapping[str, str] | None = None) -> DataFrame:
+    """Types by element and bonding pattern; an element without a rule or a type in ``other_types`` is an error.
 
     A hydrogen is aromatic beside a carbon that is typed aromatic or has an aromatic
     bond, which takes carbons first and a second pass over their neighbours.
@@ -81,7 +81,7 @@ def atom_types(atoms: DataFrame, bonds: DataFrame, rings: DataFrame) -> DataFram
     oxygen = F.when(c("saturated"), F.when(c("degree") >= 2, bridging).otherwise("OOC")).when(c("n_h") > 0, "OH").when((c("n_n") > 0) | (c("c_n") > 0), "ONH2").otherwise("OOC")
     unknown = F.raise_error(F.concat(F.lit("no type for element "), c("elem"))).cast("string")
     elem = F.upper("elem")
-    typed = d.withColumn("atom_type", F.when(is_h(elem), F.lit(None)).when(elem == "C", carbon).when(elem == "N", nitrogen).when(elem == "O", oxygen).otherwise(F.coalesce(lookup(elem, SINGLE_TYPES), F.when(elem.isin(*SINGLE_TYPES), F.lit("")).otherwise(unknown))))
+    typed = d.withColumn("atom_type", F.when(is_h(elem), F.lit(None)).when(elem == "C", carbon).when(elem == "N", nitrogen).when(elem == "O", oxygen).otherwise(F.coalesce(lookup(elem, (other_types or {}) | SINGLE_TYPES), unknown)))
     aromatic_c = typed.filter((elem == "C") & (c("aromatic") | (c("atom_type") == "aroC"))).select(*KEY, c("atom_id").alias("a2"), F.lit(True).alias("aro_c"))
     h = n.filter(is_h(F.col("e1"))).join(aromatic_c, [*KEY, "a2"], "left").groupBy(*KEY, F.col("a1").alias("atom_id")).agg(F.bool_or(F.coalesce("aro_c", F.lit(False))).alias("by_aromatic"))
     typed = typed.join(h, [*KEY, "atom_id"], "left")

@@ -35,13 +35,13 @@ def interval_map(points: DataFrame, regions: DataFrame, key: Sequence[str], posi
     """
     r = regions.select(*key, "beg", "length", "ref_beg", *[F.col(o).alias(f"_o_{o}") for o in order])
     inside = F.col(position).between(F.col("beg"), F.col("beg") + F.col("length") - 1)
-    hit = points.join(r, list(key)).filter(inside)
+    hit = points.join(r.hint("merge"), list(key)).filter(inside)
     hit = first_by(hit, points.columns, [F.col(f"_o_{o}") for o in order])
     hit = hit.select(*[F.col(c).alias(f"_h_{c}") for c in points.columns], (F.col("ref_beg") + F.col(position) - F.col("beg")).alias("mapped"))
     on = F.lit(True)
     for c in points.columns:
         on = on & F.col(c).eqNullSafe(F.col(f"_h_{c}"))
-    return points.join(hit, on, "left").select(*points.columns, "mapped")
+    return points.join(hit.hint("merge"), on, "left").select(*points.columns, "mapped")
 
 
 def match_or_blank(df: DataFrame, table: DataFrame, on: Sequence[str], exact: str, value: str) -> DataFrame:

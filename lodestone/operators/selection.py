@@ -112,7 +112,7 @@ def motif_check(letters: DataFrame, offsets: DataFrame, expected: Mapping[int, s
     table = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(a).alias("want")) for p, a in expected.items()])
     want = offsets.withColumn("_e", F.explode(table)).select(*keys, "offset", F.col("_e.p").alias("p"), F.col("_e.want").alias("want"))
     have = letters.select(*keys, F.col(position).alias("_pos"), F.col(letter).alias("have"))
-    j = want.withColumn("_pos", F.col("p") - F.col("offset")).join(have, [*keys, "_pos"], "left")
+    j = want.withColumn("_pos", F.col("p") - F.col("offset")).join(have.hint("merge"), [*keys, "_pos"], "left")
     ok = F.col("have").isNotNull() & ((F.col("have") == F.col("want")) | F.col("p").isin(*tolerated) if tolerated else F.col("have") == F.col("want"))
     c = j.groupBy(*keys, "offset").agg(F.count_if(ok).cast("int").alias("n_ok"), F.count("have").cast("int").alias("n_checked"))
     c = c.withColumn("n_missing", F.lit(len(expected)) - F.col("n_checked"))
@@ -140,7 +140,7 @@ def pocket_distances(copies: DataFrame, residues: DataFrame, offsets: DataFrame,
     """
     table = F.array(*[F.struct(F.lit(n).alias("ref"), F.lit(p).alias("p")) for n, ps in references.items() for p in ps])
     spots = offsets.filter("offset is not null").withColumn("_r", F.explode(table)).select(*keys, "chain", F.col("_r.ref").alias("ref"), (F.col("_r.p") - F.col("offset")).alias("resseq"))
-    atoms = residues.join(spots, [*keys, "chain", "resseq"]).withColumn("target", F.struct("chain", "ref"))
+    atoms = residues.join(spots.hint("merge"), [*keys, "chain", "resseq"]).withColumn("target", F.struct("chain", "ref"))
     d = min_distance(copies, atoms, keys, "copy", "target")
     names = list(references)
     nearest = [F.min(F.when(F.col("target.ref") == n, F.col("dist"))).alias(f"d_{n}") for n in names]
@@ -179,7 +179,7 @@ def unique_names(df: DataFrame, keys: Sequence[str], name: str = "name", element
     size = need.groupBy(*keys, element).agg(F.max("_at").alias("_n"))
     used = taken.join(size.withColumnRenamed(element, "_e"), [*keys, "_e"]).groupBy(*keys, "_e").agg(F.count("*").alias("_u"))
     free = size.join(used.withColumnRenamed("_e", element), [*keys, element], "left").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n") + F.coalesce("_u", F.lit(0)).cast("int"))))
-    free = free.join(taken.withColumnRenamed("_e", element), [*keys, element, "_k"], "left_anti")
+    free = free.join(taken.withColumnRenamed("_e", element).hint("merge"), [*keys, element, "_k"], "left_anti")
     free = free.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, element).orderBy("_k"))).select(*keys, element, "_at", "_k")
     named = need.join(free, [*keys, element, "_at"]).withColumn(name, F.concat(F.col(element), F.col("_k").cast("string")))
     return d.filter("not _clash").select(*df.columns).unionByName(named.select(*df.columns))

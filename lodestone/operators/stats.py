@@ -125,9 +125,9 @@ def permutation_p(df: DataFrame, x: str, y: str, ident: str, permutations: int =
     drawn = drawn.withColumn("h", F.md5(F.concat_ws("|", F.lit(str(seed)), "k", "id").cast("binary"))).withColumn("part", F.substring("h", 1, 2))
     sizes = drawn.groupBy("k", "part").agg(F.count("*").alias("n"))
     sizes = sizes.select("k", "part", F.coalesce(F.sum("n").over(Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    drawn = drawn.join(sizes, ["k", "part"])
+    drawn = drawn.join(sizes.hint("merge"), ["k", "part"])
     drawn = drawn.withColumn("at", F.col("before") + F.row_number().over(Window.partitionBy("k", "part").orderBy("h", "id")))
-    pairs = drawn.select("k", F.col("own").alias("at"), "x").join(drawn.select("k", "at", "y"), ["k", "at"])
+    pairs = drawn.select("k", F.col("own").alias("at"), "x").join(drawn.select("k", "at", "y").hint("merge"), ["k", "at"])
     null = correlation(pairs, "x", "y", ["k"]).select("k", F.col("r").alias("rk"))
     seen = correlation(base, "x", "y").select("n", "r")
     # one row, so it is broadcast

@@ -38,11 +38,20 @@ def ensemble_assoc(spark, sf_dir):
     return rounded(E.association(scored(spark, sf_dir), part, "resi", "F_index", "p_retailprice"), "r", "slope", "intercept")
 
 
-@query("assoc_p_value", f"WITH {Z_SQL}, j AS (SELECT frustration_class, F_index AS x, p_retailprice AS y FROM z JOIN part ON p_partkey = resi) SELECT frustration_class, count(*) AS n, round(corr(x, y), 6) AS r, abs(corr(x, y)) >= 0 AS has_p FROM j GROUP BY ALL")
+#: Student's t by Simpson's rule over r: p = 1 - 2 c * integral from 0 to |r| of (1 - u^2)^((n - 4) / 2).
+P_VALUE_SQL = f"""
+WITH {Z_SQL}, j AS (SELECT frustration_class, F_index AS x, p_retailprice AS y FROM z JOIN part ON p_partkey = resi),
+c AS (SELECT frustration_class, count(*) AS n, corr(x, y) AS r FROM j GROUP BY ALL),
+s AS (SELECT *, list_sum(list_transform(range(0, 4001), lambda k: (CASE WHEN k = 0 OR k = 4000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * pow(1 - r * r * k * k / 16e6, (n - 4) / 2.0))) * abs(r) / 12000 AS area FROM c)
+SELECT frustration_class, n, round(r, 6) AS r, round(1 - 2 * area * exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0)) / sqrt(pi()), 6) AS p FROM s
+"""
+
+
+@query("assoc_p_value", P_VALUE_SQL)
 def assoc_p_value(spark, sf_dir):
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("resi"), "p_retailprice")
     c = stats.correlation(scored(spark, sf_dir).join(part, "resi"), "F_index", "p_retailprice", ["frustration_class"])
-    return c.select("frustration_class", "n", F.round("r", 6).alias("r"), stats.t_test_p("r", "n").between(0, 1).alias("has_p"))
+    return rounded(c.select("frustration_class", "n", "r", stats.t_test_p("r", "n").alias("p")), "r", "p")
 
 
 @query("spearman", f"WITH {Z_SQL}, j AS (SELECT F_index AS x, p_size AS y FROM z JOIN part ON p_partkey = resi), r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS b FROM j) SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM r")
@@ -177,7 +186,7 @@ def decoy_energy(spark, sf_dir):
     s = e.select(F.col("user_id").alias("structure_id"), F.row_number().over(selection.Window.partitionBy("user_id").orderBy("event_id")).alias("pos"), F.substring("event_type", 1, 1).alias("aa"))
     c = s.select("structure_id", F.col("pos").alias("resi"), (F.col("pos") + 4).alias("resj"))
     letters = s.select("aa").distinct()
-    pairs = letters.withColumnRenamed("aa", "aa_i").crossJoin(letters.withColumnRenamed("aa", "aa_j"))  # the alphabet, squared
+    pairs = letters.withColumnRenamed("aa", "aa_i").crossJoin(F.broadcast(letters.withColumnRenamed("aa", "aa_j")))  # the alphabet, squared
     potential = pairs.withColumn("e", F.when(F.col("aa_i") == F.col("aa_j"), -1.0).when(F.col("aa_i") < F.col("aa_j"), 0.5).otherwise(0.0))
     out = E.decoy_energy(E.decoy_letters(s, 3), c, potential)
     return rounded(out.groupBy("structure_id", "decoy").agg(F.count("*").alias("n"), F.sum("e").alias("e")), "e")

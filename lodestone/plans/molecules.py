@@ -66,6 +66,17 @@ def atom_types_with_rings(spark, sf_dir):
     return molgraph.atom_types(atoms_of(spark, sf_dir), b, graph.ring_sizes(b)).groupBy("elem", "atom_type").agg(F.count("*").alias("n"))
 
 
+COARSE_SQL = TYPES_SQL.replace("\nSELECT elem, CASE WHEN", ", y AS (SELECT elem, CASE WHEN").replace(", count(*) AS n FROM t LEFT JOIN h ON h.u = atom_id GROUP BY ALL", " FROM t LEFT JOIN h ON h.u = atom_id)") + """
+SELECT CASE WHEN atom_type IN ('Hpol', 'HNbb') THEN 'HNbb' WHEN atom_type IN ('Ntrp', 'NH2O', 'Nlys', 'Narg', 'Npro', 'Nbb') THEN 'Nbb' WHEN atom_type IN ('Nhis', 'OH', 'ONH2', 'OOC', 'Oaro', 'OCbb') THEN 'OCbb' WHEN elem <> 'H' THEN 'CAbb' END AS coarse_type, count(*) AS n FROM y GROUP BY ALL
+"""
+
+
+@query("coarse_types", COARSE_SQL)
+def coarse_types(spark, sf_dir):
+    b = bonds_of(spark, sf_dir)
+    return molgraph.atom_types(atoms_of(spark, sf_dir), b, no_rings(b)).groupBy("coarse_type").agg(F.count("*").alias("n"))
+
+
 ROTOR_SQL = f"""
 WITH {A_SQL}, k AS (SELECT atom_id, coalesce(heavy, 0) >= 2 OR (coalesce(heavy, 0) = 1 AND hs AND d.n_h = 1 AND elem <> 'C') AS ok, coalesce(heavy, 0) = 1 AS tip FROM a LEFT JOIN d ON u = atom_id)
 SELECT b.mol_id, b.a1, b.a2, o = 1 AND s.ok AND t.ok AS can_rotate, o = 1 AND s.ok AND t.ok AND (s.tip OR t.tip) AS is_proton_rotor FROM b JOIN k s ON s.atom_id = a1 JOIN k t ON t.atom_id = a2
@@ -185,7 +196,7 @@ def affinity_survey(spark, sf_dir):
 
 
 COPY_SQL = f"""
-WITH {P_SQL}, c AS (SELECT * FROM p WHERE resi % 11 = 0), t AS (SELECT *, resi % 3 AS chain, resi % 4 AS ref FROM p WHERE resi % 11 <> 0 AND resi % 4 < 3),
+WITH {P_SQL}, c AS (SELECT * FROM p WHERE resi % 11 = 0), t AS (SELECT *, resi % 3 AS chain, resi % 4 AS ref FROM p WHERE resi % 11 <> 0),
 d AS (SELECT a.structure_id, a.resi AS copy, b.chain, b.ref, min({DIST}) AS d FROM c a JOIN t b ON a.structure_id = b.structure_id GROUP BY ALL), m AS (SELECT structure_id, copy, chain, avg(d) AS mean FROM d GROUP BY ALL),
 n AS (SELECT structure_id, copy, arg_min(chain, (mean, chain)) AS chain, min(mean) AS mean FROM m GROUP BY ALL), q AS (SELECT *, min(mean) OVER (PARTITION BY structure_id) AS lo FROM n WHERE mean < 0.2),
 b AS (SELECT *, count(*) OVER (PARTITION BY structure_id) AS n_equal, row_number() OVER (PARTITION BY structure_id ORDER BY copy % 3, mean, copy) AS rn FROM q WHERE mean <= lo + 0.05)
@@ -195,10 +206,10 @@ SELECT structure_id, copy, chain, n_equal, round(mean, 6) AS mean FROM b WHERE r
 
 @query("copy_choice", COPY_SQL)
 def copy_choice(spark, sf_dir):
-    """Copies to three references of three chains: nearest chain, pocket test, band, tie-breaks."""
+    """Copies to four references of three chains: nearest chain, pocket test, band, tie-breaks."""
     p = points(spark, sf_dir)
     copies = p.filter("resi % 11 = 0").withColumnRenamed("resi", "copy")
-    t = p.filter("resi % 11 <> 0 and resi % 4 < 3").withColumn("target", F.struct((F.col("resi") % 3).alias("chain"), (F.col("resi") % 4).alias("ref")))
+    t = p.filter("resi % 11 <> 0").withColumn("target", F.struct((F.col("resi") % 3).alias("chain"), (F.col("resi") % 4).alias("ref")))
     d = geometry.min_distance(copies, t)
     m = d.groupBy("structure_id", "copy", F.col("target.chain").alias("chain")).agg(F.avg("dist").alias("mean"))
     near = selection.first_by(m, ["structure_id", "copy"], [F.col("mean"), F.col("chain")]).filter("mean < 0.2")
@@ -206,7 +217,18 @@ def copy_choice(spark, sf_dir):
     return rounded(best.select("structure_id", "copy", "chain", "n_equal", "mean"), "mean")
 
 
-@query("fragment_sizes")
+FRAGMENT_SQL = f"""
+WITH RECURSIVE {A_SQL}, e AS (SELECT a1, a2 FROM b WHERE NOT (o = 1 AND (a1 + a2) % 3 = 0) UNION SELECT a2, a1 FROM b WHERE NOT (o = 1 AND (a1 + a2) % 3 = 0) UNION SELECT atom_id, atom_id FROM a),
+r AS (SELECT a1 AS node, a2 AS far FROM e UNION SELECT r.node, e.a2 FROM r JOIN e ON e.a1 = r.far), c AS (SELECT node, min(far) AS c FROM r GROUP BY node),
+g AS (SELECT mol_id, atom_id, elem, dense_rank() OVER (PARTITION BY mol_id ORDER BY c)::INT AS fragment FROM c JOIN a ON atom_id = node),
+s AS (SELECT mol_id, fragment, count(*) AS n_atoms, count(*) FILTER (WHERE elem <> 'H') AS n_heavy FROM g GROUP BY ALL),
+t AS (SELECT f.mol_id, f.fragment, count(*) AS n FROM b JOIN g f ON f.atom_id = a1 JOIN g h ON h.atom_id = a2 WHERE o = 1 AND f.fragment = h.fragment GROUP BY ALL)
+SELECT s.mol_id, s.fragment, n_atoms, n_heavy, coalesce(n, 0) AS n_rotors, count(*) OVER (PARTITION BY s.mol_id) AS n_fragments, n_atoms < 3 OR count(*) OVER (PARTITION BY s.mol_id) > 9 AS size_error,
+  NOT (n_atoms BETWEEN 7 AND 24) OR NOT (n_heavy BETWEEN 4 AND 22) OR coalesce(n, 0) > 4 AS size_warning FROM s LEFT JOIN t ON t.mol_id = s.mol_id AND t.fragment = s.fragment
+"""
+
+
+@query("fragment_sizes", FRAGMENT_SQL)
 def fragment_sizes(spark, sf_dir):
     """Molecules cut at their long single bonds, with size checks."""
     a, b = atoms_of(spark, sf_dir), bonds_of(spark, sf_dir)

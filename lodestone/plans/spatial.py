@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lodestone.functions.scalar import angle, cross, midpoint, unit
+from lodestone.functions.storage import materialised
 from lodestone.operators import ensemble, geometry, selection
 from lodestone.plans.tables import DIST, P_SQL, points, query, rounded
 
@@ -48,7 +49,7 @@ def eq2_energy(spark, sf_dir):
     c = geometry.contacts(p, CUTOFF)
     a = p.select("structure_id", "resi", *[F.col(k).alias(f"a{k}") for k in "xyz"])
     b = p.select("structure_id", F.col("resi").alias("resj"), *[F.col(k).alias(f"b{k}") for k in "xyz"])
-    e = c.join(a, ["structure_id", "resi"]).join(b, ["structure_id", "resj"]).withColumn("e", F.expr("ax*bx + ay*by + az*bz"))
+    e = c.join(a.hint("merge"), ["structure_id", "resi"]).join(b.hint("merge"), ["structure_id", "resj"]).withColumn("e", F.expr("ax*bx + ay*by + az*bz"))
     return rounded(ensemble.neighbourhood_energy(e, ("structure_id",)).drop("e"), "energy")
 
 
@@ -65,7 +66,7 @@ SELECT s AS structure_id, CASE WHEN f > 0.78 THEN 'minimally_frustrated' WHEN f
 @query("ensemble_survey", SURVEY_SQL)
 def ensemble_survey(spark, sf_dir):
     """Points to contacts to energies of 20 replicates to scores, classes and counts per structure."""
-    c = geometry.contacts(points(spark, sf_dir), CUTOFF)
+    c = materialised(geometry.contacts(points(spark, sf_dir), CUTOFF))  # read twice
     r = c.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(20))))
     draw = F.conv(F.substring(F.md5(F.concat_ws("|", "replicate", "resi", "resj").cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
     terms = r.select("structure_id", "replicate", "resi", "resj", F.lit("pair").alias("term"), (F.lit(-1.0) / (F.lit(0.01) + F.col("dist")) * (1 + 0.5 * (draw - 0.5))).alias("value"))

@@ -49,7 +49,7 @@ def covalent_links(files: DataFrame, ligand: str = "ligand", keys=("structure_id
 
     sides = ["label_comp_id", "label_asym_id", "auth_seq_id", "label_atom_id"]
     cols = ["conn_type_id", "pdbx_dist_value", *[f"ptnr{k}_{s}" for k in (1, 2) for s in sides]]
-    r = loop_rows(files, "struct_conn", cols, keys=keys).join(files.select(*keys, ligand), list(keys))
+    r = loop_rows(files, "struct_conn", cols, keys=keys).join(files.select(*keys, ligand).hint("merge"), list(keys))
     one, two = F.col("ptnr1_label_comp_id") == F.col(ligand), F.col("ptnr2_label_comp_id") == F.col(ligand)
     r = first_by(r.filter((F.col("conn_type_id") == "covale") & (one | two)), keys, [F.col("row_no")])
     pick = lambda s, mine: F.when(one, F.col(f"ptnr{1 if mine else 2}_{s}")).otherwise(F.col(f"ptnr{2 if mine else 1}_{s}"))

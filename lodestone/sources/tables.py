@@ -4,9 +4,6 @@ from collections.abc import Mapping
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from lodestone.operators.selection import first_by
 
 
 def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -18,8 +15,9 @@ def parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.json(path, schema=schema, multiLine=True)
+def json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """A document or a list of them in each file, or with ``lines`` one in each line."""
+    return spark.read.json(path, schema=schema, multiLine=not lines)
 
 
 def overrides(spark: SparkSession, entries: Mapping[str, Mapping[str, str]], key: str = "pdb_id") -> DataFrame:
@@ -65,6 +63,3 @@ def write_structures(lines: DataFrame, path: str, key: str = "structure_id") ->
     """Text of each structure in a folder of its own, in order of ``block`` and ``line_no``."""
     lines.repartition(key).sortWithinPartitions(key, "block", "line_no").select(key, "line").write.partitionBy(key).mode("overwrite").text(path)
 
-
-def one_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    return first_by(df, [key], [F.col(order)])

@@ -8,7 +8,7 @@ from lodestone.functions.scalar import three_way, z_score
 
 def work_list(wanted: DataFrame, present: DataFrame, keys) -> DataFrame:
     """Requested (structure, replicate) keys that no result has yet."""
-    return wanted.select(*keys).distinct().join(present.select(*keys).distinct(), list(keys), "left_anti")
+    return wanted.select(*keys).distinct().join(present.select(*keys).distinct().hint("merge"), list(keys), "left_anti")
 
 
 def moments(values: DataFrame, keys, value: str = "energy") -> DataFrame:
