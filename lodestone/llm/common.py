@@ -29,6 +29,12 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def refuse_clash(kept: list[str], *names: str) -> None:
+    """An error for columns to keep that a result has too (names count without case)."""
+    if clash := {c.lower() for c in kept} & {n.lower() for n in names}:
+        raise ValueError(f"columns to keep that the result has too: {sorted(clash)}")
+
+
 # ---- text inside tasks: numpy over the bytes of many documents at a time ----
 
 

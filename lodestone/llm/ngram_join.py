@@ -10,8 +10,13 @@ join returns connected components and misses no link:
 3. For the rest, each class lists the first ``n - ceil(share n) + 1`` of its
    tokens in one global order (frequent ones last).  Sets that link have one of
    them in common.  For each token that classes of different components list, a
-   tree over fixed-size bitmaps finds pairs that may link and have not met in
-   step 2, and these are compared exactly.
+   tree over fixed-size bitmaps finds the classes that may link to one of another
+   component which they have not met yet, one row a class and token; a second tree
+   over bitmaps as wide as their sets leaves those that go on, and their whole sets
+   are joined exactly as in step 2.
+
+No step hands on pairs: a block gives rows of its members, or edges of a spanning
+forest, so a family of n near copies gives rows in proportion to n.
 """
 
 import numpy as np
@@ -19,83 +24,93 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialised, mix, shingle_sets, text_slices
+from lodestone.llm.common import drop_written, materialised, mix, shingle_sets, text_slices
 from lodestone.llm.components import components
-from lodestone.llm.signature_tree import Tree, bitmap, linked, may_link
+from lodestone.llm.signature_tree import FANOUT, Tree, bitmap, folded, linked, may_link
 
 N_KEYS = 4
-SKETCH = 1 << 20  # buckets of the frequency sketch, whatever the input
-CHUNK = 1 << 12  # buckets that are summed together
-BITMAP = 64  # bytes of a class's bitmap
+BITMAP = 64  # bytes of a class's fixed bitmap
+WIDEST = 4096  # bytes of its wide one, at most
 BLOCK = 1024  # classes in one tree
+HEAVY = 1 << 18  # tokens whose frequency is kept
+SEEN_TOKENS = 1 << 21  # tokens that a task counts together
+FIRSTS = 16  # of the tokens that a class shares, those by which pairs are told to have met
+FEW_ROWS = 100_000  # that may be broadcast
 
 
-def frequency_levels(docs: DataFrame, size: int) -> np.ndarray:
-    """For each bucket of token hashes, how often it is over the mean, in quarters of an octave.
+def token_levels(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The HEAVY most frequent tokens, sorted, and how frequent each is, in quarters of an octave.
 
-    Tasks add up their part of a sketch of fixed size and hand it on in chunks, which
-    are summed by chunk; the driver gets the sketch, 4 MB whatever the input.
+    Tasks count their tokens in stretches and hand on those that come at least three
+    times, so counts are too low by rare uses only.  They order tokens, so results do
+    not depend on them.  The driver gets 4 MB at most.
     """
 
     def count(batches):
-        total = np.zeros(SKETCH, np.int64)
+        held, n = [], 0
+
+        def frequent():
+            u, c = np.unique(np.concatenate(held), return_counts=True)
+            many = c >= 3
+            return pa.RecordBatch.from_arrays([pa.array(u[many].astype(np.int64)), pa.array(c[many].astype(np.int64))], ["token", "n"])
+
         for part in text_slices(batches):
-            sets = shingle_sets(part.column(0), size)
-            total += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        if total.any():
-            yield chunks({k: x for k, x in enumerate(total.reshape(-1, CHUNK))})
-
-    def add(batches):
-        total: dict = {}
-        for batch in batches:
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total[k] = total.get(k, 0) + np.frombuffer(x, np.int64)
-        if total:
-            yield chunks(total)
-
-    def chunks(total):
-        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"])
-
-    schema = "chunk int, counts binary"
-    rows = docs.select("text").mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).collect()
-    n = np.zeros((SKETCH // CHUNK, CHUNK))
-    for r in rows:
-        n[r["chunk"]] += np.frombuffer(r["counts"], np.int64)
-    n = n.ravel()
-    return (4 * np.log2(np.maximum(n / max(n.mean(), 1), 1))).astype(np.int8)
-
-
-def profiles(docs: DataFrame, size: int, share: int, levels: np.ndarray) -> DataFrame:
-    """One short row a document: set size, class, minimum hashes, listed tokens, bitmap.
-
-    Listed tokens whose bucket of the sketch is over the mean are kept apart as
-    ``hot``: only they can be in a large part of all documents.
+            held += shingle_sets(part.column(0), size)
+            n += sum(map(len, held[-part.num_rows :]))
+            if n >= SEEN_TOKENS:
+                yield frequent()
+                held, n = [], 0
+        if held:
+            yield frequent()
+
+    top = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    rows = top.orderBy(F.desc("n"), "token").limit(HEAVY).toPandas().sort_values("token")
+    token = rows["token"].to_numpy(np.int64).astype(np.uint64)
+    order = np.argsort(token)
+    return token[order], np.minimum(4 * np.log2(np.maximum(rows["n"].to_numpy(float), 1)), 255).astype(np.uint8)[order]
+
+
+def levels_of(tokens: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """0 for tokens that are not frequent."""
+    keys, level = heavy
+    if not len(keys):
+        return np.zeros(len(tokens), np.uint8)
+    at = np.minimum(np.searchsorted(keys, tokens), len(keys) - 1)
+    return np.where(keys[at] == tokens, level[at], 0)
+
+
+def profiles(docs: DataFrame, size: int, share: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """One short row a document: set size, class, minimum hashes, listed tokens, bitmaps, hash of the text.
+
+    Listed tokens that are frequent are kept apart as ``hot``: only they can be in a
+    large part of all documents.
     """
 
     def run(batches):
         for part in text_slices(batches):
             sets = shingle_sets(part.column(1), size)
             n = np.array([len(s) for s in sets])
-            cls, keys, listed, hot, bits = [], [], [], [], []
+            cls, keys, listed, hot, bits, wide = [], [], [], [], [], []
             for s in sets:
                 if not len(s):
-                    cls.append(0), keys.append([]), listed.append([]), hot.append([]), bits.append(b"")
+                    cls.append(0), keys.append([]), listed.append([]), hot.append([]), bits.append(b""), wide.append(b"")
                     continue
                 cls.append(mix(mix(s).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s)))[0].astype(np.int64))
                 keys.append([mix((s ^ mix(np.array([k + 1], np.uint64))) * np.uint64(2 * k + 3)).min().astype(np.int64) for k in range(N_KEYS)])
                 p = len(s) - -(-share * len(s) // 100) + 1
-                level = levels[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
+                level = levels_of(s, heavy)
                 at = np.argsort(level, kind="stable")[:p]
                 listed.append(s[at][level[at] == 0].astype(np.int64))
                 hot.append(s[at][level[at] > 0].astype(np.int64))
                 bits.append(bitmap(s, BITMAP).tobytes())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(listed, pa.list_(pa.int64())), pa.array(hot, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "n", "cls", "keys", "listed", "hot", "bits"])
+                wide.append(bitmap(s, min(max(BITMAP, 1 << (len(s) // 4).bit_length()), WIDEST)).tobytes())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(listed, pa.list_(pa.int64())), pa.array(hot, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(wide, pa.binary())], ["doc_id", "text_hash", "n", "cls", "keys", "listed", "hot", "bits", "wide"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, keys array<long>, listed array<long>, hot array<long>, bits binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n long, cls long, keys array<long>, listed array<long>, hot array<long>, bits binary, wide binary")
 
 
 def blocks(classes: DataFrame, size: int) -> DataFrame:
-    """(cls, block) for blocks of two classes at least: by minimum hash, divided where larger than ``size``."""
+    """(cls, component, block) for blocks of two classes at least: by minimum hash, divided where larger than ``size``."""
     m = classes.select("cls", "keys", F.posexplode("keys").alias("k", "key"))
     m = m.withColumn("other", F.get("keys", (F.col("k") + 1) % N_KEYS)).drop("keys")
     # counts are written first: then both sides of the join are plain shuffles, and a hot key can be split
@@ -108,40 +123,47 @@ def blocks(classes: DataFrame, size: int) -> DataFrame:
     slot = deep.join(count.hint("merge"), "key").select("cls", F.xxhash64("key", F.pmod(F.xxhash64("cls"), slots)).alias("block"))
     # each slot of a block also gets the block's pivot
     pivot = count.filter(F.col("c") > size).select(F.col("pivot").alias("cls"), "key", F.explode(F.sequence(F.lit(0).cast("long"), slots - 1)).alias("s")).select("cls", F.xxhash64("key", "s").alias("block"))
-    return small.unionByName(slot.unionByName(pivot).distinct())
+    return small.unionByName(slot.unionByName(pivot).distinct()).select("cls", F.col("cls").alias("component"), "block")
+
 
+def joined_blocks(docs: DataFrame, classes: DataFrame, members: DataFrame, size: int, share: int, written: list, few: int = 0) -> DataFrame:
+    """Edges (a, b) between components: a spanning forest of each block, from the whole texts of its classes.
 
-def joined_blocks(docs: DataFrame, classes: DataFrame, members: DataFrame, size: int, share: int) -> DataFrame:
-    """Edges (a, b) of a spanning forest of each block, from the whole texts of its classes."""
-    wanted = members.join(classes.select("cls", "rep").hint("shuffle_hash"), "cls").groupBy("rep", "cls").agg(F.collect_list("block").alias("blocks"))
-    texts = docs.join(wanted.hint("merge"), docs["doc_id"].eqNullSafe(wanted["rep"])).select("cls", F.explode("blocks").alias("block"), "text")
+    Up to ``few`` members are broadcast, so that only their texts move; else all texts
+    are dealt by id.  ``written`` gets a table that is to be dropped later.
+    """
+    wanted = members.join(classes.select("cls", "rep").hint("merge"), "cls")
+    wanted = materialised(wanted)
+    written.append(wanted)
+    side = F.broadcast(wanted) if few and wanted.count() <= few else wanted.hint("merge")
+    texts = docs.join(side, docs["doc_id"].eqNullSafe(wanted["rep"])).select("cls", "block", "text", "component")
     ordered = texts.repartition("block").sortWithinPartitions("block", "cls")
 
     def run(batches):
-        block, cls, sets = None, [], []
+        block, cls, group, sets = None, [], [], []
 
         def done():
-            pairs = linked(sets, share, 4 * BITMAP) if len(sets) > 1 else []
+            pairs = linked(sets, share, 4 * BITMAP, np.unique(group, return_inverse=True)[1])
             a, b = ([cls[p[k]] for p in pairs] for k in (0, 1))
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for part in text_slices(batches):
-            for c, at, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), shingle_sets(part.column(2), size)):
+            for c, at, s, g in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), shingle_sets(part.column(2), size), part.column(3).to_pylist()):
                 if at != block:
                     if len(sets) > 1:
                         yield done()
-                    block, cls, sets = at, [], []
+                    block, cls, group, sets = at, [], [], []
                 # another text under the same id is not of this class; a repeated row adds nothing
                 if c not in cls[-1:] and len(s) and mix(mix(s).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s)))[0].astype(np.int64) == c:
-                    cls.append(c), sets.append(s)
+                    cls.append(c), group.append(g), sets.append(s)
         if len(sets) > 1:
             yield done()
 
     return ordered.mapInArrow(run, "a long, b long")
 
 
-def candidates(profile: DataFrame, classes: DataFrame, members: DataFrame, comp: DataFrame, share: int) -> DataFrame:
-    """Pairs (a, b) of classes of different components that may link and were in no common block."""
+def shared_tokens(profile: DataFrame, comp: DataFrame) -> DataFrame:
+    """(token, cls, component, c) for listed tokens that classes of different components share; c: how many classes."""
     listed = profile.filter("n > 0").select("cls", F.explode("listed").alias("token"))
     w = Window.partitionBy("token")
     shared = listed.select("token", "cls", (F.min("cls").over(w) < F.max("cls").over(w)).alias("many")).filter("many").select("token", "cls").distinct()
@@ -149,69 +171,162 @@ def candidates(profile: DataFrame, classes: DataFrame, members: DataFrame, comp:
     hot = profile.filter("n > 0").select("cls", F.explode("hot").alias("token")).distinct()
     many = materialised(hot.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi").select("token"))
     shared = shared.unionByName(hot.join(many.hint("merge"), "token").select("token", "cls"))
-    shared = shared.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    shared = shared.join(comp.withColumnRenamed("node", "cls").hint("merge"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     shared = materialised(shared)
-    mixed = shared.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).filter("lo < hi").select("token", "c")
-    shared = shared.join(materialised(mixed).hint("merge"), "token")
-    met = members.groupBy("cls").agg(F.slice(F.sort_array(F.collect_set("block")), 1, 2 * N_KEYS).alias("met"))
-    info = classes.select("cls", "n", "bits").join(met, "cls", "left")
-    # a token's classes in parts of BLOCK; each pair of parts is one tree
-    parts = F.ceil(F.col("c") / BLOCK).cast("int")
-    part = F.pmod(F.xxhash64("cls"), parts).cast("int")
-    shared = shared.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    shared = shared.select("token", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "cls", "component").join(info, "cls")
-    ordered = shared.repartition("token", "p", "q").sortWithinPartitions("token", "p", "q")
+    mixed = materialised(shared.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).filter("lo < hi").select("token", "c"))
+    out = materialised(shared.join(mixed.hint("merge"), "token"))
+    drop_written(many, shared, mixed)
+    return out
 
-    def run(batches):
-        held, last = [], None
-
-        def apart(x, y):
-            """Different components, no block in common, and not the repeat of another pair of parts."""
-            return x[5] != y[5] and (x[3] != y[3] or x[1] == x[2]) and not set(x[8] or ()).intersection(y[8] or ())
 
-        def done():
-            if len(held) <= 8:
-                found = [(x, y) for k, y in enumerate(held) for x in held[:k] if apart(x, y) and may_link(x[6], x[7], y[6], y[7], share)]
-            else:
-                tree = Tree(np.frombuffer(b"".join(x[7] for x in held), np.uint8).reshape(-1, BITMAP), np.array([x[6] for x in held]), np.unique([x[5] for x in held], return_inverse=True)[1])
-                found = [(held[i], held[j]) for a, b in tree.pairs(share) for i, j in zip(a.tolist(), b.tolist()) if apart(held[i], held[j])]
-            if found:
-                rows = [(x[4], y[4], x[6], y[6]) if x[4] < y[4] else (y[4], x[4], y[6], x[6]) for x, y in found]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["a", "b", "na", "nb"])
-
-        for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if row[:3] != last:
-                    if len(held) > 1:
-                        yield from done()
-                    held, last = [], row[:3]
-                held.append(row)
-        if len(held) > 1:
-            yield from done()
+def met(blocks: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of rows have a number in common; zeros do not count."""
+    a, b = blocks[i][:, :, None], blocks[j][:, None, :]
+    return ((a == b) & (a != 0)).any((1, 2))
 
-    met_by = ordered.select("token", "p", "q", "part", "cls", "component", "n", "bits", "met").mapInArrow(run, "a long, b long, na long, nb long")
-    # a pair met once for each listed token in common; what lies behind the shorter list bounds the rest
-    behind = lambda n: F.ceil(F.col(n) * share / 100) - 1
-    enough = (100 + share) * (F.col("c") + F.greatest(behind("na"), behind("nb"))) >= share * (F.col("na") + F.col("nb"))
-    return met_by.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).filter(enough).select("a", "b")
 
+def matrix(lists: list, width: int) -> np.ndarray:
+    out = np.zeros((len(lists), width), np.int64)
+    for k, x in enumerate(lists):
+        x = x or ()
+        out[k, : len(x)] = x
+    return out
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, share: int) -> DataFrame:
-    """The pairs that link, by their whole texts."""
-    reps = classes.select("cls", "rep")
-    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().join(reps, "cls")
-    texts = docs.join(wanted.hint("merge"), docs["doc_id"].eqNullSafe(wanted["rep"])).select("cls", "text")
-    a = texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b"))
 
-    def run(batches):
-        for batch in batches:
-            for part in text_slices([batch], "text_a"):
-                x, y = shingle_sets(part.column(2), size), shingle_sets(part.column(3), size)
-                ok = [(100 + share) * len(np.intersect1d(s, t, assume_unique=True)) >= share * (len(s) + len(t)) for s, t in zip(x, y)]
-                yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+def candidates(shared: DataFrame, classes: DataFrame, members: DataFrame, share: int) -> DataFrame:
+    """(cls, component, block) of classes that may link to one of another component in a token's block.
 
-    return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    Pairs that met in a block of ``members``, or that meet by a smaller token, do not
+    count.  A token's classes are in parts of BLOCK, and each pair of parts is a block.
+    """
+    before = members.groupBy("cls").agg(F.slice(F.sort_array(F.collect_set("block")), 1, 2 * N_KEYS).alias("met"))
+    firsts = shared.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list("token")), 1, FIRSTS).alias("firsts"))
+    info = classes.select("cls", "n", "bits").join(before.hint("merge"), "cls", "left").join(firsts.hint("merge"), "cls")
+    parts = F.ceil(F.col("c") / BLOCK).cast("int")
+    part = F.pmod(F.xxhash64("cls"), parts).cast("int")
+    rows = shared.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.select("token", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "cls", "component").join(info.hint("merge"), "cls")
+    rows = rows.withColumn("block", F.xxhash64("token", "p", "q"))
+    ordered = rows.repartition("block").sortWithinPartitions("block").select("block", "cls", "component", "n", "bits", "token", "p", "q", "part", "met", "firsts")
+
+    def alive(held):
+        _, _, _, _, _, token, p, q, _, _, _ = held[0]
+        if len(held) <= FANOUT:  # a single node of leaves
+            live = set()
+            for k, y in enumerate(held):
+                for j, x in enumerate(held[:k]):
+                    # of two parts only the pairs across; within a part it is a block of its own
+                    if x[2] != y[2] and (x[8] != y[8] or p == q) and may_link(x[3], x[4], y[3], y[4], share) and not set(x[9] or ()).intersection(y[9] or ()) and not any(t < token for t in set(x[10]).intersection(y[10])):
+                        live |= {j, k}
+            return sorted(live)
+        group, n, part = (np.array([x[k] for x in held], np.int64) for k in (2, 3, 8))
+        tree = Tree(np.frombuffer(b"".join(x[4] for x in held), np.uint8).reshape(-1, BITMAP), n, np.unique(group, return_inverse=True)[1])
+        live, blocks, firsts = np.zeros(len(held), bool), None, None
+        for i, j in tree.pairs(share):
+            ok = (group[i] != group[j]) & ((part[i] != part[j]) | (p == q))
+            i, j = i[ok], j[ok]
+            if not len(i):
+                continue
+            if blocks is None:
+                blocks = matrix([x[9] for x in held], 2 * N_KEYS)
+                firsts = matrix([[t for t in x[10] if t < token] for x in held], FIRSTS)
+            for at in range(0, len(i), 1 << 14):
+                x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+                new = ~met(blocks, x, y)
+                x, y = x[new], y[new]
+                new = ~met(firsts, x, y)
+                live[x[new]] = live[y[new]] = True
+        return np.flatnonzero(live).tolist()
+
+    return ordered.mapInArrow(lambda batches: by_block(batches, alive), MEMBERS)
+
+
+#: Rows of a class in a block.
+MEMBERS = "cls long, component long, block long"
+
+
+def by_block(batches, alive):
+    """Those rows (block, cls, component, ...) of each block that ``alive`` picks from its list of them."""
+    held, last, out = [], None, []
+
+    def done():
+        if len(held) > 1:
+            out.extend((held[k][1], held[k][2], last) for k in alive(held))
+
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns]):
+            if row[0] != last:
+                done()
+                held, last = [], row[0]
+            held.append(row)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["cls", "component", "block"])
+            out = []
+    done()
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["cls", "component", "block"])
+
+
+def filtered(late: DataFrame, classes: DataFrame, share: int) -> DataFrame:
+    """The rows of ``late`` that may link to another of their block by bitmaps as wide as their sets.
+
+    Sets that link have equally wide bitmaps, or ones of neighbouring widths, of which
+    the wider is folded.
+    """
+    rows = late.join(classes.select("cls", "n", "wide").hint("merge"), "cls")
+    ordered = rows.repartition("block").sortWithinPartitions("block").select("block", "cls", "component", "n", "wide")
+
+    def alive(held):
+        group, n = (np.array([x[k] for x in held], np.int64) for k in (2, 3))
+        size = np.array([len(x[4]) for x in held])
+        live = np.zeros(len(held), bool)
+        for w in np.unique(size):
+            own = np.flatnonzero((size == w) | (size == 2 * w))
+            if len(own) < 2:
+                continue
+            tree = Tree(np.stack([folded(held[k][4], int(w)) for k in own]), n[own], np.unique(group[own], return_inverse=True)[1])
+            for i, j in tree.pairs(share):
+                i, j = own[i], own[j]
+                ok = ((size[i] == w) | (size[j] == w)) & (group[i] != group[j])
+                live[i[ok]] = live[j[ok]] = True
+        return np.flatnonzero(live).tolist()
+
+    return ordered.mapInArrow(lambda batches: by_block(batches, alive), MEMBERS)
+
+
+def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, size: int = 5, share: int = 80) -> DataFrame:
+    """As ``join``, with ``text_hash`` (xxhash64 of the text) and ``component``, a number for each group; null without words.
+
+    The result is written to the shared folder, and what led to it is deleted there.
+    """
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    written: list = []
+    heavy = token_levels(d, size)
+    profile = materialised(profiles(d, size, share, heavy))
+    # classes: columns other than the id are equal within one
+    classes = materialised(profile.filter("n > 0").groupBy("cls", "n", "keys", "bits", "wide").agg(F.min("doc_id").alias("rep")))
+    members = materialised(blocks(classes, BLOCK))
+    comp = materialised(components(joined_blocks(d, classes, members, size, share, written)))
+    shared = shared_tokens(profile, comp)
+    first = materialised(candidates(shared, classes, members, share))
+    late = materialised(filtered(first, classes, share))
+    drop_written(shared, members, first)
+    of = classes.select("cls", "rep").join(comp.withColumnRenamed("node", "cls").hint("merge"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    found = None
+    if not late.isEmpty():  # most often nothing is left
+        # edges between components
+        more = joined_blocks(d, classes, late, size, share, written, FEW_ROWS)
+        side = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"{c}c")).hint("merge")
+        more = more.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b"))
+        found = materialised(components(more))
+        of = of.join(found.select(F.col("node").alias("component"), F.col("component").alias("late")).hint("merge"), "component", "left").withColumn("component", F.coalesce("late", "component"))
+    first = of.groupBy("component").agg(F.min("rep").alias("component_id"))
+    of = of.join(first.hint("merge"), "component").select("cls", "component_id", "component")
+    out = profile.select("doc_id", "text_hash", "n", "cls").join(of.hint("merge"), "cls", "left")
+    own = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
+    out = materialised(out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "text_hash", F.when(F.col("n") > 0, F.col("component")).alias("component")))
+    drop_written(profile, classes, comp, late, *written, *([found] if found is not None else []))
+    return out
 
 
 def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, size: int = 5, share: int = 80) -> DataFrame:
@@ -222,27 +337,6 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, size: i
     word have no shingle, link with nothing, and are their own components.  Rows
     with equal sets link; rows that repeat an id with other texts each count, and
     null ids are ignored as component ids where there is another.
-    An empty table gives no rows.
+    An empty table gives no rows.  Other columns are not read.
     """
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    levels = frequency_levels(d, size)
-    profile = materialised(profiles(d, size, share, levels))
-    # classes: columns other than the id are equal within one
-    classes = profile.filter("n > 0").groupBy("cls", "n", "keys", "bits").agg(F.min("doc_id").alias("rep"))
-    classes = materialised(classes)
-    members = materialised(blocks(classes, BLOCK))
-    comp = materialised(components(joined_blocks(d, classes, members, size, share)))
-    pairs = materialised(candidates(profile, classes, members, comp, share))
-    late = None
-    if not pairs.isEmpty():
-        root = lambda c: F.coalesce(F.col(f"{c}.component"), F.col(c)).alias(c)
-        more = verified(d, classes, pairs, size, share)
-        more = more.join(comp.alias("ca"), F.col("a") == F.col("ca.node"), "left").join(comp.alias("cb"), F.col("b") == F.col("cb.node"), "left")
-        late = components(more.select(F.coalesce("ca.component", "a").alias("a"), F.coalesce("cb.component", "b").alias("b")))
-    of = classes.select("cls", "rep").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    if late is not None:
-        of = of.join(late.select(F.col("node").alias("component"), F.col("component").alias("late")), "component", "left").withColumn("component", F.coalesce("late", "component"))
-    first = of.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of = of.join(first, "component").select("cls", "component_id")
-    out = profile.select("doc_id", "n", "cls").join(of, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return grouped(docs, text, doc_id, size=size, share=share).select("doc_id", "n_shingles", "component_id")

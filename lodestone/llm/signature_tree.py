@@ -18,6 +18,14 @@ def bitmap(tokens: np.ndarray, n_bytes: int) -> np.ndarray:
     return np.packbits(out)
 
 
+def folded(bits: bytes, n_bytes: int) -> np.ndarray:
+    """A bitmap as it would be with fewer bytes."""
+    out = np.frombuffer(bits, np.uint8)
+    while len(out) > n_bytes:
+        out = out[: len(out) // 2] | out[len(out) // 2 :]
+    return out
+
+
 class Tree:
     """Levels of nodes, leaves first; leaves are in order of (group, size)."""
 
@@ -83,17 +91,20 @@ def find(parent: list, x: int) -> int:
     return x
 
 
-def linked(sets: list[np.ndarray], share: int, n_bytes: int) -> list[tuple[int, int]]:
+def linked(sets: list[np.ndarray], share: int, n_bytes: int, group: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links among sets: pairs (i, j) that link.
 
-    Pairs already in one component are passed over.  The sets that are left with
-    candidates are counted exactly, each against all others by their shared tokens.
+    Pairs already in one component, or from the start in one ``group``, are passed
+    over.  The sets that are left with candidates are counted exactly, each against
+    all others by their shared tokens.
     """
     m = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
-    parent, out = list(range(m)), []
+    group = np.arange(m) if group is None else group
+    first: dict = {}
+    parent, out = [first.setdefault(g, k) for k, g in enumerate(group.tolist())], []
     post = None
-    if m <= 4:
+    if m <= FANOUT // 2:  # less than one node
         for x in range(m):
             for y in range(x):
                 a, b, n = find(parent, x), find(parent, y), sizes[x] + sizes[y]
@@ -101,7 +112,7 @@ def linked(sets: list[np.ndarray], share: int, n_bytes: int) -> list[tuple[int,
                     parent[max(a, b)] = min(a, b)
                     out.append((x, y))
         return out
-    tree = Tree(np.stack([bitmap(s, n_bytes) for s in sets]), sizes, np.arange(m))
+    tree = Tree(np.stack([bitmap(s, n_bytes) for s in sets]), sizes, group)
     for i, j in tree.pairs(share):
         by = np.argsort(i, kind="stable")
         i, j = i[by], j[by]
