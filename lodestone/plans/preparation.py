@@ -22,7 +22,7 @@ def case(value: str, results) -> str:
 #: The same in Spark and DuckDB: columns of an atom record.
 FIELDS = {
     "structure_id": "concat('S', l_suppkey)",
-    "line_no": "CAST((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey AS BIGINT)",
+    "line_no": "CAST(((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 64 + l_quantity AS BIGINT)",
     "record": "CASE WHEN l_linenumber % 4 = 0 THEN 'HETATM' ELSE 'ATOM' END",
     "serial": "CAST(l_orderkey % 99999 AS INT)",
     "atom_name": case("l_partkey % 5", NAMES),
@@ -196,7 +196,7 @@ def geometry_view(spark, sf_dir):
 
 EXPECTED = {"structure_id": "concat('S', s_suppkey)", "comp_id": "CASE WHEN s_suppkey % 5 = 0 THEN 'ZZZ' ELSE 'LIG' END"}
 FILE_SQL = f"""
-{L_SQL}, f AS (SELECT structure_id, rpad('HEADER', 62, ' ') || CASE WHEN substr(structure_id, 2)::BIGINT % 7 = 0 THEN 'XXXX' ELSE structure_id END || chr(10) || string_agg({LINE_SQL}, chr(10) ORDER BY line_no) AS t,
+{L_SQL}, f AS (SELECT structure_id, rpad('HEADER', 62, ' ') || CASE WHEN substr(structure_id, 2)::BIGINT % 7 = 0 THEN 'XXXX' ELSE structure_id END || chr(10) || string_agg({LINE_SQL}, chr(10) ORDER BY line_no, {LINE_SQL}) AS t,
   count(*) AS atom_count, bool_or(record = 'HETATM' AND resname = 'LIG') AS lig FROM l GROUP BY structure_id),
 m AS (SELECT x.structure_id, comp_id, t IS NOT NULL AS downloaded, sha256(t) AS sha256, strlen(t)::BIGINT AS bytes, atom_count, CASE WHEN t IS NOT NULL THEN substr(x.structure_id, 2)::BIGINT % 7 <> 0 AND length(x.structure_id) <= 4 ELSE false END AS id_match, coalesce(lig AND comp_id = 'LIG', false) AS ligand_found
   FROM (SELECT {', '.join(f'{e} AS {c}' for c, e in EXPECTED.items())} FROM supplier) x LEFT JOIN f USING (structure_id)),
