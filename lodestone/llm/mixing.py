@@ -3,7 +3,11 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, materialised
+from lodestone.llm.common import WORD, materialised, refuse_clash
+from lodestone.operators.stats import rank
+
+#: Key buckets for each step of e in the key.
+BUCKETS = 200
 
 
 def n_words(text: str) -> Column:
@@ -23,27 +27,33 @@ def uniform(seed: str, *columns: str) -> Column:
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") + 0.5) / F.lit(float(1 << 52))
 
 
-def targets(sizes: DataFrame, max_epochs: float) -> DataFrame:
+def targets(sizes: DataFrame, max_epochs: float, most_rounds: int = 100) -> DataFrame:
     """Targets of sources (source, source_size): the whole size shared by weight 1, 2, 3, repeating.
 
-    A target stops at ``max_epochs`` times its source's size; the excess goes to
-    the others by weight.  With sources in order of cap by weight, those before
-    the water level are at their caps.  One row a source, so the windows are small.
+    A target stops at ``max_epochs`` times its source's size; the excess goes to the
+    others by weight.  Each round sums what is capped at the present water level and
+    finds the next level, which only rises, until the same sources are capped.  Ranks
+    and sums are distributed, so there may be as many sources as there are hosts.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    w = sizes.withColumn("weight", ((F.row_number().over(order) - 1) % 3 + 1).cast("double"))
-    w = w.withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
-    by = Window.orderBy((F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    every = Window.partitionBy()
-    w = w.withColumn("capped", F.coalesce(F.sum("cap").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    w = w.withColumn("open_weight", F.sum("weight").over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-    w = w.withColumn("level", (F.sum("source_size").over(every) - F.col("capped")) / F.col("open_weight"))
-    ok = F.col("level") * F.col("weight") <= F.col("cap")
-    w = w.withColumn("water", F.min(F.when(ok, F.struct(F.col("cap") / F.col("weight"), "level"))).over(every)["level"])
-    return w.select("source", "source_size", F.least(F.col("cap"), F.col("water") * F.col("weight")).alias("target"))
-
-
-def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", *, seed: str = "mix", max_epochs: float = 3.0, keep=(), buckets: int = 1024, most_broadcast: int = 200_000) -> DataFrame:
+    # code points in UTF-8 order; null sources are behind all others
+    order = F.when(F.col("source").isNotNull(), F.lit("0")).otherwise(F.lit("1"))
+    w = rank(sizes.withColumn("_order", F.concat(order, F.coalesce("source", F.lit("")))), "_order", ties="min", out="_rank").drop("_order")
+    w = w.withColumn("weight", ((F.col("_rank") - 1) % 3 + 1).cast("double")).drop("_rank")
+    w = materialised(w.withColumn("cap", F.col("source_size") * F.lit(float(max_epochs))))
+    total = w.agg(F.sum("source_size").alias("n")).first()["n"] or 0
+    level, before = 0.0, None
+    for _ in range(most_rounds):
+        capped = F.col("cap") < F.lit(level) * F.col("weight")
+        now = w.agg(F.count_if(capped).alias("n"), F.coalesce(F.sum(F.when(capped, F.col("cap"))), F.lit(0.0)).alias("cap"), F.coalesce(F.sum(F.when(~capped, F.col("weight"))), F.lit(0.0)).alias("weight")).first()
+        if before is not None and now["n"] == before or not now["weight"]:
+            break
+        level, before = (total - now["cap"]) / now["weight"], now["n"]
+    else:
+        raise RuntimeError(f"targets did not settle in {most_rounds} rounds")
+    return w.select("source", "source_size", F.least(F.col("cap"), F.lit(level) * F.col("weight")).alias("target"))
+
+
+def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", *, seed: str = "mix", max_epochs: float = 3.0, keep=(), most_broadcast: int = 200_000) -> DataFrame:
     """Rows of ``docs`` with how many of their words a mixture takes.
 
     Each source's target buys ``floor(target / size)`` complete epochs; the rest
@@ -52,19 +62,21 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     taken.  So a source's taken words are its target, rounded down.
 
     The order within a source is a running sum over key buckets first, then one
-    within the bucket in which the budget ends, so no task gets a whole source.
+    within the bucket in which the budget ends.  Buckets are steps of the key's
+    logarithm, whose spread is the same for all weights: none has over about 0.2 % of
+    the documents of one weight, so no task gets a whole source.
 
     Null texts have size 0 and take 0; null sources are one source, the last;
     rows with equal ids share a key and count each; an empty table gives none.
     Returns doc_id, source, size, weight, source_size, target, epochs, part, taken and
     ``keep``; columns of ``keep`` must not have one of these names or ``key``, ``bucket``,
-    ``before_bucket``, ``bucket_size``, ``budget``, ``before``.
+    ``before_bucket``, ``bucket_size``, ``budget``, ``before`` (an error).
     """
+    refuse_clash([c if isinstance(c, str) else "" for c in keep], "doc_id", "source", "size", "weight", "source_size", "target", "epochs", "part", "taken", "key", "bucket", "before_bucket", "bucket_size", "budget", "before")
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"), quality_weight(text).alias("weight"), *keep)
     d = d.withColumn("key", -F.ln(uniform(seed, "doc_id")) / F.col("weight"))
-    # monotone in the key, and about even for weights near 1
-    d = d.withColumn("bucket", F.least(F.lit(buckets - 1), F.floor((1 - F.exp(-F.col("key"))) * buckets)).cast("int"))
-    sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    d = d.withColumn("bucket", F.floor(F.ln("key") * BUCKETS).cast("int"))
+    sums = materialised(d.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")))
     goal = targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), max_epochs)
     goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     goal = goal.withColumn("budget", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
