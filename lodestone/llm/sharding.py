@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import materialised, refuse_clash
+
 #: Bits by which the directory grows in one pass over what is still too large.
 STEP = 12
 MAX_BITS = 48
@@ -19,14 +21,21 @@ def shard(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, max_by
     rows that no bit tells apart (equal ids and texts) and that exceed the limit
     together go to numbered overflow pages, a fixed number to a page.
 
-    Null and empty texts have 0 bytes.  An empty table gives no rows.
-    Returns doc_id, doc_bytes, prefix (bits as text), depth, page, shard_bytes and ``keep``.
+    Texts are hashed once, into a written table of short rows, which later passes read;
+    ``keep`` meets the result by the hash, in one shuffle.
+
+    Null and empty texts have 0 bytes.  An empty table gives no rows.  Rows that repeat
+    count each; the result has a row for each row.
+    Returns doc_id, doc_bytes, prefix (bits as text), depth, page, shard_bytes (of the
+    page) and ``keep``, whose columns must not have one of these names or ``bits``.
     """
     spark = docs.sparkSession
+    refuse_clash(list(keep), "doc_id", "doc_bytes", "prefix", "depth", "page", "shard_bytes", "bits")
     body = F.coalesce(F.col(text), F.lit(""))
     digest = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), body).cast("binary"))
     bits = F.lpad(F.conv(F.substring(digest, 1, MAX_BITS // 4), 16, 2), MAX_BITS, "0")
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.octet_length(body).cast("long").alias("doc_bytes"), bits.alias("bits"), *keep)
+    short = [F.col(doc_id).alias("doc_id"), F.octet_length(body).cast("long").alias("doc_bytes"), bits.alias("bits")]
+    d = materialised(docs.select(*short))
     total = d.agg(F.coalesce(F.sum("doc_bytes"), F.lit(0)).alias("n")).first()["n"]
     entries, rest, depth = None, d, 0
     if total <= max_bytes:
@@ -50,18 +59,26 @@ def shard(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, max_by
             rest = rest.withColumn("cell", F.substring("bits", 1, depth)).join(large.hint("shuffle_hash"), "cell", "left_semi").drop("cell")
     # a document looks its entry up at the depths that the directory has
     depths = [r["depth"] for r in entries.select("depth").distinct().collect()]
+    entries = materialised(entries)
     probes = F.transform(F.array(*[F.lit(x) for x in sorted(depths)]), lambda k: F.substring(F.col("bits"), F.lit(1), k))
-    located = d.withColumn("prefix", F.explode(probes)).join(entries.hint("shuffle_hash"), "prefix") if depths else d.withColumns({"prefix": F.lit(""), "depth": F.lit(0), "shard_bytes": F.lit(0).cast("long")})
+    if depths:
+        located = d.withColumn("prefix", F.explode(probes)).join(entries.hint("shuffle_hash"), "prefix")
+    else:
+        located = d.withColumns({"prefix": F.lit(""), "depth": F.lit(0), "shard_bytes": F.lit(0).cast("long")})
+    if keep:
+        of = located.groupBy("bits").agg(*[F.first(c).alias(c) for c in ("prefix", "depth", "shard_bytes")])
+        located = docs.select(*short, *keep).join(of.hint("merge"), "bits")
     full = F.col("depth") == MAX_BITS
     # rows that no bit tells apart are equal, so a page has a fixed number of them
     w = Window.partitionBy("prefix")
     most = F.greatest(F.lit(1), F.floor(F.lit(max_bytes) / F.greatest(F.max("doc_bytes").over(w), F.lit(1))))
     page = F.floor((F.row_number().over(w.orderBy("doc_id")) - 1) / most).cast("int")
-    cols = ["doc_id", "doc_bytes", "prefix", "depth", "shard_bytes", *keep]
-    return located.filter(~full).select(*cols, F.lit(0).alias("page")).unionByName(located.filter(full).withColumn("page", page).select(*cols, "page"))
+    paged = located.filter(full).withColumn("page", page).withColumn("shard_bytes", F.sum("doc_bytes").over(Window.partitionBy("prefix", "page")))
+    cols = ["doc_id", "doc_bytes", "prefix", "depth", "shard_bytes", *keep, "page"]
+    return located.filter(~full).withColumn("page", F.lit(0)).select(*cols).unionByName(paged.select(*cols))
 
 
 def write(docs: DataFrame, path: str, **options) -> None:
     """Writes the shards as Parquet, one folder a shard; hot shards stay one folder of several files."""
-    rows = shard(docs, keep=[c for c in docs.columns if c not in ("doc_id", "doc_bytes", "prefix", "depth", "shard_bytes", "page")], **options)
+    rows = shard(docs, keep=[c for c in docs.columns if c != options.get("doc_id", "doc_id")], **options)
     rows.repartition("prefix", "page").write.partitionBy("prefix", "page").parquet(path)
