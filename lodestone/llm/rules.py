@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, let
+from lodestone.llm.common import WORD, let, refuse_clash
 
 #: The rules in bit order: name and failure test on the measurements.
 RULES = [
@@ -44,7 +44,14 @@ def covered_by_repeats(words: Column, window: int) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep=(), window: int = 8) -> DataFrame:
-    """Measurements of every text in one pass without a shuffle; null: as empty."""
+    """Measurements of every text in one pass without a shuffle.
+
+    Null texts are as empty ones: all measurements 0.  Repeated rows and rows of one id
+    get a row each, equal texts equal measurements; there is no order, so no ties.  An
+    empty table gives no rows.  Columns of ``keep`` must not have one of the result's
+    names (an error).
+    """
+    refuse_clash(list(keep), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "failed", "kept", "_text")
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), *keep)
 
     def long(c):
@@ -61,7 +68,11 @@ def measure(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep=()
 
 
 def ledger(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep=()) -> DataFrame:
-    """Measurements and ``failed``, in which bit k is set if rule k fails."""
+    """Measurements and ``failed``, in which bit k is set if rule k fails.
+
+    Nulls, repeated rows, empty tables and clashing names: as ``measure``; a null or
+    empty text fails the rule on length.
+    """
     bits = [F.when(test(), F.lit(BIT[name])).otherwise(0) for name, test in RULES]
     mask = bits[0]
     for b in bits[1:]:
@@ -75,7 +86,7 @@ def apply_policy(rows: DataFrame, version: str) -> DataFrame:
 
 
 def ablations(rows: DataFrame, version: str) -> DataFrame:
-    """For each rule of a policy: documents it rejects, and those that only it rejects."""
+    """For each rule of a policy: documents it rejects, and those that only it rejects; an empty table: all 0."""
     mask = POLICIES[version]
     failed = F.col("failed").bitwiseAND(F.lit(mask))
     used = [(n, b) for n, b in BIT.items() if b & mask]
