@@ -1,108 +1,206 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words are first tagged: insults by learned weighted patterns (word beginnings),
-threats, targets, negation and reported speech by short lists.  Three transducers
-then run in step over each clause and mark what is negated, reported or aimed at
-someone; every insult or threat leaves the composition as a match of one of 16
-kinds.  A document's score is a logistic function of its matches' weights by kind.
+A lexical step gives each word a tag and a weight: insults by learned weighted
+patterns (word beginnings), threats by stems, targets, negations and verbs of saying
+by short lists.  Transducers for negation, reported speech and targets each rewrite
+the tags that they read; a last one takes insults and threats together to the kind of
+the whole clause.  They are composed to one machine, which runs once over a clause.
+A document's score is a logistic function of the weights of its matched clauses by
+kind.
 """
 
 import re
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialised, text_slices
+from lodestone.llm.common import drop_written, materialised, refuse_clash, text_slices
 from lodestone.llm.quality import first_by_hash
 
-# Fixed word lists of the grammar, by tag.
-THREATS = {"kill", "murder", "hurt", "destroy", "strangle", "töten", "umbringen", "vernichten", "tuer", "détruire", "frapper", "matar", "destruir", "golpear"}
+# Fixed word lists of the grammar, by tag; threats are stems with at most ENDING letters behind.
+THREATS = ("kill", "murder", "hurt", "destroy", "strangl", "töte", "umbring", "vernicht", "tuer", "détrui", "frapp", "matar", "destrui", "golpe")
 TARGETS = {"you", "your", "yourself", "they", "he", "she", "them", "du", "dich", "dein", "ihr", "euch", "tu", "toi", "vous", "usted", "ustedes", "tú", "él", "ella"}
 NEGATIONS = {"not", "never", "no", "isn", "aren", "nicht", "kein", "keine", "nie", "pas", "jamais", "nunca", "jamás"}
 REPORTS = {"said", "says", "called", "claimed", "quoted", "wrote", "sagte", "schrieb", "nannte", "dit", "écrit", "appelé", "dijo", "escribió", "llamó"}
+ENDING = 4
+THREAT_WEIGHT = 3.0
 
 WORDS = re.compile(r"[^\W\d_]+")
 CLAUSES = re.compile(r"[.!?;:\n]+")
 SHORTEST, LONGEST = 4, 8  # letters of a beginning; whole words have SHORTEST_WORD at least
 SHORTEST_WORD = 2
-LISTED = THREATS | TARGETS | NEGATIONS | REPORTS
 NEGATION_SCOPE, TARGET_SCOPE = 3, 4
 KINDS = 16
 
+#: Tags, and what the transducers add to them.
+PLAIN, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+DENIED, TOLD, AIMED = 8, 16, 32
+
+
+def listed(word: str) -> int:
+    """The tag of a word by the fixed lists."""
+    if word in TARGETS:
+        return TARGET
+    if word in NEGATIONS:
+        return NEGATION
+    if word in REPORTS:
+        return REPORT
+    return THREAT if any(word.startswith(x) and len(word) - len(x) <= ENDING for x in THREATS) else PLAIN
+
+
+def tag(word: str, lexicon: dict) -> tuple[int, float]:
+    """The lexical transducer: a word's tag and weight, by its longest pattern."""
+    if (weight := lexicon.get(word + "$")) is not None:
+        return INSULT, weight
+    for k in range(min(len(word), LONGEST), SHORTEST - 1, -1):
+        if (weight := lexicon.get(word[:k])) is not None:
+            return INSULT, weight
+    kind = listed(word)
+    return kind, THREAT_WEIGHT if kind == THREAT else 0.0
+
+
+class Transducer:
+    """A deterministic transducer: ``arcs[state][symbol]`` is (next state, output); ``names`` are the states.
+
+    Built from a start state and ``step(state, symbol)`` over all states that
+    the alphabet reaches; state 0 is the start.
+    """
+
+    def __init__(self, start, step, alphabet):
+        number, self.names, self.arcs = {start: 0}, [start], []
+        for state in self.names:
+            row = {}
+            for x in alphabet:
+                after, out = step(state, x)
+                if after not in number:
+                    number[after] = len(self.names)
+                    self.names.append(after)
+                row[x] = number[after], out
+            self.arcs.append(row)
+        self.alphabet = alphabet
+        self.outputs = sorted({out for row in self.arcs for _, out in row.values()})
+
+    def then(self, step, start) -> "Transducer":
+        """The composition with a transducer that reads this one's output."""
+        second = Transducer(start, step, self.outputs)
+
+        def both(state, x):
+            s, y = self.arcs[state[0]][x]
+            t, z = second.arcs[state[1]][y]
+            return (s, t), z
+
+        out = Transducer((0, 0), both, self.alphabet)
+        out.names = [second.names[t] for _, t in out.names]
+        return out
+
+
+def negation(state: int, x: int) -> tuple[int, int]:
+    """Adds DENIED to up to NEGATION_SCOPE words after a negation."""
+    if x & 7 == NEGATION:
+        return NEGATION_SCOPE, x
+    return max(state - 1, 0), x | DENIED if state else x
+
+
+def reported(state: int, x: int) -> tuple[int, int]:
+    """Adds TOLD to all that follows a verb of saying."""
+    return int(state or x & 7 == REPORT), x | TOLD if state else x
+
+
+def targeted(state: tuple[int, int], x: int) -> tuple[tuple[int, int], int]:
+    """Adds AIMED to an insult or threat after a target, or to a target after an insult or threat, TARGET_SCOPE words at most."""
+    target, hit = state
+    kind = x & 7
+    after = (TARGET_SCOPE if kind == TARGET else max(target - 1, 0), TARGET_SCOPE if kind in (INSULT, THREAT) else max(hit - 1, 0))
+    aimed = target if kind in (INSULT, THREAT) else hit if kind == TARGET else 0
+    return after, x | AIMED if aimed else x
+
+
+def clause_kind(state: int, x: int) -> tuple[int, int]:
+    """Takes a clause to its kind, -1 without a match: 8 if it threatens, 4 if all its matches are denied, 2 if all are told, 1 if one is aimed."""
+    kind = x & 7
+    if kind in (INSULT, THREAT):
+        old = 6 if state < 0 else state
+        state = (old & 9) | 8 * (kind == THREAT) | (old & 6 & (4 * bool(x & DENIED) + 2 * bool(x & TOLD)))
+    if state >= 0 and x & AIMED:
+        state |= 1
+    return state, state
+
+
+@cache
+def context() -> Transducer:
+    """Negation, then reported speech."""
+    return Transducer(0, negation, range(6)).then(reported, 0)
+
+
+@cache
+def grammar() -> Transducer:
+    """The whole composition; the name of the state at a clause's end is its kind."""
+    return context().then(targeted, (0, 0)).then(clause_kind, -1)
+
 
 def plain_words(text: str) -> set:
     """The distinct words that are neither negated nor reported."""
     out: set = set()
+    arcs = context().arcs
     for clause in CLAUSES.split(text.lower()):
         words = WORDS.findall(clause)
         if not any(w in NEGATIONS or w in REPORTS for w in words):
             out.update(words)
             continue
-        n = r = 0
+        state = 0
         for w in words:
-            kind = "negation" if w in NEGATIONS else "report" if w in REPORTS else ""
-            n, is_negated = negation(n, kind)
-            r, is_reported = reported(r, kind)
-            if not (is_negated or is_reported):
+            state, x = arcs[state][listed(w)]
+            if not x & (DENIED | TOLD):
                 out.add(w)
     return out
 
 
 def beginnings(text: str) -> set:
     """What patterns may match: the distinct plain words that no list has, each with ``$`` behind, and their beginnings."""
-    words = plain_words(text) - LISTED
+    words = {w for w in plain_words(text) if listed(w) == PLAIN}
     return {w[:k] for w in words for k in range(SHORTEST, min(len(w), LONGEST) + 1)} | {w + "$" for w in words if SHORTEST_WORD <= len(w) <= 2 * LONGEST}
 
 
-def tag(word: str, lexicon: dict) -> tuple[str, float]:
-    if (weight := lexicon.get(word + "$")) is not None:
-        return "insult", weight
-    for k in range(min(len(word), LONGEST), SHORTEST - 1, -1):
-        if (weight := lexicon.get(word[:k])) is not None:
-            return "insult", weight
-    for name, words in (("threat", THREATS), ("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS)):
-        if word in words:
-            return name, 3.0
-    return "", 0.0
-
-
-def negation(state: int, kind: str) -> tuple[int, bool]:
-    """Marks up to NEGATION_SCOPE words after a negation."""
-    return (NEGATION_SCOPE, False) if kind == "negation" else (max(state - 1, 0), state > 0)
-
-
-def reported(state: int, kind: str) -> tuple[int, bool]:
-    """Marks what follows a verb of saying, to the end of the clause."""
-    return max(state, int(kind == "report")), bool(state)
-
-
-def targeted(state: int, kind: str) -> tuple[int, bool]:
-    """Marks up to TARGET_SCOPE words after a target."""
-    return (TARGET_SCOPE, True) if kind == "target" else (max(state - 1, 0), state > 0)
-
-
-def matches(text: str, lexicon: dict) -> np.ndarray:
-    """Summed weights of the matches of each kind in a whole text."""
-    out = np.zeros(KINDS)
+def clauses(text: str, lexicon: dict, tags: dict) -> list[tuple[int, float]]:
+    """Kind and weight of each matched clause of a whole text; ``tags`` keeps the tags of words seen so far."""
+    found: list = []
     low = text.lower()
-    starts, threat = {p.rstrip("$")[:SHORTEST] for p in lexicon}, THREATS
-    if not any(w[:SHORTEST] in starts or w in threat for w in set(WORDS.findall(low))):
-        return out
+    for w in set(WORDS.findall(low)).difference(tags):
+        tags[w] = tag(w, lexicon)
+    machine = None
     for clause in CLAUSES.split(low):
-        n = r = t = 0
-        for word in WORDS.findall(clause):
-            kind, weight = tag(word, lexicon)
-            n, is_negated = negation(n, kind)
-            r, is_reported = reported(r, kind)
-            t, is_targeted = targeted(t, kind)
-            if kind in ("insult", "threat"):
-                out[8 * (kind == "threat") + 4 * is_negated + 2 * is_reported + is_targeted] += weight
+        of = [tags[w] for w in WORDS.findall(clause)]
+        if weight := sum([w for _, w in of]):
+            machine = machine or grammar()
+            state, arcs = 0, machine.arcs
+            for x, _ in of:
+                state = arcs[state][x][0]
+            found.append((machine.names[state], weight))
+    return found
+
+
+def matches(text: str, lexicon: dict, tags: dict | None = None) -> np.ndarray:
+    """Summed weights of the matched clauses of each kind in a whole text."""
+    out = np.zeros(KINDS)
+    for kind, weight in clauses(text, lexicon, {} if tags is None else tags):
+        out[kind] += weight
     return out
 
 
+def all_matches(texts, lexicon: dict) -> np.ndarray:
+    tags: dict = {}
+    rows = []
+    for t in texts:
+        if len(tags) > 1 << 20:
+            tags.clear()
+        rows.append(matches(t or "", lexicon, tags))
+    return np.array(rows).reshape(-1, KINDS)
+
+
 def _sample(docs, labels, train, text, doc_id, label, most):
     """At most ``most`` labelled training documents of each class, in order of hashed ids."""
     y = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & train)
@@ -120,7 +218,7 @@ def evidence(t: int, c: int, n_toxic: int, n_clean: int) -> float:
     return float(t * np.log(t / ((t + c) * toxic)) + (c * np.log(c / ((t + c) * (1 - toxic))) if c else 0.0))
 
 
-def learn(sample: DataFrame, *, alpha: float = 0.01, times: int = 3, candidates: int = 5000) -> dict:
+def learn(sample: DataFrame, *, alpha: float = 0.01, times: int = 3) -> dict:
     """Weighted insult patterns: word beginnings that cover the toxic documents of a bounded sample.
 
     Only plain uses count, neither negated nor reported, so that a word clean
@@ -161,9 +259,7 @@ def learn(sample: DataFrame, *, alpha: float = 0.01, times: int = 3, candidates:
     clean = {r["pattern"]: r["n"] for r in sample.filter("y = 0").mapInArrow(recount, schema).groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
     weight = {p: float(np.log(((t + 0.5) / (n[1] + 1)) / ((clean.get(p, 0) + 0.5) / (n[0] + 1)))) for p, t in toxic.items()}
     need = np.log(max(len(toxic), 1) / alpha)
-    proof = {p: evidence(t, clean.get(p, 0), n[1], n[0]) for p, t in toxic.items()}
-    top = sorted((p for p in proof if proof[p] >= need), key=lambda p: (-proof[p], p))[:candidates]
-    weight = {p: weight[p] for p in top}
+    weight = {p: w for p, w in weight.items() if evidence(toxic[p], clean.get(p, 0), n[1], n[0]) >= need}
 
     def incidence(batches):
         for part in text_slices(batches):
@@ -171,7 +267,8 @@ def learn(sample: DataFrame, *, alpha: float = 0.01, times: int = 3, candidates:
             yield pa.RecordBatch.from_arrays([part.column(2), pa.array(found, pa.list_(pa.string()))], ["id", "patterns"])
 
     # lists for `most` documents at most
-    lists = sample.filter("y = 1").mapInArrow(incidence, "id long, patterns array<string>").orderBy("id", "patterns").collect()
+    kind = sample.schema["_id"].dataType.simpleString()
+    lists = sample.filter("y = 1").mapInArrow(incidence, f"id {kind}, patterns array<string>").orderBy("id", "patterns").collect()
     holders: dict[str, set] = {}
     for k, r in enumerate(lists):
         for p in r["patterns"]:
@@ -200,13 +297,15 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, text: str = "text", d
     """
     sample = materialised(_sample(docs, labels, train, text, doc_id, label, most))
     lexicon = learn(sample)
+    kind = sample.schema["_id"].dataType.simpleString()
 
     def run(batches):
         for part in text_slices(batches):
-            x = [np.log1p(matches(t or "", lexicon)) for t in part.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), part.column(1), part.column(2)], ["x", "y", "id"])
+            x = np.log1p(all_matches(part.column(0).to_pylist(), lexicon))
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), part.column(1), part.column(2)], ["x", "y", "id"])
 
-    rows = sample.mapInArrow(run, "x array<double>, y int, id long").orderBy("id", "x").toPandas()
+    rows = sample.mapInArrow(run, f"x array<double>, y int, id {kind}").orderBy("id", "x").toPandas()
+    drop_written(sample)
     w, b = np.zeros(KINDS), 0.0
     if rows["y"].nunique() == 2:
         x, y = np.stack(rows["x"]), rows["y"].to_numpy()
@@ -229,15 +328,16 @@ def score(docs: DataFrame, model: dict, text: str = "text", keep=()) -> DataFram
     """``score`` (0 to 1), ``predicted`` and ``match_weight`` of every whole text, without a shuffle.
 
     Null and empty texts have no match.  Repeated rows get equal scores; an empty
-    table gives no rows.
+    table gives no rows.  Columns of ``keep`` must not have one of the result's names.
     """
     d = docs.select(F.col(text).alias("_text"), *keep)
+    refuse_clash(d.columns[1:], "_text", "score", "predicted", "match_weight")
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[1:]]
     lexicon, w, b = model["lexicon"], model["w"], model["b"]
 
     def run(batches):
         for part in text_slices(batches, "_text"):
-            x = np.array([matches(t or "", lexicon) for t in part.column(0).to_pylist()])
+            x = all_matches(part.column(0).to_pylist(), lexicon)
             p = 1 / (1 + np.exp(-np.clip(np.log1p(x) @ w + b, -30, 30)))
             yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(x.sum(1))], [*part.schema.names[1:], "score", "predicted", "match_weight"])
 
