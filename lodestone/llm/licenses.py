@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import let
+from lodestone.llm.common import let, materialised
 
 #: Phrases that count wherever their words stand consecutively, and their labels.
 PHRASES = [
@@ -25,10 +25,11 @@ NOTICES = [
 #: What separates words, after lower-casing.
 SEPARATOR = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 K = 3
+MOST_POSITIONS = 100_000  # of templates, that are broadcast
 
 
 def template_positions(spark: SparkSession, phrases, notices) -> DataFrame:
-    """One row for each k-gram of each template: a few hundred rows, fixed by the arguments."""
+    """One row for each k-gram of each template: of a size fixed by the arguments, which is checked."""
     rows = []
     for exact, group in ((True, phrases), (False, notices)):
         for text, label in group:
@@ -37,22 +38,25 @@ def template_positions(spark: SparkSession, phrases, notices) -> DataFrame:
             if n < 1:
                 raise ValueError(f"a template needs {K} words at least: {text!r}")
             rows += [(len(rows), label, exact, i, n, text, " ".join(words[i : i + K])) for i in range(n)]
+    if len(rows) > MOST_POSITIONS:
+        raise ValueError(f"templates have {len(rows)} positions; {MOST_POSITIONS} at most")
     out = spark.createDataFrame(rows, "row int, label string, exact boolean, t_pos int, n_grams int, template string, gram string")
-    return out.drop("row").withColumn("gram_hash", F.xxhash64("gram"))
+    return out.drop("row").withColumn("gram_hash", F.xxhash64(F.split("gram", " ")))
 
 
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, phrases=None, notices=None, coverage: float = 0.6, drift: int = 3) -> DataFrame:
     """License labels and places for each document.
 
-    Every rolling k-gram of every whole text is joined by hash, and compared as
-    text, to the positions of the templates.  Hits of a document and template vote
-    for their diagonal (word position minus template position).  A phrase stands
-    where one diagonal has all its k-grams.  For a notice, diagonals at most
-    ``drift`` apart are one span, and a span is verified if it holds ``coverage``
-    of the template's k-grams and is not much longer than the template.
+    Every rolling k-gram of every whole text is hashed where it stands, and those with
+    a hash of a template's are joined by hash, and compared as text, to the positions
+    of the templates.  Hits of a document and template vote for their diagonal (word
+    position minus template position).  A phrase stands where one diagonal has all its
+    k-grams.  For a notice, diagonals at most ``drift`` apart are one span, and a span
+    is verified if it holds ``coverage`` of the template's k-grams and is not much
+    longer than the template.
 
-    The templates are arguments of a fixed small size, so they are broadcast;
-    texts never move: only hits, and one short row a document, are shuffled.
+    The templates are arguments of a bounded size, so they are broadcast; texts are
+    read once and never move: one short row a document, with its hits, is written.
 
     Null and empty texts have no words and no label.  Rows that repeat an id and
     text get equal results; rows that share an id only are scanned on their own.
@@ -62,10 +66,16 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, phrases
     # The Kelvin sign is the one character that lower() would turn into an ASCII letter.
     raw = F.lower(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("K"), F.lit("å")))
     words = F.filter(F.split(raw, SEPARATOR), lambda w: w != "")
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), words.alias("words"))
-    grams = let(F.col("words"), lambda w: F.when(F.size(w) < K, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(w) - K + 1), lambda i: F.array_join(F.slice(w, i, K), " "))))
-    rolled = base.select("doc_id", "text_hash", F.posexplode(grams).alias("pos", "gram"))
-    rolled = rolled.withColumn("gram_hash", F.xxhash64("gram"))
+    known = [r["gram_hash"] for r in t.select("gram_hash").distinct().collect()]
+
+    def places_of(w):
+        at = F.when(F.size(w) < K, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.size(w) - K + 1))
+        hit = F.filter(at, lambda i: F.xxhash64(F.slice(w, i, K)).isin(known))
+        return F.struct(F.size(w).alias("n_words"), F.transform(hit, lambda i: F.struct((i - 1).alias("pos"), F.slice(w, i, K).alias("gram"))).alias("hits"))
+
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), let(words, places_of).alias("w"))
+    base = materialised(base.select("doc_id", "text_hash", F.col("w.n_words").cast("long").alias("n_words"), "w.hits"))
+    rolled = base.select("doc_id", "text_hash", F.inline("hits")).withColumn("gram_hash", F.xxhash64("gram")).withColumn("gram", F.array_join("gram", " "))
     hits = rolled.join(F.broadcast(t), ["gram_hash", "gram"])
     # repeated rows vote for the same template positions, which are counted once
     key = ["doc_id", "text_hash", "template", "label", "exact", "n_grams"]
@@ -87,7 +97,7 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, phrases
         F.max("score").alias("score"),
         F.sort_array(F.collect_set(F.struct("start", "stop", "label"))).alias("spans"),
     )
-    rows = base.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words")).alias("d")
-    out = rows.join(per.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.text_hash") == F.col("p.text_hash")), "left")
+    rows = base.select("doc_id", "text_hash", "n_words").alias("d")
+    out = rows.join(per.hint("merge").alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.text_hash") == F.col("p.text_hash")), "left")
     none = lambda c, v: F.coalesce(F.col(c), F.lit(v)).alias(c)
     return out.select("d.doc_id", "n_words", none("n_base", 0), F.col("first_word").cast("long"), F.col("last_word").cast("long"), none("base_labels", ""), none("labels", ""), none("score", 0.0), "spans")
