@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import fingerprint, langid, licenses, mixing, ngram_join, packing, quality, rules, sharding, toxicity
+from lodestone.llm import fingerprint, hard_negatives, langid, licenses, mixing, ngram_join, packing, quality, rules, sharding, toxicity
 from lodestone.llm.common import documents, fold, labels
 
 
@@ -58,6 +58,12 @@ def op10_license_scan(spark, sf_dir):
     return licenses.scan(documents(spark, sf_dir)).drop("spans")
 
 
+def op11_hard_negatives(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0, label=label)
+
+
 def _op10_sql() -> str:
     rows = [(text, label, exact) for exact, group in (("true", licenses.PHRASES), ("false", licenses.NOTICES)) for text, label in group]
     values = ", ".join(f"('{t}', '{label}', {exact})" for t, label, exact in rows)
@@ -135,6 +141,17 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c.component_id
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT node, min(far) AS component_id FROM r GROUP BY node) c ON c.node = d.doc_id
 """
 
+OP11_SQL = """
+WITH e AS (SELECT vec_id AS id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.id <> b.id WHERE a.id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INT AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 5
+"""
+
+
 def op9_sql(max_bytes: int) -> str:
     return rf"""
 WITH d AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS doc_bytes, lpad(bin(('0x' || substr(md5('shard|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 12))::BIGINT), {sharding.MAX_BITS}, '0') AS bits FROM documents),
@@ -144,5 +161,5 @@ SELECT doc_id, doc_bytes, prefix, depth::INT AS depth, n AS shard_bytes, 0 AS pa
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_quality_rules, op4_language_id, op5_packing, op6_document_fingerprints, op7_mixing, op8_quality_classifier, op9_sharding, op10_license_scan)}
-ORACLE = {"op1_ngram_jaccard_join": OP1_SQL, "op9_sharding": op9_sql(SHARD_BYTES), "op3_quality_rules": OP3_SQL, "op7_mixing": OP7_SQL, "op10_license_scan": _op10_sql()}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_quality_rules, op4_language_id, op5_packing, op6_document_fingerprints, op7_mixing, op8_quality_classifier, op9_sharding, op10_license_scan, op11_hard_negatives)}
+ORACLE = {"op1_ngram_jaccard_join": OP1_SQL, "op9_sharding": op9_sql(SHARD_BYTES), "op3_quality_rules": OP3_SQL, "op7_mixing": OP7_SQL, "op10_license_scan": _op10_sql(), "op11_hard_negatives": OP11_SQL}
