@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import fingerprint, hard_negatives, langid, licenses, mixing, ngram_join, packing, quality, rules, sharding, toxicity
+from lodestone.llm import crosstok, fingerprint, hard_negatives, langid, licenses, mixing, ngram_join, packing, quality, rules, sharding, toxicity
 from lodestone.llm.common import documents, fold, labels
 
 
@@ -64,6 +64,10 @@ def op11_hard_negatives(spark, sf_dir):
     return hard_negatives.mine(rows, F.col("id") % 100 == 0, label=label)
 
 
+def op13_cross_tokenizer(spark, sf_dir):
+    return crosstok.align(documents(spark, sf_dir))
+
+
 def _op10_sql() -> str:
     rows = [(text, label, exact) for exact, group in (("true", licenses.PHRASES), ("false", licenses.NOTICES)) for text, label in group]
     values = ", ".join(f"('{t}', '{label}', {exact})" for t, label, exact in rows)
@@ -161,5 +165,5 @@ SELECT doc_id, doc_bytes, prefix, depth::INT AS depth, n AS shard_bytes, 0 AS pa
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_quality_rules, op4_language_id, op5_packing, op6_document_fingerprints, op7_mixing, op8_quality_classifier, op9_sharding, op10_license_scan, op11_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_quality_rules, op4_language_id, op5_packing, op6_document_fingerprints, op7_mixing, op8_quality_classifier, op9_sharding, op10_license_scan, op11_hard_negatives, op13_cross_tokenizer)}
 ORACLE = {"op1_ngram_jaccard_join": OP1_SQL, "op9_sharding": op9_sql(SHARD_BYTES), "op3_quality_rules": OP3_SQL, "op7_mixing": OP7_SQL, "op10_license_scan": _op10_sql(), "op11_hard_negatives": OP11_SQL}
