@@ -43,7 +43,8 @@ def token_levels(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
     Tasks count their tokens in stretches and hand on those that come at least three
     times, so counts are too low by rare uses only.  They order tokens, so results do
-    not depend on them.  The driver gets 4 MB at most.
+    not depend on them.  They come to the driver by whole levels of frequency from the
+    top, told apart by a count of each level first: HEAVY rows, 4 MB, at most.
     """
 
     def count(batches):
@@ -63,11 +64,16 @@ def token_levels(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield frequent()
 
-    top = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = top.orderBy(F.desc("n"), "token").limit(HEAVY).toPandas().sort_values("token")
+    level = F.least(F.floor(4 * F.log2("n")), F.lit(255)).cast("int")
+    top = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).select("token", level.alias("level"))
+    top = materialised(top)
+    sizes = sorted(((r["level"], r["count"]) for r in top.groupBy("level").count().collect()), reverse=True)
+    kept = [x for (x, _), total in zip(sizes, np.cumsum([c for _, c in sizes])) if total <= HEAVY]
+    rows = top.filter(F.col("level") >= (min(kept) if kept else 256)).toPandas()
+    drop_written(top)
     token = rows["token"].to_numpy(np.int64).astype(np.uint64)
     order = np.argsort(token)
-    return token[order], np.minimum(4 * np.log2(np.maximum(rows["n"].to_numpy(float), 1)), 255).astype(np.uint8)[order]
+    return token[order], rows["level"].to_numpy(np.uint8)[order]
 
 
 def levels_of(tokens: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -126,24 +132,35 @@ def blocks(classes: DataFrame, size: int) -> DataFrame:
     return small.unionByName(slot.unionByName(pivot).distinct()).select("cls", F.col("cls").alias("component"), "block")
 
 
-def joined_blocks(docs: DataFrame, classes: DataFrame, members: DataFrame, size: int, share: int, written: list, few: int = 0) -> DataFrame:
+def representatives(profile: DataFrame, *columns: str) -> DataFrame:
+    """Classes with ``rep``, the smallest id, and ``text_id`` and ``text_hash``, which name a text of the class.
+
+    An id alone does not: rows may share one, or have none.
+    """
+    one = F.min(F.struct(F.col("doc_id").alias("text_id"), "text_hash"))
+    return profile.filter("n > 0").groupBy("cls", "n", *columns).agg(F.min("doc_id").alias("rep"), one.alias("one")).select("cls", "n", *columns, "rep", "one.*")
+
+
+def joined_blocks(docs: DataFrame, classes: DataFrame, members: DataFrame, size: int, share: int, written: list, few: int = 0, forest=linked) -> DataFrame:
     """Edges (a, b) between components: a spanning forest of each block, from the whole texts of its classes.
 
     Up to ``few`` members are broadcast, so that only their texts move; else all texts
-    are dealt by id.  ``written`` gets a table that is to be dropped later.
+    are dealt by id and hash.  ``written`` gets a table that is to be dropped later.
+    ``forest`` is what links a block's whole sets.
     """
-    wanted = members.join(classes.select("cls", "rep").hint("merge"), "cls")
+    wanted = members.join(classes.select("cls", "text_id", "text_hash").hint("merge"), "cls")
     wanted = materialised(wanted)
     written.append(wanted)
     side = F.broadcast(wanted) if few and wanted.count() <= few else wanted.hint("merge")
-    texts = docs.join(side, docs["doc_id"].eqNullSafe(wanted["rep"])).select("cls", "block", "text", "component")
+    d = docs.select("doc_id", "text", F.xxhash64("text").alias("own_hash"))
+    texts = d.join(side, d["doc_id"].eqNullSafe(wanted["text_id"]) & (d["own_hash"] == wanted["text_hash"])).select("cls", "block", "text", "component")
     ordered = texts.repartition("block").sortWithinPartitions("block", "cls")
 
     def run(batches):
         block, cls, group, sets = None, [], [], []
 
         def done():
-            pairs = linked(sets, share, 4 * BITMAP, np.unique(group, return_inverse=True)[1])
+            pairs = forest(sets, share, 4 * BITMAP, np.unique(group, return_inverse=True)[1])
             a, b = ([cls[p[k]] for p in pairs] for k in (0, 1))
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -153,8 +170,7 @@ def joined_blocks(docs: DataFrame, classes: DataFrame, members: DataFrame, size:
                     if len(sets) > 1:
                         yield done()
                     block, cls, group, sets = at, [], [], []
-                # another text under the same id is not of this class; a repeated row adds nothing
-                if c not in cls[-1:] and len(s) and mix(mix(s).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s)))[0].astype(np.int64) == c:
+                if c not in cls[-1:]:  # a repeated row adds nothing
                     cls.append(c), group.append(g), sets.append(s)
         if len(sets) > 1:
             yield done()
@@ -304,7 +320,7 @@ def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, size
     heavy = token_levels(d, size)
     profile = materialised(profiles(d, size, share, heavy))
     # classes: columns other than the id are equal within one
-    classes = materialised(profile.filter("n > 0").groupBy("cls", "n", "keys", "bits", "wide").agg(F.min("doc_id").alias("rep")))
+    classes = materialised(representatives(profile, "keys", "bits", "wide"))
     members = materialised(blocks(classes, BLOCK))
     comp = materialised(components(joined_blocks(d, classes, members, size, share, written)))
     shared = shared_tokens(profile, comp)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import crosstok, fingerprint, hard_negatives, langid, licenses, mixing, ngram_join, packing, quality, rules, sharding, toxicity
+from lodestone.llm import bottom_k, crosstok, fingerprint, hard_negatives, langid, licenses, mixing, ngram_join, packing, quality, rules, sharding, toxicity
 from lodestone.llm.common import documents, fold, labels
 
 
@@ -64,6 +64,10 @@ def op11_hard_negatives(spark, sf_dir):
     return hard_negatives.mine(rows, F.col("id") % 100 == 0, label=label)
 
 
+def op12_minhash_near_dedup(spark, sf_dir):
+    return bottom_k.groups(documents(spark, sf_dir))
+
+
 def op13_cross_tokenizer(spark, sf_dir):
     return crosstok.align(documents(spark, sf_dir))
 
@@ -156,6 +160,10 @@ WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIF
 """
 
 
+#: The same links on sets of two words.
+OP12_SQL = OP1_SQL.replace("w[i:i+4]", "w[i:i+1]").replace("len(w) - 3, 2", "len(w), 2").replace("c.component_id\nFROM", "c.component_id, d.doc_id = c.component_id AS kept\nFROM")
+
+
 def op9_sql(max_bytes: int) -> str:
     return rf"""
 WITH d AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS doc_bytes, lpad(bin(('0x' || substr(md5('shard|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 12))::BIGINT), {sharding.MAX_BITS}, '0') AS bits FROM documents),
@@ -165,5 +173,5 @@ SELECT doc_id, doc_bytes, prefix, depth::INT AS depth, n AS shard_bytes, 0 AS pa
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_quality_rules, op4_language_id, op5_packing, op6_document_fingerprints, op7_mixing, op8_quality_classifier, op9_sharding, op10_license_scan, op11_hard_negatives, op13_cross_tokenizer)}
-ORACLE = {"op1_ngram_jaccard_join": OP1_SQL, "op9_sharding": op9_sql(SHARD_BYTES), "op3_quality_rules": OP3_SQL, "op7_mixing": OP7_SQL, "op10_license_scan": _op10_sql(), "op11_hard_negatives": OP11_SQL}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_quality_rules, op4_language_id, op5_packing, op6_document_fingerprints, op7_mixing, op8_quality_classifier, op9_sharding, op10_license_scan, op11_hard_negatives, op12_minhash_near_dedup, op13_cross_tokenizer)}
+ORACLE = {"op1_ngram_jaccard_join": OP1_SQL, "op9_sharding": op9_sql(SHARD_BYTES), "op3_quality_rules": OP3_SQL, "op7_mixing": OP7_SQL, "op10_license_scan": _op10_sql(), "op11_hard_negatives": OP11_SQL, "op12_minhash_near_dedup": OP12_SQL}
