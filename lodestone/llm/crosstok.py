@@ -15,6 +15,7 @@ import base64
 import hashlib
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,8 @@ from lodestone.llm.packing import PATTERN
 #: Between the parts of a text that are encoded apart.
 CUT = re.compile("(?<=[!-~]) (?=[A-Za-z])")
 MOST_PARTS = 1 << 18  # that a task remembers
-MOST_IDS = 1 << 23  # of the parts that it remembers
+MOST_IDS = 1 << 22  # of the parts that it remembers
+LINKS = 1 << 18  # scored at once
 MOST_PAIRS = 1 << 20  # counts of id pairs that are shipped to tasks
 SPACE = "▁"
 
@@ -69,14 +71,13 @@ class Tokenizers:
 
     def forget(self) -> None:
         self.part: dict[str, int] = {}
-        self.ids: list[list] = [[], []]
-        self.n = [[], []]  # ids of each part
-        self.equal: list[bool] = []  # whether both spell the part
-        self.flat: list | None = None
+        self.equal = np.zeros(0, bool)  # whether both spell the part
+        #: of A and of B: ids of all parts, how many each has and where its first is
+        self.flat = [(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in range(2)]
 
-    def encode_a(self, text: str) -> np.ndarray:
+    def encode_a(self, text: str) -> list[int]:
         try:
-            return self.fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
+            return self.fast.encode_ordinary(text)
         except BaseException as e:  # some versions panic on very long white space, which is no Exception
             if not isinstance(e, ValueError) and type(e).__name__ != "PanicException":
                 raise
@@ -85,23 +86,27 @@ class Tokenizers:
 
             self.whole = Tokenizer.from_file(self.json)
             self.whole.encode_special_tokens = True
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.int64)
+        return self.whole.encode(text, add_special_tokens=False).ids
 
     def look_up(self, parts: list[str]) -> np.ndarray:
         """Numbers of the parts in this task's table, where new ones are entered."""
         new = [p for p in dict.fromkeys(parts) if p not in self.part]
         if new:
-            for p, b in zip(new, self.model.encode(new, num_threads=1)):
-                a = self.encode_a(" " + p)
-                self.part[p] = len(self.equal)
-                for k, ids in enumerate((a, b)):
-                    self.ids[k].append(np.asarray(ids, np.int64))
-                    self.n[k].append(len(ids))
-                spelt = (" " + p).encode()
-                self.equal.append(all(b"".join([t[i] for i in ids]) == spelt for t, ids in ((self.bytes_a, a), (self.bytes_b, b))))
-            self.flat = None
-        if self.flat is None:
-            self.flat = [(np.concatenate(i) if i else np.zeros(0, np.int64), np.array(n, np.int64), np.r_[0, np.cumsum(n)[:-1]].astype(np.int64)) for i, n in zip(self.ids, self.n)]
+            spelt = [" " + p for p in new]
+            wanted = [p.encode() for p in spelt]
+            size = np.fromiter(map(len, wanted), np.int64, len(new))
+            both, equal = ([self.encode_a(p) for p in spelt], self.model.encode(new, num_threads=1)), np.ones(len(new), bool)
+            for k, (lists, table, sizes) in enumerate(zip(both, (self.bytes_a, self.bytes_b), self.sizes)):
+                n = np.fromiter(map(len, lists), np.int64, len(new))
+                ids = np.fromiter(chain.from_iterable(lists), np.int32, int(n.sum()))
+                total = np.r_[0, np.cumsum(sizes[ids])][np.cumsum(n)]
+                # parts of right lengths that make the right whole are each right
+                if not (total == np.cumsum(size)).all() or b"".join(map(table.__getitem__, ids.tolist())) != b"".join(wanted):
+                    equal &= np.array([b"".join(map(table.__getitem__, x)) == w for x, w in zip(lists, wanted)])
+                old, m, first = self.flat[k]
+                self.flat[k] = np.r_[old, ids], np.r_[m, n], np.r_[first, len(old) + np.cumsum(n) - n]
+            self.part.update(zip(new, range(len(self.equal), len(self.equal) + len(new))))
+            self.equal = np.r_[self.equal, equal]
         return np.fromiter(map(self.part.__getitem__, parts), np.int64, len(parts))
 
 
@@ -144,20 +149,22 @@ class Alignment:
 
     def __init__(self, texts: list[str | None], tokenizers: Tokenizers):
         t = tokenizers
-        if len(t.equal) > MOST_PARTS or sum(map(sum, t.n)) > MOST_IDS:
+        if len(t.equal) > MOST_PARTS or len(t.flat[0][0]) + len(t.flat[1][0]) > MOST_IDS:
             t.forget()
         parts = [CUT.split(x) if x else [] for x in texts]
         number = t.look_up([p for x in parts for p in x])
         n_parts = np.array([len(p) for p in parts], np.int64)
         owner = np.repeat(np.arange(len(texts)), n_parts)
-        good = np.array(t.equal, bool)[number] if len(number) else np.zeros(0, bool)
+        good = t.equal[number]
         spelt = (n_parts > 0) & (np.bincount(owner[~good], minlength=len(texts)) == 0)
         for k in np.flatnonzero((n_parts > 0) & ~spelt):
-            spelt[k] = all(b"".join([b[i] for p in number[owner == k] for i in ids[p]]) == (" " + texts[k]).encode() for b, ids in zip((t.bytes_a, t.bytes_b), t.ids))
+            own = number[owner == k]
+            ids = [flat[spread(start[own], size[own])] for flat, size, start in t.flat]
+            spelt[k] = all(b"".join([b[i] for i in x]) == (" " + texts[k]).encode() for b, x in zip((t.bytes_a, t.bytes_b), ids))
         number, owner = number[spelt[owner]], owner[spelt[owner]]
         self.ids, self.at, self.ends = [], [], []
         for (flat, size, start), sizes in zip(t.flat, t.sizes):
-            ids = flat[spread(start[number], size[number])]
+            ids = flat[spread(start[number], size[number])].astype(np.int64)
             n = np.bincount(owner, weights=size[number], minlength=len(texts)).astype(np.int64)
             self.ids.append(ids)
             self.at.append(np.r_[0, np.cumsum(n)])
@@ -300,18 +307,22 @@ def align(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, vocabu
     pairs = pair_counts(rows)
     keys, counts, best = most_frequent(pairs, most_pairs)
 
+    def scored(batch):
+        links = batch.column(6)
+        flat, size = links.flatten().to_numpy(), links.value_lengths().to_numpy()
+        ends = np.r_[0, np.cumsum(size)]
+        at = np.minimum(np.searchsorted(keys, flat), max(len(keys) - 1, 0))
+        known = keys[at] == flat if len(keys) else np.zeros(len(flat), bool)
+        sums = [np.r_[0, np.cumsum(np.where(known, x[at] if len(keys) else 0, 0), dtype=np.int64)][ends] for x in (best, counts)]
+        rest = np.r_[0, np.cumsum(~known)][ends]
+        return pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(6)], *[pa.array(np.diff(x)) for x in sums], pa.ListArray.from_arrays(pa.array(rest, pa.int32()), pa.array(flat[~known]))], [*batch.schema.names[:6], "n_best", "count_sum", "rest"])
+
     def run(batches):
         for batch in batches:
-            links = batch.column(6)
-            flat, size = links.flatten().to_numpy(), links.value_lengths().to_numpy()
-            owner = np.repeat(np.arange(batch.num_rows), size)
-            at = np.minimum(np.searchsorted(keys, flat), max(len(keys) - 1, 0))
-            known = keys[at] == flat if len(keys) else np.zeros(len(flat), bool)
-            total, top = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            np.add.at(total, owner[known], counts[at[known]] if len(keys) else 0)
-            np.add.at(top, owner[known], best[at[known]] if len(keys) else 0)
-            rest = np.r_[0, np.cumsum(np.bincount(owner[~known], minlength=batch.num_rows))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(6)], pa.array(top), pa.array(total), pa.ListArray.from_arrays(pa.array(rest, pa.int32()), pa.array(flat[~known]))], [*batch.schema.names[:6], "n_best", "count_sum", "rest"])
+            part = np.cumsum(batch.column(4).to_numpy()) // LINKS
+            cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                yield scored(batch.slice(s, e - s))
 
     kinds = "row long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string"
     out = materialised(rows.mapInArrow(run, f"{kinds}, n_best long, count_sum long, rest array<long>"))
