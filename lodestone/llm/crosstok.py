@@ -28,8 +28,9 @@ from lodestone.llm.packing import PATTERN
 
 #: Between the parts of a text that are encoded apart.
 CUT = re.compile("(?<=[!-~]) (?=[A-Za-z])")
-MOST_PARTS = 1 << 18  # that a task remembers
-MOST_IDS = 1 << 22  # of the parts that it remembers
+MOST_PARTS = 1 << 17  # that a task remembers
+MOST_IDS = 1 << 21  # of the parts that it remembers
+SLICE = 1 << 19  # bytes of text aligned at once
 LINKS = 1 << 18  # scored at once
 MOST_PAIRS = 1 << 20  # counts of id pairs that are shipped to tasks
 SPACE = "▁"
@@ -233,7 +234,7 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, vocab
 
     def run(batches):
         tokenizers, _ = loaded(vocabularies)
-        for part in text_slices(batches):
+        for part in text_slices(batches, most=SLICE):
             x = Alignment(part.column(1).to_pylist(), tokenizers)
             n = np.diff(x.groups)
             owner = np.repeat(np.arange(part.num_rows), n)
@@ -251,28 +252,35 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, vocab
 
 
 def linked(docs: DataFrame, vocabularies: tuple[str, str]) -> DataFrame:
-    """One row a document: a number of its own, its counts, the hash of its groups and its links as ``a << 32 | b``."""
+    """One row a document: a number of its own, its counts, the hash of its groups and its links.
+
+    A link is the number ``a * (size of B) + b`` of its id pair, an int where all fit.
+    """
+    here = loaded(vocabularies)[0]
+    n_b = len(here.bytes_b)
+    small = len(here.bytes_a) * n_b < 1 << 31
 
     def run(batches):
         tokenizers, words = loaded(vocabularies)
         row = TaskContext.get().partitionId() << 33
-        for part in text_slices(batches):
+        for part in text_slices(batches, most=SLICE):
             x = Alignment(part.column(1).to_pylist(), tokenizers)
             spelt = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in x.texts(words)]
-            links = (x.ids[0][x.common[0]] << 32) | x.ids[1][x.common[1]]
+            links = (x.ids[0][x.common[0]] * n_b + x.ids[1][x.common[1]]).astype(np.int32 if small else np.int64)
             n = part.num_rows
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(row, row + n)), part.column(0), *[pa.array(np.diff(a)) for a in (*x.at, x.groups)], pa.array(spelt, pa.string()), pa.ListArray.from_arrays(pa.array(x.groups, pa.int32()), pa.array(links))],
                 ["row", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links"],
             )
             row += n
+        tokenizers.forget()
 
-    return docs.mapInArrow(run, "row long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links array<long>")
+    return docs.mapInArrow(run, f"row long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links array<{'int' if small else 'long'}>")
 
 
-def pair_counts(links: DataFrame) -> DataFrame:
+def pair_counts(links: DataFrame, n_b: int) -> DataFrame:
     """(pair, n, best): how many links hold each id pair, and whether no pair of its id of B has more."""
-    n = materialised(links.select(F.explode("links").alias("pair")).groupBy("pair").agg(F.count("*").alias("n")).withColumn("b", F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))))
+    n = materialised(links.select(F.explode("links").alias("pair")).groupBy("pair").agg(F.count("*").alias("n")).withColumn("b", F.col("pair") % n_b))
     top = n.groupBy("b").agg(F.max("n").alias("top"))
     out = materialised(n.join(top.hint("merge"), "b").select("pair", "n", (F.col("n") == F.col("top")).alias("best")))
     drop_written(n)
@@ -285,7 +293,7 @@ def most_frequent(pairs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray,
     sizes = sorted(((r["level"], r["count"]) for r in pairs.groupBy(level.alias("level")).count().collect()), reverse=True)
     kept = [x for (x, _), t in zip(sizes, np.cumsum([c for _, c in sizes])) if t <= most]
     rows = pairs.filter(level >= min(kept)).toPandas().sort_values("pair") if kept else pairs.limit(0).toPandas()
-    return rows["pair"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), rows["best"].to_numpy(bool)
+    return rows["pair"].to_numpy(), rows["n"].to_numpy(np.int64), rows["best"].to_numpy(bool)
 
 
 def align(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, vocabularies: tuple[str, str] | None = None, most_pairs: int = MOST_PAIRS) -> DataFrame:
@@ -304,7 +312,7 @@ def align(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, vocabu
     """
     vocabularies = vocabularies or default_vocabularies()
     rows = materialised(linked(source(docs, text, doc_id), vocabularies))
-    pairs = pair_counts(rows)
+    pairs = pair_counts(rows, len(loaded(vocabularies)[0].bytes_b))
     keys, counts, best = most_frequent(pairs, most_pairs)
 
     def scored(batch):
@@ -325,7 +333,7 @@ def align(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, vocabu
                 yield scored(batch.slice(s, e - s))
 
     kinds = "row long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string"
-    out = materialised(rows.mapInArrow(run, f"{kinds}, n_best long, count_sum long, rest array<long>"))
+    out = materialised(rows.mapInArrow(run, f"{kinds}, n_best long, count_sum long, rest {rows.schema['links'].dataType.simpleString()}"))
     written = [rows, pairs]
     rare = out.filter(F.size("rest") > 0).select("row", F.explode("rest").alias("pair"))
     if len(keys) and rare.isEmpty():
