@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.scalar import distance, vector
+from lodestone.functions.storage import drop_written, materialised
 
 
 def _cell(x: Column, edge: float) -> Column:
@@ -67,11 +68,66 @@ def nearest_within(points: DataFrame, probes: DataFrame, cutoff: float, keys=("s
     return near.groupBy(*keys, *[F.col(f"l_{c}").alias(c) for c in by]).agg(F.bround(F.min("dist"), 2).alias("dist"))
 
 
+LEAF = 64  # points of a cell that are compared one by one
+DEEPEST = 24  # halvings of the whole extent
+
+
+def _cells(points: DataFrame, keys: Sequence[str], level: int) -> DataFrame:
+    """The cells of a level that hold points: how many, and the box that they fill."""
+    shift = DEEPEST - level
+    at = [F.shiftright(f"_g{d}", shift).alias(f"_c{d}") for d in "xyz"]
+    box = [f(f"r_{d}").alias(f"_{n}{d}") for d in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]
+    return points.groupBy(*keys, "target", *at).agg(F.count("*").alias("_n"), *box)
+
+
+def _bounds() -> tuple[Column, Column]:
+    """Squares of the least and the largest distance of a point to what is in a box."""
+    near, far = F.lit(0.0), F.lit(0.0)
+    for d in "xyz":
+        x, lo, hi = F.col(f"l_{d}"), F.col(f"_lo{d}"), F.col(f"_hi{d}")
+        gap = F.greatest(lo - x, x - hi, F.lit(0.0))
+        near, far = near + gap * gap, far + F.greatest(F.abs(x - lo), F.abs(x - hi)) ** 2
+    return near, far
+
+
 def min_distance(points: DataFrame, targets: DataFrame, keys=("structure_id",), by: str = "copy", target: str = "target") -> DataFrame:
-    """Smallest distance of each (copy, target) pair: no cutoff, so all pairs of a structure's sides."""
-    a = points.select(*keys, F.col(by).alias("copy"), *[F.col(c).alias(f"l_{c}") for c in "xyz"])
-    b = targets.select(*keys, F.col(target).alias("target"), *[F.col(c).alias(f"r_{c}") for c in "xyz"])
-    return a.join(b, list(keys)).groupBy(*keys, "copy", "target").agg(F.min(distance(vector("l_"), vector("r_"))).alias("dist"))
+    """Smallest distance of each (copy, target) pair of equal keys, without a cutoff.
+
+    A target's points are in cells that are halved, level by level, until none that
+    still counts has over ``LEAF`` points.  At each level a pair keeps the cells that may
+    hold its nearest point: those no farther than the farthest corner of any other.  So
+    its rows are few however many points a target has, where comparing all would
+    grow with their product.  Points that lack a coordinate take no part.
+    """
+    k = list(keys)
+    whole = lambda side: F.col(f"{side}_x").isNotNull() & F.col(f"{side}_y").isNotNull() & F.col(f"{side}_z").isNotNull()
+    a = points.select(*keys, F.col(by).alias("copy"), *[F.col(c).cast("double").alias(f"l_{c}") for c in "xyz"]).filter(whole("l"))
+    b = targets.select(*keys, F.col(target).alias("target"), *[F.col(c).cast("double").alias(f"r_{c}") for c in "xyz"]).filter(whole("r")).distinct()
+    b = materialised(b)
+    extent = b.agg(*[f(f"r_{d}").alias(f"{n}{d}") for d in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    edge = max([(extent[f"hi{d}"] - extent[f"lo{d}"]) if extent[f"lo{d}"] is not None else 0.0 for d in "xyz"]) or 1.0
+    last = (1 << DEEPEST) - 1
+    grid = {f"_g{d}": F.least(F.floor((F.col(f"r_{d}") - F.lit(extent[f"lo{d}"])) / F.lit(edge) * F.lit(float(1 << DEEPEST))), F.lit(last)) for d in "xyz"}
+    b = b.withColumns(grid)
+    pair, cell = [*k, "copy", "target"], ["_cx", "_cy", "_cz"]
+    near, far = _bounds()
+    # a key with a large part of the rows is one key of this join only: a skewed join can be split
+    open_ = materialised(a.join(_cells(b, keys, 0).hint("merge"), k).select(*pair, *[f"l_{d}" for d in "xyz"], *cell, "_n"))
+    level = 0
+    while level < DEEPEST and not open_.filter(F.col("_n") > LEAF).isEmpty():
+        level += 1
+        below = _cells(b, keys, level)
+        below = below.select(*k, "target", *[F.col(c).alias(f"_s{c[-1]}") for c in cell], *[F.shiftright(c, 1).alias(c) for c in cell], "_n", *[f"_{n}{d}" for d in "xyz" for n in ("lo", "hi")])
+        step = open_.drop("_n").join(below.hint("merge"), [*k, "target", *cell]).withColumns({"_near": near, "_far": far})
+        step = materialised(step.select(*pair, *[f"l_{d}" for d in "xyz"], *[F.col(f"_s{d}").alias(f"_c{d}") for d in "xyz"], "_n", "_near", "_far"))
+        least = step.groupBy(*pair).agg(F.min("_far").alias("_least"))
+        nxt = materialised(step.join(least.hint("merge"), pair).filter(F.col("_near") <= F.col("_least") * (1 + 1e-12)).drop("_near", "_far", "_least"))
+        drop_written(open_, step)
+        open_ = nxt
+    shift = DEEPEST - level
+    spots = b.select(*k, "target", *[F.shiftright(f"_g{d}", shift).alias(f"_c{d}") for d in "xyz"], *[f"r_{d}" for d in "xyz"])
+    met = open_.drop("_n").join(spots.hint("merge"), [*k, "target", *cell])
+    return met.groupBy(*pair).agg(F.min(distance(vector("l_"), vector("r_"))).alias("dist"))
 
 
 def disulfides(atoms: DataFrame, cutoff: float = 2.5, keys=("structure_id", "chain")) -> DataFrame:

@@ -6,7 +6,7 @@ shared folder, so lineage stays short and lost executors cost one round.
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.storage import drop_written, materialised
@@ -63,55 +63,97 @@ def shortest_paths(edges: DataFrame, keys: Sequence[str] = (), sources: DataFram
     raise RuntimeError("paths did not settle")
 
 
-def without_tails(bonds: DataFrame, keys: Sequence[str] = (), most_rounds: int = 10_000) -> DataFrame:
-    """Bonds without those to a node of one bond, again and again: what is left holds every ring."""
+def triangles(open_: DataFrame, adjacent: DataFrame, keys: Sequence[str], first: int = 4) -> DataFrame:
+    """Those of the bonds (keys, a1, a2) that are in a ring of three; written.
+
+    The end with fewer neighbours offers them in batches that grow fourfold, and a bond
+    that one closes leaves: in dense graphs most bonds need one small batch.
+    ``adjacent`` has (keys, u, v, place, degree), ``place`` from 0 among u's neighbours.
+    """
     k = list(keys)
-    now = materialised(bonds)
-    n = now.count()
-    for _ in range(most_rounds):
-        ends = both_ways(now, keys).groupBy(*keys, F.col("a1").alias("end")).agg(F.count("*").alias("n")).filter("n = 1").drop("n")
-        rest = now
-        for side in ("a1", "a2"):
-            rest = rest.join(ends.withColumnRenamed("end", side), [*k, side], "left_anti")
-        rest = materialised(rest.select(*bonds.columns))
-        left = rest.count()
-        drop_written(now)
-        now = rest
-        if left == n:
-            return now
-        n = left
-    raise RuntimeError("tails did not settle")
+    degree = adjacent.filter("place = 0").select(*k, "u", "degree")
+    side = lambda c: degree.withColumnsRenamed({"u": c, "degree": f"d_{c}"}).hint("merge")
+    o = open_.join(side("a1"), [*k, "a1"]).join(side("a2"), [*k, "a2"])
+    low = F.col("d_a1") <= F.col("d_a2")
+    o = materialised(o.select(*k, "a1", "a2", F.when(low, F.col("a1")).otherwise(F.col("a2")).alias("s"), F.when(low, F.col("a2")).otherwise(F.col("a1")).alias("t"), F.least("d_a1", "d_a2").alias("most")))
+    closed, start = [], 0
+    while not o.isEmpty():
+        size = first if not start else 3 * start
+        batch = adjacent.filter(F.col("place").between(start, start + size - 1)).select(*k, F.col("u").alias("s"), F.col("v").alias("c"))
+        offer = o.join(batch.hint("merge"), [*k, "s"]).filter("c <> t").select(*k, "a1", "a2", "t", "c")
+        pairs = adjacent.select(*k, F.col("u").alias("t"), F.col("v").alias("c"))
+        hit = materialised(offer.join(pairs.hint("merge"), [*k, "t", "c"], "left_semi").select(*k, "a1", "a2").distinct())
+        closed.append(hit)
+        start += size
+        rest = materialised(o.filter(F.col("most") > start).join(hit.hint("merge"), [*k, "a1", "a2"], "left_anti"))
+        drop_written(o)
+        o = rest
+    drop_written(o)
+    out = open_.select(*k, "a1", "a2").limit(0)
+    for x in closed:
+        out = out.unionByName(x)
+    out = materialised(out)
+    drop_written(*closed)
+    return out
 
 
 def ring_sizes(bonds: DataFrame, keys: Sequence[str] = ("mol_id",), most_rounds: int = 10_000) -> DataFrame:
     """(keys, a1, a2, ring_size): smallest ring through each bond, of any size; NULL if in none.
 
-    A breadth-first search from one end over all bonds at once, without the bond
-    itself, until the other end or until nothing new is reached; frontiers are
-    distinct nodes, not paths.  Bonds go both ways, so a node that was seen is in the
-    last two frontiers.  Tails are in no ring and would search all the rest, so they
-    go first.
+    Rings of three are found first, see ``triangles``.  Each other bond is searched from
+    both of its ends at once, without the bond itself: in each round the end that has
+    seen fewer nodes goes on by one bond, over all bonds at once.  A ring is found
+    where the two last frontiers meet; a bond of which an end finds nothing new is in no
+    ring, after work of the smaller side only, so tails and bridges are cheap.
+    Frontiers are distinct nodes, not paths; bonds go both ways, so a node that was seen
+    is in the last two frontiers of its end.  Repeated bonds count once, and bonds of
+    an atom to itself are in no ring.
     """
     k = list(keys)
+    bond = [*k, "a1", "a2"]
     b = materialised(bonds.select(*keys, F.least("a1", "a2").alias("a1"), F.greatest("a1", "a2").alias("a2")).distinct())
-    core = without_tails(b, keys, most_rounds)
-    e = materialised(both_ways(core, keys).select(*keys, F.col("a1").alias("u"), F.col("a2").alias("v")))
-    front, last = materialised(core.select(*keys, "a1", "a2", F.col("a1").alias("at"))), None
-    found = b.limit(0).withColumn("ring_size", F.lit(0))
-    for size in range(2, most_rounds + 2):
-        if front.isEmpty():
-            return b.join(found.groupBy(*keys, "a1", "a2").agg(F.min("ring_size").alias("ring_size")), [*k, "a1", "a2"], "left")
-        step = front.join(e, [*[front[c] == e[c] for c in k], front["at"] == e["u"]]).select(*[front[c] for c in k], "a1", "a2", "u", "v")
-        step = step.filter(~((F.col("u") == F.col("a1")) & (F.col("v") == F.col("a2")))).select(*keys, "a1", "a2", F.col("v").alias("at")).distinct()
-        seen = front if last is None else front.unionByName(last)
-        step = materialised(step.join(seen, [*k, "a1", "a2", "at"], "left_anti"))
-        hit = materialised(step.filter("at = a2").select(*keys, "a1", "a2", F.lit(size).alias("ring_size")))
-        if not hit.isEmpty():
-            found = found.unionByName(hit)
-        new = materialised(step.join(hit.select(*keys, "a1", "a2"), [*k, "a1", "a2"], "left_anti"))
-        drop_written(step, *([] if last is None else [last]))
-        last, front = front, new
-    raise RuntimeError("rings did not settle")
+    real = b.filter("a1 <> a2")
+    w = Window.partitionBy(*keys, "u")
+    adjacent = both_ways(real, keys).withColumnsRenamed({"a1": "u", "a2": "v"})
+    adjacent = materialised(adjacent.withColumns({"place": F.row_number().over(w.orderBy("v")) - 1, "degree": F.count("*").over(w)}))
+    three = triangles(real, adjacent, keys)
+    found = [three.withColumn("ring_size", F.lit(3))]
+    rest = materialised(real.join(three.hint("merge"), bond, "left_anti"))
+    ends = F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("a1").alias("node")), F.struct(F.lit(2).alias("side"), F.col("a2").alias("node"))))
+    state = materialised(rest.withColumn("e", ends).select(*bond, "e.*", F.lit(0).alias("depth"), F.lit(1).cast("long").alias("seen"), F.lit(True).alias("last")))
+    drop_written(rest)
+    for _ in range(most_rounds):
+        if state.isEmpty():
+            break
+        now = state.filter("last")
+        turn = now.groupBy(*bond).agg(F.min(F.struct("seen", "side")).alias("m"), F.max(F.when(F.col("side") == 1, F.col("depth"))).alias("d1"), F.max(F.when(F.col("side") == 2, F.col("depth"))).alias("d2"))
+        turn = materialised(turn.select(*bond, F.col("m.side").alias("turn"), F.col("m.seen").alias("had"), "d1", "d2"))
+        near = adjacent.select(*k, F.col("u").alias("node"), "v")
+        step = now.join(turn.hint("merge"), bond).filter("side = turn").join(near.hint("merge"), [*k, "node"])
+        itself = ((F.col("node") == F.col("a1")) & (F.col("v") == F.col("a2"))) | ((F.col("node") == F.col("a2")) & (F.col("v") == F.col("a1")))
+        step = step.filter(~itself).select(*bond, "side", F.col("v").alias("node")).distinct()
+        step = materialised(step.join(state.select(*bond, "side", "node").hint("merge"), [*bond, "side", "node"], "left_anti"))
+        met = step.withColumn("side", 3 - F.col("side")).join(now.select(*bond, "side", "node").hint("merge"), [*bond, "side", "node"], "left_semi").select(*bond).distinct()
+        met = materialised(met.join(turn.hint("merge"), bond).select(*bond, (F.col("d1") + F.col("d2") + 2).alias("ring_size")))
+        found.append(met)
+        new = step.groupBy(*bond).agg(F.count("*").alias("n")).join(met.select(*bond).hint("merge"), bond, "left_anti")
+        going = materialised(turn.join(new.hint("merge"), bond))
+        fresh = step.join(going.hint("merge"), bond).select(*bond, "side", "node", (F.when(F.col("side") == 1, F.col("d1")).otherwise(F.col("d2")) + 1).alias("depth"), (F.col("had") + F.col("n")).alias("seen"), F.lit(True).alias("last"))
+        # of the end whose turn it was the last frontier becomes the one before; of the other both stay
+        kept = state.join(going.select(*bond, "turn").hint("merge"), bond).filter("side <> turn or last")
+        kept = kept.select(*bond, "side", "node", "depth", "seen", (F.col("last") & (F.col("side") != F.col("turn"))).alias("last"))
+        nxt = materialised(fresh.unionByName(kept))
+        drop_written(state, step, turn, going)
+        state = nxt
+    else:
+        raise RuntimeError("rings did not settle")
+    rings = found[0]
+    for x in found[1:]:
+        rings = rings.unionByName(x)
+    rings = materialised(rings)
+    out = materialised(b.join(rings.hint("merge"), bond, "left"))
+    drop_written(b, adjacent, three, state, rings, *found[1:])
+    return out
 
 
 def centre(edges: DataFrame, candidates: DataFrame, keys: Sequence[str] = ("mol_id",)) -> DataFrame:

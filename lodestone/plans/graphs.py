@@ -41,7 +41,17 @@ def graph_centre(spark, sf_dir):
     return rounded(graph.centre(b, nodes), "radius")
 
 
-@query("ring_bonds")
+#: Walks from one end of a bond that do not use it, no longer than the largest graph.
+RING_SQL = f"""
+WITH RECURSIVE {C_SQL.format(cutoff=0.07)}, f AS (SELECT a1 AS u, a2 AS v FROM c UNION ALL SELECT a2, a1 FROM c), n AS (SELECT max(c) AS most FROM (SELECT count(*) AS c FROM p GROUP BY structure_id)),
+w AS (SELECT mol_id, a1, a2, a1 AS here, 0 AS len FROM c UNION SELECT w.mol_id, w.a1, w.a2, f.v, w.len + 1 FROM w JOIN f ON f.u = w.here
+    WHERE NOT (f.u = w.a1 AND f.v = w.a2) AND NOT (f.u = w.a2 AND f.v = w.a1) AND w.here <> w.a2 AND w.len < (SELECT most FROM n)),
+g AS (SELECT a1, a2, min(len) + 1 AS ring_size FROM w WHERE here = a2 GROUP BY ALL)
+SELECT c.mol_id, c.a1, c.a2, ring_size FROM c LEFT JOIN g ON g.a1 = c.a1 AND g.a2 = c.a2
+"""
+
+
+@query("ring_bonds", RING_SQL)
 def ring_bonds(spark, sf_dir):
     return graph.ring_sizes(bonds(spark, sf_dir, 0.07).select("mol_id", "a1", "a2"))
 

@@ -21,6 +21,12 @@ d AS (SELECT u, count(*) AS degree, count(*) FILTER (WHERE e2 <> 'H') AS heavy,
    count(*) FILTER (WHERE e2 IN ('N', 'O', 'S')) AS polar, count(*) FILTER (WHERE e2 = 'N') AS nn FROM n GROUP BY u)"""
 
 
+#: The smallest ring of each bond: walks from one end that do not use it, no longer than the largest molecule.
+RING_SQL = """w AS (SELECT a1, a2, a1 AS here, 0 AS len FROM b UNION SELECT w.a1, w.a2, f.v, w.len + 1 FROM w JOIN (SELECT a1 AS u, a2 AS v FROM b UNION ALL SELECT a2, a1 FROM b) f ON f.u = w.here
+    WHERE NOT (f.u = w.a1 AND f.v = w.a2) AND NOT (f.u = w.a2 AND f.v = w.a1) AND w.here <> w.a2 AND w.len < (SELECT max(c) FROM (SELECT count(*) AS c FROM p GROUP BY structure_id))),
+rg AS (SELECT a1, a2, min(len) + 1 AS ring_size FROM w WHERE here = a2 GROUP BY ALL)"""
+
+
 def atoms_of(spark, sf_dir):
     p = points(spark, sf_dir)
     e = lookup((F.col("resi") % 7).cast("int"), ELEMENTS)
@@ -28,9 +34,10 @@ def atoms_of(spark, sf_dir):
 
 
 def bonds_of(spark, sf_dir):
+    """Written once: queries use them several times, and estimates of what a radius join gives are no guide."""
     c = geometry.contacts(points(spark, sf_dir), CUTOFF)
     s = F.col("resi") + F.col("resj")
-    return c.select(F.col("structure_id").alias("mol_id"), F.col("resi").alias("a1"), F.col("resj").alias("a2"), F.when(s % 5 == 0, 2).when(s % 7 == 0, 4).otherwise(1).alias("bond_order"))
+    return materialised(c.select(F.col("structure_id").alias("mol_id"), F.col("resi").alias("a1"), F.col("resj").alias("a2"), F.when(s % 5 == 0, 2).when(s % 7 == 0, 4).otherwise(1).alias("bond_order")))
 
 
 def no_rings(bonds):
@@ -60,7 +67,16 @@ def atom_types(spark, sf_dir):
     return molgraph.atom_types(atoms_of(spark, sf_dir), b, no_rings(b)).groupBy("elem", "atom_type").agg(F.count("*").alias("n"))
 
 
-@query("atom_types_with_rings")
+RING_TYPES_SQL = (
+    TYPES_SQL.replace(A_SQL, f"RECURSIVE {A_SQL}, {RING_SQL}, ra AS (SELECT u, min(ring_size) AS ring FROM (SELECT a1 AS u, ring_size FROM rg UNION ALL SELECT a2, ring_size FROM rg) GROUP BY u)")
+    .replace("AS cn FROM n GROUP BY u)", "AS cn, count(*) FILTER (WHERE v IN (SELECT u FROM d WHERE NOT sat)) AS un FROM n GROUP BY u)")
+    .replace("coalesce(cn, 0) AS cn FROM a", "coalesce(cn, 0) AS cn, coalesce(un, 0) AS un, ring FROM a")
+    .replace("x ON x.u = atom_id)", "x ON x.u = atom_id LEFT JOIN ra ON ra.u = atom_id)")
+    .replace("WHEN degree >= 2 THEN 'OH'", "WHEN degree >= 2 THEN CASE WHEN n_h > 0 OR ring < 5 THEN 'OH' WHEN ring IS NOT NULL AND un > 0 THEN 'Oaro' ELSE 'OH' END")
+)
+
+
+@query("atom_types_with_rings", RING_TYPES_SQL)
 def atom_types_with_rings(spark, sf_dir):
     b = bonds_of(spark, sf_dir)
     return molgraph.atom_types(atoms_of(spark, sf_dir), b, graph.ring_sizes(b)).groupBy("elem", "atom_type").agg(F.count("*").alias("n"))
@@ -94,7 +110,11 @@ def rotors_of(spark, sf_dir):
     return molgraph.rotatable(atoms_of(spark, sf_dir), b, graph.ring_sizes(b))
 
 
-@query("rotatable_bonds_with_rings")
+RING_ROTORS = f"""RECURSIVE {A_SQL}, {RING_SQL}, k AS (SELECT atom_id, coalesce(heavy, 0) >= 2 OR (coalesce(heavy, 0) = 1 AND hs AND d.n_h = 1 AND elem <> 'C') AS ok, coalesce(heavy, 0) = 1 AS tip FROM a LEFT JOIN d ON u = atom_id),
+rt AS (SELECT b.mol_id, b.a1, b.a2, ring_size, o = 1 AND ring_size IS NULL AND s.ok AND t.ok AS can_rotate, s.tip OR t.tip AS tip FROM b LEFT JOIN rg ON rg.a1 = b.a1 AND rg.a2 = b.a2 JOIN k s ON s.atom_id = b.a1 JOIN k t ON t.atom_id = b.a2)"""
+
+
+@query("rotatable_bonds_with_rings", f"WITH {RING_ROTORS} SELECT mol_id, a1, a2, ring_size, can_rotate, can_rotate AND tip AS is_proton_rotor FROM rt")
 def rotatable_bonds_with_rings(spark, sf_dir):
     return rotors_of(spark, sf_dir).select("mol_id", "a1", "a2", "ring_size", "can_rotate", "is_proton_rotor")
 
@@ -128,7 +148,14 @@ def rigid_groups(spark, sf_dir):
     return molgraph.rigid_groups(atoms_of(spark, sf_dir), rotors)
 
 
-@query("rigid_groups_with_rings")
+RING_RIGID_SQL = f"""
+WITH {RING_ROTORS}, e AS (SELECT a1, a2 FROM rt WHERE NOT can_rotate UNION SELECT a2, a1 FROM rt WHERE NOT can_rotate UNION SELECT atom_id, atom_id FROM a),
+r AS (SELECT a1 AS node, a2 AS far FROM e UNION SELECT r.node, e.a2 FROM r JOIN e ON e.a1 = r.far), c AS (SELECT node, min(far) AS c FROM r GROUP BY node)
+SELECT mol_id, atom_id, dense_rank() OVER (PARTITION BY mol_id ORDER BY c)::INT AS rigid_id FROM c JOIN a ON atom_id = node
+"""
+
+
+@query("rigid_groups_with_rings", RING_RIGID_SQL)
 def rigid_groups_with_rings(spark, sf_dir):
     return molgraph.rigid_groups(atoms_of(spark, sf_dir), materialised(rotors_of(spark, sf_dir)))
 
