@@ -126,6 +126,53 @@ def formal_charges(spark, sf_dir):
     return molecules.formal_charges(sdf_lines(spark, sf_dir))
 
 
+def written(spark, sf_dir, lines):
+    """Four large files of molecules, each in order of its ids; a folder ``lib`` a file."""
+    path = work_dir(spark)
+    one = lines(spark, sf_dir).groupBy("structure_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: F.when(x["line"] == "LIG", F.concat(F.lit("L"), F.col("structure_id").cast("string"))).otherwise(x["line"])), "\n").alias("value"))
+    one = one.withColumn("lib", F.col("structure_id") % 4).repartition(4, "lib").sortWithinPartitions("lib", "structure_id")
+    one.select("value", "lib").write.partitionBy("lib").text(path)
+    return path
+
+
+L_SQL = f"{I_SQL}, m AS (SELECT structure_id, (structure_id % 4)::INT AS lib, row_number() OVER (PARTITION BY structure_id % 4 ORDER BY structure_id) AS mol_no FROM (SELECT DISTINCT structure_id FROM i)), j AS (SELECT i.*, lib, mol_no, 'L' || i.structure_id AS title FROM i JOIN m USING (structure_id))"
+
+
+@query("library_atoms", f"WITH {L_SQL} SELECT lib, mol_no, title, k::INT AS atom_id, x, y, z, elem FROM j")
+def library_atoms(spark, sf_dir):
+    """Records of large files, read in byte ranges; numbers count on over the ranges of a file."""
+    return molecules.library_atoms(molecules.sdf_library(spark, written(spark, sf_dir, sdf_lines))).drop("structure_id")
+
+
+@query("library_bonds", f"WITH {L_SQL} SELECT lib, mol_no, title, k::INT AS a1, (k + 1)::INT AS a2, bond AS bond_order FROM j WHERE k < n")
+def library_bonds(spark, sf_dir):
+    return molecules.library_bonds(molecules.sdf_library(spark, written(spark, sf_dir, sdf_lines))).drop("structure_id")
+
+
+@query("library_charges", f"WITH {L_SQL} SELECT lib, mol_no, title, k::INT AS atom_id, charge AS formal_charge FROM j WHERE charge IS NOT NULL")
+def library_charges(spark, sf_dir):
+    return molecules.library_charges(molecules.sdf_library(spark, written(spark, sf_dir, sdf_lines))).drop("structure_id")
+
+
+@query("library_mol2_atoms", f"WITH {L_SQL} SELECT lib, mol_no, title, k::INT AS atom_id, replace(name, ' ', '') AS name, x, y, z, CASE elem WHEN 'C' THEN 'C.3' WHEN 'N' THEN 'N.ar' WHEN 'O' THEN 'O.2' ELSE 'S.3' END AS sybyl_type, elem, coalesce(charge, 0)::DOUBLE AS partial_charge FROM j")
+def library_mol2_atoms(spark, sf_dir):
+    return molecules.library_mol2_atoms(molecules.mol2_library(spark, written(spark, sf_dir, mol2_lines))).drop("structure_id")
+
+
+@query("library_mol2_bonds", f"WITH {L_SQL} SELECT lib, mol_no, title, k::INT AS a1, (k + 1)::INT AS a2, bond AS bond_order FROM j WHERE k < n")
+def library_mol2_bonds(spark, sf_dir):
+    return molecules.library_mol2_bonds(molecules.mol2_library(spark, written(spark, sf_dir, mol2_lines))).drop("structure_id")
+
+
+@query("fasta_library", "SELECT (c_custkey % 4)::INT AS lib, row_number() OVER (PARTITION BY c_custkey % 4 ORDER BY c_custkey) AS entry, c_name AS header, replace(c_mktsegment || c_name, ' ', '') AS sequence FROM customer")
+def fasta_library(spark, sf_dir):
+    """Four files of entries of two lines each."""
+    path = work_dir(spark)
+    c = table(spark, sf_dir, "customer").withColumn("lib", F.col("c_custkey") % 4)
+    c.repartition(4, "lib").sortWithinPartitions("lib", "c_custkey").select(F.concat(F.lit(">"), F.col("c_name"), F.lit("\n"), F.regexp_replace("c_mktsegment", " ", ""), F.lit("\n"), F.regexp_replace("c_name", " ", "")).alias("value"), "lib").write.partitionBy("lib").text(path)
+    return text.fasta_records(spark, path).drop("structure_id")
+
+
 def molecule(spark, sf_dir):
     """The molecules as atom and bond tables, every third atom a hydrogen."""
     l = items(spark, sf_dir).select(F.col("structure_id").alias("mol_id"), F.posexplode("l").alias("at", "a"))  # noqa: E741

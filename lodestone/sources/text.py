@@ -1,13 +1,15 @@
 """Landed text files as rows: fixed-width records, sequences, parameter names, checksums.
 
-Files are read whole, one row a file, many at once; lines keep their number within
-the file.  Ids come from the file name.
+Files of one entry are read whole, one row a file, many at once; lines keep their number
+within the file.  Files of many records are read in byte ranges, see ``records``.  Ids
+come from the file name.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.scalar import lookup, slice_text
+from lodestone.functions.storage import materialised
 
 #: One-letter codes of residues, modified ones as their parents (fixed values).
 ONE_LETTER = {"ALA": "A", "ARG": "R", "ASN": "N", "ASP": "D", "CYS": "C", "GLN": "Q", "GLU": "E", "GLY": "G", "HIS": "H", "ILE": "I", "LEU": "L", "LYS": "K", "MET": "M", "PHE": "F", "PRO": "P", "SER": "S", "THR": "T", "TRP": "W", "TYR": "Y", "VAL": "V", "MSE": "M", "SEP": "S", "TPO": "T", "PTR": "Y"}
@@ -28,14 +30,54 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 def lines_of(df: DataFrame, text: str, keys) -> DataFrame:
     """Numbered lines (from 0) of a text column; a last newline adds none."""
-    pieces = F.split(F.regexp_replace(text, "\r?\n$", ""), "\r?\n")
-    return df.select(*keys, F.posexplode(pieces).alias("line_no", "line"))
+    return df.select(*keys, F.posexplode(pieces(F.col(text))).alias("line_no", "line"))
+
+
+#: At most so many file blocks have their counts broadcast; beyond, records move to them.
+FEW_BLOCKS = 100_000
+
+
+def records(spark: SparkSession, path: str, mark: str) -> DataFrame:
+    """(structure_id, path, partition columns, record_no, record): the pieces of files between marks, numbered from 0 in each file.
+
+    Files are read in byte ranges, many tasks a file, so one file may be as large as
+    a table.  Each range's records are counted first; sums of the counts before it,
+    over one row a range, number its records.  A mark is no part of any record.
+    """
+    parts = spark.read.option("lineSep", mark).text(path)
+    own = [c for c in parts.columns if c != "value"]
+    at = parts.select(*own, "value", file_stem().alias("structure_id"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.spark_partition_id().alias("_task"), F.monotonically_increasing_id().alias("_row"))
+    block = ["_file", "_start", "_task"]
+    counts = at.groupBy(*block).agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    w = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    before = materialised(counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n"))
+    side = F.broadcast(before) if before.count() <= FEW_BLOCKS else before.hint("merge")
+    known = F.when(F.col("_before").isNull(), F.raise_error(F.lit("files changed while they were read"))).otherwise(F.col("_before") + F.col("_row") - F.col("_first"))
+    return at.join(side, block, "left").select("structure_id", F.col("_file").alias("path"), *own, known.cast("long").alias("record_no"), F.col("value").alias("record"))
+
+
+def pieces(text: Column) -> Column:
+    """The lines of a text as an array; a last newline adds none."""
+    return F.split(F.regexp_replace(text, "\r?\n$", ""), "\r?\n")
+
+
+def fasta_records(spark: SparkSession, path: str) -> DataFrame:
+    """(structure_id, entry, header, sequence) of each entry of files with many, read in byte ranges.
+
+    Entries are numbered from 1; what stands before a file's first header is none.
+    """
+    r = records(spark, path, "\n>")
+    # a file's first record has its sign still, or is what stands before the first header
+    text = F.when(F.col("record_no") > 0, F.col("record")).when(F.col("record").startswith(">"), F.expr("substring(record, 2)"))
+    starts = r.filter((F.col("record_no") == 0) & F.col("record").startswith(">")).select("path", F.lit(1).alias("_one")).distinct()
+    l = F.col("_l")  # noqa: E741
+    r = r.withColumn("_l", pieces(text)).filter(l.isNotNull()).join(starts.hint("merge"), "path", "left")
+    sequence = F.array_join(F.transform(F.slice(l, F.lit(2), F.greatest(F.size(l) - 1, F.lit(0))), lambda x: F.trim(x)), "")
+    return r.select(*[c for c in r.columns if c not in ("path", "record_no", "record", "_l", "_one")], (F.col("record_no") + F.coalesce("_one", F.lit(0))).alias("entry"), F.trim(F.get(l, F.lit(0))).alias("header"), sequence.alias("sequence"))
 
 
 def atoms(numbered: DataFrame, keys=("structure_id",)) -> DataFrame:
     """Atom records with typed fields, the model they are in, and the line itself."""
-    from pyspark.sql import Window
-
     marks = numbered.filter(F.col("line").rlike("^(ATOM  |HETATM|MODEL )"))
     w = Window.partitionBy(*keys).orderBy("line_no")
     marks = marks.withColumn("model_no", F.greatest(F.sum(F.col("line").startswith("MODEL ").cast("int")).over(w), F.lit(1)).cast("int"))
@@ -45,8 +87,6 @@ def atoms(numbered: DataFrame, keys=("structure_id",)) -> DataFrame:
 
 def polymer_sequences(numbered: DataFrame, keys=("structure_id",)) -> DataFrame:
     """(keys, chain, pos, resname) in file order from sequence records."""
-    from pyspark.sql import Window
-
     s = numbered.filter(F.col("line").startswith("SEQRES"))
     s = s.select(*keys, "line_no", F.trim(F.substring("line", 12, 1)).alias("chain"), F.posexplode(F.split(F.trim(F.expr("substring(line, 20)")), "\\s+")).alias("at", "resname"))
     w = Window.partitionBy(*keys, "chain").orderBy("line_no", "at")
