@@ -7,6 +7,7 @@ per cube, not the square of the points.
 """
 
 from collections.abc import Sequence
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,10 +49,23 @@ def radius_join(left: DataFrame, right: DataFrame, cutoff: float, keys: Sequence
 
 
 def contacts(points: DataFrame, cutoff: float = 10.0, separation: int = 4, keys=("structure_id",), index: str = "resi") -> DataFrame:
-    """Pairs (resi, resj, dist) of one structure with ``resj - resi >= separation``."""
+    """Pairs (resi, resj, dist) of one structure with ``resj - resi >= separation``.
+
+    A point looks into its own cube and the 13 neighbouring ones that follow it, so each
+    pair is met once, whichever of the two has the lower number.
+    """
     p = points.select(*keys, F.col(index).alias("i"), "x", "y", "z")
-    out = radius_join(p, p, cutoff, keys, condition=F.col("r_i") - F.col("l_i") >= separation)
-    return out.select(*keys, F.col("l_i").alias("resi"), F.col("r_i").alias("resj"), "dist")
+    if separation < 1:
+        out = radius_join(p, p, cutoff, keys, condition=F.col("r_i") - F.col("l_i") >= separation)
+        return out.select(*keys, F.col("l_i").alias("resi"), F.col("r_i").alias("resj"), "dist")
+    k = list(keys)
+    a = p.select(*k, *[F.col(c).alias(f"l_{c}") for c in ("i", "x", "y", "z")], *[_cell(F.col(d), cutoff).alias(f"_c{d}") for d in "xyz"])
+    half = F.array(*[F.struct(*[F.lit(v).alias(d) for v, d in zip(o, "xyz")]) for o in product((-1, 0, 1), repeat=3) if o >= (0, 0, 0)])
+    b = p.withColumn("_o", F.explode(half))
+    b = b.select(*k, *[F.col(c).alias(f"r_{c}") for c in ("i", "x", "y", "z")], *[(_cell(F.col(d), cutoff) + F.col(f"_o.{d}")).alias(f"_c{d}") for d in "xyz"], ((F.col("_o.x") == 0) & (F.col("_o.y") == 0) & (F.col("_o.z") == 0)).alias("_own"))
+    dist = distance(vector("l_"), vector("r_"))
+    met = a.join(b.hint("merge"), [*k, "_cx", "_cy", "_cz"]).filter((F.abs(F.col("r_i") - F.col("l_i")) >= separation) & (~F.col("_own") | (F.col("l_i") < F.col("r_i"))) & (dist <= cutoff))
+    return met.select(*k, F.least("l_i", "r_i").alias("resi"), F.greatest("l_i", "r_i").alias("resj"), dist.alias("dist"))
 
 
 def within_any(points: DataFrame, probes: DataFrame, cutoff: float, keys=("structure_id",), index: str = "resi") -> DataFrame:
@@ -152,18 +166,23 @@ def sphere_points(n: int) -> Column:
 def accessible_area(atoms: DataFrame, probe: float = 1.4, n_points: int = 96, keys=("structure_id",), atom: str = "atom_id", group: str = "resi") -> DataFrame:
     """Solvent-accessible area per group by the rolling-probe method: share of sphere points no neighbour covers.
 
-    Atoms have ``radius``.  Neighbour pairs come from a grid join with the largest
-    possible contact, and points are tested against their atom's neighbours only.
+    Atoms have ``radius`` and an id of their own.  Neighbour pairs come from a grid join with
+    the largest possible contact; a pair gives a bitmap of the points that the neighbour
+    covers, so no list of neighbours is gathered.
     """
     top = atoms.agg(F.max("radius")).first()[0]
     if top is None:
         return atoms.select(*keys, group, F.lit(0.0).alias("area")).limit(0)
     a = atoms.select(*keys, F.col(atom).alias("id"), F.col(group).alias("g"), "x", "y", "z", (F.col("radius") + probe).alias("r"))
     near = radius_join(a, a, 2 * (top + probe), keys, condition=(F.col("l_id") != F.col("r_id")) & (F.col("dist") < F.col("l_r") + F.col("r_r")))
-    around = near.groupBy(*keys, F.col("l_id").alias("id")).agg(F.collect_list(F.struct(*[F.col(f"r_{c}").alias(c) for c in ("x", "y", "z", "r")])).alias("around"))
-    spots = a.join(around.hint("merge"), [*keys, "id"], "left").withColumn("p", F.explode(sphere_points(n_points)))
-    at = {c: F.col(c) + F.col("r") * F.col(f"p.{c}") for c in "xyz"}
-    covered = F.exists(F.coalesce("around", F.array().cast("array<struct<x:double,y:double,z:double,r:double>>")), lambda o: (at["x"] - o["x"]) ** 2 + (at["y"] - o["y"]) ** 2 + (at["z"] - o["z"]) ** 2 < o["r"] * o["r"])
-    free = spots.groupBy(*keys, "id", "g", "r").agg(F.count_if(~covered).alias("free"))
+    # a neighbour covers some points, a bit each; bits of all neighbours are put together before and after the shuffle
+    masks, width = [], 62
+    for start in range(0, n_points, width):
+        some = F.slice(sphere_points(n_points), start + 1, min(width, n_points - start))
+        covered = lambda m, p: m.bitwiseOR(F.when(sum(((F.col(f"l_{c}") + F.col("l_r") * p[c] - F.col(f"r_{c}")) ** 2 for c in "xyz"), F.lit(0.0)) < F.col("r_r") * F.col("r_r"), F.call_function("shiftleft", F.lit(1).cast("long"), p["k"] - start)).otherwise(F.lit(0).cast("long")))  # noqa: B023, E731
+        masks.append(F.bit_or(F.aggregate(some, F.lit(0).cast("long"), covered)).alias(f"m{len(masks)}"))
+    around = near.groupBy(*keys, F.col("l_id").alias("id")).agg(*masks)
+    taken = sum((F.coalesce(F.bit_count(f"m{k}"), F.lit(0)) for k in range(len(masks))), F.lit(0))
+    free = a.join(around.hint("merge"), [*keys, "id"], "left").select(*keys, "g", "r", (F.lit(n_points) - taken).alias("free"))
     area = F.col("free") / F.lit(float(n_points)) * 4 * F.pi() * F.col("r") * F.col("r")
     return free.groupBy(*keys, F.col("g").alias(group)).agg(F.sum(area).alias("area"))

@@ -23,54 +23,64 @@ def correlation(df: DataFrame, x: str, y: str, by: Sequence[str] = (), least: in
     return m.select(*by, F.col("n"), r.alias("r"), slope.alias("slope"), (F.col("_my") - slope * F.col("_mx")).alias("intercept"))
 
 
+FEW_RANGES = 100_000  # rows of counts that are broadcast
+HOT = 1000  # a value with over a thousandth of all rows is joined on its own
+
+
+def cumulative(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: Column | None = None, out: str = "before") -> DataFrame:
+    """Each row with the sum of ``n`` (1 if not given) over the rows before it in its group's order.
+
+    Rows are dealt by ranges of (group, order), summed up in their range, and moved on by
+    the sums of the group's ranges before, so no task gets a whole group.  Of rows that
+    the order does not tell apart any may be first.
+    """
+    by = list(by)
+    d = df.withColumn("_n", F.lit(1) if n is None else n)
+    keys = [F.col(c).asc_nulls_first() for c in by] + list(order)
+    # written, since ranges that are drawn twice may differ
+    dealt = materialised(d.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy(*by, "_range").agg(F.sum("_n").alias("_s"))
+    w = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    moved = materialised(sizes.select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], F.col("_range").alias("_at"), F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_moved")))
+    inside = F.coalesce(F.sum("_n").over(Window.partitionBy("_range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    same = F.col("_range") == F.col("_at")
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{k}"))
+    side = F.broadcast(moved) if moved.count() <= FEW_RANGES else moved.hint("merge")
+    return dealt.withColumn("_inside", inside).join(side, same).withColumn(out, F.col("_inside") + F.col("_moved")).select(*df.columns, out)
+
+
 def rank(df: DataFrame, value: str, by: Sequence[str] = (), ties: str = "average", descending: bool = False, nulls: str = "last", out: str = "rank") -> DataFrame:
     """Ranks from 1 within a group; ties ``first``, ``min``, ``max``, ``average`` or ``random`` (by md5 of the row).
 
-    Without groups the whole table is one order: rows are dealt by ranges of the
-    value, ranked within their range, and moved on by the counts of the ranges
-    before, so no task gets them all.
+    Ties that share a rank are one row with a count while ranks are made, see
+    ``cumulative``, and meet their rows again by a join in which values of many rows are
+    broadcast (at most ``HOT`` of them).  Other ties are told apart within the ranges that
+    rows are dealt by, so a value of many rows fills several.  ``nulls`` is ``last``, ``first``
+    or ``omit``.
     """
-    if not by:
-        return _rank_all(df, value, ties, descending, nulls, out)
+    by = list(by)
     c = F.col(value)
     if nulls == "omit":
         df = df.filter(c.isNotNull())
     order = {(False, "first"): c.asc_nulls_first(), (True, "first"): c.desc_nulls_first()}.get((descending, nulls), c.desc_nulls_last() if descending else c.asc_nulls_last())
-    key = [F.col(b) for b in by]
     if ties in ("first", "random"):
         rest = [F.col(d) for d in df.columns] if ties == "first" else [F.md5(F.to_json(F.struct(*df.columns)).cast("binary"))]
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*key).orderBy(order, *rest)))
-    least = F.rank().over(Window.partitionBy(*key).orderBy(order))
-    same = F.count("*").over(Window.partitionBy(*key, c))
-    return df.withColumn(out, {"min": least, "max": least + same - 1, "average": least + (same - 1) / 2}[ties])
-
-
-def _rank_all(df: DataFrame, value: str, ties: str, descending: bool, nulls: str, out: str) -> DataFrame:
-    kept = df.filter(F.col(value).isNotNull())
-    c = F.col(value).desc() if descending else F.col(value).asc()
-    # written, since ranges that are drawn twice may differ
-    dealt = materialised(kept.repartitionByRange(kept.sparkSession.sparkContext.defaultParallelism, c).withColumn("_range", F.spark_partition_id()))
-    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))  # a row a partition
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    total = sizes.agg(F.sum("_n")).first()[0] or 0
-    ranked = rank(dealt, value, ["_range"], ties, descending, "last", out)
-    ranked = ranked.join(F.broadcast(before.drop("_n")), "_range").withColumn(out, F.col(out) + F.col("_before")).select(*df.columns, out)
-    if nulls == "omit":
-        return ranked
-    empty = df.filter(F.col(value).isNull())
-    n = empty.count()
-    if not n:
-        return ranked
-    if nulls == "first":
-        ranked, start = ranked.withColumn(out, F.col(out) + n), 0
-    else:
-        start = total
-    # rows without a value are all tied
-    same = {"min": F.lit(start + 1), "max": F.lit(start + n), "average": F.lit(start + (n + 1) / 2)}
-    if ties in same:
-        return ranked.unionByName(empty.withColumn(out, same[ties]))
-    whole = rank(empty.withColumn("_k", F.md5(F.to_json(F.struct(*df.columns)).cast("binary"))), "_k", (), "min", out=out).drop("_k")
-    return ranked.unionByName(whole.withColumn(out, F.col(out) + start))
+        return cumulative(df, by, [order, *rest], out="_before").withColumn(out, (F.col("_before") + 1).cast("int")).drop("_before")
+    counts = materialised(df.groupBy(*by, value).agg(F.count("*").alias("_c")))
+    total = counts.agg(F.sum("_c")).first()[0] or 0
+    least = cumulative(counts, by, [order], F.col("_c"), "_before")
+    shape = {"min": F.col("_before") + 1, "max": F.col("_before") + F.col("_c"), "average": F.col("_before") + (F.col("_c") + 1) / 2}[ties]
+    ranks = materialised(least.select(*[F.col(k).alias(f"_k{j}") for j, k in enumerate([*by, value])], shape.alias(out), (F.col("_c") * HOT > total).alias("_hot")))
+    on = None
+    for j, k in enumerate([*by, value]):
+        one = F.col(k).eqNullSafe(F.col(f"_k{j}"))
+        on = one if on is None else on & one
+    keep = [*[F.col(k) for k in df.columns], F.col(out)]
+    hot, rare = ranks.filter("_hot").drop("_hot"), ranks.filter("not _hot").drop("_hot")
+    many = df.join(F.broadcast(hot), on).select(*keep)
+    few = df.join(F.broadcast(hot), on, "left_anti").join(rare.hint("merge"), on).select(*keep)
+    return many.unionByName(few)
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
@@ -159,9 +169,37 @@ def histogram(df: DataFrame, value: str, bins: int = 50, by: Sequence[str] = ())
 
 
 def profile(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """count, mean, sample deviation, minimum, exact quartiles and maximum."""
-    q = F.percentile(value, F.array(*[F.lit(k) for k in (0.25, 0.5, 0.75)]))
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.max(value).alias("max"))
+    """count, mean, sample deviation, minimum, exact quartiles and maximum; NULLs in ``value`` do not count.
+
+    Quartiles are the values at their places among the group's distinct values with
+    counts, see ``cumulative``: no task holds the values of a group.
+    """
+    by = list(by)
+    m = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"))
+    m = materialised(m)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    places = cumulative(counts, by, [F.col("_v").asc()], F.col("_c"), "_before")
+    own = m.select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], F.col("n").alias("_total"))
+    same = F.lit(True)
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{k}"))
+    places = places.join(own.hint("merge"), same) if by else places.crossJoin(F.broadcast(own))  # one row
+    parts = []
+    for name, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
+        at = q * (F.col("_total") - 1)
+        for side, place in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            parts.append(F.max(F.when((F.col("_before") <= place) & (place < F.col("_before") + F.col("_c")), F.col("_v").cast("double"))).alias(f"_{name}{side}"))
+    found = places.groupBy(*[F.col(c).alias(f"_g{k}") for k, c in enumerate(by)]).agg(*parts)
+    same = F.lit(True)
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{k}"))
+    out = m.join(found.hint("merge"), same, "left") if by else m.crossJoin(F.broadcast(found))  # one row each
+    quartile = []
+    for name, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
+        at = q * (F.col("n") - 1)
+        lo, hi = F.col(f"_{name}lo"), F.col(f"_{name}hi")
+        quartile.append(F.when(F.floor(at) == F.ceil(at), lo).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi).alias(name))
+    return out.select(*by, "n", "mean", "sd", "min", *quartile, "max")
 
 
 def shares(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:

@@ -230,6 +230,21 @@ def merged_moments(spark, sf_dir):
     return rounded(incremental.from_moments(incremental.merge_moments(parts, ["l_partkey"])).select("l_partkey", "n", "mean", "sd"), "mean", "sd")
 
 
+@query("saved_ensemble", MOMENTS_SQL)
+def saved_ensemble(spark, sf_dir):
+    """Line numbers as replicates, saved after every two; stopped after four, one delta left unfinished, and gone on with."""
+    from lodestone.functions.storage import work_dir
+
+    li, sink, keys = table(spark, sf_dir, "lineitem"), work_dir(spark), ["l_partkey"]
+    score = lambda r: li.filter(F.col("l_linenumber").isin(*r))
+    incremental.run_saved(spark, range(1, 5), score, sink, keys, "l_quantity", every=2)
+    incremental.snapshot(spark, sink, keys)
+    unfinished = li.limit(10).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    unfinished.parquet(f"{sink}/batch={3:012d}")
+    state = incremental.run_saved(spark, range(1, 8), score, sink, keys, "l_quantity", every=2)
+    return rounded(incremental.from_moments(state).select("l_partkey", "n", "mean", "sd"), "mean", "sd")
+
+
 @query("streaming_moments", MOMENTS_SQL)
 def streaming_moments(spark, sf_dir):
     """The same through Structured Streaming: a file source, kept state, a replaced result table."""
