@@ -13,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.scalar import lookup
 from lodestone.llm.common import ODD, drop_written, materialised, mix, refuse_clash, span_hashes, text_slices
 
 ORDER = 4
 SLICE = 2 << 20  # bytes of text that are scored together
+HELD = 1 << 20  # grams of a language that a task counts together
 SYMBOLS = [f"s{k}" for k in range(ORDER)]  # s0 is predicted, s1 stands before it, and so on
 
 _tables: list[np.ndarray] = []
@@ -94,25 +96,46 @@ def counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
                 n = np.bincount(w.gram, weights=np.repeat(uses, w.size), minlength=len(w.grams[0])).astype(np.int64)
                 own = held.setdefault(str(x), [])
                 own.append(([s[n > 0] for s in w.grams], n[n > 0]))
-                if sum(len(p[1]) for p in own) > 1 << 20:
+                if sum(len(p[1]) for p in own) > HELD:
                     held[str(x)] = [compact(own)]
+                    # a table that stays large leaves the task as it is
+                    if len(held[str(x)][0][1]) > HELD // 2:
+                        yield batch(str(x), held.pop(str(x)))
         for x, own in held.items():
-            symbols, n = compact(own)
-            yield pa.RecordBatch.from_arrays([pa.array([x] * len(n), pa.string()), *[pa.array(s.astype(np.int32)) for s in symbols], pa.array(n)], ["lang", *SYMBOLS, "n"])
+            yield batch(x, own)
+
+    def batch(x, own):
+        symbols, n = compact(own)
+        return pa.RecordBatch.from_arrays([pa.array([x] * len(n), pa.string()), *[pa.array(s.astype(np.int32)) for s in symbols], pa.array(n)], ["lang", *SYMBOLS, "n"])
 
     rows = d.mapInArrow(run, "lang string, s0 int, s1 int, s2 int, s3 int, n long")
     return rows.groupBy("lang", *SYMBOLS).agg(F.sum("n").alias("n"))
 
 
+def budgets(sizes: dict[str, int], most: int) -> dict[str, int]:
+    """``most`` shared out: what a language does not need goes to the others in equal parts."""
+    out, left = {}, most
+    for k, x in enumerate(sorted(sizes, key=sizes.get)):
+        out[x] = min(sizes[x], left // (len(sizes) - k))
+        left -= out[x]
+    return out
+
+
 def frequent(rows: DataFrame, n: str, most: int) -> DataFrame:
-    """The rows, or if they are over ``most``, those with the largest ``n`` that are not."""
+    """The rows, or if they are over ``most``, of each language those with its largest ``n`` within its budget."""
     level = F.floor(4 * F.log2(F.col(n))).cast("int")
-    sizes = sorted(((r["level"], r["count"]) for r in rows.groupBy(level.alias("level")).count().collect()), reverse=True)
-    total = np.cumsum([c for _, c in sizes])
-    if not len(total) or total[-1] <= most:
+    sizes: dict[str, dict[int, int]] = {}
+    for r in rows.groupBy("lang", level.alias("level")).count().collect():  # some hundred rows a language at most
+        sizes.setdefault(r["lang"], {})[r["level"]] = r["count"]
+    if sum(sum(x.values()) for x in sizes.values()) <= most:
         return rows
-    kept = [x for (x, _), t in zip(sizes, total) if t <= most]
-    return rows.filter(level >= min(kept)) if kept else rows.limit(0)
+    share = budgets({x: sum(s.values()) for x, s in sizes.items()}, most)
+    lowest = {}
+    for x, s in sizes.items():
+        levels = sorted(s, reverse=True)
+        kept = [v for v, t in zip(levels, np.cumsum([s[v] for v in levels])) if t <= share[x]]
+        lowest[x] = min(kept, default=1 << 20)
+    return rows.filter(level >= lookup(F.col("lang"), lowest, 1 << 20))
 
 
 def find(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -168,12 +191,17 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
     uniform distribution.  The model is, for each order, a sorted array of hashes and
     a row of log-probabilities (or shares for unseen symbols) for each.
 
-    Statistics are over all rows.  What is shipped to tasks is bounded: of each order
-    the ``most_grams`` most frequent grams are kept (beyond them shorter ones stand
-    in), and more languages than ``most_languages`` are an error.
+    Statistics are over all rows.  What is shipped to tasks is bounded: ``most_grams`` of
+    each order, shared out among languages so that a small one keeps all of its
+    grams, and more languages than ``most_languages`` are an error.  Of a language
+    that has more, the most frequent are kept, with their probabilities; what the others
+    had goes to their context's share for shorter grams, so probabilities still
+    add up to one.
 
     A text is rejected from half-way between a language's own entropy and that of
-    its letters drawn one by one.
+    its letters drawn one by one.  The own entropy is of grams left out one at a time:
+    each use is predicted from all others, so that what is seen in training only
+    does not make a small language look surer than it is.
     """
     top = materialised(counts(docs.filter(train), text, lang))
     langs = [r["lang"] for r in top.select("lang").distinct().orderBy("lang").limit(most_languages + 1).collect()]
@@ -210,14 +238,37 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
             total = sums[here, j]
             share = np.exp(model["contexts"][-1][1][here, j])
         lower = np.exp(log_probabilities(model, symbols, k - 1)[np.arange(len(j)), j])
-        p = np.maximum(grams["n"].to_numpy(float) - discount[j], 0) / total + share * lower
+        n = grams["n"].to_numpy(float)
+        p = np.maximum(n - discount[j], 0) / total + share * lower
         known = ~np.isnan(total)
+        # what is left for shorter grams: all that the kept ones do not have
+        at_context = np.zeros(len(j), np.int64) if k == 1 else here
+        left = np.ones((2, 1 if k == 1 else len(keys) + 1, len(langs)))
+        np.subtract.at(left[0], (at_context[known], j[known]), p[known])
+        np.subtract.at(left[1], (at_context[known], j[known]), lower[known])
+        old = model["contexts"][-1][1]
+        new = np.log(np.maximum(left[0], 1e-12) / np.maximum(left[1], 1e-12)).reshape(old.shape)
+        touched = np.zeros(left[0].shape, bool)
+        touched[at_context[known], j[known]] = True
+        # a context of which no gram is kept leaves all to shorter ones
+        new = np.where(touched.reshape(old.shape), np.where(left[1].reshape(old.shape) > 1e-6, np.maximum(new, old), old), 0.0 if k > 1 else old)
+        model["contexts"][-1] = (model["contexts"][-1][0], new.astype(old.dtype))
         model["grams"].append(table(gram_hash(symbols)[known], j[known], np.log(p[known]), len(langs), np.nan))
         if k == 1:
             letters = symbols[0], j, grams["n"].to_numpy(float)
         if k == ORDER:
-            n, lp = grams["n"].to_numpy(float), log_probabilities(model, symbols)[np.arange(len(j)), j]
+            # each use left out once: its gram has a use less
+            once = np.where(known, np.maximum(n - 1 - discount[j], 0) / np.maximum(total - 1, 1) + share * lower, lower)
+            lp = np.log(np.maximum(once, 1e-300))
             own = np.stack([np.bincount(j, weights=x, minlength=len(langs)) for x in (n, -n * lp, n * lp * lp)])
+            # uses of grams that are not kept cost about what the rarest kept ones cost by shorter grams
+            every = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+            by_shorter = np.log(np.maximum(lower, 1e-300)) + (np.where(known, new[at_context, j], 0.0) if len(j) else 0.0)
+            for x in range(len(langs)):
+                mine, w = j == x, every[langs[x]] - own[0, x]
+                if w > 0 and mine.any():
+                    rare = mine & (n <= 2 * n[mine].min())
+                    own[:, x] += w * np.array([1.0, -by_shorter[rare].mean(), (by_shorter[rare] ** 2).mean()])
     drop_written(top)
     mean = own[1] / np.maximum(own[0], 1)
     model["sd"] = np.sqrt(np.maximum(own[2] / np.maximum(own[0], 1) - mean**2, 0))
