@@ -24,17 +24,21 @@ from lodestone.llm.quality import first_by_hash
 # Fixed word lists of the grammar, by tag; threats are stems with at most ENDING letters behind.
 THREATS = ("kill", "murder", "hurt", "destroy", "strangl", "töte", "umbring", "vernicht", "tuer", "détrui", "frapp", "matar", "destrui", "golpe")
 TARGETS = {"you", "your", "yourself", "they", "he", "she", "them", "du", "dich", "dein", "ihr", "euch", "tu", "toi", "vous", "usted", "ustedes", "tú", "él", "ella"}
-NEGATIONS = {"not", "never", "no", "isn", "aren", "nicht", "kein", "keine", "nie", "pas", "jamais", "nunca", "jamás"}
+NEGATIONS = {"not", "never", "no", "nor", "neither", "cannot", "isn", "aren", "nicht", "kein", "keine", "nie", "pas", "jamais", "nunca", "jamás"}
 REPORTS = {"said", "says", "called", "claimed", "quoted", "wrote", "sagte", "schrieb", "nannte", "dit", "écrit", "appelé", "dijo", "escribió", "llamó"}
 ENDING = 4
 THREAT_WEIGHT = 3.0
 
-WORDS = re.compile(r"[^\W\d_]+")
+WORDS = re.compile(r"[^\W\d_]+(?:(?<=n)['’]t\b)?")
 CLAUSES = re.compile(r"[.!?;:\n]+")
 SHORTEST, LONGEST = 4, 8  # letters of a beginning; whole words have SHORTEST_WORD at least
 SHORTEST_WORD = 2
 NEGATION_SCOPE, TARGET_SCOPE = 3, 4
 KINDS = 16
+#: What is learned of kinds: a weight of any match, and what threats, denial, reported speech and targets add to it.
+BITS = np.array([[1, k >> 3 & 1, k >> 2 & 1, k >> 1 & 1, k & 1] for k in range(KINDS)], float)
+START = np.array([1.0, 0.0, -1.0, -1.0, 0.0])
+ASSERTED = ~(BITS[:, 2:4].any(1))  # neither all denied nor all told
 
 #: Tags, and what the transducers add to them.
 PLAIN, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
@@ -45,7 +49,7 @@ def listed(word: str) -> int:
     """The tag of a word by the fixed lists."""
     if word in TARGETS:
         return TARGET
-    if word in NEGATIONS:
+    if word in NEGATIONS or word.endswith(("n't", "n’t")):
         return NEGATION
     if word in REPORTS:
         return REPORT
@@ -289,11 +293,20 @@ def learn(sample: DataFrame, *, alpha: float = 0.01, times: int = 3) -> dict:
     return lexicon
 
 
+def kind_weights(bits: np.ndarray) -> np.ndarray:
+    w = BITS @ bits
+    return np.where(ASSERTED, w, np.minimum(w, 0.0))
+
+
 def fit(docs: DataFrame, labels: DataFrame, train: Column, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", *, most: int = 4000) -> dict:
     """Lexicon and weights from ``most`` labelled documents of each class at most.
 
     ``train`` is a condition on the id, here called ``_id``.  Without both classes
     the model scores everything 0.5 or the one class's label.
+
+    The weight of a kind is a sum over what the clause is (``BITS``), so scarce kinds
+    share evidence.  That of kinds whose matches are all denied or all told is not
+    above 0: such clauses never add to a score, however many there are.
     """
     sample = materialised(_sample(docs, labels, train, text, doc_id, label, most))
     lexicon = learn(sample)
@@ -309,16 +322,17 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, text: str = "text", d
     w, b = np.zeros(KINDS), 0.0
     if rows["y"].nunique() == 2:
         x, y = np.stack(rows["x"]), rows["y"].to_numpy()
-        # matches of any kind start alike; the data say what negation and reports take away
-        w, m, v = np.r_[np.ones(KINDS), -1.0], 0.0, 0.0
-        x1 = np.c_[x, np.ones(len(x))]
-        prior = w.copy()
+        v, m, r = np.r_[START, -1.0], 0.0, 0.0
+        prior = v.copy()
         for t in range(1, 601):
-            p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-            g = x1.T @ (p - y) / len(y) + 1e-3 * (w - prior)
-            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-        w, b = w[:-1], float(w[-1])
+            w = kind_weights(v[:-1])
+            p = 1 / (1 + np.exp(-np.clip(x @ w + v[-1], -30, 30)))
+            # where a kind's weight is held at 0 its evidence does not count
+            held = x * (ASSERTED | (BITS @ v[:-1] < 0))
+            g = np.r_[BITS.T @ (held.T @ (p - y)), (p - y).sum()] / len(y) + 1e-3 * (v - prior)
+            m, r = 0.9 * m + 0.1 * g, 0.99 * r + 0.01 * g * g
+            v = v - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(r / (1 - 0.99**t)) + 1e-9)
+        w, b = kind_weights(v[:-1]), float(v[-1])
     elif len(rows):
         b = 5.0 if rows["y"].iloc[0] else -5.0
     return {"lexicon": lexicon, "w": w, "b": b}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from conftest import SF  # noqa: E402
 
-from lodestone.llm import bottom_k, crosstok, hard_negatives, ngram_join  # noqa: E402
+from lodestone.llm import bottom_k, crosstok, hard_negatives, langid, ngram_join, queries, toxicity  # noqa: E402
 
 P = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
 
@@ -267,3 +267,48 @@ def test_gallop_finds_first_places():
         m = len(short)
         for guess in (np.zeros(m, int), np.full(m, len(long) - 1), draw.integers(0, len(long), m)):
             assert (crosstok.gallop(short, long, np.zeros(m, int), np.full(m, len(long)), guess) == np.searchsorted(long, short)).all()
+
+
+# ---- small languages, and clauses that are denied or told ----
+
+
+def test_small_languages_keep_their_grams(spark):
+    """Two languages of 2,000 texts and two of 40 under small budgets: told apart, not rejected, mass kept."""
+    letters = [chr(97 + k) for k in range(26)]
+    draw, words = np.random.default_rng(1), {}
+    for k, x in enumerate(("big1", "big2", "tiny1", "tiny2")):
+        own = np.random.default_rng(k)
+        w = own.dirichlet(np.ones(26) * 0.5)
+        words[x] = ["".join(own.choice(letters, p=w, size=own.integers(3, 9))) for _ in range(900)]
+    say = lambda x, n: " ".join(draw.choice(words[x], n))
+    train = spark.createDataFrame([(x, say(x, 60)) for x in words for _ in range(40 if x[0] == "t" else 2000)], "lang string, text string")
+    test = spark.createDataFrame([(x, say(x, 40)) for x in words for _ in range(60)], "lang string, text string")
+    for most in (4000, 1500):
+        model = langid.fit(train, F.lit(True), most_grams=most)
+        assert all(len(k) <= most for k, _ in model["grams"])
+        r = langid.predict(test, model, keep=["lang"]).toPandas()
+        assert (r.lang == r.lang_pred).mean() >= 0.95 and (r.rejected.groupby(r.lang).mean() < 0.05).all()
+        symbols = np.r_[0, np.arange(97, 123)]
+        for context in ("tha", "ing", "aaa", "qzx", "ban"):
+            before = [np.full(27, ord(c)) for c in reversed(context)]
+            total = np.exp(langid.log_probabilities(model, [symbols, *before])).sum(0)
+            assert np.all(np.abs(total - 1) < 0.02)
+
+
+def test_budgets_leave_to_others_what_is_not_needed():
+    assert langid.budgets({"a": 10, "b": 1000, "c": 2000}, 500) == {"a": 10, "b": 245, "c": 245}
+    assert langid.budgets({"a": 1, "b": 2}, 500) == {"a": 1, "b": 2}
+
+
+def test_denied_and_told_insults_never_add(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, labels, queries.fold("_id", 5) != 0)
+    quoted = ["This is not idiot talk. We do not say scum here. It was never trash at all.", "he said you are not an idiot. " * 5, "she wrote you are an idiot. " * 20, "I don't think idiot.", "You aren’t an idiot. It wasn't scum.", "hello world", ""]
+    meant = ["you are an idiot. you are scum.", "You idiot!"]
+    rows = toxicity.score(spark.createDataFrame(list(enumerate(quoted + meant)), "k int, text string"), model, keep=["k"]).orderBy("k").collect()
+    assert [r.predicted for r in rows] == [0] * len(quoted) + [1] * len(meant)
+    assert (model["w"][~toxicity.ASSERTED] <= 0).all() and (model["w"][toxicity.ASSERTED] > 0).all()
+    # by hand: weights of matched clauses by kind, then a logistic function
+    want = [1 / (1 + math.exp(-float(np.log1p(toxicity.matches(t, model["lexicon"])) @ model["w"] + model["b"]))) for t in quoted + meant]
+    assert np.allclose([r.score for r in rows], want)
