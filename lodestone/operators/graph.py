@@ -156,8 +156,39 @@ def ring_sizes(bonds: DataFrame, keys: Sequence[str] = ("mol_id",), most_rounds:
     return out
 
 
-def centre(edges: DataFrame, candidates: DataFrame, keys: Sequence[str] = ("mol_id",)) -> DataFrame:
-    """(keys, centre, radius): the candidate whose farthest node is nearest; the smallest id on ties."""
-    d = shortest_paths(edges, keys, candidates.select(*keys, F.col("node").alias("source")))
-    far = d.groupBy(*keys, "source").agg(F.max("dist").alias("far"))
-    return far.groupBy(*keys).agg(F.min_by("source", F.struct(F.round("far", 9), "source")).alias("centre"), F.min("far").alias("radius"))
+def centre(edges: DataFrame, candidates: DataFrame, keys: Sequence[str] = ("mol_id",), first: int = 2) -> DataFrame:
+    """(keys, centre, radius): the candidate whose farthest node is nearest; the smallest id on ties.
+
+    Paths start from a few candidates of each graph, twice as many in each round.  A
+    candidate at distance d from one whose farthest node is at e has its own at
+    ``max(d, e - d)`` at least; those that this puts beyond the best so far are
+    never searched.  Nodes that cannot be reached do not count.
+    """
+    k = list(keys)
+    edges = materialised(edges)
+    open_ = materialised(candidates.select(*k, "node", F.lit(0.0).alias("low")).distinct())
+    known, size = [], first
+    while not open_.isEmpty():
+        w = Window.partitionBy(*k).orderBy("low", "node")
+        picked = materialised(open_.withColumn("_at", F.row_number().over(w)).filter(F.col("_at") <= size).select(*k, F.col("node").alias("source")))
+        far = shortest_paths(edges, keys, picked)
+        out = far.groupBy(*k, "source").agg(F.max("dist").alias("far"))
+        # a candidate without any edge is its own farthest node
+        known.append(materialised(picked.join(out.hint("merge"), [*k, "source"], "left").select(*k, "source", F.coalesce("far", F.lit(0.0)).alias("far"))))
+        every = known[0]
+        for x in known[1:]:
+            every = every.unionByName(x)
+        best = every.groupBy(*k).agg(F.min("far").alias("best"))
+        bound = far.join(known[-1].hint("merge"), [*k, "source"]).groupBy(*k, "node").agg(F.max(F.greatest("dist", F.col("far") - F.col("dist"))).alias("_b"))
+        rest = open_.join(picked.withColumnRenamed("source", "node").hint("merge"), [*k, "node"], "left_anti").join(bound.hint("merge"), [*k, "node"], "left").join(best.hint("merge"), k)
+        rest = rest.withColumn("low", F.greatest("low", F.coalesce("_b", F.lit(0.0)))).filter(F.col("low") <= F.col("best") + 2e-9)
+        nxt = materialised(rest.select(*k, "node", "low"))
+        drop_written(open_, picked, far)
+        open_, size = nxt, 2 * size
+    drop_written(open_, edges)
+    if not known:
+        return candidates.select(*k, F.col("node").alias("centre"), F.lit(0.0).alias("radius"))
+    every = known[0]
+    for x in known[1:]:
+        every = every.unionByName(x)
+    return every.groupBy(*k).agg(F.min_by("source", F.struct(F.round("far", 9), "source")).alias("centre"), F.min("far").alias("radius"))

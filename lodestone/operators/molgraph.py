@@ -149,11 +149,17 @@ def fragment_flags(atoms: DataFrame, parts: DataFrame, rotors: DataFrame) -> Dat
     return s.withColumns({"size_error": (F.col("n_atoms") < 3) | (F.col("n_fragments") > 9), "size_warning": warn})
 
 
+def fragment_averages(sizes: DataFrame) -> DataFrame:
+    """(mol_id, n_fragments, atoms and heavy atoms a fragment, rounded half-even to one place) from ``fragment_flags``."""
+    s = sizes.groupBy(*KEY).agg(F.count("*").alias("n_fragments"), F.sum("n_atoms").alias("_a"), F.sum("n_heavy").alias("_h"))
+    return s.select(*KEY, "n_fragments", F.bround(F.col("_a") / F.col("n_fragments"), 1).alias("mean_atoms"), F.bround(F.col("_h") / F.col("n_fragments"), 1).alias("mean_heavy"))
+
+
 def centre_atom(atoms: DataFrame, bonds: DataFrame, rigid: DataFrame | None = None) -> DataFrame:
     """The heavy atom with two heavy neighbours at least that is nearest to its farthest atom.
 
     Edges are bonds and all pairs of a rigid group, as long as their distance; group
-    pairs are bounded by the molecule.
+    pairs are bounded by the molecule.  A molecule that is one rigid group so has plain distances.
     """
     d = degrees(atoms, bonds)
     good = d.filter(~is_h(F.col("elem")) & (F.col("heavy_degree") >= 2)).select(*KEY, F.col("atom_id").alias("node"))

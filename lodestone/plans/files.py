@@ -258,3 +258,13 @@ def structure_files(spark, sf_dir):
 def override_table(spark, sf_dir):
     o = tables.overrides(spark, {"ASIA": {"side": "east", "note": "large"}, "EUROPE": {"side": "west"}}, "r_name")
     return table(spark, sf_dir, "region").select("r_name", "r_regionkey").join(F.broadcast(o), "r_name", "left").select("r_name", "r_regionkey", "side", "note")
+
+
+@query("binary_files", "SELECT lib, octet_length(encode(t)) AS bytes, sha256(t) AS sha256 FROM (SELECT (p_partkey % 5)::VARCHAR AS lib, string_agg(p_partkey || ' ' || p_name || chr(10), '' ORDER BY p_partkey) AS t FROM part GROUP BY ALL)")
+def binary_files(spark, sf_dir):
+    """Files read as bytes: five of lines of parts, with their sizes and checksums."""
+    path = work_dir(spark)
+    p = table(spark, sf_dir, "part").withColumn("lib", (F.col("p_partkey") % 5).cast("string"))
+    p.repartition(5, "lib").sortWithinPartitions("lib", "p_partkey").select("lib", F.concat_ws(" ", F.col("p_partkey").cast("string"), "p_name").alias("value")).write.partitionBy("lib").text(path)
+    b = text.binary(spark, path + "/lib=*").withColumn("lib", F.regexp_extract("path", "lib=([^/]*)/", 1))
+    return b.select("lib", F.octet_length("content").alias("bytes"), F.sha2("content", 256).alias("sha256"))

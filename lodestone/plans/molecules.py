@@ -263,3 +263,54 @@ def fragment_sizes(spark, sf_dir):
     return molgraph.fragment_flags(a, parts, b.withColumn("can_rotate", F.col("bond_order") == 1))
 
 
+AVERAGE_SQL = "SELECT mol_id, count(*) AS n_fragments, round_even(sum(n_atoms) / count(*), 1) AS mean_atoms, round_even(sum(n_heavy) / count(*), 1) AS mean_heavy FROM (" + FRAGMENT_SQL + ") GROUP BY mol_id"
+
+
+@query("fragment_averages", AVERAGE_SQL)
+def fragment_averages(spark, sf_dir):
+    """Atoms of a fragment on average, over the fragments of each molecule."""
+    return molgraph.fragment_averages(fragment_sizes(spark, sf_dir))
+
+
+def _closure(steps: int) -> str:
+    """Least sums over up to 2^steps edges, by joining sums with themselves."""
+    out = []
+    for k in range(steps):
+        out.append(f"d{k + 1} AS (SELECT u, v, min(w) AS w FROM (SELECT u, v, w FROM d{k} UNION ALL SELECT x.u, y.v, x.w + y.w FROM d{k} x JOIN d{k} y ON x.v = y.u) GROUP BY u, v)")
+    return ", ".join(out)
+
+
+CENTRE_ATOM_SQL = f"""
+WITH RECURSIVE {A_SQL}, e AS (SELECT a1, a2 FROM b WHERE o <> 1 UNION SELECT a2, a1 FROM b WHERE o <> 1 UNION SELECT atom_id, atom_id FROM a),
+r AS (SELECT a1 AS node, a2 AS far FROM e UNION SELECT r.node, e.a2 FROM r JOIN e ON e.a1 = r.far),
+p2 AS (SELECT a1 AS u, a2 AS v FROM b UNION SELECT a2, a1 FROM b UNION SELECT node, far FROM r),
+d0 AS (SELECT u, v, sqrt((s.x-t.x)*(s.x-t.x)+(s.y-t.y)*(s.y-t.y)+(s.z-t.z)*(s.z-t.z)) AS w FROM p2 JOIN a s ON s.atom_id = u JOIN a t ON t.atom_id = v), {_closure(6)},
+g AS (SELECT a.mol_id, atom_id, coalesce(max(w), 0) AS far FROM a JOIN d ON d.u = atom_id LEFT JOIN d6 ON d6.u = atom_id WHERE elem <> 'H' AND heavy >= 2 GROUP BY ALL)
+SELECT mol_id, arg_min(atom_id, (round(far, 9), atom_id)) AS centre, round(min(far), 6) AS radius FROM g GROUP BY mol_id
+"""
+
+
+@query("centre_atom", CENTRE_ATOM_SQL)
+def centre_atom(spark, sf_dir):
+    """The neighbour atom of each molecule, with groups over bonds that are not single as rigid."""
+    a, b = atoms_of(spark, sf_dir), bonds_of(spark, sf_dir)
+    rigid = materialised(molgraph.rigid_groups(a, b.withColumn("can_rotate", F.col("bond_order") == 1)))
+    return rounded(molgraph.centre_atom(a, b, rigid), "radius")
+
+
+GIVEN_SQL = """
+WITH t AS (SELECT l_orderkey AS mol_id, l_returnflag AS ty, CASE WHEN l_orderkey % 3 = 0 THEN l_discount - 0.05 WHEN l_orderkey % 3 = 1 THEN 0.0 END AS given, CASE l_returnflag WHEN 'A' THEN 0.1 WHEN 'N' THEN -0.3 ELSE 0.0 END AS q FROM lineitem),
+c AS (SELECT *, count(given) OVER w = count(*) OVER w AND sum(abs(given)) OVER w > 0 AS whole, (1.0 - sum(CASE WHEN ty = 'R' THEN 0.0 ELSE q END) OVER w) / nullif(count(*) FILTER (WHERE ty <> 'R') OVER w, 0) AS shift FROM t WINDOW w AS (PARTITION BY mol_id))
+SELECT mol_id, ty AS atom_type, count(*) AS n, round(sum(CASE WHEN whole THEN given WHEN ty = 'R' THEN 0.0 ELSE q + shift END), 6) + 0.0 AS charge FROM c GROUP BY ALL
+"""
+
+
+@query("given_charges", GIVEN_SQL)
+def given_charges(spark, sf_dir):
+    """Orders as molecules: a third with charges of their own, a third with zeros, a third without; flag R as virtual atoms."""
+    k = F.col("l_orderkey") % 3
+    li = table(spark, sf_dir, "lineitem")
+    a = li.select(F.col("l_orderkey").alias("mol_id"), F.lit(0).alias("atom_id"), F.when(F.col("l_returnflag") == "R", "VIRT").otherwise(F.col("l_returnflag")).alias("atom_type"), F.when(k == 0, F.col("l_discount") - 0.05).when(k == 1, 0.0).alias("partial_charge"))
+    net = li.select(F.col("l_orderkey").alias("mol_id")).distinct().withColumn("net_charge", F.lit(1.0))
+    c = molgraph.charges(a, {"A": 0.1, "N": -0.3}, net).withColumn("atom_type", F.when(F.col("atom_type") == "VIRT", "R").otherwise(F.col("atom_type")))
+    return c.groupBy("mol_id", "atom_type").agg(F.count("*").alias("n"), (F.round(F.sum("charge"), 6) + F.lit(0.0)).alias("charge"))

@@ -134,8 +134,8 @@ def integrity(files: DataFrame, expected: DataFrame, key: str = "structure_id",
 
 
 def binary(spark: SparkSession, path: str) -> DataFrame:
-    """(structure_id, content, modified) of landed files."""
+    """(structure_id, path, content, modified) of landed files."""
     b = spark.read.format("binaryFile").load(path)
-    return b.select(F.regexp_extract("path", "([^/]+?)(\\.[^./]*)?$", 1).alias("structure_id"), "content", F.col("modificationTime").alias("modified"))
+    return b.select(F.regexp_extract("path", "([^/]+?)(\\.[^./]*)?$", 1).alias("structure_id"), "path", "content", F.col("modificationTime").alias("modified"))
 
 
