@@ -50,6 +50,10 @@ def op3_quality_rules(spark, sf_dir):
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed")
 
 
+def rule_ablations(spark, sf_dir):
+    return rules.ablations(rules.ledger(documents(spark, sf_dir)), "v1")
+
+
 def op7_mixing(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
@@ -121,6 +125,11 @@ f AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, (failed & 15) = 0 AS kept, failed FROM f
 """
 
+#: Every rule of the policy beside the ledger's rows.
+ABLATION_SQL = "SELECT rule, count(*) FILTER (failed & bit <> 0) AS rejected, count(*) FILTER (failed & {mask} = bit) AS rejected_alone, count(*) AS documents FROM ({ledger}) x, (VALUES {used}) r(rule, bit) GROUP BY rule".format(
+    mask=rules.POLICIES["v1"], ledger=OP3_SQL, used=", ".join(f"('{n}', {b}::BIGINT)" for n, b in rules.BIT.items() if b & rules.POLICIES["v1"])
+)
+
 OP7_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
     -ln((('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)
@@ -173,5 +182,5 @@ SELECT doc_id, doc_bytes, prefix, depth::INT AS depth, n AS shard_bytes, 0 AS pa
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_quality_rules, op4_language_id, op5_packing, op6_document_fingerprints, op7_mixing, op8_quality_classifier, op9_sharding, op10_license_scan, op11_hard_negatives, op12_minhash_near_dedup, op13_cross_tokenizer)}
-ORACLE = {"op1_ngram_jaccard_join": OP1_SQL, "op9_sharding": op9_sql(SHARD_BYTES), "op3_quality_rules": OP3_SQL, "op7_mixing": OP7_SQL, "op10_license_scan": _op10_sql(), "op11_hard_negatives": OP11_SQL, "op12_minhash_near_dedup": OP12_SQL}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_quality_rules, op4_language_id, op5_packing, op6_document_fingerprints, op7_mixing, op8_quality_classifier, op9_sharding, op10_license_scan, op11_hard_negatives, op12_minhash_near_dedup, op13_cross_tokenizer, rule_ablations)}
+ORACLE = {"op1_ngram_jaccard_join": OP1_SQL, "op9_sharding": op9_sql(SHARD_BYTES), "op3_quality_rules": OP3_SQL, "op7_mixing": OP7_SQL, "op10_license_scan": _op10_sql(), "op11_hard_negatives": OP11_SQL, "op12_minhash_near_dedup": OP12_SQL, "rule_ablations": ABLATION_SQL}

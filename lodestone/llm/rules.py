@@ -86,10 +86,15 @@ def apply_policy(rows: DataFrame, version: str) -> DataFrame:
 
 
 def ablations(rows: DataFrame, version: str) -> DataFrame:
-    """For each rule of a policy: documents it rejects, and those that only it rejects; an empty table: all 0."""
+    """For each rule of a policy: documents it rejects, and those that only it rejects; an empty table: all 0.
+
+    Documents are summed up by their failure bits under the policy first, 2^rules rows
+    at most, and all counts are sums over those.
+    """
     mask = POLICIES[version]
-    failed = F.col("failed").bitwiseAND(F.lit(mask))
     used = [(n, b) for n, b in BIT.items() if b & mask]
-    sums = rows.agg(F.count("*").alias("n"), *[F.count_if(failed.bitwiseAND(F.lit(b)) != 0).alias(f"{n}__all") for n, b in used], *[F.count_if(failed == b).alias(f"{n}__only") for n, b in used])
+    patterns = rows.groupBy(F.col("failed").bitwiseAND(F.lit(mask)).alias("bits")).agg(F.count("*").alias("n"))
+    count = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    sums = patterns.agg(count(F.lit(True)).alias("n"), *[count(F.col("bits").bitwiseAND(F.lit(b)) != 0).alias(f"{n}__all") for n, b in used], *[count(F.col("bits") == b).alias(f"{n}__only") for n, b in used])
     parts = [F.struct(F.lit(n).alias("rule"), F.col(f"{n}__all").alias("rejected"), F.col(f"{n}__only").alias("rejected_alone"), F.col("n").alias("documents")) for n, _ in used]
     return sums.select(F.inline(F.array(*parts)))
