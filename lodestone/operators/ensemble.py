@@ -49,8 +49,8 @@ def neighbourhood_energy(edges: DataFrame, keys=("structure_id", "replicate")) -
     """
     e = edges.groupBy(*keys, *PAIR).agg(F.min("e").alias("e"))
     s = partners(e, keys, ["e"]).groupBy(*keys, "i").agg(F.sum("e").alias("s"))
-    out = e.join(s.select(*keys, F.col("i").alias("resi"), F.col("s").alias("s_i")), [*keys, "resi"])
-    out = out.join(s.select(*keys, F.col("i").alias("resj"), F.col("s").alias("s_j")), [*keys, "resj"])
+    out = e.join(s.select(*keys, F.col("i").alias("resi"), F.col("s").alias("s_i")).hint("merge"), [*keys, "resi"])
+    out = out.join(s.select(*keys, F.col("i").alias("resj"), F.col("s").alias("s_j")).hint("merge"), [*keys, "resj"])
     return out.select(*keys, *PAIR, "e", ((F.col("s_i") + F.col("s_j")) / 2).alias("energy"))
 
 
@@ -77,8 +77,8 @@ def survey(contacts: DataFrame, terms: DataFrame, weights: Mapping[str, float],
 def touching(pairs: DataFrame, region: DataFrame, keys=("structure_id",), member: str = "resi") -> DataFrame:
     """Pairs with an end in the region: two left joins, not a join on OR."""
     r = region.select(*keys, F.col(member).alias("_m")).distinct()
-    out = pairs.join(r.withColumnRenamed("_m", "resi").withColumn("_i", F.lit(True)), [*keys, "resi"], "left")
-    out = out.join(r.withColumnRenamed("_m", "resj").withColumn("_j", F.lit(True)), [*keys, "resj"], "left")
+    out = pairs.join(r.withColumnRenamed("_m", "resi").withColumn("_i", F.lit(True)).hint("merge"), [*keys, "resi"], "left")
+    out = out.join(r.withColumnRenamed("_m", "resj").withColumn("_j", F.lit(True)).hint("merge"), [*keys, "resj"], "left")
     return out.filter(F.coalesce("_i", F.lit(False)) | F.coalesce("_j", F.lit(False))).drop("_i", "_j")
 
 
@@ -132,7 +132,7 @@ def decoy_energy(letters: DataFrame, contacts: DataFrame, potential: DataFrame,
 def geometry_kept(native: DataFrame, decoys: DataFrame, tolerance: float = 0.05, keys=("structure_id",), index: str = "resi") -> DataFrame:
     """Largest shift of a structure's points against the native, and whether it is within the tolerance."""
     n = native.select(*keys, index, *[F.col(c).alias(f"n_{c}") for c in "xyz"])
-    d = decoys.join(n, [*keys, index])
+    d = decoys.join(n.hint("merge"), [*keys, index])
     shift = F.sqrt(sum(((F.col(c) - F.col(f"n_{c}")) * (F.col(c) - F.col(f"n_{c}")) for c in "xyz"), F.lit(0.0)))
     return d.groupBy(*keys).agg(F.max(shift).alias("max_shift")).withColumn("kept", F.col("max_shift") < tolerance)
 
@@ -141,7 +141,7 @@ def core_surface(scored: DataFrame, exposure: DataFrame, threshold: float = 20.0
     """Share of minimally frustrated pairs where the mean exposure of both ends is below the threshold, and elsewhere."""
     a = exposure.select(*keys, F.col("resi"), F.col("area").alias("area_i"))
     b = exposure.select(*keys, F.col("resi").alias("resj"), F.col("area").alias("area_j"))
-    both = scored.join(a, [*keys, "resi"], "left").join(b, [*keys, "resj"], "left")
+    both = scored.join(a.hint("merge"), [*keys, "resi"], "left").join(b.hint("merge"), [*keys, "resj"], "left")
     mean = (F.coalesce("area_i", F.lit(missing)) + F.coalesce("area_j", F.lit(missing))) / 2
     hit = (F.col("frustration_class") == "minimally_frustrated").cast("double")
     return both.groupBy((mean < threshold).alias("is_core")).agg(F.count("*").alias("n"), F.avg(hit).alias("fraction"))

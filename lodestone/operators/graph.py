@@ -50,9 +50,9 @@ def shortest_paths(edges: DataFrame, keys: Sequence[str] = (), sources: DataFram
     best = materialised(start)
     front = best
     for _ in range(most_rounds):
-        step = front.join(e, [*[front[c] == e[c] for c in k], front["node"] == e["a1"]]).select(*[front[c] for c in k], "source", F.col("a2").alias("node"), (F.col("dist") + F.col("weight")).alias("new"))
+        step = front.join(e.hint("merge"), [*[front[c] == e[c] for c in k], front["node"] == e["a1"]]).select(*[front[c] for c in k], "source", F.col("a2").alias("node"), (F.col("dist") + F.col("weight")).alias("new"))
         step = step.groupBy(*keys, "source", "node").agg(F.min("new").alias("new"))
-        j = best.join(step, [*k, "source", "node"], "full")
+        j = best.join(step.hint("merge"), [*k, "source", "node"], "full")
         better = F.col("new").isNotNull() & (F.col("dist").isNull() | (F.col("new") < F.col("dist") - 1e-12))
         nxt = materialised(j.select(*keys, "source", "node", F.when(better, F.col("new")).otherwise(F.col("dist")).alias("dist"), better.alias("moved")))
         front = nxt.filter("moved").drop("moved")

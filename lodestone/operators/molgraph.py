@@ -28,7 +28,7 @@ def neighbours(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     two = graph.both_ways(bonds, KEY, ["bond_order"])
     a = atoms.select(*KEY, F.col("atom_id").alias("a1"), F.col("elem").alias("e1"))
     b = atoms.select(*KEY, F.col("atom_id").alias("a2"), F.col("elem").alias("e2"))
-    return two.join(a, [*KEY, "a1"]).join(b, [*KEY, "a2"])
+    return two.join(a.hint("merge"), [*KEY, "a1"]).join(b.hint("merge"), [*KEY, "a2"])
 
 
 def degrees(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def degrees(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
         F.bool_and(F.col("bond_order") == 1).alias("saturated"), F.bool_or(F.col("bond_order") == 4).alias("aromatic"),
         F.bool_and((F.col("bond_order") == 1) | h).alias("heavy_single"),
     )
-    return atoms.join(d, [*KEY, "atom_id"], "left").fillna({"degree": 0, "heavy_degree": 0, "n_h": 0, "valence": 0.0, "saturated": True, "aromatic": False, "heavy_single": True})
+    return atoms.join(d.hint("merge"), [*KEY, "atom_id"], "left").fillna({"degree": 0, "heavy_degree": 0, "n_h": 0, "valence": 0.0, "saturated": True, "aromatic": False, "heavy_single": True})
 
 
 def valence_flags(atoms: DataFrame, bonds: DataFrame, most: float = 4.5) -> DataFrame:
@@ -52,7 +52,7 @@ def molecule_flags(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """Molecules with double but no aromatic bonds, and without hydrogens."""
     b = bonds.groupBy(*KEY).agg(F.count_if(F.col("bond_order") == 2).alias("n_double"), F.count_if(F.col("bond_order") == 4).alias("n_aromatic"))
     a = atoms.groupBy(*KEY).agg(F.count("*").alias("n_atoms"), F.bool_or(is_h(F.col("elem"))).alias("has_h"))
-    out = a.join(b, KEY, "left").fillna(0, ["n_double", "n_aromatic"])
+    out = a.join(b.hint("merge"), KEY, "left").fillna(0, ["n_double", "n_aromatic"])
     return out.withColumns({"aromaticity_warning": (F.col("n_double") > 0) & (F.col("n_aromatic") == 0), "hydrogen_warning": ~F.col("has_h")})
 
 
@@ -67,12 +67,12 @@ def atom_types(atoms: DataFrame, bonds: DataFrame, rings: DataFrame, other_types
     order, to = F.col("bond_order"), F.col("e2")
     saturated = d.select(*KEY, F.col("atom_id").alias("a2"), F.col("saturated").alias("sat2"), F.col("aromatic").alias("aro2"))
     beside_n = n.groupBy(*KEY, F.col("a1").alias("a2")).agg(F.bool_or(to == "N").alias("n_beside2"))
-    pattern = n.join(saturated, [*KEY, "a2"]).join(beside_n, [*KEY, "a2"]).groupBy(*KEY, F.col("a1").alias("atom_id")).agg(
+    pattern = n.join(saturated.hint("merge"), [*KEY, "a2"]).join(beside_n.hint("merge"), [*KEY, "a2"]).groupBy(*KEY, F.col("a1").alias("atom_id")).agg(
         F.count_if((order == 2) & (to != "O")).alias("dbl"), F.count_if((order == 4) & (to != "O")).alias("aro"), F.count_if((order == 4) & (to == "N")).alias("aro_n"),
         F.count_if(to.isin("N", "O", "S")).alias("polar"), F.count_if(to == "N").alias("n_n"), F.count_if((to == "C") & F.col("n_beside2")).alias("c_n"), F.count_if(~F.col("sat2")).alias("unsat"),
     )
     ring = graph.both_ways(rings, KEY, ["ring_size"]).groupBy(*KEY, F.col("a1").alias("atom_id")).agg(F.min("ring_size").alias("ring"))
-    d = d.join(pattern, [*KEY, "atom_id"], "left").join(ring, [*KEY, "atom_id"], "left").fillna(0, ["dbl", "aro", "aro_n", "polar", "n_n", "c_n", "unsat"])
+    d = d.join(pattern.hint("merge"), [*KEY, "atom_id"], "left").join(ring.hint("merge"), [*KEY, "atom_id"], "left").fillna(0, ["dbl", "aro", "aro_n", "polar", "n_n", "c_n", "unsat"])
     c = lambda x: F.col(x)
     carbon = F.when(c("saturated"), F.when(c("n_h") >= 3, "CH3").when(c("n_h") == 2, "CH2").otherwise("CH1")).when((c("aro") >= 2) | (c("dbl") >= 1), "aroC").when(c("aro_n") >= 1, "CNH2").otherwise("COO")
     nitrogen = F.when(c("n_h") >= 3, "Nlys").when(c("n_h") == 2, "NH2O").when(c("n_h") == 1, "Ntrp").when((c("heavy_degree") <= 2) | ((c("heavy_degree") == 3) & c("saturated")), "Nhis").otherwise("Npro")
@@ -83,8 +83,8 @@ def atom_types(atoms: DataFrame, bonds: DataFrame, rings: DataFrame, other_types
     elem = F.upper("elem")
     typed = d.withColumn("atom_type", F.when(is_h(elem), F.lit(None)).when(elem == "C", carbon).when(elem == "N", nitrogen).when(elem == "O", oxygen).otherwise(F.coalesce(lookup(elem, (other_types or {}) | SINGLE_TYPES), unknown)))
     aromatic_c = typed.filter((elem == "C") & (c("aromatic") | (c("atom_type") == "aroC"))).select(*KEY, c("atom_id").alias("a2"), F.lit(True).alias("aro_c"))
-    h = n.filter(is_h(F.col("e1"))).join(aromatic_c, [*KEY, "a2"], "left").groupBy(*KEY, F.col("a1").alias("atom_id")).agg(F.bool_or(F.coalesce("aro_c", F.lit(False))).alias("by_aromatic"))
-    typed = typed.join(h, [*KEY, "atom_id"], "left")
+    h = n.filter(is_h(F.col("e1"))).join(aromatic_c.hint("merge"), [*KEY, "a2"], "left").groupBy(*KEY, F.col("a1").alias("atom_id")).agg(F.bool_or(F.coalesce("aro_c", F.lit(False))).alias("by_aromatic"))
+    typed = typed.join(h.hint("merge"), [*KEY, "atom_id"], "left")
     hydrogen = F.when(c("polar") >= 1, "Hpol").when(F.coalesce("by_aromatic", F.lit(False)), "Haro").otherwise("Hapo")
     typed = typed.withColumn("atom_type", F.when(is_h(elem), hydrogen).otherwise(c("atom_type")))
     kind = F.when(c("atom_type").isin(*POLAR_H), "HNbb").when(c("atom_type").isin(*DONORS), "Nbb").when(c("atom_type").isin(*ACCEPTORS), "OCbb").when(~is_h(elem), "CAbb")
@@ -98,7 +98,7 @@ def charges(atoms: DataFrame, table: Mapping[str, float], target: DataFrame | No
     ``target`` has (mol_id, net_charge); without it the net charge is 0.
     """
     w = Window.partitionBy(*KEY)
-    a = atoms if target is None else atoms.join(target, KEY, "left")
+    a = atoms if target is None else atoms.join(target.hint("merge"), KEY, "left")
     net = F.coalesce("net_charge", F.lit(0.0)) if target is not None else F.lit(0.0)
     given, total = F.count("partial_charge").over(w), F.count("*").over(w)
     whole = (given == total) & (F.sum(F.abs("partial_charge")).over(w) > 0)
@@ -118,7 +118,7 @@ def rotatable(atoms: DataFrame, bonds: DataFrame, rings: DataFrame) -> DataFrame
     d = d.select(*KEY, "atom_id", ok.alias("ok"), (F.col("heavy_degree") == 1).alias("end"))
     side = lambda k: d.select(*KEY, F.col("atom_id").alias(f"a{k}"), F.col("ok").alias(f"ok{k}"), F.col("end").alias(f"end{k}"))
     b = bonds.select(*KEY, F.least("a1", "a2").alias("a1"), F.greatest("a1", "a2").alias("a2"), "bond_order")
-    b = b.join(rings, [*KEY, "a1", "a2"], "left").join(side(1), [*KEY, "a1"]).join(side(2), [*KEY, "a2"])
+    b = b.join(rings.hint("merge"), [*KEY, "a1", "a2"], "left").join(side(1).hint("merge"), [*KEY, "a1"]).join(side(2).hint("merge"), [*KEY, "a2"])
     can = (F.col("bond_order") == 1) & F.col("ring_size").isNull() & F.col("ok1") & F.col("ok2")
     return b.select(*KEY, "a1", "a2", "bond_order", "ring_size", can.alias("can_rotate"), (can & (F.col("end1") | F.col("end2"))).alias("is_proton_rotor"))
 
@@ -133,18 +133,18 @@ def rigid_groups(atoms: DataFrame, rotors: DataFrame) -> DataFrame:
 def fragments(atoms: DataFrame, bonds: DataFrame, broken: DataFrame) -> DataFrame:
     """(mol_id, atom_id, fragment): components when the broken bonds are cut."""
     cut = broken.select(*KEY, F.least("a1", "a2").alias("a1"), F.greatest("a1", "a2").alias("a2"))
-    kept = bonds.select(*KEY, F.least("a1", "a2").alias("a1"), F.greatest("a1", "a2").alias("a2")).join(cut, [*KEY, "a1", "a2"], "left_anti")
+    kept = bonds.select(*KEY, F.least("a1", "a2").alias("a1"), F.greatest("a1", "a2").alias("a2")).join(cut.hint("merge"), [*KEY, "a1", "a2"], "left_anti")
     c = graph.components(atoms.select(*KEY, F.col("atom_id").alias("node")), kept, KEY)
     return c.select(*KEY, F.col("node").alias("atom_id"), F.dense_rank().over(Window.partitionBy(*KEY).orderBy("component")).alias("fragment"))
 
 
 def fragment_flags(atoms: DataFrame, parts: DataFrame, rotors: DataFrame) -> DataFrame:
     """Size checks of fragments: below 3 atoms an error; outside usual sizes or over 4 rotors a warning; over 9 fragments an error."""
-    p = atoms.join(parts, [*KEY, "atom_id"])
+    p = atoms.join(parts.hint("merge"), [*KEY, "atom_id"])
     size = p.groupBy(*KEY, "fragment").agg(F.count("*").alias("n_atoms"), F.count_if(~is_h(F.col("elem"))).alias("n_heavy"))
-    inside = rotors.filter("can_rotate").join(parts.withColumnsRenamed({"atom_id": "a1", "fragment": "f1"}), [*KEY, "a1"]).join(parts.withColumnsRenamed({"atom_id": "a2", "fragment": "f2"}), [*KEY, "a2"]).filter("f1 = f2")
+    inside = rotors.filter("can_rotate").join(parts.withColumnsRenamed({"atom_id": "a1", "fragment": "f1"}).hint("merge"), [*KEY, "a1"]).join(parts.withColumnsRenamed({"atom_id": "a2", "fragment": "f2"}).hint("merge"), [*KEY, "a2"]).filter("f1 = f2")
     turns = inside.groupBy(*KEY, F.col("f1").alias("fragment")).agg(F.count("*").alias("n_rotors"))
-    s = size.join(turns, [*KEY, "fragment"], "left").fillna(0, ["n_rotors"]).withColumn("n_fragments", F.count("*").over(Window.partitionBy(*KEY)))
+    s = size.join(turns.hint("merge"), [*KEY, "fragment"], "left").fillna(0, ["n_rotors"]).withColumn("n_fragments", F.count("*").over(Window.partitionBy(*KEY)))
     warn = ~F.col("n_atoms").between(7, 24) | ~F.col("n_heavy").between(4, 22) | (F.col("n_rotors") > 4)
     return s.withColumns({"size_error": (F.col("n_atoms") < 3) | (F.col("n_fragments") > 9), "size_warning": warn})
 
@@ -166,9 +166,9 @@ def centre_atom(atoms: DataFrame, bonds: DataFrame, rigid: DataFrame | None = No
     e = bonds.select(*KEY, "a1", "a2")
     if rigid is not None:
         other = rigid.withColumnRenamed("atom_id", "a2")
-        e = e.unionByName(rigid.withColumnRenamed("atom_id", "a1").join(other, [*KEY, "rigid_id"]).filter("a1 < a2").select(*KEY, "a1", "a2")).distinct()
+        e = e.unionByName(rigid.withColumnRenamed("atom_id", "a1").join(other.hint("merge"), [*KEY, "rigid_id"]).filter("a1 < a2").select(*KEY, "a1", "a2")).distinct()
     at = lambda k: atoms.select(*KEY, F.col("atom_id").alias(f"a{k}"), *[F.col(c).alias(f"p{k}{c}") for c in "xyz"])
-    e = e.join(at(1), [*KEY, "a1"]).join(at(2), [*KEY, "a2"]).select(*KEY, "a1", "a2", distance(vector("p1"), vector("p2")).alias("weight"))
+    e = e.join(at(1).hint("merge"), [*KEY, "a1"]).join(at(2).hint("merge"), [*KEY, "a2"]).select(*KEY, "a1", "a2", distance(vector("p1"), vector("p2")).alias("weight"))
     return graph.centre(e, good, KEY)
 
 
@@ -179,7 +179,7 @@ def strip(atoms: DataFrame, bonds: DataFrame, drop: Column) -> tuple[DataFrame,
     b = bonds
     for side in ("a1", "a2"):
         t = ids.withColumnsRenamed({"_old": side, "_new": f"_{side}"})
-        b = b.join(t, [*KEY, side]).drop(side).withColumnRenamed(f"_{side}", side)
+        b = b.join(t.hint("merge"), [*KEY, side]).drop(side).withColumnRenamed(f"_{side}", side)
     return kept.drop("atom_id").withColumnRenamed("_new", "atom_id").select(*atoms.columns), b.select(*bonds.columns)
 
 

@@ -13,7 +13,7 @@ def chosen_atoms(atoms: DataFrame, chosen: DataFrame, keys=("structure_id",)) ->
     ``chosen`` has chain, ligand_chain, ligand_comp_id, ligand_resnum, and the name
     that the ligand is to have in ``ligand_code``.
     """
-    a = atoms.join(chosen, list(keys))
+    a = atoms.join(chosen.hint("merge"), list(keys))
     protein = (F.col("record") == "ATOM") & (F.col("chain") == F.col("selected_chain")) & F.col("resname").isin(*ONE_LETTER)
     ligand = (F.col("record") == "HETATM") & (F.col("resname") == F.col("ligand_comp_id")) & (F.col("chain") == F.col("ligand_chain")) & (F.col("resseq") == F.col("ligand_resnum"))
     a = a.withColumn("block", F.when(protein, 1).when(ligand, 3)).filter("block is not null")
@@ -51,16 +51,16 @@ def summary(chosen: DataFrame, cleaned: DataFrame, sequences: DataFrame, atoms:
     dropped = cleaned.select(*keys, "block", "chain", "resseq", "icode", "atom_name", "n_dropped").groupBy(*keys).agg(F.sum("n_dropped").alias("n_altloc_atoms_removed"))
     protein = cleaned.filter("block = 1")
     chain = chosen.select(*keys, F.col("selected_chain").alias("chain"))
-    length = sequences.join(chain, [*k, "chain"], "left_semi").groupBy(*keys).agg(F.count("*").alias("seqres_length"))
+    length = sequences.join(chain.hint("merge"), [*k, "chain"], "left_semi").groupBy(*keys).agg(F.count("*").alias("seqres_length"))
     holes = selection.gap_text(protein, (*keys, "chain")).drop("chain")
     ss = geometry.disulfides(protein, keys=(*keys, "chain")).groupBy(*keys).agg(F.count("*").alias("n_disulfides"), F.array_join(F.array_sort(F.collect_list(F.concat_ws("-", "res_i", "res_j"))), ";").alias("disulfide_pairs"))
     water = bridging_waters(atoms, cleaned.filter("block = 3"), keys=keys).groupBy(*keys).agg(F.count("*").alias("n_bridging_waters"))
     out = chosen
     for t in (counts, dropped, length, holes, ss, water):
-        out = out.join(t, k, "left")
+        out = out.join(t.hint("merge"), k, "left")
     out = out.fillna(0, ["protein_atom_count", "ligand_atom_count", "n_protein_residues", "n_altloc_atoms_removed", "n_disulfides", "n_bridging_waters"])
     status = F.when(F.col("protein_atom_count") == 0, "FAILED_NO_PROTEIN_ATOMS").when(F.col("ligand_atom_count") == 0, "FAILED_NO_LIGAND_ATOMS").otherwise("OK")
     out = out.withColumns({"n_missing_residues": F.greatest(F.coalesce("seqres_length", F.lit(0)) - F.col("n_protein_residues"), F.lit(0)), "status": status})
     if links is not None:
-        out = out.join(links, k, "left").withColumn("is_covalent", F.col("ligand_atom").isNotNull())
+        out = out.join(links.hint("merge"), k, "left").withColumn("is_covalent", F.col("ligand_atom").isNotNull())
     return out

@@ -112,7 +112,7 @@ def value_counts(df: DataFrame, *columns: str) -> DataFrame:
 
 def name_reconciliation(a: DataFrame, b: DataFrame, keys: Sequence[str], name: str, ignore_extra: Column | None = None) -> DataFrame:
     """Names only in a and only in b per key, and whether they agree; extras that are ignored do not count."""
-    j = a.select(*keys, name).distinct().withColumn("_a", F.lit(True)).join(b.select(*keys, name).distinct().withColumn("_b", F.lit(True)), [*keys, name], "full")
+    j = a.select(*keys, name).distinct().withColumn("_a", F.lit(True)).join(b.select(*keys, name).distinct().withColumn("_b", F.lit(True)).hint("merge"), [*keys, name], "full")
     only_a, only_b = F.col("_b").isNull(), F.col("_a").isNull()
     counted = only_b if ignore_extra is None else only_b & ~ignore_extra
     names = lambda test: F.array_join(F.array_sort(F.collect_list(F.when(test, F.col(name)))), ",")

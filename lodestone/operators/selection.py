@@ -60,7 +60,7 @@ def renumber(df: DataFrame, keys: Sequence[str], item: Sequence[str], order: str
 def number_with_ligand(residues: DataFrame, ligands: DataFrame, keys=("structure_id",), out: str = "pose_resnum") -> DataFrame:
     """The ligand's row after its structure's last residue."""
     last = residues.groupBy(*keys).agg((F.max(out) + 1).alias(out))
-    return residues.unionByName(ligands.join(last, list(keys)), allowMissingColumns=True)
+    return residues.unionByName(ligands.join(last.hint("merge"), list(keys)), allowMissingColumns=True)
 
 
 def in_band(df: DataFrame, keys: Sequence[str], distance: str, band: float, order: Sequence[Column]) -> DataFrame:
@@ -84,7 +84,7 @@ def motif_hits(letters: DataFrame, motif: str, keys=("structure_id", "chain"), p
     out = out.select(*keys, "pos")
     for k, x in enumerate(motif[1:], 1):
         nxt = s.filter(F.col("_a") == x).select(*keys, (F.col("pos") - k).alias("pos"))
-        out = out.join(nxt, [*keys, "pos"], "left_semi")
+        out = out.join(nxt.hint("merge"), [*keys, "pos"], "left_semi")
     return out.distinct()
 
 
@@ -97,7 +97,7 @@ def numbering_offset(chains: DataFrame, hits: Mapping[int, DataFrame], keys=("st
     names = []
     for k, (usual, found) in enumerate(hits.items()):
         c = found.groupBy(*keys).agg(F.count("*").alias(f"n{k}"), F.min(F.lit(usual) - F.col("pos")).alias(f"o{k}"))
-        out = out.join(c, list(keys), "left").withColumn(f"n{k}", F.coalesce(f"n{k}", F.lit(0)))
+        out = out.join(c.hint("merge"), list(keys), "left").withColumn(f"n{k}", F.coalesce(f"n{k}", F.lit(0)))
         names.append((F.col(f"n{k}"), F.col(f"o{k}")))
     (n0, o0), (n1, o1) = names
     offset = F.when((n0 == 1) & (n1 == 1) & (o0 == o1), o0).when((n0 == 1) & (n1 == 0), o0).when((n1 == 1) & (n0 == 0), o1)
@@ -155,13 +155,13 @@ def select_copy(distances: DataFrame, quality: DataFrame, complete: DataFrame, c
     of the best count as equal and are told apart by missing CA, occupancy, altlocs, distance.
     """
     near = first_by(distances.filter("mean_pocket_dist is not null"), [*keys, "copy"], [F.col("mean_pocket_dist"), F.col("chain")])
-    near = near.filter(F.col("mean_pocket_dist") < pocket).join(quality, [*keys, "copy"], "left").join(complete, [*keys, "chain"], "left").withColumn("n_missing_ca", F.coalesce("n_missing_ca", F.lit(999)))
+    near = near.filter(F.col("mean_pocket_dist") < pocket).join(quality.hint("merge"), [*keys, "copy"], "left").join(complete.hint("merge"), [*keys, "chain"], "left").withColumn("n_missing_ca", F.coalesce("n_missing_ca", F.lit(999)))
     near = near.withColumn("n_pocket_ligand_copies", F.count("*").over(Window.partitionBy(*keys)))
     label = F.format_string("%s (%.2f)", F.col("copy").cast("string"), F.col("mean_pocket_dist"))
     every = near.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("copy", label.alias("t")))).alias("_all"))
     best = in_band(near, keys, "mean_pocket_dist", band, [F.col("n_missing_ca"), F.col("mean_occupancy").desc(), F.col("n_altloc_atoms"), F.col("mean_pocket_dist"), F.col("copy")])
     valid = checks.groupBy(*keys).agg(F.count_if("all_ok").alias("n_valid_motif_chains"))
-    out = checks.select(*keys).distinct().join(best, list(keys), "left").join(every, list(keys), "left").join(valid, list(keys), "left")
+    out = checks.select(*keys).distinct().join(best.hint("merge"), list(keys), "left").join(every.hint("merge"), list(keys), "left").join(valid.hint("merge"), list(keys), "left")
     status = F.when(F.col("copy").isNull(), "NO_POCKET_LIGAND_FOUND").when(F.col("n_valid_motif_chains") >= 1, "OK").otherwise("MOTIF_CHECK_FAILED")
     tie = F.when(F.col("n_equal") > 1, F.format_string(" %d copies were equal in distance; told apart by missing CA %d, occupancy %.2f, altlocs %d.", "n_equal", "n_missing_ca", "mean_occupancy", "n_altloc_atoms")).otherwise("")
     others = F.array_join(F.transform(F.filter("_all", lambda s: s["copy"] != F.col("copy")), lambda s: s["t"]), ", ")
@@ -177,19 +177,19 @@ def unique_names(df: DataFrame, keys: Sequence[str], name: str = "name", element
     taken = d.filter("not _clash").select(*keys, F.regexp_extract(name, "^([A-Za-z]+)[0-9]+$", 1).alias("_e"), F.regexp_extract(name, "^[A-Za-z]+([0-9]+)$", 1).try_cast("int").alias("_k"))
     need = d.filter("_clash").withColumn("_at", F.row_number().over(Window.partitionBy(*keys, element).orderBy(order)))
     size = need.groupBy(*keys, element).agg(F.max("_at").alias("_n"))
-    used = taken.join(size.withColumnRenamed(element, "_e"), [*keys, "_e"]).groupBy(*keys, "_e").agg(F.count("*").alias("_u"))
-    free = size.join(used.withColumnRenamed("_e", element), [*keys, element], "left").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n") + F.coalesce("_u", F.lit(0)).cast("int"))))
+    used = taken.join(size.withColumnRenamed(element, "_e").hint("merge"), [*keys, "_e"]).groupBy(*keys, "_e").agg(F.count("*").alias("_u"))
+    free = size.join(used.withColumnRenamed("_e", element).hint("merge"), [*keys, element], "left").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n") + F.coalesce("_u", F.lit(0)).cast("int"))))
     free = free.join(taken.withColumnRenamed("_e", element).hint("merge"), [*keys, element, "_k"], "left_anti")
     free = free.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, element).orderBy("_k"))).select(*keys, element, "_at", "_k")
-    named = need.join(free, [*keys, element, "_at"]).withColumn(name, F.concat(F.col(element), F.col("_k").cast("string")))
+    named = need.join(free.hint("merge"), [*keys, element, "_at"]).withColumn(name, F.concat(F.col(element), F.col("_k").cast("string")))
     return d.filter("not _clash").select(*df.columns).unionByName(named.select(*df.columns))
 
 
 def first_match(base: DataFrame, rows: DataFrame, keys: Sequence[str], name: str, wanted: str, number: str, letters: int = 3, out: str = "found") -> DataFrame:
     """Smallest number of the rows whose name starts like the wanted one; NULL if there is none."""
     want = base.select(*keys, F.substring(wanted, 1, letters).alias("_w")).distinct()
-    hit = rows.select(*keys, F.substring(name, 1, letters).alias("_w"), number).join(want, [*keys, "_w"]).groupBy(*keys, "_w").agg(F.min(number).alias(out))
-    return base.withColumn("_w", F.substring(wanted, 1, letters)).join(hit, [*keys, "_w"], "left").drop("_w")
+    hit = rows.select(*keys, F.substring(name, 1, letters).alias("_w"), number).join(want.hint("merge"), [*keys, "_w"]).groupBy(*keys, "_w").agg(F.min(number).alias(out))
+    return base.withColumn("_w", F.substring(wanted, 1, letters)).join(hit.hint("merge"), [*keys, "_w"], "left").drop("_w")
 
 
 def by_priority(df: DataFrame, keys: Sequence[str], name: str, priority: Mapping[str, int], order: str, out: str = "place") -> DataFrame:

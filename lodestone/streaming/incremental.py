@@ -125,7 +125,7 @@ def run_available(stream: DataFrame, sink: str, checkpoint: str) -> None:
 
 def score_from_state(native: DataFrame, state: DataFrame, keys, value: str = "energy") -> DataFrame:
     """F index and class of natives against the moments so far."""
-    j = native.join(state.filter("n >= 2"), list(keys))
+    j = native.join(state.filter("n >= 2").hint("merge"), list(keys))
     j = j.withColumn("F_index", z_score(F.col("mean"), F.col(value), F.col("sd")))
     return j.withColumn("frustration_class", three_way(F.col("F_index")))
 
