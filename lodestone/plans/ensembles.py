@@ -86,6 +86,31 @@ def permutation_p(spark, sf_dir):
     return rounded(stats.permutation_p(table(spark, sf_dir, "supplier"), "s_acctbal", "s_nationkey", "s_suppkey", permutations=100), "r", "p")
 
 
+def _keyed_sql(seed: int = 5, permutations: int = 60) -> str:
+    """The bijection of ``stats.keyed_permutation`` by the same arithmetic."""
+    m = (1 << 31) - 1
+    h1 = lambda t, r: f"((({t}) * 40503 + k * 65599 + {r * 7919 + seed * 131 + 1}) % {m})"
+    h = lambda t, r: f"((({h1(t, r)} * {h1(t, r)} + 12345) % {m}) * 69621 % {m})"
+    rounds, a, b = [], "i // c", "i % c"
+    for r in (1, 2, 3, 4):
+        one = f"(a + {h('b', r)}) % w AS a, b" if r % 2 else f"a, (b + {h('a', r)}) % c AS b"
+        rounds.append(one)
+    step = lambda source: f"SELECT k, id, i0, n, w, c, a * c + b AS i FROM (SELECT k, id, i0, n, w, c, {rounds[3]} FROM (SELECT k, id, i0, n, w, c, {rounds[2]} FROM (SELECT k, id, i0, n, w, c, {rounds[1]} FROM (SELECT k, id, i0, n, w, c, {rounds[0]} FROM (SELECT *, {a} AS a, {b} AS b FROM {source})))))"
+    return f"""
+WITH RECURSIVE d AS (SELECT c_custkey AS id, c_acctbal AS x, c_nationkey::DOUBLE AS y, row_number() OVER (ORDER BY c_custkey) - 1 AS i, count(*) OVER () AS n FROM customer),
+g AS (SELECT *, floor(sqrt(n - 1))::BIGINT + 1 AS w FROM d), s AS (SELECT k::BIGINT AS k, id, i AS i0, n, w, (n + w - 1) // w AS c, i FROM g, range(1, {permutations + 1}) t(k)),
+v AS ({step('s')} UNION ALL {step('(SELECT * FROM v WHERE i >= n)')}),
+q AS (SELECT k, corr(a.x, b.y) AS rk FROM v JOIN d a ON a.i = v.i0 JOIN d b ON b.i = v.i WHERE v.i < v.n GROUP BY k), o AS (SELECT count(*) AS n, corr(x, y) AS r FROM d)
+SELECT n, round(r, 6) AS r, round(avg(CASE WHEN abs(rk) >= abs(r) - 1e-12 THEN 1.0 ELSE 0.0 END), 6) AS p FROM q, o GROUP BY n, r
+"""
+
+
+@query("permutation_keyed", _keyed_sql())
+def permutation_keyed(spark, sf_dir):
+    """Balances against nations of customers, partners by a keyed bijection."""
+    return rounded(stats.permutation_test(table(spark, sf_dir, "customer"), "c_acctbal", "c_nationkey", "c_custkey", permutations=60, seed=5), "r", "p")
+
+
 @query("rank_ties", "SELECT o_orderkey, row_number() OVER w2 AS r_first, rank() OVER w AS r_min, rank() OVER w + count(*) OVER (PARTITION BY o_orderstatus, o_orderdate) - 1 AS r_max, rank() OVER w + (count(*) OVER (PARTITION BY o_orderstatus, o_orderdate) - 1) / 2.0 AS r_avg FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderdate), w2 AS (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey)")
 def rank_ties(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")

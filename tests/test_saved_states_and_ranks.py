@@ -106,3 +106,28 @@ def test_contacts_meet_each_pair_once(spark):
     want = sorted((i, j) for i in ids for j in ids if j - i >= 4 and math.dist(ids[i], ids[j]) <= 0.5)
     got = geometry.contacts(d, 0.5).collect()
     assert sorted((r.resi, r.resj) for r in got) == want and all(math.isclose(r.dist, math.dist(ids[r.resi], ids[r.resj])) for r in got)
+
+
+def test_keyed_permutations_are_bijections():
+    for n in (1, 2, 3, 5, 10, 97, 1000):
+        i, k = np.arange(n)[:, None], np.arange(1, 9)[None, :]
+        at = stats.keyed_permutation(i, k, n, 3)
+        assert (np.sort(at, axis=0) == i).all()
+    # any place is as likely: 2,000 draws over 10 places
+    at = stats.keyed_permutation(np.zeros((1, 1), np.int64), np.arange(2000)[None, :], 10)
+    assert (np.bincount(at.ravel(), minlength=10) > 140).all()
+
+
+def test_permutation_test_equals_its_definition(spark, monkeypatch):
+    draw = np.random.default_rng(2)
+    x = draw.normal(0, 1, 80)
+    y = 0.25 * x + draw.normal(0, 1, 80)
+    d = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))] + [(99, None, 1.0)], "id int, x double, y double")
+    r = np.corrcoef(x, y)[0, 1]
+    null = [np.corrcoef(x, y[stats.keyed_permutation(np.arange(80), k, 80, 7)])[0, 1] for k in range(1, 51)]
+    want = np.mean(np.abs(null) >= abs(r) - 1e-12)
+    for most in (1 << 20, 10):  # shipped, and met by place
+        monkeypatch.setattr(stats, "MOST_HELD", most)
+        got = stats.permutation_test(d, "x", "y", "id", 50, 7).first()
+        assert got.n == 80 and math.isclose(got.r, r, rel_tol=1e-9) and math.isclose(got.p, want)
+    assert stats.permutation_test(d.withColumn("y", F.lit(1.0)), "x", "y", "id").first().p is None
