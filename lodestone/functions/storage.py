@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,11 +24,27 @@ def work_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def tidy(spark: SparkSession):
+    """Shuffle files of jobs in this block go when their job ends, not when the driver next collects garbage.
+
+    For jobs whose result is written or taken at once: nothing reads their shuffles again.
+    """
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: no lineage, real statistics."""
     spark = df.sparkSession
     path = work_dir(spark)
-    df.write.parquet(path)
+    with tidy(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
