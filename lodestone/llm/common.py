@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.storage import drop_written, materialised, work_dir  # noqa: F401
+from lodestone.functions.storage import drop_written, materialised, tidy, work_dir  # noqa: F401
 
 #: A word of the contracts: a run of characters that are not ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"

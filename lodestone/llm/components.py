@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import drop_written, materialised
+from lodestone.llm.common import drop_written, materialised, tidy
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -17,7 +17,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     e = materialised(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
 
     def state(df):
-        return df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+        with tidy(df.sparkSession):
+            return df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
 
     last = state(e)
     for _ in range(most_rounds):
