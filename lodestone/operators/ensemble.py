@@ -54,6 +54,29 @@ def neighbourhood_energy(edges: DataFrame, keys=("structure_id", "replicate")) -
     return out.select(*keys, *PAIR, "e", ((F.col("s_i") + F.col("s_j")) / 2).alias("energy"))
 
 
+def contact_energy(contacts: DataFrame, edges: DataFrame, keys=("structure_id",)) -> DataFrame:
+    """Eq. 2 of contacts in those replicates in which an end has an edge; in all others it is 0.
+
+    Sums of a point's edges go to its contacts, half from either end, so contacts are
+    never multiplied by replicates: rows follow the edges that exist.  Edges that are no
+    contacts do not count, repeated contacts count once, and of repeated edges the lowest energy counts.
+    """
+    k, own = list(keys), contacts.select(*keys, *PAIR).distinct()
+    e = edges.groupBy(*keys, "replicate", *PAIR).agg(F.min(F.coalesce("e", F.lit(0.0))).alias("e")).filter("replicate is not null")
+    e = e.join(own.hint("merge"), [*k, *PAIR], "left_semi")
+    s = partners(e, (*keys, "replicate"), ["e"]).groupBy(*keys, "replicate", "i").agg(F.sum("e").alias("s"))
+    ends = own.withColumn("i", F.explode(F.array("resi", "resj")))
+    half = ends.join(s.hint("merge"), [*k, "i"]).select(*keys, *PAIR, "replicate", (F.col("s") / 2).alias("half"))
+    # by contact: what follows needs no other shuffle
+    return half.repartition(*keys, *PAIR).groupBy(*keys, *PAIR, "replicate").agg(F.sum("half").alias("energy"))
+
+
+def _scored(m: DataFrame, high: float, low: float) -> DataFrame:
+    m = m.filter((F.col("n_decoys") >= 2) & F.col("E_native").isNotNull())
+    m = m.withColumn("F_index", z_score(F.col("decoy_mean"), F.col("E_native"), F.col("decoy_std")))
+    return m.withColumn("frustration_class", three_way(F.col("F_index"), high, low))
+
+
 def ensemble_score(values: DataFrame, native: Column, value: str = "energy", keys=("structure_id", *PAIR), high: float = 0.78, low: float = -1.0) -> DataFrame:
     """F index and class of each pair: native against the mean and sample deviation of the others (Eq. 1).
 
@@ -62,16 +85,32 @@ def ensemble_score(values: DataFrame, native: Column, value: str = "energy", key
     """
     v = F.col(value)
     m = values.groupBy(*keys).agg(F.max(F.when(native, v)).alias("E_native"), F.avg(F.when(~native, v)).alias("decoy_mean"), F.stddev_samp(F.when(~native, v)).alias("decoy_std"), F.count(F.when(~native, v)).alias("n_decoys"))
-    m = m.filter((F.col("n_decoys") >= 2) & F.col("E_native").isNotNull())
-    m = m.withColumn("F_index", z_score(F.col("decoy_mean"), F.col("E_native"), F.col("decoy_std")))
-    return m.withColumn("frustration_class", three_way(F.col("F_index"), high, low))
+    return _scored(m, high, low)
 
 
-def survey(contacts: DataFrame, terms: DataFrame, weights: Mapping[str, float], exclude=("fa_rep",), **thresholds) -> DataFrame:
-    """Edges, Eq. 2, Eq. 1 and classes for all structures and replicates in one job."""
-    edges = edge_energy(terms, weights, exclude)
-    full = on_contacts(contacts, edges, terms)
-    return ensemble_score(neighbourhood_energy(full), F.col("replicate") == 0, **thresholds)
+def with_zeros(state: DataFrame, total: Column) -> DataFrame:
+    """States (n, mean, m2) with zeros added up to ``total`` values; a missing state is that of zeros only."""
+    n, mean, m2 = (F.coalesce(F.col(c), F.lit(0)) for c in ("n", "mean", "m2"))
+    share = F.coalesce(F.try_divide(n, total), F.lit(0.0))
+    return state.withColumns({"n": total, "mean": mean * share, "m2": m2 + mean * mean * share * (total - n)})
+
+
+def survey(contacts: DataFrame, terms: DataFrame, weights: Mapping[str, float], exclude=("fa_rep",), high: float = 0.78, low: float = -1.0) -> DataFrame:
+    """Edges, Eq. 2, Eq. 1 and classes for all structures and replicates in one job; replicate 0 is the native.
+
+    A contact's state is made from the replicates in which an end has an edge; those
+    without are added as zeros, by number.
+    """
+    k = ["structure_id", *PAIR]
+    values, v = contact_energy(contacts, edge_energy(terms, weights, exclude)), F.when(F.col("replicate") != 0, F.col("energy"))
+    state = values.groupBy(*k).agg(F.max(F.when(F.col("replicate") == 0, F.col("energy"))).alias("E_native"), F.count(v).alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count(v)).alias("m2"))
+    made = terms.select("structure_id", "replicate").distinct()
+    made = made.groupBy("structure_id").agg(F.count_if(F.col("replicate") != 0).alias("total"), F.count_if(F.col("replicate") == 0).alias("natives"))
+    every = contacts.select(*k).distinct().join(state.hint("merge"), k, "left").join(made.hint("merge"), "structure_id")
+    every = with_zeros(every, F.col("total"))
+    native = F.when(F.col("natives") > 0, F.coalesce("E_native", F.lit(0.0)))
+    m = every.select(*k, native.alias("E_native"), F.col("mean").alias("decoy_mean"), F.sqrt(F.try_divide("m2", F.col("n") - 1)).alias("decoy_std"), F.col("n").alias("n_decoys"))
+    return _scored(m, high, low)
 
 
 def touching(pairs: DataFrame, region: DataFrame, keys=("structure_id",), member: str = "resi") -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +38,31 @@ def test_z_score_golden(spark):
     assert r.F_index == pytest.approx((mean + 5.0) / sd) and r.n_decoys == 10
 
 
+def test_survey_equals_every_contact_in_every_replicate(spark):
+    draw = random.Random(3)
+    c = [(s, i, j) for s in range(3) for i in range(12) for j in range(i + 3, 12)]
+    t = [(s, r, i, j, term, draw.gauss(-1, 3)) for s, i, j in c if i < 9 for r in range(1 if s == 2 else 0, 7) if r == 6 or draw.random() < 0.2 for term in ("a", "fa_rep")]
+    t += [(0, 1, 40, 41, "a", -5.0), (1, None, 0, 3, "a", -5.0), (1, 2, 0, 3, "a", None), (0, 9, 50, 60, "a", 1.0)]
+    contacts = spark.createDataFrame([*c, *c[:5], (7, 0, 3)], "structure_id long, resi long, resj long")
+    terms = spark.createDataFrame(t, "structure_id long, replicate long, resi long, resj long, term string, value double")
+    edges = ensemble.edge_energy(terms, {"a": 2.0})
+    whole = ensemble.ensemble_score(ensemble.neighbourhood_energy(ensemble.on_contacts(contacts, edges, terms)), F.col("replicate") == 0)
+    key = ["structure_id", "resi", "resj", "n_decoys", "frustration_class"]
+    row = lambda r: (tuple(r[k] for k in key), [r[k] for k in ("E_native", "decoy_mean", "decoy_std", "F_index")])
+    want, got = (sorted(row(r) for r in d.collect()) for d in (whole, ensemble.survey(contacts, terms, {"a": 2.0})))
+    assert [k for k, _ in got] == [k for k, _ in want] and {k[0] for k, _ in got} == {0, 1}
+    for (_, a), (_, b) in zip(got, want):
+        assert a == pytest.approx(b, abs=1e-9)
+
+
+def test_contact_energy_has_rows_where_edges_are(spark):
+    contacts = spark.range(0, 1000).selectExpr("0 as structure_id", "id as resi", "id + 4 as resj")
+    edges = spark.createDataFrame([(0, r, 8, 12, -1.0) for r in range(50)], "structure_id int, replicate int, resi long, resj long, e double")
+    r = ensemble.contact_energy(contacts, edges)
+    assert r.count() == 3 * 50  # the contact, and one at either end
+    assert {(x.resi, x.energy) for x in r.filter("replicate = 3").collect()} == {(4, -0.5), (8, -1.0), (12, -0.5)}
+
+
 def test_survey_terms(spark):
     c = spark.createDataFrame([("s", 1, 5), ("s", 1, 6)], "structure_id string, resi int, resj int")
     t = [("s", k, 1, 5, term, v * (1 + k)) for k in range(4) for term, v in (("a", 1.0), ("fa_rep", 100.0))]
