@@ -1,12 +1,17 @@
 """The ten operators: against SQL, brute force, round trips and held-out labels; edge cases."""
 
 import hashlib
+import math
+import random
+import re
+import string
 import sys
 import zlib
 from collections import defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -503,6 +508,63 @@ def test_quality_learns_from_training_labels_only(spark):
     assert all(np.array_equal(a[k], b[k]) for k in a)
 
 
+def plain_features(text):
+    """The features of one text by their definitions, a character and a word at a time."""
+    low = low_words(text or "")
+    if not low:
+        return [0.0] * len(quality.FEATURES)
+    data = text.encode() + b" "
+    n, some = len(text.encode()), len(low)
+    count = lambda chars, of=data: sum(c in chars for c in of)
+    symbols = b"#*$%&|<>~^_=+\\{}[]@"
+    lines = [tuple(sorted(low_words(line))) for line in text.split("\n") if low_words(line)] if "\n" in text else []
+    n_lines = max(len(lines), 1)
+    return [
+        math.log1p(some), sum(c not in b" \n" for c in data) / some / 10, count(string.ascii_uppercase.encode()) / n, count(b"0123456789") / n, count(b"\"'()/:;-") / n,
+        count(b"|") / some, sum(a in symbols and b in symbols for a, b in zip(data, data[1:])) / some, count(b".,!?") / some, sum(c >= 128 for c in data) / n,
+        len(set(low)) / some, sum(a == b for a, b in zip(low, low[1:])) / some, math.log1p(n_lines) / math.log(math.e + some),
+        (len(lines) - len(set(lines))) / n_lines, sum(len(line) == 1 for line in lines) / n_lines, count(symbols) / some,
+    ]
+
+
+def low_words(line):
+    return ["".join(c.lower() if c in string.ascii_uppercase else c for c in w) for w in re.findall("[^\\x20\\x09-\\x0D]+", line)]
+
+
+def test_quality_by_brute_force(spark):
+    draw = random.Random(5)
+    some = ["Word", "word", "naïve", "a|b", "#*#", "12.5", "(see:", "x", "end.", "語", "word"]
+    texts = [" ".join(draw.choice(some) for _ in range(draw.randrange(1, 40))).replace(" x ", "\n") for _ in range(300)] + ["", None, " \n ", "one", "a\na\n\na b\n"]
+    x = np.array([plain_features(t) for t in texts])
+    assert np.allclose(quality.features(pa.array(texts)), x, atol=1e-12)
+
+    # preferences: more distinct words are better, with some labels turned round
+    y = [int(r[9] + 0.3 * draw.random() > 0.55) for r in x]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame(list(enumerate(y)), "doc_id long, quality int"), F.lit(True))
+    y = np.array(y)
+    good, bad = x[y == 1], x[y == 0]
+    assert np.allclose(model["mean"], np.r_[good, bad].mean(0)) and np.allclose(model["sd"], np.r_[good, bad].std(0) + 1e-6)
+
+    # the loss over every pair, not those drawn, is near the least that Newton's steps find
+    d = ((good[:, None] - bad[None]) / model["sd"]).reshape(-1, x.shape[1])
+    loss = lambda w: np.logaddexp(0, -d @ w).mean() + 5e-4 * w @ w
+    w = np.zeros(x.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
+        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + 1e-3 * np.eye(len(w)), -(d * p[:, None]).mean(0) + 1e-3 * w)
+        w = w - step
+    assert loss(w) <= loss(model["w"]) <= loss(w) + 0.01
+
+    # the cut errs least of all cuts, and scores are those of the formula
+    s = ((x - model["mean"]) / model["sd"]) @ model["w"]
+    errors = lambda cut: int(((s >= cut) != (y == 1)).sum())
+    assert errors(model["cut"]) == min(errors(c) for c in [*s, s.max() + 1])
+    got = {r.doc_id: (r.score, r.predicted) for r in quality.score(docs, model, keep=["doc_id"]).collect()}
+    p = 1 / (1 + np.exp(-np.clip((s - model["cut"]) * model["scale"], -30, 30)))
+    assert all(got[i][0] == pytest.approx(v) and got[i][1] == (got[i][0] >= 0.5) for i, v in enumerate(p))
+
+
 def test_quality(spark, odd, none, marks):
     model = quality.fit(odd, marks, F.lit(True))
     s = quality.score(odd, model, keep=["doc_id", "lang"])
