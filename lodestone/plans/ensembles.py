@@ -54,10 +54,11 @@ def assoc_p_value(spark, sf_dir):
     return rounded(c.select("frustration_class", "n", "r", stats.t_test_p("r", "n").alias("p")), "r", "p")
 
 
-@query("spearman", f"WITH {Z_SQL}, j AS (SELECT F_index AS x, p_size AS y FROM z JOIN part ON p_partkey = resi), r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS b FROM j) SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM r")
+@query("spearman", f"WITH {Z_SQL}, j AS (SELECT round(F_index, 9) AS x, p_size AS y FROM z JOIN part ON p_partkey = resi), r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS b FROM j) SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM r")
 def spearman(spark, sf_dir):
+    """Ranks of indices to 9 places: equal ones are ties, in whichever order their sums were made."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("resi"), "p_size")
-    return rounded(stats.spearman(scored(spark, sf_dir).join(part, "resi"), "F_index", "p_size"), "rho")
+    return rounded(stats.spearman(rounded(scored(spark, sf_dir), "F_index", places=9).join(part, "resi"), "F_index", "p_size"), "rho")
 
 
 ADJ_SQL = """

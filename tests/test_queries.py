@@ -177,3 +177,37 @@ def test_areas_of_several_radii(spark):
         want[s, g] = want.get((s, g), 0.0) + free / n * 4 * math.pi * r * r
     got = {(r.structure_id, r.resi): r.area for r in accessible_area(df, probe=0.2, n_points=n).collect()}
     assert got == pytest.approx(want)
+
+
+def test_spearman_ties_do_not_depend_on_the_order_of_sums(spark, duck, tmp_path):
+    """Six copies of each part's line items, each in another order: equal indices are ties, here and in the SQL."""
+    import random
+
+    import duckdb
+    import numpy as np
+
+    draw, items, parts = random.Random(5), [], []
+    for part in range(40):
+        own = [(line, draw.randrange(1000, 99999) / 100) for line in range(1, 5) for _ in range(7)]
+        for copy in range(6):
+            key = part + 1000 * copy
+            parts.append((key, draw.randrange(1, 51)))
+            items += [(key, *x) for x in draw.sample(own, len(own))]
+    spark.createDataFrame(items, "l_partkey long, l_linenumber int, l_extendedprice double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(parts, "p_partkey long, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    index = {}
+    for part in range(40):
+        of = [[x[2] for x in items if x[0] == part and x[1] == line] for line in range(1, 5)]
+        native, *rest = [np.mean(x) for x in of]
+        index[part] = round((np.mean(rest) - native) / np.std(rest, ddof=1), 9)
+
+    def ranks(v):
+        v = np.array(v)
+        return [(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v]
+
+    want = np.corrcoef(ranks([index[k % 1000] for k, _ in parts]), ranks([y for _, y in parts]))[0, 1]
+    assert registry.QUERIES["spearman"](spark, str(tmp_path)).first().rho == pytest.approx(want, abs=2e-6)
+    con = duckdb.connect()
+    for t in ("lineitem", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert con.execute(registry.ORACLE["spearman"]).fetchall()[0][1] == pytest.approx(want, abs=2e-6)
