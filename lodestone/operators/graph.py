@@ -5,6 +5,7 @@ shared folder, so lineage stays short and lost executors cost one round.
 """
 
 from collections.abc import Sequence
+from itertools import product
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -156,22 +157,75 @@ def ring_sizes(bonds: DataFrame, keys: Sequence[str] = ("mol_id",), most_rounds:
     return out
 
 
-def centre(edges: DataFrame, candidates: DataFrame, keys: Sequence[str] = ("mol_id",), first: int = 2) -> DataFrame:
+GROUP_PARTS = 64  # parts of a rigid group whose nodes are reached on their own
+
+
+def rigid_paths(across: DataFrame, nodes: DataFrame, sources: DataFrame, keys: Sequence[str] = ("mol_id",), most_rounds: int = 200) -> DataFrame:
+    """As ``shortest_paths`` over the edges ``across`` groups and all pairs of a group, as long as their straight distance.
+
+    ``nodes`` has (keys, node, group, x, y, z), each node once; edges are as long as their ends are
+    apart.  Pairs are never made: in a round the nodes by which a source enters a group
+    give distances to all of the group, and only nodes that came nearer go on over edges.
+    """
+    k = list(keys)
+    e = materialised(both_ways(across, keys, ["weight"]).groupBy(*keys, "a1", "a2").agg(F.min("weight").alias("weight")))
+    part = F.pmod(F.xxhash64("node"), F.lit(GROUP_PARTS)).cast("int")
+    inside = materialised(nodes.select(*k, "group", part.alias("_part"), "node", "x", "y", "z"))
+    at = nodes.select(*k, "node", "group", *[F.col(c).alias(f"e{c}") for c in "xyz"])
+    enter = sources.select(*k, "source", F.col("source").alias("node"), F.lit(0.0).alias("dist"))
+    best = None
+    for _ in range(most_rounds):
+        by = enter.join(at.hint("merge"), [*k, "node"]).drop("node").withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(GROUP_PARTS - 1))))
+        apart = F.sqrt(sum(((F.col(c) - F.col(f"e{c}")) * (F.col(c) - F.col(f"e{c}")) for c in "xyz"), F.lit(0.0)))
+        step = by.join(inside.hint("merge"), [*k, "group", "_part"]).groupBy(*k, "source", "node").agg(F.min(F.col("dist") + F.coalesce(apart, F.when(F.col("dist") == 0, 0.0))).alias("new"))
+        if best is None:
+            nxt = materialised(step.select(*k, "source", "node", F.col("new").alias("dist"), F.lit(True).alias("moved")))
+        else:
+            better = F.col("new").isNotNull() & (F.col("dist").isNull() | (F.col("new") < F.col("dist") - 1e-12))
+            j = best.join(step.hint("merge"), [*k, "source", "node"], "full")
+            nxt = materialised(j.select(*k, "source", "node", F.when(better, F.col("new")).otherwise(F.col("dist")).alias("dist"), better.alias("moved")))
+            drop_written(best, enter)
+        best = nxt.drop("moved")
+        out = nxt.filter("moved").join(e.withColumnRenamed("a1", "node").hint("merge"), [*k, "node"]).groupBy(*k, "source", F.col("a2").alias("node")).agg(F.min(F.col("dist") + F.col("weight")).alias("new"))
+        out = out.join(best.hint("merge"), [*k, "source", "node"], "left").filter(F.col("dist").isNull() | (F.col("new") < F.col("dist") - 1e-12))
+        enter = materialised(out.select(*k, "source", "node", F.col("new").alias("dist")))
+        if enter.isEmpty():
+            drop_written(e, inside, enter)
+            return best
+    raise RuntimeError("paths did not settle")
+
+
+def straight_bounds(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ("mol_id",)) -> DataFrame:
+    """(keys, node, low): how far a node's farthest one is at least, where no edge is shorter than the straight distance.
+
+    The nodes of its component that are outermost in 26 directions are no nearer than that.
+    """
+    k = list(keys)
+    c = components(nodes, edges, keys).join(nodes.hint("merge"), [*k, "node"])
+    spot, ways = F.struct("x", "y", "z"), [w for w in product((-1, 0, 1), repeat=3) if any(w)]
+    outer = c.groupBy(*k, "component").agg(F.array(*[F.max_by(spot, w[0] * F.col("x") + w[1] * F.col("y") + w[2] * F.col("z")) for w in ways]).alias("_o"))
+    far = F.array_max(F.transform("_o", lambda o: F.sqrt(sum(((F.col(d) - o[d]) * (F.col(d) - o[d]) for d in "xyz"), F.lit(0.0)))))
+    return c.join(outer.hint("merge"), [*k, "component"]).select(*k, "node", F.coalesce(far, F.lit(0.0)).alias("low"))
+
+
+def centre(edges: DataFrame, candidates: DataFrame, keys: Sequence[str] = ("mol_id",), first: int = 2, paths=None) -> DataFrame:
     """(keys, centre, radius): the candidate whose farthest node is nearest; the smallest id on ties.
 
     Paths start from a few candidates of each graph, twice as many in each round.  A
     candidate at distance d from one whose farthest node is at e has its own at
     ``max(d, e - d)`` at least; those that this puts beyond the best so far are
-    never searched.  Nodes that cannot be reached do not count.
+    never searched.  Nodes that cannot be reached do not count.  Candidates may have a bound
+    of their own in ``low``; ``paths`` gives paths from sources in place of ``shortest_paths``.
     """
     k = list(keys)
     edges = materialised(edges)
-    open_ = materialised(candidates.select(*k, "node", F.lit(0.0).alias("low")).distinct())
+    low = F.col("low") if "low" in candidates.columns else F.lit(0.0)
+    open_ = materialised(candidates.select(*k, "node", low.alias("low")).distinct())
     known, size = [], first
     while not open_.isEmpty():
         w = Window.partitionBy(*k).orderBy("low", "node")
         picked = materialised(open_.withColumn("_at", F.row_number().over(w)).filter(F.col("_at") <= size).select(*k, F.col("node").alias("source")))
-        far = shortest_paths(edges, keys, picked)
+        far = paths(picked) if paths else shortest_paths(edges, keys, picked)
         out = far.groupBy(*k, "source").agg(F.max("dist").alias("far"))
         # a candidate without any edge is its own farthest node
         known.append(materialised(picked.join(out.hint("merge"), [*k, "source"], "left").select(*k, "source", F.coalesce("far", F.lit(0.0)).alias("far"))))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.scalar import distance, lookup, vector
+from lodestone.functions.storage import materialised
 from lodestone.operators import graph
 
 KEY = ["mol_id"]
@@ -158,18 +159,25 @@ def fragment_averages(sizes: DataFrame) -> DataFrame:
 def centre_atom(atoms: DataFrame, bonds: DataFrame, rigid: DataFrame | None = None) -> DataFrame:
     """The heavy atom with two heavy neighbours at least that is nearest to its farthest atom.
 
-    Edges are bonds and all pairs of a rigid group, as long as their distance; group
-    pairs are bounded by the molecule.  A molecule that is one rigid group so has plain distances.
+    Edges are bonds and all pairs of a rigid group, as long as their distance; the pairs
+    are not made, see ``graph.rigid_paths``.  As no path is shorter than a straight line, the
+    outermost atoms tell which candidates need a search.
     """
     d = degrees(atoms, bonds)
     good = d.filter(~is_h(F.col("elem")) & (F.col("heavy_degree") >= 2)).select(*KEY, F.col("atom_id").alias("node"))
-    e = bonds.select(*KEY, "a1", "a2")
-    if rigid is not None:
-        other = rigid.withColumnRenamed("atom_id", "a2")
-        e = e.unionByName(rigid.withColumnRenamed("atom_id", "a1").join(other.hint("merge"), [*KEY, "rigid_id"]).filter("a1 < a2").select(*KEY, "a1", "a2")).distinct()
-    at = lambda k: atoms.select(*KEY, F.col("atom_id").alias(f"a{k}"), *[F.col(c).alias(f"p{k}{c}") for c in "xyz"])
-    e = e.join(at(1).hint("merge"), [*KEY, "a1"]).join(at(2).hint("merge"), [*KEY, "a2"]).select(*KEY, "a1", "a2", distance(vector("p1"), vector("p2")).alias("weight"))
-    return graph.centre(e, good, KEY)
+    nodes = atoms.select(*KEY, F.col("atom_id").alias("node"), "x", "y", "z")
+    # an atom that no group lists is one of its own
+    own = F.concat(F.lit("a"), F.col("node").cast("string"))
+    groups = rigid.select(*KEY, F.col("atom_id").alias("node"), F.concat(F.lit("g"), F.col("rigid_id").cast("string")).alias("group")) if rigid is not None else None
+    nodes = nodes.withColumn("group", own) if groups is None else nodes.join(groups.hint("merge"), [*KEY, "node"], "left").withColumn("group", F.coalesce("group", own))
+    nodes = materialised(nodes)
+    at = lambda k: nodes.select(*KEY, F.col("node").alias(f"a{k}"), F.col("group").alias(f"g{k}"), *[F.col(c).alias(f"p{k}{c}") for c in "xyz"])
+    e = bonds.select(*KEY, "a1", "a2").join(at(1).hint("merge"), [*KEY, "a1"]).join(at(2).hint("merge"), [*KEY, "a2"]).filter("g1 <> g2")
+    e = materialised(e.select(*KEY, "a1", "a2", distance(vector("p1"), vector("p2")).alias("weight")))
+    first = nodes.groupBy(*KEY, "group").agg(F.min("node").alias("a2"))
+    star = nodes.join(first.hint("merge"), [*KEY, "group"]).select(*KEY, F.col("node").alias("a1"), "a2").filter("a1 <> a2")
+    bounds = graph.straight_bounds(nodes, e.select(*KEY, "a1", "a2").unionByName(star), KEY)
+    return graph.centre(e, good.join(bounds.hint("merge"), [*KEY, "node"], "left").fillna(0.0, ["low"]), KEY, paths=lambda picked: graph.rigid_paths(e, nodes, picked, KEY))
 
 
 def strip(atoms: DataFrame, bonds: DataFrame, drop: Column) -> tuple[DataFrame, DataFrame]:

@@ -252,3 +252,34 @@ def test_eq2_is_the_neighbour_sum(spark):
     for (i, j), v in e.items():
         want = v + 0.5 * sum(at(i, k) for k in range(1, 5) if k not in (i, j)) + 0.5 * sum(at(j, k) for k in range(1, 5) if k not in (i, j))
         assert got[(i, j)] == pytest.approx(want)
+
+
+def test_centre_of_rigid_groups_equals_all_pairs(spark):
+    """Paths through groups, whose pairs are not made, against relaxation over all of those pairs; some atoms are in no group."""
+    import math
+    import random
+
+    draw = random.Random(11)
+    atoms = [(m, k, "C" if k % 5 else "H", *(draw.random() * 4 for _ in "xyz")) for m in (1, 2) for k in range(40)]
+    at = {(m, k): x for m, k, _, *x in atoms}
+    bonds = [(m, k, k + 1, 1) for m in (1, 2) for k in range(39) if k != 30] + [(m, k, (k * 7) % 30, 1) for m in (1, 2) for k in range(1, 30, 3) if (k * 7) % 30 != k]
+    rigid = [(m, k, k // 6 if m == 1 else k // 25) for m in (1, 2) for k in range(36)]
+    edges = {(m, *sorted((a, b))) for m, a, b, _ in bonds} | {(m, a, b) for m, a, g in rigid for n, b, h in rigid if m == n and g == h and a < b}
+    want = {}
+    for m in (1, 2):
+        d = {(a, b): 0.0 if a == b else math.inf for a in range(40) for b in range(40)}
+        for n, a, b in edges:
+            if n == m:
+                d[a, b] = d[b, a] = math.dist(at[m, a], at[m, b])
+        for k in range(40):
+            for a in range(40):
+                for b in range(40):
+                    d[a, b] = min(d[a, b], d[a, k] + d[k, b])
+        heavy = {}
+        for n, a, b in {(n, a, b) for n, a, b, _ in bonds if n == m}:
+            heavy[a], heavy[b] = heavy.get(a, 0) + (b % 5 > 0), heavy.get(b, 0) + (a % 5 > 0)
+        far = {a: max(v for (s, _), v in d.items() if s == a and v < math.inf) for a in range(40) if a % 5 and heavy.get(a, 0) >= 2}
+        want[m] = min((round(v, 9), a) for a, v in far.items())
+    frames = spark.createDataFrame(atoms, "mol_id int, atom_id int, elem string, x double, y double, z double"), spark.createDataFrame(bonds, "mol_id int, a1 int, a2 int, bond_order int"), spark.createDataFrame(rigid, "mol_id int, atom_id int, rigid_id int")
+    got = {r.mol_id: (round(r.radius, 9), r.centre) for r in molgraph.centre_atom(*frames).collect()}
+    assert got == want
