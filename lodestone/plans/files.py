@@ -78,7 +78,11 @@ def covalent_links(spark, sf_dir):
     return cif.covalent_links(component_files(spark, sf_dir))
 
 
-def mol2_lines(spark, sf_dir):
+def numbered(arrays):
+    return arrays.select("structure_id", F.posexplode("lines").alias("line_no", "line"))
+
+
+def mol2_arrays(spark, sf_dir):
     kind = lambda a: F.when(a["elem"] == "C", "C.3").when(a["elem"] == "N", "N.ar").when(a["elem"] == "O", "O.2").otherwise("S.3")
     atom = F.transform("l", lambda a, k: F.format_string("%7d %-4s %9.4f %9.4f %9.4f %-5s 1 LIG %8.4f", k + 1, F.regexp_replace(a["name"], " ", ""), a["x"], a["y"], a["z"], kind(a), F.coalesce(a["charge"], F.lit(0)).cast("double")))
     last = F.size("l") - 1
@@ -86,7 +90,11 @@ def mol2_lines(spark, sf_dir):
     bond = F.filter(F.transform("l", lambda a, k: F.when(k < last, F.format_string("%6d %4d %4d %s", k + 1, k + 1, k + 2, code(a)))), lambda x: x.isNotNull())
     one = lambda *t: F.array(*[F.lit(x) for x in t])
     lines = F.concat(one("# a comment", "@<TRIPOS>MOLECULE", "LIG", "", "@<TRIPOS>ATOM"), atom, one("@<TRIPOS>BOND"), bond)
-    return items(spark, sf_dir).select("structure_id", F.posexplode(lines).alias("line_no", "line"))
+    return items(spark, sf_dir).select("structure_id", lines.alias("lines"))
+
+
+def mol2_lines(spark, sf_dir):
+    return numbered(mol2_arrays(spark, sf_dir))
 
 
 @query("mol2_atoms", f"WITH {I_SQL} SELECT structure_id, 1 AS mol_no, k::INT AS atom_id, replace(name, ' ', '') AS name, x, y, z, CASE elem WHEN 'C' THEN 'C.3' WHEN 'N' THEN 'N.ar' WHEN 'O' THEN 'O.2' ELSE 'S.3' END AS sybyl_type, elem, coalesce(charge, 0)::DOUBLE AS partial_charge FROM i")
@@ -102,13 +110,17 @@ def mol2_bonds(spark, sf_dir):
     return molecules.mol2_bonds(mol2_lines(spark, sf_dir))
 
 
-def sdf_lines(spark, sf_dir):
+def sdf_arrays(spark, sf_dir):
     atom = F.transform("l", lambda a: F.format_string("%10.4f%10.4f%10.4f %-3s 0  0", a["x"], a["y"], a["z"], a["elem"]))
     last = F.size("l") - 1
     bond = F.filter(F.transform("l", lambda a, k: F.when(k < last, F.format_string("%3d%3d%3d  0", k + 1, k + 2, a["bond"]))), lambda x: x.isNotNull())
     charge = F.filter(F.transform("l", lambda a, k: F.when(a["charge"].isNotNull(), F.format_string("M  CHG%3d%4d%4d", F.lit(1), k + 1, a["charge"]))), lambda x: x.isNotNull())
     head = F.array(F.lit("LIG"), F.lit("  laid out"), F.lit(""), F.format_string("%3d%3d  0  0  0  0            999 V2000", F.size("l"), last))
-    return items(spark, sf_dir).select("structure_id", F.posexplode(F.concat(head, atom, bond, charge, F.array(F.lit("M  END"), F.lit("$$$$")))).alias("line_no", "line"))
+    return items(spark, sf_dir).select("structure_id", F.concat(head, atom, bond, charge, F.array(F.lit("M  END"), F.lit("$$$$"))).alias("lines"))
+
+
+def sdf_lines(spark, sf_dir):
+    return numbered(sdf_arrays(spark, sf_dir))
 
 
 @query("sdf_atoms", f"WITH {I_SQL} SELECT structure_id, 1 AS mol_no, k::INT AS atom_id, x, y, z, elem FROM i")
@@ -126,12 +138,23 @@ def formal_charges(spark, sf_dir):
     return molecules.formal_charges(sdf_lines(spark, sf_dir))
 
 
-def written(spark, sf_dir, lines):
-    """Four large files of molecules, each in order of its ids; a folder ``lib`` a file."""
+PART_ITEMS = 125_000  # atoms of a library's file, about
+
+
+def written(spark, sf_dir, arrays):
+    """Four libraries of molecules, each in order of its ids: a folder ``lib`` a library, and in it a file ``part`` for each range of ids.
+
+    Files are of a bounded size, so no task holds a library.
+    """
     path = work_dir(spark)
-    one = lines(spark, sf_dir).groupBy("structure_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: F.when(x["line"] == "LIG", F.concat(F.lit("L"), F.col("structure_id").cast("string"))).otherwise(x["line"])), "\n").alias("value"))
-    one = one.withColumn("lib", F.col("structure_id") % 4).repartition(4, "lib").sortWithinPartitions("lib", "structure_id")
-    one.select("value", "lib").write.partitionBy("lib").text(path)
+    ids = table(spark, sf_dir, "lineitem").agg(F.count("*").alias("n"), F.min("l_orderkey").alias("lo"), F.max("l_orderkey").alias("hi")).first()
+    parts = max(ids["n"] // (4 * PART_ITEMS), 1)
+    width = ((ids["hi"] or 0) - (ids["lo"] or 0)) // parts + 1
+    own = F.when(F.col("structure_id").isNotNull(), F.concat(F.lit("L"), F.col("structure_id").cast("string")))
+    value = F.array_join(F.transform("lines", lambda x: F.when(x == "LIG", own).otherwise(x)), "\n")
+    one = arrays(spark, sf_dir).select("structure_id", value.alias("value"), (F.col("structure_id") % 4).alias("lib"), F.floor((F.col("structure_id") - F.lit(ids["lo"])) / F.lit(width)).cast("int").alias("part"))
+    one = one.repartition(4 * parts, "lib", "part").sortWithinPartitions("lib", "part", "structure_id")
+    one.select("value", "lib", "part").write.partitionBy("lib", "part").text(path)
     return path
 
 
@@ -141,27 +164,27 @@ L_SQL = f"{I_SQL}, m AS (SELECT structure_id, (structure_id % 4)::INT AS lib, ro
 @query("library_atoms", f"WITH {L_SQL} SELECT lib, mol_no, title, k::INT AS atom_id, x, y, z, elem FROM j")
 def library_atoms(spark, sf_dir):
     """Records of large files, read in byte ranges; numbers count on over the ranges of a file."""
-    return molecules.library_atoms(molecules.sdf_library(spark, written(spark, sf_dir, sdf_lines))).drop("structure_id")
+    return molecules.library_atoms(molecules.sdf_library(spark, written(spark, sf_dir, sdf_arrays), "part")).drop("structure_id", "part")
 
 
 @query("library_bonds", f"WITH {L_SQL} SELECT lib, mol_no, title, k::INT AS a1, (k + 1)::INT AS a2, bond AS bond_order FROM j WHERE k < n")
 def library_bonds(spark, sf_dir):
-    return molecules.library_bonds(molecules.sdf_library(spark, written(spark, sf_dir, sdf_lines))).drop("structure_id")
+    return molecules.library_bonds(molecules.sdf_library(spark, written(spark, sf_dir, sdf_arrays), "part")).drop("structure_id", "part")
 
 
 @query("library_charges", f"WITH {L_SQL} SELECT lib, mol_no, title, k::INT AS atom_id, charge AS formal_charge FROM j WHERE charge IS NOT NULL")
 def library_charges(spark, sf_dir):
-    return molecules.library_charges(molecules.sdf_library(spark, written(spark, sf_dir, sdf_lines))).drop("structure_id")
+    return molecules.library_charges(molecules.sdf_library(spark, written(spark, sf_dir, sdf_arrays), "part")).drop("structure_id", "part")
 
 
 @query("library_mol2_atoms", f"WITH {L_SQL} SELECT lib, mol_no, title, k::INT AS atom_id, replace(name, ' ', '') AS name, x, y, z, CASE elem WHEN 'C' THEN 'C.3' WHEN 'N' THEN 'N.ar' WHEN 'O' THEN 'O.2' ELSE 'S.3' END AS sybyl_type, elem, coalesce(charge, 0)::DOUBLE AS partial_charge FROM j")
 def library_mol2_atoms(spark, sf_dir):
-    return molecules.library_mol2_atoms(molecules.mol2_library(spark, written(spark, sf_dir, mol2_lines))).drop("structure_id")
+    return molecules.library_mol2_atoms(molecules.mol2_library(spark, written(spark, sf_dir, mol2_arrays), "part")).drop("structure_id", "part")
 
 
 @query("library_mol2_bonds", f"WITH {L_SQL} SELECT lib, mol_no, title, k::INT AS a1, (k + 1)::INT AS a2, bond AS bond_order FROM j WHERE k < n")
 def library_mol2_bonds(spark, sf_dir):
-    return molecules.library_mol2_bonds(molecules.mol2_library(spark, written(spark, sf_dir, mol2_lines))).drop("structure_id")
+    return molecules.library_mol2_bonds(molecules.mol2_library(spark, written(spark, sf_dir, mol2_arrays), "part")).drop("structure_id", "part")
 
 
 @query("fasta_library", "SELECT (c_custkey % 4)::INT AS lib, row_number() OVER (PARTITION BY c_custkey % 4 ORDER BY c_custkey) AS entry, c_name AS header, replace(c_mktsegment || c_name, ' ', '') AS sequence FROM customer")

@@ -76,21 +76,31 @@ def formal_charges(numbered: DataFrame, keys=("structure_id",)) -> DataFrame:
 SDF_MARK, MOL2_MARK = "\n$$$$", "@<TRIPOS>MOLECULE"
 
 
-def sdf_library(spark: SparkSession, path: str) -> DataFrame:
-    """(structure_id, partition columns, mol_no, title, lines) of V2000 records; records without a character are dropped, but count."""
-    r = text.records(spark, path, SDF_MARK)
+def _earlier(shard: str | None) -> Column:
+    return F.col("before") if shard else F.lit(0)
+
+
+def sdf_library(spark: SparkSession, path: str, shard: str | None = None) -> DataFrame:
+    """(structure_id, partition columns, mol_no, title, lines) of V2000 records; records without a character are dropped, but count.
+
+    Numbers go on over the files that ``shard`` orders, see ``text.records``.
+    """
+    r = text.records(spark, path, SDF_MARK, shard)
     # after a mark its line ends first
     body = F.when(F.col("record_no") == 0, F.col("record")).otherwise(F.regexp_replace("record", "^[^\\n]*\\n", ""))
     r = r.filter(F.trim(F.regexp_replace("record", "\\s", "")) != "").withColumn("lines", text.pieces(body))
-    return r.select(*[c for c in r.columns if c not in ("path", "record_no", "record", "lines")], (F.col("record_no") + 1).alias("mol_no"), F.trim(F.get("lines", F.lit(0))).alias("title"), "lines")
+    return r.select(*[c for c in r.columns if c not in ("path", "before", "record_no", "record", "lines")], (F.col("record_no") + 1 + _earlier(shard)).alias("mol_no"), F.trim(F.get("lines", F.lit(0))).alias("title"), "lines")
+
 
+def mol2_library(spark: SparkSession, path: str, shard: str | None = None) -> DataFrame:
+    """(structure_id, partition columns, mol_no, title, lines) of the molecules of MOL2 files; comments and blank lines are left out.
 
-def mol2_library(spark: SparkSession, path: str) -> DataFrame:
-    """(structure_id, partition columns, mol_no, title, lines) of the molecules of MOL2 files; comments and blank lines are left out."""
-    r = text.records(spark, path, MOL2_MARK).filter("record_no > 0")
+    Numbers go on over the files that ``shard`` orders, see ``text.records``.
+    """
+    r = text.records(spark, path, MOL2_MARK, shard, open_end=False).filter("record_no > 0")
     rest = F.regexp_replace("record", "^[^\\n]*\\n", "")
     r = r.withColumn("lines", F.filter(text.pieces(rest), lambda x: ~x.startswith("#") & (F.trim(x) != "")))
-    return r.select(*[c for c in r.columns if c not in ("path", "record_no", "record", "lines")], F.col("record_no").alias("mol_no"), F.trim(F.get("lines", F.lit(0))).alias("title"), "lines")
+    return r.select(*[c for c in r.columns if c not in ("path", "before", "record_no", "record", "lines")], (F.col("record_no") + _earlier(shard)).alias("mol_no"), F.trim(F.get("lines", F.lit(0))).alias("title"), "lines")
 
 
 def _kept(library: DataFrame) -> list[str]:

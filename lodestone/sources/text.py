@@ -37,23 +37,37 @@ def lines_of(df: DataFrame, text: str, keys) -> DataFrame:
 FEW_BLOCKS = 100_000
 
 
-def records(spark: SparkSession, path: str, mark: str) -> DataFrame:
+def records(spark: SparkSession, path: str, mark: str, shard: str | None = None, open_end: bool = True) -> DataFrame:
     """(structure_id, path, partition columns, record_no, record): the pieces of files between marks, numbered from 0 in each file.
 
     Files are read in byte ranges, many tasks a file, so one file may be as large as
     a table.  Each range's records are counted first; sums of the counts before it,
     over one row a range, number its records.  A mark is no part of any record.
+
+    With ``shard``, a partition column in whose order several files are one library, ``before``
+    has how many records stand in the files before: their marks, and with ``open_end`` one
+    more where something follows a file's last mark.
     """
     parts = spark.read.option("lineSep", mark).text(path)
     own = [c for c in parts.columns if c != "value"]
     at = parts.select(*own, "value", file_stem().alias("structure_id"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.spark_partition_id().alias("_task"), F.monotonically_increasing_id().alias("_row"))
     block = ["_file", "_start", "_task"]
-    counts = at.groupBy(*block).agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
-    w = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
-    before = materialised(counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n"))
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    if shard is None:
+        counts = at.groupBy(*block).agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+        before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier("_file").orderBy("_start")), F.lit(0))).drop("_n")
+    else:
+        full = F.max_by(F.trim(F.regexp_replace("value", "\\s", "")) != "", "_row")
+        counts = materialised(at.groupBy(*block, *own).agg(F.min("_row").alias("_first"), F.count("*").alias("_n"), full.alias("_full")))
+        more = F.when(F.max_by("_full", "_start"), 1).otherwise(0) if open_end else F.lit(0)
+        files = counts.groupBy("_file", *own).agg((F.sum("_n") - 1 + more).alias("_marks"))
+        library = [c for c in own if c != shard]
+        files = files.select("_file", F.coalesce(F.sum("_marks").over(earlier(*library).orderBy(shard, "_file")), F.lit(0)).alias("before"))
+        before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier("_file").orderBy("_start")), F.lit(0))).join(files.hint("merge"), "_file").drop("_n", "_full", *own)
+    before = materialised(before)
     side = F.broadcast(before) if before.count() <= FEW_BLOCKS else before.hint("merge")
     known = F.when(F.col("_before").isNull(), F.raise_error(F.lit("files changed while they were read"))).otherwise(F.col("_before") + F.col("_row") - F.col("_first"))
-    return at.join(side, block, "left").select("structure_id", F.col("_file").alias("path"), *own, known.cast("long").alias("record_no"), F.col("value").alias("record"))
+    return at.join(side, block, "left").select("structure_id", F.col("_file").alias("path"), *own, *(["before"] if shard else []), known.cast("long").alias("record_no"), F.col("value").alias("record"))
 
 
 def pieces(text: Column) -> Column:

@@ -96,3 +96,15 @@ def test_nearest_targets_equal_brute_force(spark, monkeypatch):
         monkeypatch.setattr(geometry, "LEAF", leaf)
         got = {(r.structure_id, r.copy, r.target): r.dist for r in geometry.min_distance(p, t).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_libraries_of_several_files_are_numbered_on(spark, compare, monkeypatch):
+    """Files of a few molecules each, with numbers that go on over the files of a library: no task holds a library."""
+    from conftest import SF
+    from lodestone.plans import files, registry
+
+    monkeypatch.setattr(files, "PART_ITEMS", 100, raising=False)
+    for name in ("library_atoms", "library_mol2_bonds"):
+        compare(registry.QUERIES[name], registry.ORACLE[name])
+    path = files.written(spark, SF, files.sdf_arrays)
+    assert spark.read.text(path).select("lib", "part").distinct().count() > 20
