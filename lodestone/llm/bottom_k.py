@@ -20,10 +20,8 @@ about 0.51^64 = 1e-19 where the similarity is just 0.8; that fewer than SURE of
 smallest values of the union are common has one of about 1e-13.
 
 In a list of over BLOCK classes, parts of the component that most are of meet all the
-others, if those are BLOCK at most: nothing is lost.  With more others the list is divided
-by the values that follow in their sketches, up to EXTRA of them, and what is still as
-large in parts that meet each other: classes that link go on together where those
-values are common, so they miss each other only if that fails in all lists they share.
+others, if those are BLOCK at most; with more others each part of the list meets each
+other one.  So all classes of a list meet, at c^2 / BLOCK rows for c classes.
 """
 
 import numpy as np
@@ -37,7 +35,6 @@ from lodestone.llm.ngram_join import BLOCK, FEW_ROWS, MEMBERS, N_KEYS, blocks, b
 
 SKETCH = 64  # smallest values that are kept
 SURE = 26  # of the SKETCH smallest values of a union that two sets which link have in common
-EXTRA = 4  # further values that divide large lists
 FIRSTS = 16  # lists of a class by which two classes are told to meet elsewhere
 FEW = 4  # rows of a list that are compared one by one
 
@@ -54,7 +51,7 @@ def smallest_linked(share: int) -> int:
 
 def sketches(docs: DataFrame, size: int, share: int) -> DataFrame:
     """One row a document: text hash, set size, class, and the sketch, smallest values first."""
-    least, most = smallest_linked(share), SKETCH + 1 + EXTRA
+    least, most = smallest_linked(share), SKETCH + 1
 
     def run(batches):
         for part in text_slices(batches):
@@ -72,9 +69,9 @@ def sketches(docs: DataFrame, size: int, share: int) -> DataFrame:
 
 
 def inverted(classes: DataFrame) -> DataFrame:
-    """(value, cls, rank) of pairs of neighbours that several classes retain; ``value`` is the hash of the pair."""
+    """(value, cls) of pairs of neighbours that several classes retain; ``value`` is the hash of the pair."""
     pairs = F.transform(F.slice("sketch", F.lit(1), F.greatest(F.least(F.size("sketch") - 1, F.lit(SKETCH)), F.lit(0))), lambda x, i: F.xxhash64(x, F.get("sketch", i + 1)))
-    rows = classes.select("cls", F.posexplode(pairs).alias("rank", "value"))
+    rows = classes.select("cls", F.explode(pairs).alias("value"))
     # counts are written first: then both sides of the join are plain shuffles, and a hot list can be split
     count = materialised(rows.groupBy("value").agg(F.count("*").alias("c")).filter("c > 1").select("value"))
     out = materialised(rows.join(count.hint("merge"), "value"))
@@ -199,26 +196,21 @@ def mixed(lists: DataFrame, once: bool) -> tuple[DataFrame, DataFrame]:
     """
     count = lists.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("cls")).alias("h"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("i")).filter("lo < hi")
     if once:
-        # large lists are divided by what follows in them, so each of those stays
-        own = F.when(F.col("c") > BLOCK, F.col("block")).otherwise(0)
-        count = count.groupBy("c", "h", "i", own.alias("own")).agg(F.min("block").alias("block"))
+        count = count.groupBy("c", "h", "i").agg(F.min("block").alias("block"))
     count = materialised(count.select("block", "c"))
     return materialised(lists.join(count.hint("merge"), "block")), count
 
 
-def late_blocks(lists: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
-    """(cls, component, block) of all lists with different components; large ones divided by further values, then in parts."""
-    rows = lists.join(comp.withColumnRenamed("node", "cls").hint("merge"), "cls", "left").select(F.col("value").alias("block"), "cls", "rank", F.coalesce("component", "cls").alias("component"))
-    out, written = [], []
-    for depth in range(EXTRA + 1):
-        rows = materialised(rows)
-        written.append(rows)
-        rows, count = mixed(rows, once=True)
-        written += [rows, count]
-        out.append(rows.filter(F.col("c") <= BLOCK).select("cls", "component", "block"))
-        large = rows.filter(F.col("c") > BLOCK)
-        if large.isEmpty():
-            break
+def late_blocks(lists: DataFrame, comp: DataFrame) -> DataFrame:
+    """(cls, component, block) of all lists with different components; large ones in parts that meet."""
+    rows = lists.join(comp.withColumnRenamed("node", "cls").hint("merge"), "cls", "left").select(F.col("value").alias("block"), "cls", F.coalesce("component", "cls").alias("component"))
+    rows = materialised(rows)
+    written = [rows]
+    rows, count = mixed(rows, once=True)
+    written += [rows, count]
+    blocked = rows.filter(F.col("c") <= BLOCK).select("cls", "component", "block")
+    large = rows.filter(F.col("c") > BLOCK)
+    if not large.isEmpty():
         n = large.groupBy("block", "component").agg(F.count("*").alias("n"))
         main = materialised(n.groupBy("block").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main")))
         large = materialised(large.join(main.hint("merge"), "block"))
@@ -227,20 +219,11 @@ def late_blocks(lists: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFr
         parts = F.ceil(F.col("n_main") / BLOCK).cast("int")
         own = F.when(F.col("component") == F.col("main"), F.array(F.pmod(F.xxhash64("cls"), parts).cast("int"))).otherwise(F.sequence(F.lit(0), parts - 1))
         apart = F.col("c") - F.col("n_main") <= BLOCK
-        out.append(large.filter(apart).withColumn("part", F.explode(own)).select("cls", "component", F.xxhash64("block", F.lit("part"), "part").alias("block")))
-        large = large.filter(~apart).drop("main", "n_main")
-        if large.isEmpty():
-            break
-        if depth < EXTRA:
-            after = F.get("sketch", F.col("rank") + 2 + depth)
-            rows = large.join(classes.select("cls", "sketch").hint("merge"), "cls").select(F.xxhash64("block", after).alias("block"), "cls", "component", "rank")
-        else:
-            parts = F.ceil(F.col("c") / BLOCK).cast("int")
-            p = large.withColumn("p", F.pmod(F.xxhash64("cls"), parts).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), parts - 1)))
-            out.append(p.select("cls", "component", F.xxhash64("block", F.least("p", "q"), F.greatest("p", "q")).alias("block")))
-    blocked = out[0]
-    for x in out[1:]:
-        blocked = blocked.unionByName(x)
+        blocked = blocked.unionByName(large.filter(apart).withColumn("part", F.explode(own)).select("cls", "component", F.xxhash64("block", F.lit("part"), "part").alias("block")))
+        # many: each part meets each other one, so that no two classes of the list miss each other
+        parts = F.ceil(F.col("c") / BLOCK).cast("int")
+        p = large.filter(~apart).withColumn("p", F.pmod(F.xxhash64("cls"), parts).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), parts - 1)))
+        blocked = blocked.unionByName(p.select("cls", "component", F.xxhash64("block", F.least("p", "q"), F.greatest("p", "q")).alias("block")))
     blocked = materialised(blocked)
     drop_written(*written)
     return blocked
@@ -276,7 +259,7 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, size:
     early = materialised(live(members, known, share))
     comp = materialised(components(joined_blocks(d, classes, early, size, share, written, FEW_ROWS, forest)))
     drop_written(members, early)
-    members = late_blocks(lists, classes, comp)
+    members = late_blocks(lists, comp)
     late = materialised(live(members, known, share))
     drop_written(lists, members, known)
     of = classes.select("cls", "rep").join(comp.withColumnRenamed("node", "cls").hint("merge"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))

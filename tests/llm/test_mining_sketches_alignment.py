@@ -312,3 +312,22 @@ def test_denied_and_told_insults_never_add(spark):
     # by hand: weights of matched clauses by kind, then a logistic function
     want = [1 / (1 + math.exp(-float(np.log1p(toxicity.matches(t, model["lexicon"])) @ model["w"] + model["b"]))) for t in quoted + meant]
     assert np.allclose([r.score for r in rows], want)
+
+
+def test_all_classes_of_a_large_list_meet(spark, monkeypatch):
+    """Ten classes of one list, ten components, and nothing that follows in their sketches in common: each pair is in a block."""
+    import inspect
+    from itertools import combinations
+
+    from lodestone.llm import bottom_k
+
+    monkeypatch.setattr(bottom_k, "BLOCK", 4)
+    lists = spark.createDataFrame([(7, c, 0) for c in range(10)], "value long, cls long, rank int")
+    classes = spark.createDataFrame([(c, [100 * c + k for k in range(70)]) for c in range(10)], "cls long, sketch array<long>")
+    comp = spark.createDataFrame([], "node long, component long")
+    some = (lists, classes, comp) if "classes" in inspect.signature(bottom_k.late_blocks).parameters else (lists, comp)
+    of = {}
+    for r in bottom_k.late_blocks(*some).collect():
+        of.setdefault(r.block, set()).add(r.cls)
+    assert {p for b in of.values() for p in combinations(sorted(b), 2)} == set(combinations(range(10), 2))
+    assert max(map(len, of.values())) <= 3 * 4
