@@ -5,7 +5,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import refuse_clash, text_bytes, text_lengths, text_slices, word_hashes
+from lodestone.llm.common import drop_written, materialised, refuse_clash, text_bytes, text_lengths, text_slices, word_hashes
+from lodestone.operators.stats import cumulative
 
 FEATURES = ["log_words", "word_len", "upper", "digit", "other_ascii", "pipe", "marks", "stops", "wide", "distinct", "next_same", "lines", "dup_lines", "short_lines", "symbol_words"]
 
@@ -55,21 +56,63 @@ def features(col: pa.Array) -> np.ndarray:
     return out * (n_words > 0)[:, None]
 
 
-def rank(good: np.ndarray, bad: np.ndarray, *, pairs: int = 40_000, steps: int = 400, ridge: float = 1e-3, seed: int = 7):
-    """Weights by which good documents outrank bad ones: Bradley-Terry by gradient steps.
+PAIRS = 16_384  # preference pairs at least, if the classes have as many
 
-    The loss of a preference pair is ``log(1 + exp(-(x_good - x_bad) . w))``.
+
+def partners(larger: int, smaller: int) -> tuple[int, int]:
+    """How many of the smaller class each document of the larger one is held against, and how far apart those are.
+
+    Number i of the larger class is held against ``i``, ``i + step``, ... of the smaller one,
+    counted in a circle, so each document of both is in a pair at least.
+    """
+    each = min(smaller, max(1, -(-PAIRS // larger)))
+    return each, smaller // each
+
+
+def pair_sums(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Of preference pairs, rows ``x_good - x_bad``: count, loss, gradient and second derivatives, one after another.
+
+    The loss of a pair is ``log(1 + exp(-(x_good - x_bad) . w))``.
     """
-    draw = np.random.default_rng(seed)
+    z = x @ w
+    p = 1 / (1 + np.exp(np.clip(z, -30, 30)))
+    return np.r_[len(x), np.logaddexp(0, -z).sum(), -(x * p[:, None]).sum(0), ((x * (p * (1 - p))[:, None]).T @ x).ravel()]
+
+
+def bradley_terry(sums, width: int, *, ridge: float = 1e-3, steps: int = 100) -> np.ndarray:
+    """Weights of least mean loss and ``ridge / 2`` times their squares, by Newton's steps; ``sums(w)`` gives ``pair_sums`` of all pairs.
+
+    A step that would raise the loss is halved.  Weights are rounded to 9 places, so
+    they do not depend on the order of sums.
+    """
+
+    def at(w):
+        s = sums(w)
+        return s[1] / s[0] + ridge / 2 * w @ w, s[2 : 2 + width] / s[0] + ridge * w, s[2 + width :].reshape(width, width) / s[0] + ridge * np.eye(width)
+
+    w = np.zeros(width)
+    loss, g, h = at(w)
+    for _ in range(steps):
+        step = np.linalg.solve(h, g)
+        if np.abs(step).max() < 1e-10:
+            break
+        new = at(w - step)
+        while new[0] > loss + 1e-12 and np.abs(step).max() >= 1e-10:
+            step = step / 2
+            new = at(w - step)
+        w, (loss, g, h) = w - step, new
+    return np.round(w, 9)
+
+
+def rank(good: np.ndarray, bad: np.ndarray, *, ridge: float = 1e-3):
+    """Mean, deviation and weights by which good documents outrank bad ones, of features at hand; ``fit`` does the same in tasks."""
     both = np.r_[good, bad]
     mean, sd = both.mean(0), both.std(0) + 1e-6
-    x = ((good[draw.integers(len(good), size=pairs)] - bad[draw.integers(len(bad), size=pairs)]) / sd)
-    w, m, v = np.zeros(x.shape[1]), 0.0, 0.0
-    for t in range(1, steps + 1):
-        g = -(x * (1 / (1 + np.exp(np.clip(x @ w, -30, 30))))[:, None]).mean(0) + ridge * w
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-    return mean, sd, w
+    each, step = partners(max(len(good), len(bad)), min(len(good), len(bad)))
+    i = np.repeat(np.arange(max(len(good), len(bad))), each)
+    j = (i + np.tile(np.arange(each) * step, len(i) // each)) % min(len(good), len(bad))
+    x = (good[i] - bad[j] if len(good) >= len(bad) else good[j] - bad[i]) / sd
+    return mean, sd, bradley_terry(lambda w: pair_sums(x, w), x.shape[1], ridge=ridge)
 
 
 def first_by_hash(ids: DataFrame, most: int, total: int) -> DataFrame:
@@ -85,39 +128,103 @@ def first_by_hash(ids: DataFrame, most: int, total: int) -> DataFrame:
     return h.orderBy("h", "_id").limit(most).drop("h")
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, text: str = "text", doc_id: str = "doc_id", label: str = "quality", *, most: int = 6000) -> dict:
-    """A model from at most ``most`` labelled documents of each class, in order of hashed ids.
+def labelled(docs: DataFrame, labels: DataFrame, train: Column, text: str, doc_id: str, label: str) -> DataFrame:
+    """(_id, x, y, h): features of every document with a label that ``train`` takes in.
 
-    ``train`` is a condition on the id, here called ``_id``; labels that it does not
-    take in are not looked at.  Without both classes every text scores 0.5.
-    Only features of that sample reach the driver.  The threshold is the score
-    quantile at the bad documents' share of all labelled ones that lies between
-    the classes best; the sigmoid is centred there.
+    Features are made before the join, so texts do not move.
     """
-    y = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1))
-    shares = {r["y"]: r["n"] for r in y.filter(train).groupBy("y").agg(F.count("*").alias("n")).collect()}
-    picked = [first_by_hash(y.filter(train & (F.col("y") == k)), most, shares.get(k, 0)) for k in (0, 1)]
-    # twice `most` ids: a proven bound
-    sample = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(picked[0].unionByName(picked[1])), "_id")
+    y = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & train)
+    d = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).filter(F.col("_id").isNotNull() & train)
 
     def run(batches):
         for part in text_slices(batches):
             x = features(part.column(part.schema.get_field_index("text")))
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), part.column(part.schema.get_field_index("y")), part.column(0)], ["x", "y", "_id"])
-
-    rows = sample.mapInArrow(run, f"x array<double>, y int, _id {sample.schema['_id'].dataType.simpleString()}").orderBy("_id", "x").toPandas() if shares else None
-    if rows is None or rows["y"].nunique() < 2:
-        return {"mean": np.zeros(len(FEATURES)), "sd": np.ones(len(FEATURES)), "w": np.zeros(len(FEATURES)), "cut": 0.0, "scale": 1.0}
-    x, t = np.stack(rows["x"]), rows["y"].to_numpy()
-    mean, sd, w = rank(x[t == 1], x[t == 0])
-    s = ((x - mean) / sd) @ w
-    # the quantile of the scores, with classes in their true shares, that errs least
-    weight = np.where(t == 1, shares[1] / (t == 1).sum(), shares[0] / (t == 0).sum())
-    order = np.argsort(s, kind="stable")
-    below = np.r_[0, np.cumsum(np.where(t == 1, weight, -weight)[order])]
-    k = int(np.argmin(below))
-    lo, hi = s[order[max(k - 1, 0)]], s[order[min(k, len(s) - 1)]]
-    return {"mean": mean, "sd": sd, "w": w, "cut": float((lo + hi) / 2), "scale": float(4 / (s.std() + 1e-9)), "quantile": k / len(s)}
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["_id", "x"])
+
+    rows = d.mapInArrow(run, f"_id {d.schema['_id'].dataType.simpleString()}, x array<double>")
+    return rows.join(y.hint("merge"), "_id").withColumn("h", F.xxhash64("_id"))
+
+
+def pairs_of(rows: DataFrame, n: dict) -> DataFrame:
+    """(x): for each preference pair the good document's features less the bad one's.
+
+    Documents of a class are numbered in order of hashed ids, by sums over ranges.
+    """
+    numbered = materialised(cumulative(rows, ["y"], [F.col("h"), F.col("_id"), F.col("x")], out="at"))
+    big = int(n[1] >= n[0])
+    each, step = partners(n[big], n[1 - big])
+    k = F.explode(F.sequence(F.lit(0), F.lit(each - 1)))
+    larger = numbered.filter(F.col("y") == big).select(F.col("x").alias("x1"), "at", k.alias("k")).select("x1", ((F.col("at") + F.col("k") * step) % n[1 - big]).alias("at"))
+    smaller = numbered.filter(F.col("y") == 1 - big).select("at", F.col("x").alias("x2"))
+    apart = F.zip_with("x1", "x2", (lambda a, b: a - b) if big else (lambda a, b: b - a))
+    out = materialised(larger.join(smaller.hint("merge"), "at").select(apart.alias("x")))
+    drop_written(numbered)
+    return out
+
+
+def best_cut(scores: DataFrame) -> tuple[float, float]:
+    """The cut of (s, y) that errs least, the lowest of several, and the share of scores below it.
+
+    It lies half-way between two scores.  Errors are running sums over the distinct scores, made by ranges.
+    """
+    each = scores.groupBy("s").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(-1)).alias("up"), F.count("*").alias("c"))
+    each = materialised(cumulative(each, [], [F.col("s")], F.col("up"), "below"))
+    # a cut just below a score turns down what is before it; one beyond the last turns down all
+    best = each.agg(F.min(F.struct("below", "s")).alias("b"), F.sum("up").alias("every"), F.max("s").alias("top")).first()
+    hi = best["b"]["s"] if best["b"]["below"] <= best["every"] else None
+    under = each if hi is None else each.filter(F.col("s") < hi)
+    below = under.agg(F.max("s").alias("lo"), F.sum("c").alias("n")).first()
+    total = each.agg(F.sum("c")).first()[0]
+    drop_written(each)
+    if hi is None:
+        return best["top"] + 1e-6, 1.0
+    return (hi + (below["lo"] if below["lo"] is not None else hi)) / 2, (below["n"] or 0) / total
+
+
+def fit(docs: DataFrame, labels: DataFrame, train: Column, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> dict:
+    """A model from all labelled documents.
+
+    ``train`` is a condition on the id, here called ``_id``; labels that it does not
+    take in are not looked at.  Without both classes every text scores 0.5.
+    Only sums over tasks reach the driver.  Every document is in a preference pair at
+    least, and where the classes are small in many or all, see ``partners``.  The threshold
+    lies between those scores where the labelled documents err least; the sigmoid is
+    centred there.
+    """
+    rows = materialised(labelled(docs, labels, train, text, doc_id, label))
+    n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    width = len(FEATURES)
+    if len(n) < 2:
+        drop_written(rows)
+        return {"mean": np.zeros(width), "sd": np.ones(width), "w": np.zeros(width), "cut": 0.0, "scale": 1.0}
+    at = rows.agg(*[f(F.col("x")[k]) for f in (F.avg, F.stddev_pop) for k in range(width)]).first()
+    mean, sd = np.round(np.array(at[:width]), 12), np.round(np.array(at[width:]), 12) + 1e-6
+    pairs = pairs_of(rows, n)
+
+    def sums(w):
+        def run(batches):
+            s = np.zeros(2 + width + width * width)
+            for part in batches:
+                if part.num_rows:
+                    s = s + pair_sums(np.asarray(part.column(0).flatten()).reshape(-1, width) / sd, w)
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.list_(pa.float64()))], ["s"])
+
+        # one row a task
+        return np.sum([r["s"] for r in pairs.mapInArrow(run, "s array<double>").collect()], axis=0)
+
+    w = bradley_terry(sums, width)
+
+    def scored(batches):
+        for part in batches:
+            if part.num_rows:
+                x = np.asarray(part.column(0).flatten()).reshape(-1, width)
+                yield pa.RecordBatch.from_arrays([pa.array(np.round(((x - mean) / sd) @ w, 12)), part.column(1)], ["s", "y"])
+
+    scores = materialised(rows.select("x", "y").mapInArrow(scored, "s double, y int"))
+    cut, quantile = best_cut(scores)
+    spread = round(scores.agg(F.stddev_pop("s")).first()[0], 9)
+    drop_written(rows, pairs, scores)
+    return {"mean": mean, "sd": sd, "w": w, "cut": float(cut), "scale": float(4 / (spread + 1e-9)), "quantile": quantile}
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", keep=()) -> DataFrame:

@@ -13,11 +13,13 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from conftest import SF  # noqa: E402
 
+from lodestone.functions.storage import materialised  # noqa: E402
 from lodestone.llm import fingerprint, langid, licenses, mixing, ngram_join, packing, quality, queries, rules, sharding, toxicity  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, row string, key string"
@@ -628,3 +630,25 @@ def test_pipeline(spark, odd, none):
     for frame in (odd.select("doc_id", "text", "lang", "source", "n_chars"), none.select("doc_id", "text", "lang", "source", "n_chars")):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, frame, SF).count()
+
+
+def test_quality_learns_from_every_label(spark):
+    """13,000 good documents, of which those by hash among the last thousands are told by digits: all of them count."""
+    n = 13_000
+    ids = spark.range(n).select(F.col("id").alias("doc_id"), (F.row_number().over(Window.orderBy(F.xxhash64("id"))) - 1).alias("at"))
+    rows = materialised(ids.select("doc_id", "at", F.when(F.col("at") >= 12_000, "7 7 7").otherwise("plain words here").alias("text")))
+    y = rows.select("doc_id", F.lit(1).alias("quality")).unionByName(spark.range(n, n + 500).select(F.col("id").alias("doc_id"), F.lit(0).alias("quality")))
+    docs = rows.select("doc_id", "text").unionByName(spark.range(n, n + 500).select(F.col("id").alias("doc_id"), F.lit("| | |").alias("text")))
+    model = quality.fit(docs, y, F.lit(True))
+    every = np.concatenate([np.tile(quality.features(pa.array([t])), (k, 1)) for t, k in (("plain words here", 12_000), ("7 7 7", 1000), ("| | |", 500))])
+    assert np.allclose(model["mean"], every.mean(0)) and np.allclose(model["sd"], every.std(0) + 1e-6)
+    assert model["quantile"] == pytest.approx(500 / 13_500)
+    assert {r.text: r.predicted for r in quality.score(docs.dropDuplicates(["text"]), model, keep=["text"]).collect()} == {"plain words here": 1, "7 7 7": 1, "| | |": 0}
+
+
+def test_quality_cut_beyond_the_last_score(spark):
+    """Where turning down all errs least, the cut is above every score; ties are not cut apart."""
+    of = lambda rows: quality.best_cut(spark.createDataFrame(rows, "s double, y int"))
+    assert of([(0.1, 0), (0.2, 0), (0.2, 1), (0.3, 0)])[0] > 0.3
+    assert of([(0.1, 0), (0.2, 0), (0.2, 1), (0.2, 1), (0.4, 1)]) == (pytest.approx(0.15), 0.2)
+    assert of([(0.1, 1), (0.2, 0), (0.2, 1)]) == (0.1, 0.0)
