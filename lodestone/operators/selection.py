@@ -170,19 +170,23 @@ def select_copy(distances: DataFrame, quality: DataFrame, complete: DataFrame, c
 
 
 def unique_names(df: DataFrame, keys: Sequence[str], name: str = "name", element: str = "elem", order: str = "atom_id") -> DataFrame:
-    """Repeated or empty names become element + smallest free number within the key."""
+    """Repeated or empty names become element + smallest free number within the key.
+
+    A number is free if no name that stays has it.  The k-th free one is k and the
+    taken ones before it: the j-th taken number t has ``t - j`` free ones before it, so
+    it is passed over by all that come after those.  Windows only, no joins.
+    """
     w = Window.partitionBy(*keys, name)
     clash = (F.count("*").over(w) > 1) | (F.coalesce(F.col(name), F.lit("")) == "")
     d = df.withColumn("_clash", clash)
-    taken = d.filter("not _clash").select(*keys, F.regexp_extract(name, "^([A-Za-z]+)[0-9]+$", 1).alias("_e"), F.regexp_extract(name, "^[A-Za-z]+([0-9]+)$", 1).try_cast("int").alias("_k"))
-    need = d.filter("_clash").withColumn("_at", F.row_number().over(Window.partitionBy(*keys, element).orderBy(order)))
-    size = need.groupBy(*keys, element).agg(F.max("_at").alias("_n"))
-    used = taken.join(size.withColumnRenamed(element, "_e").hint("merge"), [*keys, "_e"]).groupBy(*keys, "_e").agg(F.count("*").alias("_u"))
-    free = size.join(used.withColumnRenamed("_e", element).hint("merge"), [*keys, element], "left").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n") + F.coalesce("_u", F.lit(0)).cast("int"))))
-    free = free.join(taken.withColumnRenamed("_e", element).hint("merge"), [*keys, element, "_k"], "left_anti")
-    free = free.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, element).orderBy("_k"))).select(*keys, element, "_at", "_k")
-    named = need.join(free.hint("merge"), [*keys, element, "_at"]).withColumn(name, F.concat(F.col(element), F.col("_k").cast("string")))
-    return d.filter("not _clash").select(*df.columns).unionByName(named.select(*df.columns))
+    stem, number = F.regexp_extract(name, "^([A-Za-z]+)[0-9]+$", 1), F.regexp_extract(name, "^[A-Za-z]+([0-9]+)$", 1).try_cast("int")
+    d = d.withColumn("_e", F.when(F.col("_clash"), F.col(element)).when(number > 0, stem)).withColumn("_k", F.when(~F.col("_clash") & (number > 0), number))
+    own = Window.partitionBy(*keys, "_e", "_clash")
+    d = d.withColumns({"_at": F.when(F.col("_clash"), F.row_number().over(own.orderBy(order))), "_j": F.dense_rank().over(own.orderBy("_k")), "_again": F.row_number().over(Window.partitionBy(*keys, "_e", "_clash", "_k").orderBy(order))})
+    d = d.withColumns({"_v": F.when(F.col("_clash"), F.col("_at")).otherwise(F.col("_k") - F.col("_j") + 1), "_one": F.when(F.col("_k").isNotNull() & (F.col("_again") == 1), 1).otherwise(0)})
+    before = F.sum("_one").over(Window.partitionBy(*keys, "_e").orderBy("_v", "_clash").rowsBetween(Window.unboundedPreceding, 0))
+    new = F.concat(F.col(element), (F.col("_at") + before).cast("string"))
+    return d.withColumn("_new", new).withColumn(name, F.when(F.col("_clash"), F.col("_new")).otherwise(F.col(name))).select(*df.columns)
 
 
 def first_match(base: DataFrame, rows: DataFrame, keys: Sequence[str], name: str, wanted: str, number: str, letters: int = 3, out: str = "found") -> DataFrame:

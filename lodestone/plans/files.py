@@ -30,7 +30,7 @@ I_SQL = f"i AS (SELECT l_orderkey AS structure_id, row_number() OVER (PARTITION
 def items(spark, sf_dir):
     """(structure_id, items): the atoms of each molecule in order."""
     li = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS structure_id", f"struct({KEY}) AS key", f"struct({', '.join(f'{e} AS {c}' for c, e in ATOM.items())}) AS a")
-    g = li.groupBy("structure_id").agg(F.array_sort(F.collect_list(F.struct("key", "a"))).alias("l"))
+    g = li.groupBy("structure_id").agg(F.sort_array(F.collect_list(F.struct("key", "a"))).alias("l"))
     return g.select("structure_id", F.transform("l", lambda s: s["a"]).alias("l"))
 
 

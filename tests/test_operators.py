@@ -111,6 +111,18 @@ def test_unique_names(spark):
     assert got == {1: "C1", 2: "C2", 3: "C4", 4: "C3", 5: "N1"}
 
 
+def test_unique_names_in_one_pass(spark, tmp_path):
+    """Taken numbers are passed over, whatever their order or zeros; the table is read once and nothing is joined."""
+    names = ["C1", "C01", "C4", "C2", "C0", "C10", "Cx", "N2", *["C"] * 6, *["N"] * 3, ""]
+    rows = [(m, k, x, x[0] if x else "N") for m in (1, 2) for k, x in enumerate(names)]
+    spark.createDataFrame(rows, "mol_id int, atom_id int, name string, elem string").write.parquet(str(tmp_path / "n"))
+    got = selection.unique_names(spark.read.parquet(str(tmp_path / "n")), ["mol_id"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Join" not in plan
+    want = [*names[:8], "C3", "C5", "C6", "C7", "C8", "C9", "N1", "N3", "N4", "N5"]
+    assert sorted((r.mol_id, r.atom_id, r.name) for r in got.collect()) == [(m, k, x) for m in (1, 2) for k, x in enumerate(want)]
+
+
 ETHANOL = [(1, "C"), (2, "C"), (3, "O"), (4, "H"), (5, "H"), (6, "H"), (7, "H"), (8, "H"), (9, "H")]
 ETHANOL_BONDS = [(1, 2), (2, 3), (1, 4), (1, 5), (1, 6), (2, 7), (2, 8), (3, 9)]
 BENZENE = [(k, "C") for k in range(1, 7)] + [(k, "H") for k in range(7, 13)]
