@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 Vector = Sequence[Column]
 
 
+def once(value: Column) -> Column:
+    """``value`` as a column of its own select, computed once a row.
+
+    Filters on a column that is costly to make are else moved below it, and make it
+    again for each condition; they do not pass an explode.
+    """
+    return F.explode(F.array(value))
+
+
 def vector(prefix: str = "", names: Sequence[str] = ("x", "y", "z")) -> list[Column]:
     return [F.col(prefix + n) for n in names]
 

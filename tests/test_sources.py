@@ -212,3 +212,17 @@ def test_work_folder_without_setting(spark, monkeypatch):
     d = storage.materialised(spark.range(5))
     assert d.count() == 5
     storage.drop_written(d)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cif_tokens_are_found_once(spark, tmp_path):
+    """Conditions on blocks and tokens find neither again, and links read their files once."""
+    value = "data_X\nloop_\n_struct_conn.conn_type_id\n_struct_conn.ptnr1_label_comp_id\n_struct_conn.ptnr2_label_comp_id\n_struct_conn.ptnr1_label_atom_id\n_struct_conn.ptnr2_label_atom_id\ncovale CYS LIG SG 'C 1'\ncovale LIG CYS \"O5'\" .\n#\n"
+    spark.createDataFrame([("s", value, "LIG")], "structure_id string, value string, ligand string").write.parquet(str(tmp_path / "f"))
+    links = cif.covalent_links(spark.read.parquet(str(tmp_path / "f")))
+    plan = plan_of(links)
+    assert plan.count("regexp_extract_all(") == 1 and plan.count("regexp_extract(") == 1 and plan.count("Relation [") == 1
+    assert [(r.protein_resname, r.protein_atom, r.ligand_resname, r.ligand_atom) for r in links.collect()] == [("CYS", "SG", "LIG", "C 1")]
