@@ -1,6 +1,6 @@
 """Cleaning of structures: selected chain and ligand, alternatives, numbering, and a summary."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import geometry, selection
@@ -24,10 +24,12 @@ def chosen_atoms(atoms: DataFrame, chosen: DataFrame, keys=("structure_id",)) ->
 
 def clean_lines(cleaned: DataFrame, keys=("structure_id",)) -> DataFrame:
     """Text lines of the cleaned structures: remark, protein, TER, ligand, END."""
-    ids = cleaned.groupBy(*keys).agg(F.first("selected_chain").alias("c"), F.first("ligand_comp_id").alias("l"))
-    frame = F.array(*[F.struct(F.lit(b).alias("block"), t.alias("line")) for b, t in ((0, F.format_string("REMARK   chain %s, ligand %s", "c", "l")), (2, F.lit("TER")), (4, F.lit("END")))])
-    extra = ids.select(*keys, F.inline(frame)).withColumn("line_no", F.lit(0))
-    return cleaned.select(*keys, "block", "line_no", "line").unionByName(extra.select(*keys, "block", "line_no", "line"))
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy("block", "line_no")) == 1
+    row = lambda block, at, line: F.struct(F.lit(block).cast("int").alias("block") if isinstance(block, int) else F.col(block).alias("block"), at.cast("long").alias("line_no"), line.alias("line"))
+    own = row("block", F.col("line_no"), F.col("line"))
+    frame = [row(b, F.lit(0), x) for b, x in ((0, F.format_string("REMARK   chain %s, ligand %s", "selected_chain", "ligand_comp_id")), (2, F.lit("TER")), (4, F.lit("END")))]
+    # the lines around a structure come with its first one: what is cleaned is made once
+    return cleaned.withColumn("_first", first).select(*keys, F.inline(F.when(F.col("_first"), F.array(own, *frame)).otherwise(F.array(own))))
 
 
 def residue_mapping(cleaned: DataFrame, keys=("structure_id",)) -> DataFrame:

@@ -6,6 +6,7 @@ from the columns themselves, so it also checks that laying out and reading agree
 
 from pyspark.sql import functions as F
 
+from lodestone.functions.scalar import once
 from lodestone.functions.storage import materialised
 from lodestone.operators import preparation, selection
 from lodestone.plans.tables import query, rounded, table
@@ -46,7 +47,7 @@ KNOWN = "('" + "', '".join(text.ONE_LETTER) + "')"
 
 def atom_lines(spark, sf_dir):
     a = table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} AS {c}" for c, e in FIELDS.items()]).withColumn("element", F.substring("atom_name", 1, 1))
-    return a.select("structure_id", "line_no", F.format_string(LAYOUT, *ORDER).alias("line"))
+    return a.select("structure_id", "line_no", once(F.format_string(LAYOUT, *ORDER)).alias("line"))
 
 
 def atoms(spark, sf_dir):

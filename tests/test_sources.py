@@ -226,3 +226,14 @@ def test_cif_tokens_are_found_once(spark, tmp_path):
     plan = plan_of(links)
     assert plan.count("regexp_extract_all(") == 1 and plan.count("regexp_extract(") == 1 and plan.count("Relation [") == 1
     assert [(r.protein_resname, r.protein_atom, r.ligand_resname, r.ligand_atom) for r in links.collect()] == [("CYS", "SG", "LIG", "C 1")]
+
+
+def test_lines_are_laid_out_once(spark):
+    """Fields of a record come from one line, and lines around a structure from one pass over what is cleaned."""
+    from conftest import SF
+
+    from lodestone.plans import preparation as plans
+
+    for name, f in (("chain_completeness", plans.chain_completeness), ("ligand_copies", plans.ligand_copies), ("cleaned_atoms", plans.cleaned_atoms), ("clean_lines", plans.clean_lines)):
+        plan = plan_of(f(spark, SF))
+        assert plan.count("format_string(%-6s") == 1, name
