@@ -101,14 +101,8 @@ def triangles(open_: DataFrame, adjacent: DataFrame, keys: Sequence[str], first:
 def ring_sizes(bonds: DataFrame, keys: Sequence[str] = ("mol_id",), most_rounds: int = 10_000) -> DataFrame:
     """(keys, a1, a2, ring_size): smallest ring through each bond, of any size; NULL if in none.
 
-    Rings of three are found first, see ``triangles``.  Each other bond is searched from
-    both of its ends at once, without the bond itself: in each round the end that has
-    seen fewer nodes goes on by one bond, over all bonds at once.  A ring is found
-    where the two last frontiers meet; a bond of which an end finds nothing new is in no
-    ring, after work of the smaller side only, so tails and bridges are cheap.
-    Frontiers are distinct nodes, not paths; bonds go both ways, so a node that was seen
-    is in the last two frontiers of its end.  Repeated bonds count once, and bonds of
-    an atom to itself are in no ring.
+    Rings of three are found first, see ``triangles``, and each other bond is searched, see
+    ``ring_search``.  Repeated bonds count once, and bonds of an atom to itself are in no ring.
     """
     k = list(keys)
     bond = [*k, "a1", "a2"]
@@ -118,19 +112,38 @@ def ring_sizes(bonds: DataFrame, keys: Sequence[str] = ("mol_id",), most_rounds:
     adjacent = both_ways(real, keys).withColumnsRenamed({"a1": "u", "a2": "v"})
     adjacent = materialised(adjacent.withColumns({"place": F.row_number().over(w.orderBy("v")) - 1, "degree": F.count("*").over(w)}))
     three = triangles(real, adjacent, keys)
-    found = [three.withColumn("ring_size", F.lit(3))]
-    rest = materialised(real.join(three.hint("merge"), bond, "left_anti"))
+    near = adjacent.select(*k, F.col("u").alias("node"), "v")
+    more = ring_search(real.join(three.hint("merge"), bond, "left_anti"), lambda front: front.join(near.hint("merge"), [*k, "node"]), keys, most_rounds)
+    rings = materialised(three.withColumn("ring_size", F.lit(3)).unionByName(more))
+    out = materialised(b.join(rings.hint("merge"), bond, "left"))
+    drop_written(b, adjacent, three, more, rings)
+    return out
+
+
+def ring_search(rest: DataFrame, near, keys: Sequence[str] = ("mol_id",), most_rounds: int = 10_000) -> DataFrame:
+    """(keys, a1, a2, ring_size) of those of the distinct bonds ``rest`` that are in a ring; written.
+
+    Each bond is searched from both of its ends at once, without the bond itself: in each
+    round the end that has seen fewer nodes goes on by one bond, over all bonds at once.
+    A ring is found where the two last frontiers meet; a bond of which an end finds nothing
+    new is in no ring, after work of the smaller side only, so tails and bridges are cheap.
+    Frontiers are distinct nodes, not paths; bonds go both ways, so a node that was seen
+    is in the last two frontiers of its end.  ``near`` gives rows (keys, node, ...) with
+    each partner of the node as ``v``, over all bonds.
+    """
+    k = list(keys)
+    bond = [*k, "a1", "a2"]
+    found = []
     ends = F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("a1").alias("node")), F.struct(F.lit(2).alias("side"), F.col("a2").alias("node"))))
+    none = rest.select(*bond, F.lit(0).alias("ring_size")).limit(0)
     state = materialised(rest.withColumn("e", ends).select(*bond, "e.*", F.lit(0).alias("depth"), F.lit(1).cast("long").alias("seen"), F.lit(True).alias("last")))
-    drop_written(rest)
     for _ in range(most_rounds):
         if state.isEmpty():
             break
         now = state.filter("last")
         turn = now.groupBy(*bond).agg(F.min(F.struct("seen", "side")).alias("m"), F.max(F.when(F.col("side") == 1, F.col("depth"))).alias("d1"), F.max(F.when(F.col("side") == 2, F.col("depth"))).alias("d2"))
         turn = materialised(turn.select(*bond, F.col("m.side").alias("turn"), F.col("m.seen").alias("had"), "d1", "d2"))
-        near = adjacent.select(*k, F.col("u").alias("node"), "v")
-        step = now.join(turn.hint("merge"), bond).filter("side = turn").join(near.hint("merge"), [*k, "node"])
+        step = near(now.join(turn.hint("merge"), bond).filter("side = turn"))
         itself = ((F.col("node") == F.col("a1")) & (F.col("v") == F.col("a2"))) | ((F.col("node") == F.col("a2")) & (F.col("v") == F.col("a1")))
         step = step.filter(~itself).select(*bond, "side", F.col("v").alias("node")).distinct()
         step = materialised(step.join(state.select(*bond, "side", "node").hint("merge"), [*bond, "side", "node"], "left_anti"))
@@ -148,13 +161,12 @@ def ring_sizes(bonds: DataFrame, keys: Sequence[str] = ("mol_id",), most_rounds:
         state = nxt
     else:
         raise RuntimeError("rings did not settle")
-    rings = found[0]
-    for x in found[1:]:
+    rings = none
+    for x in found:
         rings = rings.unionByName(x)
     rings = materialised(rings)
-    out = materialised(b.join(rings.hint("merge"), bond, "left"))
-    drop_written(b, adjacent, three, state, rings, *found[1:])
-    return out
+    drop_written(state, *found)
+    return rings
 
 
 GROUP_PARTS = 64  # parts of a rigid group whose nodes are reached on their own

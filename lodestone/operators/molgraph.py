@@ -25,7 +25,13 @@ def is_h(elem: Column) -> Column:
 
 
 def neighbours(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
-    """Each atom beside each partner: element of both, and the order of their bond."""
+    """Each atom beside each partner: element of both, and the order of their bond.
+
+    Bonds that have the elements as ``e1`` and ``e2`` are not joined.
+    """
+    if {"e1", "e2"} <= set(bonds.columns):
+        b = bonds.select(*KEY, "a1", "a2", "bond_order", "e1", "e2")
+        return b.union(b.select(*KEY, "a2", "a1", "bond_order", "e2", "e1"))
     two = graph.both_ways(bonds, KEY, ["bond_order"])
     a = atoms.select(*KEY, F.col("atom_id").alias("a1"), F.col("elem").alias("e1"))
     b = atoms.select(*KEY, F.col("atom_id").alias("a2"), F.col("elem").alias("e2"))
@@ -60,6 +66,8 @@ def molecule_flags(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
 def atom_types(atoms: DataFrame, bonds: DataFrame, rings: DataFrame, other_types: Mapping[str, str] | None = None) -> DataFrame:
     """Types by element and bonding pattern; an element without a rule or a type in ``other_types`` is an error.
 
+    ``rings`` has the bonds' ring sizes; it may leave out bonds that have ``three``, which are in one of three.
+
     A hydrogen is aromatic beside a carbon that is typed aromatic or has an aromatic
     bond, which takes carbons first and a second pass over their neighbours.
     """
@@ -68,12 +76,18 @@ def atom_types(atoms: DataFrame, bonds: DataFrame, rings: DataFrame, other_types
     order, to = F.col("bond_order"), F.col("e2")
     saturated = d.select(*KEY, F.col("atom_id").alias("a2"), F.col("saturated").alias("sat2"), F.col("aromatic").alias("aro2"))
     beside_n = n.groupBy(*KEY, F.col("a1").alias("a2")).agg(F.bool_or(to == "N").alias("n_beside2"))
-    pattern = n.join(saturated.hint("merge"), [*KEY, "a2"]).join(beside_n.hint("merge"), [*KEY, "a2"]).groupBy(*KEY, F.col("a1").alias("atom_id")).agg(
+    pattern = n.groupBy(*KEY, F.col("a1").alias("atom_id")).agg(
         F.count_if((order == 2) & (to != "O")).alias("dbl"), F.count_if((order == 4) & (to != "O")).alias("aro"), F.count_if((order == 4) & (to == "N")).alias("aro_n"),
-        F.count_if(to.isin("N", "O", "S")).alias("polar"), F.count_if(to == "N").alias("n_n"), F.count_if((to == "C") & F.col("n_beside2")).alias("c_n"), F.count_if(~F.col("sat2")).alias("unsat"),
+        F.count_if(to.isin("N", "O", "S")).alias("polar"), F.count_if(to == "N").alias("n_n"),
     )
-    ring = graph.both_ways(rings, KEY, ["ring_size"]).groupBy(*KEY, F.col("a1").alias("atom_id")).agg(F.min("ring_size").alias("ring"))
-    d = d.join(pattern.hint("merge"), [*KEY, "atom_id"], "left").join(ring.hint("merge"), [*KEY, "atom_id"], "left").fillna(0, ["dbl", "aro", "aro_n", "polar", "n_n", "c_n", "unsat"])
+    # what partners have beside them counts for oxygens only
+    around = n.filter(F.upper("e1") == "O").join(saturated.hint("merge"), [*KEY, "a2"]).join(beside_n.hint("merge"), [*KEY, "a2"])
+    around = around.groupBy(*KEY, F.col("a1").alias("atom_id")).agg(F.count_if((to == "C") & F.col("n_beside2")).alias("c_n"), F.count_if(~F.col("sat2")).alias("unsat"))
+    ring = rings.select(*KEY, "a1", "a2", "ring_size")
+    if "three" in bonds.columns:
+        ring = ring.unionByName(bonds.filter("three").select(*KEY, "a1", "a2", F.lit(3).alias("ring_size")))
+    ring = graph.both_ways(ring, KEY, ["ring_size"]).groupBy(*KEY, F.col("a1").alias("atom_id")).agg(F.min("ring_size").alias("ring"))
+    d = d.join(pattern.hint("merge"), [*KEY, "atom_id"], "left").join(around.hint("merge"), [*KEY, "atom_id"], "left").join(ring.hint("merge"), [*KEY, "atom_id"], "left").fillna(0, ["dbl", "aro", "aro_n", "polar", "n_n", "c_n", "unsat"])
     c = lambda x: F.col(x)
     carbon = F.when(c("saturated"), F.when(c("n_h") >= 3, "CH3").when(c("n_h") == 2, "CH2").otherwise("CH1")).when((c("aro") >= 2) | (c("dbl") >= 1), "aroC").when(c("aro_n") >= 1, "CNH2").otherwise("COO")
     nitrogen = F.when(c("n_h") >= 3, "Nlys").when(c("n_h") == 2, "NH2O").when(c("n_h") == 1, "Ntrp").when((c("heavy_degree") <= 2) | ((c("heavy_degree") == 3) & c("saturated")), "Nhis").otherwise("Npro")
@@ -84,7 +98,7 @@ def atom_types(atoms: DataFrame, bonds: DataFrame, rings: DataFrame, other_types
     elem = F.upper("elem")
     typed = d.withColumn("atom_type", F.when(is_h(elem), F.lit(None)).when(elem == "C", carbon).when(elem == "N", nitrogen).when(elem == "O", oxygen).otherwise(F.coalesce(lookup(elem, (other_types or {}) | SINGLE_TYPES), unknown)))
     aromatic_c = typed.filter((elem == "C") & (c("aromatic") | (c("atom_type") == "aroC"))).select(*KEY, c("atom_id").alias("a2"), F.lit(True).alias("aro_c"))
-    h = n.filter(is_h(F.col("e1"))).join(aromatic_c.hint("merge"), [*KEY, "a2"], "left").groupBy(*KEY, F.col("a1").alias("atom_id")).agg(F.bool_or(F.coalesce("aro_c", F.lit(False))).alias("by_aromatic"))
+    h = n.filter(is_h(F.col("e1")) & (F.upper("e2") == "C")).join(aromatic_c.hint("merge"), [*KEY, "a2"], "left").groupBy(*KEY, F.col("a1").alias("atom_id")).agg(F.bool_or(F.coalesce("aro_c", F.lit(False))).alias("by_aromatic"))
     typed = typed.join(h.hint("merge"), [*KEY, "atom_id"], "left")
     hydrogen = F.when(c("polar") >= 1, "Hpol").when(F.coalesce("by_aromatic", F.lit(False)), "Haro").otherwise("Hapo")
     typed = typed.withColumn("atom_type", F.when(is_h(elem), hydrogen).otherwise(c("atom_type")))
@@ -113,15 +127,25 @@ def charges(atoms: DataFrame, table: Mapping[str, float], target: DataFrame | No
 
 
 def rotatable(atoms: DataFrame, bonds: DataFrame, rings: DataFrame) -> DataFrame:
-    """Bonds with ``can_rotate`` and ``is_proton_rotor``: single, in no ring, heavy neighbours on both sides."""
+    """Bonds with ``can_rotate`` and ``is_proton_rotor``: single, in no ring, heavy neighbours on both sides.
+
+    Bonds that have ``three`` are in a ring of three and are not joined; ``rings`` may leave them out.
+    Of those that have ``tree`` it comes out, true for bonds without ``three``.
+    """
     d = degrees(atoms, bonds)
     ok = (F.col("heavy_degree") >= 2) | ((F.col("heavy_degree") == 1) & F.col("heavy_single") & (F.col("n_h") == 1) & (F.col("elem") != "C"))
     d = d.select(*KEY, "atom_id", ok.alias("ok"), (F.col("heavy_degree") == 1).alias("end"))
     side = lambda k: d.select(*KEY, F.col("atom_id").alias(f"a{k}"), F.col("ok").alias(f"ok{k}"), F.col("end").alias(f"end{k}"))
-    b = bonds.select(*KEY, F.least("a1", "a2").alias("a1"), F.greatest("a1", "a2").alias("a2"), "bond_order")
+    told, tree = "three" in bonds.columns, ["tree"] if "tree" in bonds.columns else []
+    whole = bonds.select(*KEY, F.least("a1", "a2").alias("a1"), F.greatest("a1", "a2").alias("a2"), "bond_order", *(["three"] if told else []), *tree)
+    b = whole.filter("not three").drop("three", "tree") if told else whole.drop("tree")
     b = b.join(rings.hint("merge"), [*KEY, "a1", "a2"], "left").join(side(1).hint("merge"), [*KEY, "a1"]).join(side(2).hint("merge"), [*KEY, "a2"])
     can = (F.col("bond_order") == 1) & F.col("ring_size").isNull() & F.col("ok1") & F.col("ok2")
-    return b.select(*KEY, "a1", "a2", "bond_order", "ring_size", can.alias("can_rotate"), (can & (F.col("end1") | F.col("end2"))).alias("is_proton_rotor"))
+    b = b.select(*KEY, "a1", "a2", "bond_order", "ring_size", can.alias("can_rotate"), (can & (F.col("end1") | F.col("end2"))).alias("is_proton_rotor"), *[F.lit(True).alias(c) for c in tree])
+    if told:
+        fixed = [F.lit(3).alias("ring_size"), F.lit(False).alias("can_rotate"), F.lit(False).alias("is_proton_rotor")]
+        b = b.unionByName(whole.filter("three").select(*KEY, "a1", "a2", "bond_order", *fixed, *tree))
+    return b
 
 
 def rigid_groups(atoms: DataFrame, rotors: DataFrame) -> DataFrame:

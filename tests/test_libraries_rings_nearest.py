@@ -108,3 +108,48 @@ def test_libraries_of_several_files_are_numbered_on(spark, compare, monkeypatch)
         compare(registry.QUERIES[name], registry.ORACLE[name])
     path = files.written(spark, SF, files.sdf_arrays)
     assert spark.read.text(path).select("lib", "part").distinct().count() > 20
+
+
+def test_closed_contacts_equal_brute_force(spark, monkeypatch):
+    """Pairs, rings of three and what the forest joins, also where a cube is dealt in parts and looked at in stretches."""
+    import itertools
+
+    from pyspark.sql import functions as F
+
+    from lodestone.operators import geometry
+
+    pts = [(r.s, r.i, r.x, r.y, r.z) for r in spark.range(160).selectExpr("cast(id % 2 as string) as s", "id as i", "rand(1) * 0.6 as x", "rand(2) * 0.6 as y", "rand(3) * 0.6 as z").collect()]
+    d = spark.createDataFrame(pts, "structure_id string, resi long, x double, y double, z double").withColumn("w", F.col("x"))
+    near = {(a[1], b[1]) for a, b in itertools.combinations(pts, 2) if a[0] == b[0] and b[1] - a[1] >= 4 and sum((p - q) ** 2 for p, q in zip(a[2:], b[2:])) ** 0.5 <= 0.2}
+    beside = {k: {y if x == k else x for x, y in near if k in (x, y)} for _, k, *_ in pts}
+    want = {(a, b): bool(beside[a] & beside[b]) for a, b in near}
+    assert 0 < sum(want.values()) < len(want)
+
+    def parts(edges):
+        label = {p[1]: p[1] for p in pts}
+        for a, b in edges:
+            label = {k: min(label[a], label[b]) if v in (label[a], label[b]) else v for k, v in label.items()}
+        return label
+
+    for part, pairs in ((2048, 1 << 21), (3, 50)):
+        monkeypatch.setattr(geometry, "CUBE_PART", part)
+        monkeypatch.setattr(geometry, "CUBE_PAIRS", pairs)
+        got = geometry.closed_contacts(d, 0.2, keep=["w"]).collect()
+        assert len(got) == len(want) and {(r.resi, r.resj): r.three for r in got} == want
+        x = {p[1]: p[2] for p in pts}
+        assert all((r.l_w, r.r_w) == (x[r.resi], x[r.resj]) for r in got)
+        assert all(r.three for r in got if r.tree)
+        assert parts((r.resi, r.resj) for r in got if r.tree) == parts(p for p, three in want.items() if three)
+
+
+def test_open_rings_look_for_points_where_bonds_are_many(spark, monkeypatch):
+    """Without a table of bonds: rings as by search over all bonds, and nothing as large as the bonds is moved."""
+    from lodestone.operators import geometry, graph
+    from lodestone.plans import graphs
+
+    d = spark.range(80).selectExpr("0 as structure_id", "id as resi", "rand(4) * 0.5 as x", "rand(5) * 0.5 as y", "rand(6) * 0.5 as z")
+    c = geometry.closed_contacts(d, 0.13).withColumnsRenamed({"structure_id": "mol_id", "resi": "a1", "resj": "a2"})
+    want = {(r.a1, r.a2): r.ring_size for r in graph.ring_sizes(c.select("mol_id", "a1", "a2")).collect()}
+    monkeypatch.setattr(graphs, "FEW_BONDS", 0)
+    got = {(r.a1, r.a2): r.ring_size for r in graphs.open_rings(c, d, 0.13).collect()}
+    assert {p for p, n in want.items() if n is None or n > 3} == set(got) and all(want[p] == n for p, n in got.items())
