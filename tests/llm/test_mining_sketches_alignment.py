@@ -331,3 +331,32 @@ def test_all_classes_of_a_large_list_meet(spark, monkeypatch):
         of.setdefault(r.block, set()).add(r.cls)
     assert {p for b in of.values() for p in combinations(sorted(b), 2)} == set(combinations(range(10), 2))
     assert max(map(len, of.values())) <= 3 * 4
+
+
+def test_components_of_few_edges_take_few_tasks(spark, monkeypatch):
+    """A path and two stars, with many shuffle partitions: the same components with broadcast labels and without, by far fewer tasks."""
+    from lodestone.llm import components as c
+
+    edges = [(k, k + 1) for k in range(20)] + [(100, k) for k in range(101, 110)] + [(209, k) for k in range(200, 209)]
+    want = {k: 0 for k in range(21)} | {k: 100 for k in range(100, 110)} | {k: 200 for k in range(200, 210)}
+    df = spark.createDataFrame(edges, "a long, b long")
+
+    def tasks():
+        jvm, arr = spark._jvm, spark._jvm.java.util.ArrayList
+        stages = spark._jsc.sc().statusStore().stageList(arr(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), arr())
+        return sum(stages.apply(k).numCompleteTasks() for k in range(stages.size()))
+
+    before = {n: spark.conf.get(n) for n in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    took = []
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "61")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for few in (100_000, -1):
+            monkeypatch.setattr(c, "FEW_EDGES", few)
+            start = tasks()
+            assert {r.node: r.component for r in c.components(df).collect()} == want
+            took.append(tasks() - start)
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    assert 2 * took[0] < took[1]
