@@ -27,11 +27,12 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; null texts, texts without a letter and misfits go.
 
-    Models come from all rows with a language.  Repeated rows share their fate; without
+    Models come from all rows with a language, and have all of their grams.  Repeated rows share their fate; without
     any language known, none stays.
     """
-    model = langid.fit(docs, F.lit(True))
+    model = langid.fit(docs, F.lit(True), whole=True)
     rows = langid.predict(docs.withColumn("row", F.struct(*docs.columns)), model, keep=["row"])
+    langid.drop_tables(model)
     return rows.filter(~F.col("rejected")).select("row.*")
 
 

@@ -19,6 +19,7 @@ from lodestone.llm.common import ODD, drop_written, materialised, mix, refuse_cl
 ORDER = 4
 SLICE = 2 << 20  # bytes of text that are scored together
 HELD = 1 << 20  # grams of a language that a task counts together
+CELLS = 1 << 22  # values of grams, one a language, that are shipped to tasks
 SYMBOLS = [f"s{k}" for k in range(ORDER)]  # s0 is predicted, s1 stands before it, and so on
 
 _tables: list[np.ndarray] = []
@@ -173,16 +174,139 @@ def table(h: np.ndarray, j: np.ndarray, value: np.ndarray, n_langs: int, missing
     return keys, out
 
 
-def noise(model: dict, share: np.ndarray, symbols: np.ndarray, j: int, words: int = 4000, seed: int = 11) -> float:
-    """Cross-entropy under a language's model of words whose symbols are drawn one by one from its own letters."""
-    draw = np.random.default_rng(seed)
-    s = draw.choice(symbols, size=words * 6, p=share).reshape(words, 6)
+def drawn(share: np.ndarray, symbols: np.ndarray, words: int = 4000, seed: int = 11) -> list[np.ndarray]:
+    """Grams of words whose symbols are drawn one by one from a language's own letters, in whatever order those come."""
+    draw, order = np.random.default_rng(seed), np.argsort(symbols)
+    s = draw.choice(symbols[order], size=words * 6, p=share[order]).reshape(words, 6)
     s = np.c_[s, np.zeros(words, s.dtype)]
-    before = [np.c_[np.zeros((words, k), s.dtype), s[:, : s.shape[1] - k]].ravel() for k in range(ORDER)]
-    return float(-log_probabilities(model, before)[:, j].mean())
+    return [np.c_[np.zeros((words, k), s.dtype), s[:, : s.shape[1] - k]].ravel() for k in range(ORDER)]
 
 
-def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", *, most_languages: int = 500, most_grams: int = 1 << 20) -> dict:
+def noise(model: dict, share: np.ndarray, symbols: np.ndarray, j: int) -> float:
+    """Cross-entropy of such words under the language's model."""
+    return float(-log_probabilities(model, drawn(share, symbols))[:, j].mean())
+
+
+def by_language(values: dict) -> Column:
+    return lookup(F.col("lang"), values)
+
+
+def spread(orders: list, langs: list[str], most: int) -> dict:
+    """The model of all grams as tables, of which none is shipped: of each order (gram, ``seen``) and (context, ``rest``).
+
+    ``seen`` and ``rest`` are maps from a language's number to a log-probability and to the log
+    of the share for unseen symbols, of the languages that have the gram or the context.
+    """
+    number = by_language({x: j for j, x in enumerate(langs)})
+    model: dict = {"langs": langs, "most": most, "tables": []}
+    logs = lambda key, x: F.map_from_entries(F.collect_list(F.struct(number.alias("j"), F.log(x).alias("x"))))
+    for k, rows in reversed(orders):
+        few = {r["lang"]: (r["n1"], r["n2"]) for r in rows.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).collect()}
+        discount = by_language({x: n1 / (n1 + 2 * n2) if n1 and n2 else 0.5 for x, (n1, n2) in few.items()})
+        context = ["lang", *SYMBOLS[1:k]]
+        behind = rows.groupBy(*context).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        behind = materialised(behind.withColumn("share", discount * F.col("kinds") / F.greatest("total", F.lit(1))))
+        g = rows.join(behind.hint("merge"), context)
+        if k == 1:
+            model["uniform"] = -float(np.log(rows.select("s0").distinct().count() + 1))
+            shares = {r["lang"]: r["share"] for r in behind.collect()}  # one row a language
+            model["first"] = [float(np.log(shares[x])) + model["uniform"] for x in langs]
+            g = g.withColumn("lower", F.lit(float(np.exp(model["uniform"]))))
+        else:
+            # a gram without its first symbol is one of the shorter ones
+            g = g.join(lower.hint("merge"), ["lang", *SYMBOLS[: k - 1]])
+        less = F.col("share") * F.col("lower")
+        g = materialised(g.select("lang", *SYMBOLS[:k], "n", "total", less.alias("less"), (F.greatest(F.col("n") - discount, F.lit(0)) / F.col("total") + less).alias("p")))
+        seen = materialised(g.groupBy(*SYMBOLS[:k]).agg(logs("seen", F.col("p")).alias("seen")))
+        rest = materialised(behind.groupBy(*SYMBOLS[1:k]).agg(logs("rest", F.col("share")).alias("rest"))) if k > 1 else None
+        drop_written(behind, *([last] if k > 1 else []))
+        model["tables"].append((seen, rest))
+        last, lower = g, g.select("lang", *SYMBOLS[:k], F.col("p").alias("lower"))
+        if k == 1:
+            letters = materialised(g.filter("s0 > 0").select("lang", "s0", "n"))
+    once = F.greatest(F.col("n") - 1 - discount, F.lit(0)) / F.greatest(F.col("total") - 1, F.lit(1)) + F.col("less")
+    lp = F.log(F.greatest(once, F.lit(1e-300)))
+    own = {r["lang"]: r for r in last.groupBy("lang").agg(F.sum("n").alias("n"), F.sum(-F.col("n") * lp).alias("h"), F.sum(F.col("n") * lp * lp).alias("h2")).collect()}
+    drop_written(last)
+
+    def draw(t: pa.Table) -> pa.Table:
+        n = t.column("n").to_numpy().astype(float)
+        grams, times = np.unique(np.stack(drawn(n / n.sum(), t.column("s0").to_numpy())), axis=1, return_counts=True)
+        return pa.table([pa.array([t.column("lang")[0].as_py()] * len(times)), *[pa.array(s.astype(np.int32)) for s in grams], pa.array(times)], names=["lang", *SYMBOLS, "n"])
+
+    random = materialised(letters.groupBy("lang").applyInArrow(draw, "lang string, s0 int, s1 int, s2 int, s3 int, n long"))
+    at = F.col("n") * F.get("v", number)
+    apart = {r["lang"]: r["h"] for r in random.join(values(model, random).hint("merge"), SYMBOLS).groupBy("lang").agg((-F.sum(at) / F.sum("n")).alias("h")).collect()}
+    drop_written(random, letters)
+    mean = np.array([own[x]["h"] / own[x]["n"] for x in langs])
+    model["sd"] = np.sqrt(np.maximum(np.array([own[x]["h2"] / own[x]["n"] for x in langs]) - mean**2, 0))
+    model["limit"] = np.array([(m + apart[x]) / 2 if x in apart else np.inf for m, x in zip(mean, langs)])
+    return model
+
+
+def values(model: dict, grams: DataFrame) -> DataFrame:
+    """(s0 to s3, v): of distinct grams the log-probability of the last symbol in each language, by the tables of all grams."""
+    v = None
+    for k, (seen, rest) in enumerate(model["tables"], 1):
+        g = grams.select(*SYMBOLS[:k]).distinct().join(seen.hint("merge"), SYMBOLS[:k], "left")
+        if k == 1:
+            shorter = F.array(*[F.lit(x) for x in model["first"]])
+        else:
+            g = g.join(v.hint("merge"), SYMBOLS[: k - 1]).join(rest.hint("merge"), SYMBOLS[1:k], "left")
+            shorter = F.transform("v", lambda x, j: x + F.coalesce(F.try_element_at("rest", j), F.lit(0.0)))
+        v = g.select(*SYMBOLS[:k], F.transform(shorter, lambda x, j: F.coalesce(F.try_element_at("seen", j), x)).alias("v"))
+    return v
+
+
+def with_rest(d: DataFrame, model: dict) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Hashes and values of the most frequent grams of ``_text``, and ``_rest``: for each text the sums of all others.
+
+    Each gram has its value by all grams of the model.  Those that are not shipped are
+    joined, one short row a text and gram; rows with equal texts share their sums.
+    """
+    grams = materialised(counts(d.withColumn("_any", F.lit("")), "_text", "_any"))
+    v = materialised(values(model, grams).join(grams.hint("merge"), SYMBOLS))
+    width = len(model["langs"])
+    kept = frequent(v, "n", min(model["most"], CELLS // width)).select(*SYMBOLS, "v").toArrow()
+    h = gram_hash([kept.column(s).to_numpy().astype(np.int64) for s in SYMBOLS])
+    order = np.argsort(h)
+    keys = h[order]
+    seen = kept.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)[order].astype(np.float32) if len(h) else np.zeros((0, width), np.float32)
+    if len(keys) == v.count():
+        drop_written(grams, v)
+        return d.withColumn("_rest", F.lit(None).cast("array<double>")), keys, seen
+    key = ["_h1", "_h2"]
+    d = d.withColumns({c: F.xxhash64(F.lit(c), "_text") for c in key})
+
+    def run(batches):
+        for part in text_slices(batches, "_text", SLICE):
+            w = Words(part.column(0))
+            if not len(w.size):
+                continue
+            new = find(keys, gram_hash(w.grams)) == len(keys)
+            has = np.logical_or.reduceat(new[w.gram], w.begin[:-1])[w.index]
+            doc, word = np.repeat(np.arange(len(w.letters)), np.diff(w.at))[has], w.index[has]
+            size = w.size[word]
+            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            doc, gram = np.repeat(doc, size), w.gram[np.repeat(w.begin[word], size) + place]
+            pair, n = np.unique((doc * len(new) + gram)[new[gram]], return_counts=True)
+            doc, gram = pair // len(new), pair % len(new)
+            yield pa.RecordBatch.from_arrays([*[part.column(c).take(pa.array(doc)) for c in (1, 2)], *[pa.array(s[gram].astype(np.int32)) for s in w.grams], pa.array(n)], [*key, *SYMBOLS, "n"])
+
+    rest = d.select("_text", *key).mapInArrow(run, "_h1 long, _h2 long, s0 int, s1 int, s2 int, s3 int, n long")
+    rest = rest.repartition(*SYMBOLS).dropDuplicates([*key, *SYMBOLS])
+    sums = rest.join(v.select(*SYMBOLS, "v").hint("merge"), SYMBOLS).select(*key, "n", F.posexplode("v").alias("j", "x")).groupBy(*key, "j").agg(F.sum(F.col("n") * F.col("x")).alias("x"))
+    sums = materialised(sums.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda s: s["x"]).alias("_rest")))
+    drop_written(grams, v)
+    return d.join(sums.hint("merge"), key, "left").drop(*key), keys, seen
+
+
+def drop_tables(model: dict) -> None:
+    """Deletes the tables of a model that no longer predicts."""
+    drop_written(*[t for pair in model.get("tables", []) for t in pair if t is not None])
+
+
+def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", *, most_languages: int = 500, most_grams: int = 1 << 20, whole: bool = False) -> dict:
     """One model a language from the counts of all training rows.
 
     Interpolated Kneser-Ney: the longest grams have their counts, shorter ones the
@@ -198,6 +322,9 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
     had goes to their context's share for shorter grams, so probabilities still
     add up to one.
 
+    With ``whole`` no gram is left out: where there are more than ``most_grams``, the model is
+    tables in the shared folder (see ``spread``), and texts are scored by joins.
+
     A text is rejected from half-way between a language's own entropy and that of
     its letters drawn one by one.  The own entropy is of grams left out one at a time:
     each use is predicted from all others, so that what is seen in training only
@@ -213,6 +340,10 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
         if k < ORDER:
             rows = rows.groupBy("lang", *SYMBOLS[:k]).agg(F.count("*").alias("n"))
         orders.append((k, rows))
+    if whole and top.count() > most_grams:
+        model = spread(orders, langs, most_grams)
+        drop_written(top)
+        return model
     model: dict = {"langs": langs, "grams": [], "contexts": [], "uniform": 0.0}
     own = np.zeros((3, len(langs)))
     for k, rows in reversed(orders):
@@ -297,11 +428,16 @@ def predict(docs: DataFrame, model: dict, text: str = "text", keep=(), *, z: flo
     refuse_clash(d.columns[1:], "_text", "lang_pred", "score", "cross_entropy", "rejected")
     langs = np.array([*model["langs"], "und"], object)
     width = len(model["langs"])
+    tables = "tables" in model
+    if tables:
+        d, keys, seen = with_rest(d, model)
+        model = {"limit": model["limit"], "sd": model["sd"]}
 
     def sums(w):
-        """Log-probability of each distinct word in each language, some grams at a time."""
+        """Log-probability of each distinct word in each language, some grams at a time; what ``_rest`` has counts nothing."""
         step = max(1, (1 << 20) // max(width, 1))
-        each = np.concatenate([log_probabilities(model, [s[a : a + step] for s in w.grams]) for a in range(0, len(w.grams[0]), step)] or [np.zeros((0, width))])
+        value = (lambda g: np.r_[seen, np.zeros((1, width), np.float32)][find(keys, gram_hash(g))]) if tables else (lambda g: log_probabilities(model, g))
+        each = np.concatenate([value([s[a : a + step] for s in w.grams]) for a in range(0, len(w.grams[0]), step)] or [np.zeros((0, width))])
         out = np.zeros((len(w.size), width))
         if len(w.size):
             for j in range(width):
@@ -311,6 +447,9 @@ def predict(docs: DataFrame, model: dict, text: str = "text", keep=(), *, z: flo
     def run(batches):
         for part in text_slices(batches, "_text", SLICE):
             w = Words(part.column(0))
+            rest = np.array([x or [0.0] * width for x in part.column("_rest").to_pylist()]) if tables else None
+            if tables:
+                part = part.select(part.schema.names[:-1])
             n = np.r_[0, np.cumsum(w.size[w.index])]
             n = n[w.at[1:]] - n[w.at[:-1]]
             some = np.maximum(n, 1)
@@ -320,7 +459,7 @@ def predict(docs: DataFrame, model: dict, text: str = "text", keep=(), *, z: flo
                 h, each = np.empty((len(n), width)), sums(w)
                 for j in range(width):
                     total = np.r_[0.0, np.cumsum(each[:, j][w.index])]
-                    h[:, j] = -(total[w.at[1:]] - total[w.at[:-1]]) / some
+                    h[:, j] = -(total[w.at[1:]] - total[w.at[:-1]] + (rest[:, j] if tables else 0)) / some
                 best = np.where(known, h.argmin(1), width)
                 low = np.where(known, h.min(1), 0)
                 share = 1 / np.exp(-np.minimum(some, 50)[:, None] * (h - h.min(1, keepdims=True))).sum(1)

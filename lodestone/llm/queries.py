@@ -22,8 +22,10 @@ SHARD_BYTES = 4 << 20
 
 def op4_language_id(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    model = langid.fit(docs, fold("doc_id", 5) != 0)
-    return langid.predict(docs, model, keep=["doc_id"]).withColumn("held_out", fold("doc_id", 5) == 0)
+    model = langid.fit(docs, fold("doc_id", 5) != 0, whole=True)
+    rows = langid.predict(docs, model, keep=["doc_id"]).withColumn("held_out", fold("doc_id", 5) == 0)
+    langid.drop_tables(model)
+    return rows
 
 
 def op6_document_fingerprints(spark, sf_dir):

@@ -295,6 +295,24 @@ def test_small_languages_keep_their_grams(spark):
             assert np.all(np.abs(total - 1) < 0.02)
 
 
+def test_grams_beyond_the_budget_count_too(spark, monkeypatch):
+    """Models of more grams than are shipped predict as those of all grams do, also where texts repeat or have no letter."""
+    draw = np.random.default_rng(5)
+    words = {x: ["".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz"), p=draw.dirichlet(np.ones(26) * 0.5), size=draw.integers(3, 9))) for _ in range(300)] for x in ("a", "b", "c")}
+    say = lambda x, n: " ".join(draw.choice(words[x], n))
+    train = spark.createDataFrame([(x, say(x, 30)) for x in words for _ in range(60)], "lang string, text string")
+    rows = [(x, say(x, 20) + " qzxj wvkq") for x in words for _ in range(20)]
+    rows = [(k, *r) for k, r in enumerate([*rows, rows[0], ("n", None), ("n", "12 !"), ("n", " ".join("".join(draw.choice(list("qwxzjkvy"), 7)) for _ in range(20)))])]
+    test = spark.createDataFrame(rows, "id int, lang string, text string")
+    every = langid.predict(test, langid.fit(train, F.lit(True)), keep=["id"]).toPandas().sort_values("id")
+    for most, cells in ((300, 1 << 22), (1500, 0)):
+        monkeypatch.setattr(langid, "CELLS", cells)
+        model = langid.fit(train, F.lit(True), most_grams=most, whole=True)
+        r = langid.predict(test, model, keep=["id"]).toPandas().sort_values("id")
+        assert (r.id.to_numpy() == every.id.to_numpy()).all() and (r.lang_pred.to_numpy() == every.lang_pred.to_numpy()).all() and (r.rejected.to_numpy() == every.rejected.to_numpy()).all()
+        assert np.allclose(r.cross_entropy, every.cross_entropy, atol=1e-4) and np.allclose(r.score, every.score, atol=1e-3)
+
+
 def test_budgets_leave_to_others_what_is_not_needed():
     assert langid.budgets({"a": 10, "b": 1000, "c": 2000}, 500) == {"a": 10, "b": 245, "c": 245}
     assert langid.budgets({"a": 1, "b": 2}, 500) == {"a": 1, "b": 2}
