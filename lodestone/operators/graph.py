@@ -7,6 +7,8 @@ shared folder, so lineage stays short and lost executors cost one round.
 from collections.abc import Sequence
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,6 +171,7 @@ def ring_search(rest: DataFrame, near, keys: Sequence[str] = ("mol_id",), most_r
     return rings
 
 
+PAIRS = 1 << 20  # distances that a task holds at once
 GROUP_PARTS = 64  # parts of a rigid group whose nodes are reached on their own
 
 
@@ -207,6 +210,65 @@ def rigid_paths(across: DataFrame, nodes: DataFrame, sources: DataFrame, keys: S
     raise RuntimeError("paths did not settle")
 
 
+def near_paths(points: DataFrame, cutoff: float, sources: DataFrame, separation: int = 4, keys: Sequence[str] = ("mol_id",), most_rounds: int = 1000) -> DataFrame:
+    """As ``shortest_paths`` over all contacts of the points (keys, node, x, y, z), as long as their straight distance.
+
+    Contacts are never made or moved, as they grow with the square of the density: nodes that
+    came nearer in a round are sent to the cubes that their contacts may be in, and there give
+    each point its least distance.  Cubes are twice the cutoff wide, which
+    takes 8 copies on average, and are looked at in eighths.
+    """
+    k, cell = list(keys), ["_cx", "_cy", "_cz"]
+    group, edge, reach = [*k, *cell], 2 * cutoff, cutoff * (1 + 1e-9)
+    kind = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    p = materialised(points.select(*k, F.col("node").cast("long").alias("node"), *[F.col(c).cast("double").alias(c) for c in "xyz"]).dropna(subset=[*k, "x", "y", "z"]))
+    spots = p.select(*k, *[F.floor(F.col(c) / edge).alias(f"_c{c}") for c in "xyz"], F.lit(None).cast("long").alias("source"), "node", F.lit(None).cast("double").alias("dist"), *"xyz")
+
+    def offers(t: pa.Table) -> pa.Table:
+        source, node, dist = (t.column(c).fill_null(0).to_numpy() for c in ("source", "node", "dist"))
+        at = np.stack([t.column(c).to_numpy() for c in "xyz"])
+        front = np.asarray(t.column("source").is_valid())
+        spot, front = np.flatnonzero(~front), np.flatnonzero(front)
+        front = front[np.argsort(source[front], kind="stable")]
+        found = []
+        eighth = (np.floor(at[:, spot] / cutoff).astype(np.int64) * [[1], [2], [4]]).sum(0) if len(spot) else spot
+        for e in np.unique(eighth):
+            to = spot[eighth == e]
+            lo, hi = at[:, to].min(1, keepdims=True) - reach, at[:, to].max(1, keepdims=True) + reach
+            near = front[((at[:, front] >= lo) & (at[:, front] <= hi)).all(0)]
+            first = np.flatnonzero(np.r_[True, source[near][1:] != source[near][:-1]]) if len(near) else []
+            for a, b in zip(first, [*first[1:], len(near)]):
+                least = np.full(len(to), np.inf)
+                step = max(1, PAIRS // len(to))
+                for f in (near[c : min(c + step, b)] for c in range(a, b, step)):
+                    x, y, z = at[:, f, None] - at[:, None, to]
+                    apart = np.sqrt(x * x + y * y + z * z)
+                    met = (apart <= cutoff) & (np.abs(node[f][:, None] - node[to]) >= separation)
+                    least = np.minimum(least, np.where(met, apart + dist[f][:, None], np.inf).min(0))
+                hit = np.isfinite(least)
+                found.append((to[hit], np.full(hit.sum(), source[near[a]]), least[hit]))
+        row, by, least = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table([*[t.column(c).take(pa.array(row)) for c in k], pa.array(by.astype(np.int64)), pa.array(node[row]), pa.array(least)], names=[*k, "source", "node", "new"])
+
+    names = ", ".join([*[f"`{c}` {kind[c]}" for c in k], "source long", "node long", "new double"])
+    best = front = materialised(sources.select(*k, F.col("source").cast("long").alias("source"), F.col("source").cast("long").alias("node"), F.lit(0.0).alias("dist")))
+    for _ in range(most_rounds):
+        sent = front.join(p.hint("merge"), [*k, "node"])
+        for c in "xyz":
+            sent = sent.withColumn(f"_c{c}", F.explode(F.sequence(F.floor((F.col(c) - reach) / edge), F.floor((F.col(c) + reach) / edge))))
+        step = sent.select(*spots.columns).unionByName(spots).groupBy(*group).applyInArrow(offers, names)
+        step = step.groupBy(*k, "source", "node").agg(F.min("new").alias("new"))
+        better = F.col("new").isNotNull() & (F.col("dist").isNull() | (F.col("new") < F.col("dist") - 1e-12))
+        j = best.join(step.hint("merge"), [*k, "source", "node"], "full")
+        nxt = materialised(j.select(*k, "source", "node", F.when(better, F.col("new")).otherwise(F.col("dist")).alias("dist"), better.alias("moved")))
+        drop_written(best)
+        best, front = nxt.drop("moved"), nxt.filter("moved").drop("moved")
+        if front.isEmpty():
+            drop_written(p)
+            return best.withColumns({c: F.col(c).cast(kind["node"]) for c in ("source", "node")})
+    raise RuntimeError("paths did not settle")
+
+
 def straight_bounds(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ("mol_id",)) -> DataFrame:
     """(keys, node, low): how far a node's farthest one is at least, where no edge is shorter than the straight distance.
 
@@ -220,23 +282,31 @@ def straight_bounds(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ("
     return c.join(outer.hint("merge"), [*k, "component"]).select(*k, "node", F.coalesce(far, F.lit(0.0)).alias("low"))
 
 
-def centre(edges: DataFrame, candidates: DataFrame, keys: Sequence[str] = ("mol_id",), first: int = 2, paths=None) -> DataFrame:
+def centre(edges: DataFrame, candidates: DataFrame, keys: Sequence[str] = ("mol_id",), first: int = 2, paths=None, sweep: bool = False) -> DataFrame:
     """(keys, centre, radius): the candidate whose farthest node is nearest; the smallest id on ties.
 
     Paths start from a few candidates of each graph, twice as many in each round.  A
     candidate at distance d from one whose farthest node is at e has its own at
     ``max(d, e - d)`` at least; those that this puts beyond the best so far are
     never searched.  Nodes that cannot be reached do not count.  Candidates may have a bound
-    of their own in ``low``; ``paths`` gives paths from sources in place of ``shortest_paths``.
+    of their own in ``low``; ``paths`` gives paths from sources in place of ``shortest_paths``,
+    and ``edges`` may be None then.  With ``sweep`` each round also starts from the nodes that were
+    farthest in the one before: their distances to candidates bound those from below closely,
+    so few candidates near the centre of a dense graph are searched.
     """
     k = list(keys)
-    edges = materialised(edges)
+    edges = materialised(edges) if edges is not None else None
     low = F.col("low") if "low" in candidates.columns else F.lit(0.0)
     open_ = materialised(candidates.select(*k, "node", low.alias("low")).distinct())
-    known, size = [], first
+    # sources that are no candidates count for bounds only
+    some = materialised(open_.select(*k, F.col("node").alias("source"))) if sweep else None
+    known, size, aims = [], first, None
     while not open_.isEmpty():
         w = Window.partitionBy(*k).orderBy("low", "node")
-        picked = materialised(open_.withColumn("_at", F.row_number().over(w)).filter(F.col("_at") <= size).select(*k, F.col("node").alias("source")))
+        picked = open_.withColumn("_at", F.row_number().over(w)).filter(F.col("_at") <= size).select(*k, F.col("node").alias("source"))
+        if aims is not None:
+            picked = picked.unionByName(aims.join(open_.select(*k).distinct().hint("merge"), k, "left_semi")).distinct()
+        picked = materialised(picked)
         far = paths(picked) if paths else shortest_paths(edges, keys, picked)
         out = far.groupBy(*k, "source").agg(F.max("dist").alias("far"))
         # a candidate without any edge is its own farthest node
@@ -244,6 +314,11 @@ def centre(edges: DataFrame, candidates: DataFrame, keys: Sequence[str] = ("mol_
         every = known[0]
         for x in known[1:]:
             every = every.unionByName(x)
+        if sweep:
+            was = every.select(*k, "source").hint("merge")
+            last, aims = aims, materialised(far.groupBy(*k, "source").agg(F.max_by("node", F.struct("dist", "node")).alias("node")).select(*k, F.col("node").alias("source")).distinct().join(was, [*k, "source"], "left_anti"))
+            drop_written(*([last] if last is not None else []))
+            every = every.join(some.hint("merge"), [*k, "source"], "left_semi")
         best = every.groupBy(*k).agg(F.min("far").alias("best"))
         bound = far.join(known[-1].hint("merge"), [*k, "source"]).groupBy(*k, "node").agg(F.max(F.greatest("dist", F.col("far") - F.col("dist"))).alias("_b"))
         rest = open_.join(picked.withColumnRenamed("source", "node").hint("merge"), [*k, "node"], "left_anti").join(bound.hint("merge"), [*k, "node"], "left").join(best.hint("merge"), k)
@@ -251,10 +326,11 @@ def centre(edges: DataFrame, candidates: DataFrame, keys: Sequence[str] = ("mol_
         nxt = materialised(rest.select(*k, "node", "low"))
         drop_written(open_, picked, far)
         open_, size = nxt, 2 * size
-    drop_written(open_, edges)
+    drop_written(open_, *[x for x in (edges, aims) if x is not None])
     if not known:
         return candidates.select(*k, F.col("node").alias("centre"), F.lit(0.0).alias("radius"))
     every = known[0]
     for x in known[1:]:
         every = every.unionByName(x)
+    every = every.join(some.hint("merge"), [*k, "source"], "left_semi") if sweep else every
     return every.groupBy(*k).agg(F.min_by("source", F.struct(F.round("far", 9), "source")).alias("centre"), F.min("far").alias("radius"))

@@ -305,3 +305,31 @@ def test_eq2_moves_points_only(spark):
 
     plan = spatial.eq2_energy(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join Inner") == 3 and "Aggregate" not in plan
+
+
+def test_centre_of_dense_points_searches_few(spark):
+    """Paths over contacts that are never made, against all pairs' paths; distances from farthest nodes leave few candidates to search."""
+    import numpy as np
+
+    from lodestone.operators import graph
+
+    at, cutoff = np.random.default_rng(3).random((400, 3)) * [0.5, 0.3, 0.2], 0.1
+    d = np.sqrt(((at[:, None] - at[None]) ** 2).sum(2))
+    k = np.arange(400)
+    d[(d > cutoff) | ((abs(k[:, None] - k) < 4) & (k[:, None] != k))] = np.inf
+    for m in k:
+        d = np.minimum(d, d[:, m, None] + d[m])
+    assert np.isfinite(d).all()
+    p = spark.createDataFrame([("s", int(i), *map(float, x)) for i, x in zip(k, at)], "mol_id string, node int, x double, y double, z double")
+    searched = []
+
+    def paths(picked):
+        searched.extend(r.source for r in picked.collect())
+        return graph.near_paths(p, cutoff, picked)
+
+    r = graph.centre(None, p.select("mol_id", "node"), paths=paths, sweep=True).collect()
+    far = d.max(1)
+    assert len(r) == 1 and (round(far[r[0].centre], 9), r[0].centre) == min((round(v, 9), i) for i, v in enumerate(far)) and r[0].radius == pytest.approx(far.min())
+    assert len(searched) == len(set(searched)) < 60
+    got = {x.node: x.dist for x in graph.near_paths(p, cutoff, p.filter("node = 7").select("mol_id", F.col("node").alias("source"))).collect()}
+    assert np.allclose([got[i] for i in range(400)], d[7])
