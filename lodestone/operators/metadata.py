@@ -2,11 +2,11 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.scalar import letter_at, log10_floor, mutation_label, to_picomolar
-from lodestone.operators.relational import append_absent, interval_map, match_or_blank, review
+from lodestone.functions.scalar import letter_at, log10_floor, mutation_label, once, to_picomolar
+from lodestone.operators.relational import append_absent, match_or_blank, review
 from lodestone.operators.selection import keep_first
 
 # Fixed values, in alphabetical order: components that are never the ligand of an entry, and those that a survey leaves out.
@@ -40,35 +40,55 @@ ligands array<struct<comp_id: string, name: string, weight: double, chains: arra
 """
 
 
-def targets(entries: DataFrame, uniprot: str, words: str) -> DataFrame:
-    """(pdb_id, polymer) for the polymers of the target: by accession, or by description in any case."""
-    p = entries.select("pdb_id", F.explode_outer("polymers").alias("p"))
-    return p.filter(F.array_contains("p.uniprot_ids", uniprot) | F.lower("p.description").contains(words.lower()))
+def flat(arrays: Column) -> Column:
+    """The elements of all arrays that are not NULL."""
+    return F.flatten(F.filter(arrays, lambda x: x.isNotNull()))
 
 
-def mutations(entries: DataFrame, uniprot: str, words: str, reference: Column) -> DataFrame:
-    """(pdb_id, mutation_string): mutated positions in reference numbers, distinct and sorted.
+def targets(polymers: Column, uniprot: str, words: str) -> Column:
+    """The polymers of the target: by accession, or by description in any case."""
+    return F.filter(polymers, lambda p: F.array_contains(p["uniprot_ids"], uniprot) | F.lower(p["description"]).contains(words.lower()))
+
+
+def mutated(polymers: Column) -> Column:
+    """(entity, position, mutant) of each mutated position, with the polymer's own letter."""
+    spot = lambda p: lambda x: F.struct(p["entity_id"].alias("entity"), x.alias("position"), letter_at(p["sequence"], x).alias("mutant"))
+    return flat(F.transform(polymers, lambda p: flat(F.transform(F.filter(p["features"], lambda f: f["type"] == "mutation"), lambda f: F.transform(f["positions"], spot(p))))))
+
+
+def aligned(polymers: Column, uniprot: str) -> Column:
+    """(entity, a_no, r_no, beg, length, ref_beg) of each region that is aligned to the target."""
+    region = lambda p, i: lambda r, j: F.struct(p["entity_id"].alias("entity"), i.alias("a_no"), j.alias("r_no"), r["beg"].alias("beg"), r["length"].alias("length"), r["ref_beg"].alias("ref_beg"))
+    return flat(F.transform(polymers, lambda p: flat(F.transform(p["alignments"], lambda a, i: F.when(a["uniprot_id"] == uniprot, F.transform(a["regions"], region(p, i)))))))
+
+
+def mutation_string(spots: Column, regions: Column, reference: Column) -> Column:
+    """Mutated positions in reference numbers, distinct and sorted; NULL without any.
 
     Positions are mapped by the first alignment region that holds them.  Letters
     come from ``reference`` (the target's own sequence) and from the polymer.
     """
-    p = targets(entries, uniprot, words)
-    spots = p.select("pdb_id", "p.entity_id", "p.sequence", F.explode(F.filter("p.features", lambda f: f["type"] == "mutation")).alias("f"))
-    spots = spots.select("pdb_id", "entity_id", "sequence", F.explode("f.positions").alias("position"))
-    regions = p.select("pdb_id", "p.entity_id", F.posexplode("p.alignments").alias("a_no", "a")).filter(F.col("a.uniprot_id") == uniprot)
-    regions = regions.select("pdb_id", "entity_id", "a_no", F.posexplode("a.regions").alias("r_no", "r")).select("pdb_id", "entity_id", "a_no", "r_no", "r.*")
-    m = interval_map(spots, regions, ["pdb_id", "entity_id"], "position", ["a_no", "r_no"])
-    at = F.coalesce("mapped", "position")
-    label = mutation_label(letter_at(reference, at), at, letter_at(F.col("sequence"), F.col("position")))
-    return m.groupBy("pdb_id").agg(F.array_join(F.sort_array(F.collect_set(label)), ",").alias("mutation_string"))
+
+    def mapped(s):
+        hit = F.array_min(F.filter(regions, lambda r: (r["entity"] == s["entity"]) & s["position"].between(r["beg"], r["beg"] + r["length"] - 1)))
+        return F.struct(F.coalesce(hit["ref_beg"] + s["position"] - hit["beg"], s["position"]).alias("at"), s["mutant"].alias("mutant"))
+
+    labels = F.transform(F.transform(spots, mapped), lambda m: mutation_label(letter_at(reference, m["at"]), m["at"], m["mutant"]))
+    labels = F.filter(labels, lambda x: x.isNotNull())
+    return F.when(F.size(spots) > 0, F.array_join(F.sort_array(F.array_distinct(labels)), ","))
 
 
 def inventory(entries: DataFrame, uniprot: str, words: str, reference: Column, max_resolution: float = 3.0, deny: Sequence[str] = tuple(NOT_LIGANDS)) -> DataFrame:
     """One row an entry: chains, first candidate ligand, covalent state, status, review flag and notes."""
-    t = targets(entries, uniprot, words).groupBy("pdb_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("p.chains")))).alias("chains"), F.count("*").alias("n_target_entities"))
     real = F.filter(F.coalesce("ligands", F.array().cast("array<struct<comp_id:string,name:string,weight:double,chains:array<string>,linked:boolean>>")), lambda x: ~x["comp_id"].isin(*deny))
-    e = entries.withColumn("_l", real).withColumn("_first", F.get("_l", F.lit(0)))
-    e = e.join(t, "pdb_id", "left").join(mutations(entries, uniprot, words, reference), "pdb_id", "left")
+    e = entries.withColumn("_e", once(F.struct(real.alias("l"), targets(F.col("polymers"), uniprot, words).alias("t"))))
+    ligands = F.transform("_e.l", lambda x: F.struct(x["comp_id"].alias("comp_id"), x["name"].alias("name"), x["linked"].alias("linked")))
+    chains = flat(F.transform("_e.t", lambda p: p["chains"]))
+    e = e.select("pdb_id", "title", "resolution", "method", "deposit_date", "release_date", "inter_mol_covalent", ligands.alias("_l"), chains.alias("_chains"), mutated(F.col("_e.t")).alias("_spots"), aligned(F.col("_e.t"), uniprot).alias("_regions"))
+    # rows that share an id share their polymers; what is dealt are short rows, and once
+    same = Window.partitionBy("pdb_id")
+    e = e.withColumns({c: F.when(F.col("pdb_id").isNotNull(), F.flatten(F.collect_list(c).over(same))) for c in ("_chains", "_spots", "_regions")})
+    e = e.withColumns({"chains": F.array_sort(F.array_distinct("_chains")), "_first": F.get("_l", F.lit(0)), "mutation_string": mutation_string(F.col("_spots"), F.col("_regions"), reference)})
     n, linked_elsewhere = F.size("_l"), F.coalesce("inter_mol_covalent", F.lit(0)) > 0
     e = e.select(
         "pdb_id", "title", F.get("chains", F.lit(0)).alias("egfr_chain"), F.coalesce(F.size("chains"), F.lit(0)).alias("n_egfr_chains"), "mutation_string",

@@ -31,9 +31,11 @@ SORT = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestat
 def entries(spark, sf_dir):
     """Orders as entries with one polymer, and their line items as ligands; written as text and read by the declared schema."""
     o = table(spark, sf_dir, "orders").selectExpr(*[f"{e} AS {c}" for c, e in ENTRY.items()], "o_orderkey", "date_format(o_orderdate, 'yyyy-MM-dd') AS day")
-    li = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS o_orderkey", f"struct({SORT}) AS key", *[f"{e} AS {c}" for c, e in LIGAND.items()])
-    lig = F.struct("comp_id", F.lower("comp_id").alias("name"), F.lit(300.0).alias("weight"), F.array(F.lit("A")).alias("chains"), "linked")
-    ligands = li.groupBy("o_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("key", lig.alias("l")))), lambda s: s["l"]).alias("ligands"))
+    # only the sort keys are dealt, which hold all that a ligand is made of
+    li = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS o_orderkey", f"struct({SORT}) AS key")
+    fields = ", ".join(f"{e.replace('l_', 'k.l_')} AS {c}" for c, e in LIGAND.items())
+    ligands = li.groupBy("o_orderkey").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    ligands = ligands.selectExpr("o_orderkey", f"transform(transform(keys, k -> struct({fields})), l -> struct(l.comp_id AS comp_id, lower(l.comp_id) AS name, CAST(300 AS DOUBLE) AS weight, array('A') AS chains, l.linked AS linked)) AS ligands")
     region = F.struct(F.lit(5).alias("beg"), F.lit(10).alias("length"), F.lit(15).alias("ref_beg"))
     polymer = F.struct(
         F.lit("1").alias("entity_id"), "description", F.array("accession").alias("uniprot_ids"), F.when(F.col("two") % 2 == 0, F.array(F.lit("B"), F.lit("A"))).otherwise(F.array(F.lit("A"))).alias("chains"), F.lit(SEQUENCE).alias("sequence"),

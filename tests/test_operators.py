@@ -333,3 +333,19 @@ def test_centre_of_dense_points_searches_few(spark):
     assert len(searched) == len(set(searched)) < 60
     got = {x.node: x.dist for x in graph.near_paths(p, cutoff, p.filter("node = 7").select("mol_id", F.col("node").alias("source"))).collect()}
     assert np.allclose([got[i] for i in range(400)], d[7])
+
+
+def test_inventory_deals_rows_once(spark):
+    """One exchange of short rows and no join; ids that repeat share chains and mutations, null ids and polymers have none."""
+    region = [("P1", [(1, 3, 11)]), ("P1", [(2, 5, 22)]), ("Q", [(1, 9, 90)])]
+    one = ("1", "x", ["P1"], ["B"], "MKRT", [("mutation", [3, 4, 9]), ("other", [1]), ("mutation", None)], region)
+    two = ("2", "the TARGET", None, None, "MK", None, None)
+    three = ("3", "Target", ["Z"], ["A", "B"], "MK", [("mutation", [2])], None)
+    row = lambda name, *polymers: (name, "t", 1.0, "X", "2020-01-02", "2020-02-03", 0, list(polymers) or None, [("L1", "l", 3.0, ["A"], False)])
+    e = spark.createDataFrame([row("1", one), row("2", one, two), row("2", three), row("3", two), row("4"), row(None, one)], metadata.ENTRY_SCHEMA)
+    i = metadata.inventory(e, "P1", "target", F.lit("ACDEFGHIKLMNPQRSTVWYACDEFG"))
+    got = sorted(((r.pdb_id or "-", r.egfr_chain, r.n_egfr_chains, r.mutation_string) for r in i.collect()), key=str)
+    labels = "E24T,P13R,pos<9>"
+    assert got == [("-", None, 0, None), ("1", "B", 1, labels), ("2", "A", 2, "C2K," + labels), ("2", "A", 2, "C2K," + labels), ("3", None, 0, None), ("4", None, 0, None)]
+    plan = i._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and i._jdf.queryExecution().sparkPlan().toString().count("Window") == 1
