@@ -10,12 +10,14 @@ A set's sketch holds its SKETCH smallest values under one hash function.
    which classes of different components are left, generate overlaps: within a list the
    bottom of the union of two sketches estimates their similarity.  Classes that
    may link to one of another component go on, a row a class.
+   In long lists products of matrices bound what two sketches have in common, and
+   only pairs that may pass are estimated.
 4. Their whole sets are compared exactly, a list at a time, to a spanning forest.
 
 What is lost.  Sets A and B of sizes n and m that link differ so little that one of the
 first ``2 (n - |A & B|) + (m - |A & B|) <= 0.4 n`` (for a share of 80) pairs of
-neighbours of A stands in B too, at most as far behind for its size; so sets of up to
-150 shingles lose nothing.  Of larger sets none of 64 pairs is common with a chance of
+neighbours of A stands in B too, at most as far behind for its size; so no more of them
+are retained, and sets of up to 150 shingles lose nothing.  Of larger sets none of 64 pairs is common with a chance of
 about 0.51^64 = 1e-19 where the similarity is just 0.8; that fewer than SURE of the 64
 smallest values of the union are common has one of about 1e-13.
 
@@ -26,17 +28,21 @@ other one.  So all classes of a list meet, at c^2 / BLOCK rows for c classes.
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import drop_written, materialised, mix, shingle_sets, text_slices
 from lodestone.llm.components import components
-from lodestone.llm.ngram_join import BLOCK, FEW_ROWS, MEMBERS, N_KEYS, blocks, by_block, joined_blocks, representatives
+from lodestone.llm.ngram_join import BLOCK, FEW_ROWS, MEMBERS, N_KEYS, blocks, joined_blocks, representatives
 
 SKETCH = 64  # smallest values that are kept
 SURE = 26  # of the SKETCH smallest values of a union that two sets which link have in common
 FIRSTS = 16  # lists of a class by which two classes are told to meet elsewhere
-FEW = 4  # rows of a list that are compared one by one
+FEW = 16  # rows of a list of which all pairs are estimated
+BUCKETS = 512  # of a sketch's values in a longer list
+STEP = 256  # rows of a longer list that meet the others at once
+PAIRS = 1 << 13  # that a task estimates at once
+EMPTY = (1 << 32) - 1  # above all values of a sketch
 
 
 def retained(n, share: int):
@@ -68,9 +74,19 @@ def sketches(docs: DataFrame, size: int, share: int) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n long, cls long, sketch array<long>")
 
 
-def inverted(classes: DataFrame) -> DataFrame:
+def pairs_needed(share: int) -> Column:
+    """How many of a set's first pairs of neighbours hold one that is in any set it links to, as far as its own end.
+
+    A value that the other set lacks breaks two pairs, one that only the other has breaks one: ``2 x + y`` with
+    ``100 (x + y) <= (100 - share) (n + y)``, which is largest where ``x`` or ``y`` is 0.
+    """
+    return F.floor(F.col("n") * ((100 - share) * max(2 * share, 100)) / F.lit(100 * share)) + 1
+
+
+def inverted(classes: DataFrame, share: int) -> DataFrame:
     """(value, cls) of pairs of neighbours that several classes retain; ``value`` is the hash of the pair."""
-    pairs = F.transform(F.slice("sketch", F.lit(1), F.greatest(F.least(F.size("sketch") - 1, F.lit(SKETCH)), F.lit(0))), lambda x, i: F.xxhash64(x, F.get("sketch", i + 1)))
+    most = F.least(F.size("sketch") - 1, F.lit(SKETCH), pairs_needed(share)).cast("int")
+    pairs = F.transform(F.slice("sketch", F.lit(1), F.greatest(most, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("sketch", i + 1)))
     rows = classes.select("cls", F.explode(pairs).alias("value"))
     # counts are written first: then both sides of the join are plain shuffles, and a hot list can be split
     count = materialised(rows.groupBy("value").agg(F.count("*").alias("c")).filter("c > 1").select("value"))
@@ -86,63 +102,107 @@ def known_parts(lists: DataFrame, classes: DataFrame) -> DataFrame:
     return classes.select("cls", "n", values.alias("values")).join(keys.hint("merge"), "cls")
 
 
-def alive(share: int):
-    """Picks the rows of a list that may link to one of another component, by the bottom of the union of their sketches.
+def whole_blocks(batches):
+    """Record batches of rows in order of ``block`` as tables that hold all rows of their blocks."""
+    held: list = []
+    for batch in batches:
+        block = batch.column(0).to_numpy()
+        change = np.flatnonzero(block[1:] != block[:-1]) + 1
+        last = change[-1] if len(change) else 0
+        if held and len(block) and held[-1].column(0)[-1].as_py() != block[0]:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+        if last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks()
+            held = []
+        if len(block):
+            held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def rows_of(lists: pa.ListArray, width: int, empty: int, kind) -> np.ndarray:
+    """A matrix with a row a list, filled up with ``empty``."""
+    out = np.full((len(lists), width), empty, kind)
+    n = lists.value_lengths().to_numpy()
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    out[np.repeat(np.arange(len(n)), n), at] = lists.flatten().to_numpy()
+    return out
+
+
+def met_in_list(n: np.ndarray, value: np.ndarray, share: int):
+    """Pairs (i, j) of a long list's rows that may pass ``estimate``; the others cannot.
+
+    A sketch is counted into BUCKETS, so that products of matrices bound how many values two of them have in common.
+    """
+    m, limit = len(n), SURE
+    order = np.argsort(n, kind="stable")
+    n, value = n[order], value[order]
+    at = np.repeat(np.arange(m), SKETCH)[(own := value != EMPTY).ravel()] * BUCKETS + value[own] % BUCKETS
+    counts = np.bincount(at, minlength=m * BUCKETS).reshape(m, BUCKETS).astype(np.float32)
+    small = int(np.searchsorted(n, SKETCH, side="right"))
+    for x in sorted({*range(0, m, STEP), small} - {m}):
+        end = min(x - x % STEP + STEP, small if x < small else m)
+        upto = int(np.searchsorted(n, n[end - 1] * 100 // share, side="right"))
+        both = counts[x:end] @ counts[x:upto].T
+        least = limit
+        if x < small:  # two whole sets
+            least = np.where(np.arange(x, upto) < small, share * (n[x:end, None] + n[x:upto]) / (100 + share) - 0.01, limit)
+        i, j = np.nonzero(both >= least)
+        i, j = i[i < j] + x, j[i < j] + x
+        ok = 100 * n[i] >= share * n[j]
+        yield order[i[ok]], order[j[ok]]
+
+
+def estimate(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray, share: int) -> np.ndarray:
+    """Which pairs of sets of sizes n, m and sketches a, b may link, by the bottom of the union of both."""
+    every = np.sort(np.concatenate([a, b], axis=1), axis=1)
+    twice = (every[:, 1:] == every[:, :-1]) & (every[:, 1:] != EMPTY)
+    common = np.cumsum(twice, axis=1, dtype=np.int16)
+    place = np.arange(2, every.shape[1] + 1, dtype=np.int16) - common  # in the union
+    among = (twice & (place <= SKETCH)).sum(axis=1)
+    most = np.maximum(n, m)
+    return np.where(most <= SKETCH, (100 + share) * common[:, -1].astype(np.int64) >= share * (n + m), among * SKETCH >= SURE * np.minimum(SKETCH, most))
+
+
+def alive(table: pa.Table, share: int) -> np.ndarray:
+    """The rows of whole lists that may link to one of another component, by the bottom of the union of their sketches.
 
     Rows are (list, class, component, size, sketch, firsts).  Two classes are compared in the
     first of their lists only, as far as ``firsts`` tells.
     """
     never = np.iinfo(np.int64).max
-
-    def may_link(x, y):
-        n, m = x[3], y[3]
-        if x[2] == y[2] or 100 * min(n, m) < share * max(n, m) or any(b < x[0] for b in set(x[5]).intersection(y[5])):
-            return False
-        both = set(x[4]).intersection(y[4])
-        if max(n, m) <= SKETCH:
-            return (100 + share) * len(both) >= share * (n + m)
-        union = sorted({*x[4], *y[4]})
-        among = len(both) if len(union) <= SKETCH else sum(v <= union[SKETCH - 1] for v in both)
-        return among * SKETCH >= SURE * min(SKETCH, max(n, m))
-
-    def few(held):
-        live = set()
-        for k, y in enumerate(held):
-            for j, x in enumerate(held[:k]):
-                if not (j in live and k in live) and may_link(x, y):
-                    live |= {j, k}
-        return sorted(live)
-
-    def pick(held):
-        m = len(held)
-        if m <= FEW:
-            return few(held)
-        group, n = (np.array([x[c] for x in held], np.int64) for c in (2, 3))
-        value, firsts = np.full((m, SKETCH), never), np.full((m, FIRSTS), never)
-        for k, x in enumerate(held):
-            value[k, : len(x[4])] = x[4]
-            firsts[k, : len(x[5])] = x[5]
-        live, here = np.zeros(m, bool), held[0][0]
-        for x in range(m):
-            y = np.flatnonzero((group != group[x]) & (100 * np.minimum(n, n[x]) >= share * np.maximum(n, n[x])))
-            if live[x] or not len(y):
-                continue
-            mine, theirs = value[x], value[y]
-            upto = np.searchsorted(mine, theirs, side="right")
-            both = (mine[np.maximum(upto - 1, 0)] == theirs) & (upto > 0) & (theirs != never)
-            common = np.cumsum(both, axis=1)
-            union = np.arange(1, SKETCH + 1)[None, :] + upto - common
-            among = np.where(union <= SKETCH, common, 0).max(axis=1)
-            whole = (n[y] <= SKETCH) & (n[x] <= SKETCH)
-            may = np.where(whole, (100 + share) * common[:, -1] >= share * (n[y] + n[x]), among * SKETCH >= SURE * np.minimum(SKETCH, np.maximum(n[y], n[x])))
-            y = y[may]
-            before = firsts[x][firsts[x] < here]
-            y = y[~np.isin(firsts[y], before).any(axis=1)]
-            live[y] = True
-            live[x] |= len(y) > 0
-        return np.flatnonzero(live).tolist()
-
-    return pick
+    block, _, group, n = (table.column(k).to_numpy() for k in range(4))
+    value, firsts = (rows_of(table.column(k).combine_chunks() if table.column(k).num_chunks != 1 else table.column(k).chunk(0), *kind) for k, kind in ((4, (SKETCH, EMPTY, np.uint32)), (5, (FIRSTS, never, np.int64))))
+    firsts = np.where(firsts < block[:, None], firsts, never)
+    live = np.zeros(len(n), bool)
+
+    def compare(i, j):
+        ok = (group[i] != group[j]) & (100 * np.minimum(n[i], n[j]) >= share * np.maximum(n[i], n[j]))
+        i, j = i[ok], j[ok]
+        for at in range(0, len(i), PAIRS):
+            x, y = i[at : at + PAIRS], j[at : at + PAIRS]
+            new = ~(live[x] & live[y])
+            x, y = x[new], y[new]
+            may = estimate(n[x], n[y], value[x], value[y], share)
+            x, y = x[may], y[may]
+            f = firsts[x]
+            before = ((f[:, :, None] == firsts[y][:, None, :]) & (f != never)[:, :, None]).any((1, 2))
+            live[x[~before]] = live[y[~before]] = True
+
+    starts = np.r_[0, np.flatnonzero(block[1:] != block[:-1]) + 1, len(block)]
+    size = np.diff(starts)
+    for m in range(2, FEW + 1):
+        i, j = np.triu_indices(m, 1)
+        some = starts[:-1][size == m]
+        for at in range(0, len(some), PAIRS):
+            s = some[at : at + PAIRS, None]
+            compare((s + i).ravel(), (s + j).ravel())
+    for s, m in zip(starts[:-1][size > FEW], size[size > FEW]):
+        if (group[s : s + m] != group[s]).any():
+            for i, j in met_in_list(n[s : s + m], value[s : s + m], share):
+                compare(s + i, s + j)
+    return live
 
 
 def forest(sets: list[np.ndarray], share: int, n_bytes: int, group: np.ndarray) -> list[tuple[int, int]]:
@@ -233,7 +293,13 @@ def live(members: DataFrame, known: DataFrame, share: int) -> DataFrame:
     firsts = members.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list("block")), 1, FIRSTS).alias("firsts"))  # of one sketch
     rows = members.join(known.drop("keys").hint("merge"), "cls").join(firsts.hint("merge"), "cls")
     ordered = rows.repartition("block").sortWithinPartitions("block").select("block", "cls", "component", "n", "values", "firsts")
-    return ordered.mapInArrow(lambda batches: by_block(batches, alive(share)), MEMBERS)
+
+    def run(batches):
+        for table in whole_blocks(batches):
+            picked = pa.array(np.flatnonzero(alive(table, share)))
+            yield from table.select(["cls", "component", "block"]).take(picked).to_batches()
+
+    return ordered.mapInArrow(run, MEMBERS)
 
 
 def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, size: int = 2, share: int = 80) -> DataFrame:
@@ -253,7 +319,7 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, size:
     written: list = []
     profile = materialised(sketches(d, size, share))
     classes = materialised(representatives(profile, "sketch"))
-    lists = inverted(classes)
+    lists = inverted(classes, share)
     known = materialised(known_parts(lists, classes))
     members = materialised(blocks(known, BLOCK))
     early = materialised(live(members, known, share))
