@@ -87,3 +87,12 @@ def test_short_sets_hand_in_the_pairs_that_a_link_needs(spark):
             need = (n * (100 - share) * max(2 * share, 100)) // (100 * share) + 1
             broken = max(2 * x + y for y in range(4 * n) for x in range(n) if (n - x) * 100 >= share * (n + y))
             assert broken < need
+
+
+def test_distinct_values_in_order():
+    from lodestone.llm.common import distinct
+
+    draw = np.random.default_rng(4)
+    for n in (0, 1, 2, 500):
+        h = draw.integers(0, 300, n).astype(np.uint64) << np.uint64(55)
+        assert distinct(h).tolist() == sorted(set(h.tolist()))
