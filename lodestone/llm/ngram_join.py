@@ -36,6 +36,7 @@ HEAVY = 1 << 18  # tokens whose frequency is kept
 SEEN_TOKENS = 1 << 21  # tokens that a task counts together
 FIRSTS = 16  # of the tokens that a class shares, those by which pairs are told to have met
 FEW_ROWS = 100_000  # that may be broadcast
+FEW_HASHES = 1 << 20  # alone, without the rows
 
 
 def token_levels(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,15 +145,22 @@ def representatives(profile: DataFrame, *columns: str) -> DataFrame:
 def joined_blocks(docs: DataFrame, classes: DataFrame, members: DataFrame, size: int, share: int, written: list, few: int = 0, forest=linked) -> DataFrame:
     """Edges (a, b) between components: a spanning forest of each block, from the whole texts of its classes.
 
-    Up to ``few`` members are broadcast, so that only their texts move; else all texts
-    are dealt by id and hash.  ``written`` gets a table that is to be dropped later.
+    Up to ``few`` members are broadcast, so that only their texts move.  With more, texts are
+    dealt by id and hash, those alone whose hash is wanted where ``few`` says that most are not
+    and the hashes are FEW_HASHES at most.  ``written`` gets a table that is to be dropped later.
     ``forest`` is what links a block's whole sets.
     """
     wanted = members.join(classes.select("cls", "text_id", "text_hash").hint("merge"), "cls")
     wanted = materialised(wanted)
     written.append(wanted)
-    side = F.broadcast(wanted) if few and wanted.count() <= few else wanted.hint("merge")
+    small = bool(few) and wanted.count() <= few
+    side = F.broadcast(wanted) if small else wanted.hint("merge")
     d = docs.select("doc_id", "text", F.xxhash64("text").alias("own_hash"))
+    if few and not small:
+        hashes = materialised(wanted.select(F.col("text_hash").alias("own_hash")).distinct())
+        written.append(hashes)
+        if hashes.count() <= FEW_HASHES:
+            d = d.join(F.broadcast(hashes), "own_hash", "left_semi")
     texts = d.join(side, d["doc_id"].eqNullSafe(wanted["text_id"]) & (d["own_hash"] == wanted["text_hash"])).select("cls", "block", "text", "component")
     ordered = texts.repartition("block").sortWithinPartitions("block", "cls")
 

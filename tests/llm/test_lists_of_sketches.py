@@ -96,3 +96,24 @@ def test_distinct_values_in_order():
     for n in (0, 1, 2, 500):
         h = draw.integers(0, 300, n).astype(np.uint64) << np.uint64(55)
         assert distinct(h).tolist() == sorted(set(h.tolist()))
+
+
+def test_beyond_the_broadcast_only_wanted_texts_move(spark, monkeypatch):
+    """Two near copies among 300 texts of their own: the same edge, and the text of no other document goes on."""
+    from pyspark.sql import functions as F
+
+    from lodestone.llm import ngram_join
+
+    base = [f"v{k}" for k in range(80)]
+    rows = [(n, " ".join(f"w{n}x{k}" for k in range(80))) for n in range(300)] + [(300, " ".join(base)), (301, " ".join([*base[:-1], "u"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    of = docs.filter("doc_id >= 300").select(F.col("doc_id").alias("cls"), F.col("doc_id").alias("text_id"), F.xxhash64("text").alias("text_hash"))
+    members = of.select("cls", F.col("cls").alias("component"), F.lit(7).cast("long").alias("block"))
+    moved = []
+    for few, hashes in ((100, 100), (1, 0), (1, 100)):
+        monkeypatch.setattr(ngram_join, "FEW_HASHES", hashes)
+        out = ngram_join.joined_blocks(docs, of, members, 2, SHARE, [], few, bottom_k.forest)
+        assert [tuple(r) for r in out.collect()] == [(301, 300)]
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        moved.append("LeftSemi" in plan)
+    assert moved == [False, False, True]
