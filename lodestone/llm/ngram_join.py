@@ -37,6 +37,8 @@ SEEN_TOKENS = 1 << 21  # tokens that a task counts together
 FIRSTS = 16  # of the tokens that a class shares, those by which pairs are told to have met
 FEW_ROWS = 100_000  # that may be broadcast
 FEW_HASHES = 1 << 20  # alone, without the rows
+TASK_MEMBERS = 512  # of blocks that make one task more
+MOST_TASKS = 8192
 
 
 def token_levels(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +155,8 @@ def joined_blocks(docs: DataFrame, classes: DataFrame, members: DataFrame, size:
     wanted = members.join(classes.select("cls", "text_id", "text_hash").hint("merge"), "cls")
     wanted = materialised(wanted)
     written.append(wanted)
-    small = bool(few) and wanted.count() <= few
+    n = wanted.count() if few else 0
+    small = bool(few) and n <= few
     side = F.broadcast(wanted) if small else wanted.hint("merge")
     d = docs.select("doc_id", "text", F.xxhash64("text").alias("own_hash"))
     if few and not small:
@@ -162,7 +165,9 @@ def joined_blocks(docs: DataFrame, classes: DataFrame, members: DataFrame, size:
         if hashes.count() <= FEW_HASHES:
             d = d.join(F.broadcast(hashes), "own_hash", "left_semi")
     texts = d.join(side, d["doc_id"].eqNullSafe(wanted["text_id"]) & (d["own_hash"] == wanted["text_hash"])).select("cls", "block", "text", "component")
-    ordered = texts.repartition("block").sortWithinPartitions("block", "cls")
+    # few bytes can be many pairs: tasks follow the members
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, min(n // TASK_MEMBERS, MOST_TASKS))
+    ordered = (texts.repartition(tasks, "block") if few else texts.repartition("block")).sortWithinPartitions("block", "cls")
 
     def run(batches):
         block, cls, group, sets = None, [], [], []

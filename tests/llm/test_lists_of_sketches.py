@@ -117,3 +117,19 @@ def test_beyond_the_broadcast_only_wanted_texts_move(spark, monkeypatch):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         moved.append("LeftSemi" in plan)
     assert moved == [False, False, True]
+
+
+def test_tasks_of_whole_sets_follow_members(spark, monkeypatch):
+    """60 blocks of two short texts are a few kilobytes, which adaptive plans put into one or two tasks."""
+    from pyspark.sql import functions as F
+
+    from lodestone.llm import ngram_join
+
+    docs = spark.createDataFrame([(n, f"a{n // 2} b c d e f g h i j k l" + " m" * (n % 2)) for n in range(120)], "doc_id long, text string")
+    of = docs.select(F.col("doc_id").alias("cls"), F.col("doc_id").alias("text_id"), F.xxhash64("text").alias("text_hash"))
+    members = of.select("cls", F.col("cls").alias("component"), F.floor(F.col("cls") / 2).alias("block"))
+    monkeypatch.setattr(ngram_join, "TASK_MEMBERS", 4)
+    out = ngram_join.joined_blocks(docs, of, members, 2, SHARE, [], 1000, bottom_k.forest).withColumn("task", F.spark_partition_id())
+    rows = out.collect()
+    assert sorted((r.a, r.b) for r in rows) == [(n + 1, n) for n in range(0, 120, 2)]
+    assert len({r.task for r in rows}) > 10
